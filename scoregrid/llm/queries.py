@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .language import language_of_all
 from .ngram_join import jaccard_classes
 from .packing import pack
+from .quality import quality_of_all
 from .token_files import token_digest
 
 
@@ -19,6 +21,14 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(_documents(spark, sf_dir))
 
 
+def op5_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_of_all(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op6_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_of_all(_documents(spark, sf_dir))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir))
 
@@ -28,7 +38,7 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_files, op7_best_fit_packing, op8_ngram_join)}
+    return {f.__name__: f for f in (op2_token_files, op5_byte_cnn_quality, op6_language_filters, op7_best_fit_packing, op8_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
