@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .fingerprint import fingerprints
 from .language import language_of_all
+from .mixing import mix_of_all
 from .ngram_join import jaccard_classes
 from .packing import pack
 from .quality import quality_of_all
@@ -21,6 +23,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(_documents(spark, sf_dir))
 
 
+def op4_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(_documents(spark, sf_dir))
+
+
 def op5_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_of_all(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -37,8 +43,12 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(_documents(spark, sf_dir))
 
 
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_of_all(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_files, op5_byte_cnn_quality, op6_language_filters, op7_best_fit_packing, op8_ngram_join)}
+    return {f.__name__: f for f in (op2_token_files, op4_multiset_fingerprint, op5_byte_cnn_quality, op6_language_filters, op7_best_fit_packing, op8_ngram_join, op10_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
