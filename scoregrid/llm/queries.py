@@ -12,6 +12,7 @@ from .mixing import mix_of_all
 from .ngram_join import jaccard_classes
 from .packing import pack
 from .quality import quality_of_all
+from .substring_dedup import substrings_of_all
 from .token_files import token_digest
 
 
@@ -23,6 +24,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(_documents(spark, sf_dir))
 
 
+def op3_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings_of_all(_documents(spark, sf_dir))
+
+
 def op4_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(_documents(spark, sf_dir))
 
@@ -48,7 +53,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_files, op4_multiset_fingerprint, op5_byte_cnn_quality, op6_language_filters, op7_best_fit_packing, op8_ngram_join, op10_source_mixing)}
+    return {f.__name__: f for f in (op2_token_files, op3_paragraph_dedup, op4_multiset_fingerprint, op5_byte_cnn_quality, op6_language_filters, op7_best_fit_packing, op8_ngram_join, op10_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
