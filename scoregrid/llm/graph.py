@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from .common import stash
 
+BATCH = 500_000
+
 
 def union_find(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """For nodes 0..n-1 the smallest node that links reach."""
@@ -31,7 +33,7 @@ def union_find(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of up to 200,000 rows at a time become stars around their smallest node."""
+    """Links of up to BATCH rows at a time become stars around their smallest node."""
     held: list[pa.RecordBatch] = []
 
     def stars() -> pa.RecordBatch:
@@ -45,7 +47,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
             held.append(batch)
-        if sum(x.num_rows for x in held) >= 200_000:
+        if sum(x.num_rows for x in held) >= BATCH:
             yield stars()
             held.clear()
     if held:
@@ -55,7 +57,8 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over links (a, b); nodes without links are absent.
 
-    Rounds of stars inside bounded batches, then the large-star and small-star joins, until no link changes.
+    Rounds of stars inside bounded batches, then the large-star and small-star joins, until no link changes. As soon
+    as the links that are left fit one batch (their number is counted), one pass over them ends the work.
     Minima are pre-aggregated and hot nodes are split by skew joins, so no node's links meet in one task.
     """
     schema = "a bigint, b bigint"
@@ -65,6 +68,9 @@ def components(links: DataFrame) -> DataFrame:
         state = e.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("x")).first()
         if state["n"] == 0 or (state["n"], state["x"]) == last:
             break
+        if state["n"] < BATCH:
+            e = stash(e.coalesce(1).mapInArrow(_forest, schema))
+            break
         last = (state["n"], state["x"])
         both = e.union(e.selectExpr("b a", "a b"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a", "least(a, m) m")
@@ -73,5 +79,4 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(least, "a")
         small = small.selectExpr("b a", "m b").union(least.selectExpr("a", "m b")).where("a <> b").selectExpr("greatest(a, b) a", "least(a, b) b").distinct()
         e = stash(small.mapInArrow(_forest, schema).distinct())
-    star = e.groupBy("a").agg(F.min("b").alias("b"))
-    return star.selectExpr("a node", "b component").union(star.select("b").distinct().selectExpr("b node", "b component"))
+    return e.selectExpr("a node", "b component").union(e.select("b").distinct().selectExpr("b node", "b component"))

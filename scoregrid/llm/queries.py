@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .fingerprint import fingerprints
 from .language import language_of_all
+from .lm_scoring import lm_of_all
 from .mixing import mix_of_all
 from .ngram_join import jaccard_classes
 from .packing import pack
@@ -20,6 +21,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_attention_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_of_all(_documents(spark, sf_dir))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(_documents(spark, sf_dir))
 
@@ -53,7 +58,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_files, op3_paragraph_dedup, op4_multiset_fingerprint, op5_byte_cnn_quality, op6_language_filters, op7_best_fit_packing, op8_ngram_join, op10_source_mixing)}
+    return {f.__name__: f for f in (op1_attention_scoring, op2_token_files, op3_paragraph_dedup, op4_multiset_fingerprint, op5_byte_cnn_quality, op6_language_filters, op7_best_fit_packing, op8_ngram_join, op10_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:

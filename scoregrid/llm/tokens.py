@@ -53,6 +53,21 @@ class SegmentEncoder:
         order = np.argsort(keys, kind="stable")
         self.keys, self.rows = keys[order], rows[order]
 
+    def entries(self, keys: np.ndarray, code: np.ndarray, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, before: str = "") -> np.ndarray:
+        """The entry of each distinct hash; keys[code] are the hashes of the spans, `before` is put before a span that is new."""
+        spot = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        known = self.keys[spot] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        if not known.all():
+            if len(self.keys) + len(keys) > KEEP:
+                self.forget()
+                known = np.zeros(len(keys), bool)
+            first = np.zeros(len(keys), np.int64)
+            first[code[::-1]] = np.arange(len(code))[::-1]
+            raw = buf.tobytes()
+            self._learn(keys[~known], [before + raw[starts[i] : ends[i]].decode() for i in first[~known]])
+            spot = np.searchsorted(self.keys, keys)
+        return self.rows[spot]
+
     def __call__(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, ids of a run of rows as uint16, offsets of the rows in them)."""
         for row, buf, offs in text_chunks(column):
@@ -71,18 +86,7 @@ class SegmentEncoder:
             starts, ends = edges[:-1], edges[1:]
             h = span_hashes(buf, starts, ends)
             code, keys = pd.factorize(h)
-            spot = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
-            known = self.keys[spot] == keys if len(self.keys) else np.zeros(len(keys), bool)
-            if not known.all():
-                if len(self.keys) + len(keys) > KEEP:
-                    self.forget()
-                    known = np.zeros(len(keys), bool)
-                first = np.zeros(len(keys), np.int64)
-                first[code[::-1]] = np.arange(len(code))[::-1]
-                raw = buf.tobytes()
-                self._learn(keys[~known], [raw[starts[i] : ends[i]].decode() for i in first[~known]])
-                spot = np.searchsorted(self.keys, keys)
-            entry = self.rows[spot][code]
+            entry = self.entries(keys, code, buf, starts, ends)[code]
             length = self.len[entry]
             total = np.concatenate([[0], np.cumsum(length)])
             ids = self.flat[np.repeat(self.at[entry] - total[:-1], length) + np.arange(total[-1])]
