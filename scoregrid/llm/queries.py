@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .fingerprint import fingerprints
 from .language import language_of_all
 from .lm_scoring import lm_of_all
+from .media import media_digest
 from .mixing import mix_of_all
 from .ngram_join import jaccard_classes
 from .packing import pack
@@ -54,12 +55,16 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(_documents(spark, sf_dir))
 
 
+def op9_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digest(_documents(spark, sf_dir))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_of_all(_documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_attention_scoring, op2_token_files, op3_paragraph_dedup, op4_multiset_fingerprint, op5_byte_cnn_quality, op6_language_filters, op7_best_fit_packing, op8_ngram_join, op10_source_mixing)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_attention_scoring, op2_token_files, op3_paragraph_dedup, op4_multiset_fingerprint, op5_byte_cnn_quality, op6_language_filters, op7_best_fit_packing, op8_ngram_join, op9_avi_media, op10_source_mixing)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
