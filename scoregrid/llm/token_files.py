@@ -130,8 +130,8 @@ def write_ids(docs: DataFrame, path: str, id_column: str = "doc_id", text_column
     cut.mapInArrow(_blocks(vocabulary or vocabulary_path("byte_bpe_50k.json"), end_id), BLOCKS).write.parquet(path)
 
 
-def read_ids(spark, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids binary as uint32) for each document of a written table."""
+def read_ids(spark, path: str, digest: bool = False) -> DataFrame:
+    """(doc_id, start, n_tokens, ids binary as uint32) for each document of a written table; digest: ids_crc32 in the place of ids."""
     table = spark.read.schema(BLOCKS).parquet(path)
     sums = table.select("part", F.aggregate("lengths", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n")).groupBy("part").agg(F.sum("n").alias("n")).collect()  # at most 16,384 parts
     before, total = {}, 0
@@ -142,22 +142,18 @@ def read_ids(spark, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part, start, docs, lengths, codes in zip(*(b.column(k) for k in (0, 2, 3, 4, 5)), strict=True):
-                ids, n = DirectCodes.from_bytes(codes.as_py()).all(), lengths.values.to_numpy()
+                ids, n = DirectCodes.from_bytes(codes.as_py()).all().astype("<u4", copy=False), lengths.values.to_numpy()
                 end = np.cumsum(n)
                 first = before[part.as_py()] + start.as_py() + end - n
-                yield pa.RecordBatch.from_arrays([docs.values, pa.array(first), pa.array(n), pa.array([ids[e - k : e].astype("<u4").tobytes() for e, k in zip(end, n, strict=True)], pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+                each = (ids[e - k : e] for e, k in zip(end, n, strict=True))
+                last = pa.array([zlib.crc32(x) for x in each], pa.int64()) if digest else pa.array([x.tobytes() for x in each], pa.binary())
+                yield pa.RecordBatch.from_arrays([docs.values, pa.array(first), pa.array(n), last], ["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"])
 
-    return table.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
+    return table.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, " + ("ids_crc32 bigint" if digest else "ids binary"))
 
 
 def token_digest(docs: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and crc32 of each document's ids, from the files that write_ids wrote."""
     path = scratch(docs.sparkSession)
     write_ids(docs, path)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            crc = pa.array([zlib.crc32(x.as_buffer()) for x in b.column(3)], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), crc], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return read_ids(docs.sparkSession, path).mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return read_ids(docs.sparkSession, path, digest=True)

@@ -1,6 +1,6 @@
 """Encoding of whole texts by a public tokenizer, a distinct text segment at a time.
 
-A text is cut before spaces and around line ends where any pre-tokenizer of the two vocabularies cuts too, so the ids
+A text is cut before spaces, around line ends and between letters and marks, where either pre-tokenizer cuts too, so the ids
 of a text are those of its segments in a row. Each worker keeps the ids of the segments that it has met (up to
 KEEP of them, then it starts anew), and the tokenizers library encodes the others.
 """
@@ -17,6 +17,10 @@ import pyarrow as pa
 from .common import span_hashes, text_chunks
 
 KEEP = 3_000_000
+LEARN = 8192  # segments that the library encodes at once
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)  # a cut between an ASCII letter and a mark
+_LETTER[65:91] = _LETTER[97:123] = True
+_MARK[[ord(c) for c in ",.!?;:|$%&*#"]] = True
 _OPEN = np.zeros(256, bool)  # bytes that begin a character which is no white space, ASCII or U+00C0 to U+07FF
 _OPEN[0x21:0x7F] = True
 _OPEN[0xC3:0xE0] = True
@@ -31,15 +35,33 @@ class SegmentEncoder:
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # a run of ASCII letters, with or without a space before, is one pre-token: the model alone encodes it
+        self.lower, self.space = self.tokenizer.normalizer is not None, "" if self.tokenizer.normalizer is not None else "\u0120"
+        probe = [" Probe", "probe", " a", "Z", " hEaTh", "s", " t"]
+        self.plain = [self._plain(x) for x in probe] == [e.ids for e in self.tokenizer.encode_batch(probe, add_special_tokens=False)]
         self.forget()
 
+    def _plain(self, text: str) -> list[int]:
+        text = text.replace(" ", self.space)
+        return [t.id for t in self.tokenizer.model.tokenize(text.lower() if self.lower else text)]
+
     def forget(self) -> None:
         self.keys, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted hashes, entry of each
         self.flat, self.size = np.zeros(1 << 16, np.uint16), 0
         self.at, self.len = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _learn(self, keys: np.ndarray, texts: list[str], letters: np.ndarray) -> None:
+        got: list[list[int]] = [[]] * len(texts)
+        simple = letters & self.plain
+        model, space, lower = self.tokenizer.model, self.space, self.lower
+        for i in np.flatnonzero(simple).tolist():
+            text = texts[i].replace(" ", space)
+            got[i] = [t.id for t in model.tokenize(text.lower() if lower else text)]
+        rest = np.flatnonzero(~simple).tolist()
+        for k in range(0, len(rest), LEARN):
+            part = rest[k : k + LEARN]
+            for i, e in zip(part, self.tokenizer.encode_batch([texts[i] for i in part], add_special_tokens=False), strict=True):
+                got[i] = e.ids
         count = np.array([len(x) for x in got], np.int64)
         new = np.fromiter((i for x in got for i in x), np.uint16, int(count.sum()))
         while self.size + len(new) > len(self.flat):
@@ -63,8 +85,11 @@ class SegmentEncoder:
                 known = np.zeros(len(keys), bool)
             first = np.zeros(len(keys), np.int64)
             first[code[::-1]] = np.arange(len(code))[::-1]
-            raw = buf.tobytes()
-            self._learn(keys[~known], [before + raw[starts[i] : ends[i]].decode() for i in first[~known]])
+            raw, first = buf.tobytes(), first[~known]
+            other = np.concatenate([[0], np.cumsum(~_LETTER[buf])])
+            a, b = starts[first], ends[first]
+            a = a + ((buf[a] == 0x20) & (b - a > 1))
+            self._learn(keys[~known], [before + raw[starts[i] : ends[i]].decode() for i in first.tolist()], other[b] == other[a])
             spot = np.searchsorted(self.keys, keys)
         return self.rows[spot]
 
@@ -81,6 +106,7 @@ class SegmentEncoder:
             line = (buf == 0x0A) & opens & np.concatenate([[False], (buf[:-1] > 0x20) & (buf[:-1] < 0x7F)])
             cut[:n] |= line
             cut[1:] |= line
+            cut[1:n] |= _MARK[buf[1:]] & _LETTER[buf[:-1]]
             cut[offs] = True
             edges = np.flatnonzero(cut)
             starts, ends = edges[:-1], edges[1:]
