@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, mix, shingles, span_hashes, stash, text_chunks, word_spans
 from .graph import components
 
-GROUPS, CELL_BITS, CELL_ROWS, BLOOM_BITS = 128, 20, 256, 23
+GROUPS, CELL_BITS, CELL_ROWS, BLOOM_BITS = 1024, 20, 256, 23
 LEAF, FAN, PART = 32, 8, 4096
 
 
@@ -41,7 +41,15 @@ def sets_of(column: pa.Array, size: int) -> Iterator[tuple[int, list[np.ndarray]
 
 
 def _vector(u: np.ndarray) -> np.ndarray:
-    return np.minimum(np.bincount((u >> np.uint64(57)).astype(np.int64), minlength=GROUPS), 65535).astype(np.uint16)
+    """Group counts; a set of over 254 shingles in a group keeps 255 there, which stands for no bound (see _minima)."""
+    return np.minimum(np.bincount((u >> np.uint64(54)).astype(np.int64), minlength=GROUPS), 255).astype(np.uint8)
+
+
+def _minima(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Summed coordinate minima, row by row; where both counts are cut off at 255 they may be any number."""
+    low = np.minimum(a, b)
+    total = low.sum(1, dtype=np.int64)
+    return np.where((low == 255).any(1), np.int64(1) << 40, total)
 
 
 def set_id(u: np.ndarray) -> np.int64:
@@ -117,8 +125,8 @@ def _bounded(percent: int):
         for b in batches:
             if not b.num_rows:
                 continue
-            va, vb = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint16).reshape(-1, GROUPS) for k in (4, 5))
-            most = np.minimum(va, vb).sum(1, dtype=np.int64)
+            va, vb = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, GROUPS) for k in (4, 5))
+            most = _minima(va, vb)
             need = b.column(2).to_numpy() + b.column(3).to_numpy()
             keep = (100 + percent) * most >= percent * need
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep)), b.column(1).filter(pa.array(keep))], ["a", "b"])
@@ -132,7 +140,7 @@ def rtree_pairs(n: np.ndarray, vec: np.ndarray, group: np.ndarray, percent: int,
     split: 0 or 1 for each point; only pairs across the two values are wanted (None: all).
     """
     order = np.lexsort((vec.argmax(1), n, group))
-    n, vec, group = n[order], vec[order].astype(np.int32), group[order]
+    n, vec, group = n[order], vec[order], group[order]
     levels = []
     start = np.arange(0, len(n), LEAF)
     hi, lo_n, hi_n = np.maximum.reduceat(vec, start), np.minimum.reduceat(n, start), np.maximum.reduceat(n, start)
@@ -148,7 +156,7 @@ def rtree_pairs(n: np.ndarray, vec: np.ndarray, group: np.ndarray, percent: int,
         ok = ~((lo_g[a] == hi_g[b]) & (hi_g[a] == lo_g[b]))
         ok &= (100 * hi_n[a] >= percent * lo_n[b]) & (100 * hi_n[b] >= percent * lo_n[a])
         for k in np.array_split(np.flatnonzero(ok), max(1, int(ok.sum()) // 4096)):
-            ok[k] = (100 + percent) * np.minimum(hi[a[k]], hi[b[k]]).sum(1) >= percent * (lo_n[a[k]] + lo_n[b[k]])
+            ok[k] = (100 + percent) * _minima(hi[a[k]], hi[b[k]]) >= percent * (lo_n[a[k]] + lo_n[b[k]])
         return ok
 
     top = np.arange(len(levels[-1][1]))
@@ -179,13 +187,19 @@ def rtree_pairs(n: np.ndarray, vec: np.ndarray, group: np.ndarray, percent: int,
 
 
 def _search(percent: int):
+    """Candidate pairs of a block; a task gives a pair once, as long as it remembers (a million pairs)."""
+    met: set[tuple[int, int]] = set()
+
     def run(t: pa.Table) -> pa.Table:
         ids, n, group = t["set_id"].to_numpy(), t["n"].to_numpy(), t["comp"].to_numpy()
-        vec = np.frombuffer(b"".join(t["vec"].to_pylist()), np.uint16).reshape(-1, GROUPS)
+        vec = np.frombuffer(b"".join(t["vec"].to_pylist()), np.uint8).reshape(-1, GROUPS)
         c1, c2, mine = (t[k][0].as_py() if k != "chunk" else t[k].to_numpy() for k in ("c1", "c2", "chunk"))
         i, j = rtree_pairs(n, vec, group, percent, None if c1 == c2 else (mine == c1).astype(np.int8))
-        x, y = ids[i], ids[j]
-        return pa.table({"a": np.maximum(x, y), "b": np.minimum(x, y)})
+        x, y = np.maximum(ids[i], ids[j]), np.minimum(ids[i], ids[j])
+        new = np.array([p not in met and not met.add(p) for p in zip(x.tolist(), y.tolist(), strict=True)], bool)
+        if len(met) > 1_000_000:
+            met.clear()
+        return pa.table({"a": x[new], "b": y[new]})
 
     return run
 
@@ -263,11 +277,15 @@ def jaccard_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str
     shared = posts.withColumn("few", F.expr(f"min(set_id) {window} = max(set_id) {window}")).where("hot or not few")
     shared = stash(shared.select("token", "set_id", "n").distinct())
 
-    # each block's sets against the smallest set of their size band
-    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)))
-    banded = shared.withColumn("band", band)
-    pivots = banded.groupBy("token", "band").agg(F.min(F.struct("n", "set_id")).alias("p")).selectExpr("token", "band", "p.set_id as b")
-    near = banded.join(pivots, ["token", "band"]).where("set_id <> b").selectExpr("set_id a", "b").distinct()
+    # each block's sets against the set of their size band whose rare shingles are shared most, the likely middle of
+    # a family of copies; a set tries the one that it meets in most blocks and the one with the largest id (what this misses, the search below finds)
+    central = shared.groupBy("set_id").agg(F.count("*").alias("s")).join(nodes.select("set_id", "n"), "set_id").select("set_id", (F.col("s") * 1000 / (F.col("n") + 8)).cast("int").alias("middle"))
+    level = F.log(F.col("n").cast("double")) / float(np.log(100 / percent))
+    banded = shared.join(central, "set_id").withColumn("band", F.explode(F.array(F.floor(level) * 2, F.floor(level + 0.5) * 2 + 1)))
+    pivots = banded.groupBy("token", "band").agg(F.max(F.struct("middle", "set_id")).alias("p"), F.count("*").alias("m")).where("m > 1").selectExpr("token", "band", "p.set_id as b")
+    met = banded.join(pivots, ["token", "band"]).where("set_id <> b").groupBy(F.col("set_id").alias("a"), "b").agg(F.count("*").alias("times"))
+    near = met.groupBy("a").agg(F.max(F.struct("times", "b")).alias("x"), F.max(F.struct("b", "times")).alias("y"))
+    near = near.select("a", F.explode(F.array_distinct(F.array("x.b", "y.b"))).alias("b"))
     at = nodes.select("set_id", "node", "n", "vec")
 
     def resolve(pairs: DataFrame) -> DataFrame:
