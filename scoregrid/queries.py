@@ -17,6 +17,7 @@ from .operators import rank as H
 from .operators import select as C
 from .plans import views as V
 from .plans.winner import eligible_rows, window_weights, winners
+from .sources import shards as S
 
 TAIL, LEAST = 216_000, 5
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -451,3 +452,190 @@ def element_summary(spark, d):
 def nearest_event_spans(spark, d):
     e = A.closest_event(V.actions(spark, d).where("is_gt"))
     return e.withColumn("before", F.lag("frame").over(Window.partitionBy("challenge_id", "action").orderBy("frame"))).select("challenge_id", "action", "frame", "before", "from_frame", "to_frame")
+
+
+# further scalar rules over whole tables
+
+
+@query("SELECT seq, lower(trim(concat(' ', upper(element_id)))) AS label, CASE WHEN uid % 15 IN (0, 1) THEN 'white' WHEN uid = 2 THEN 'black' END AS team, CASE WHEN timed_out THEN 1.0 ELSE round(score, 6) END AS confidence, CASE WHEN score > 0 THEN challenge_id ELSE miner_hotkey END AS challenge FROM shards", "shards")
+def normalized_labels(spark, d):
+    s = V.shards(spark, d)
+    conf = X.safe_confidence(F.when(F.col("timed_out"), F.lit("bad")).otherwise(F.col("score").cast("string")), F.lit(None))
+    return s.select("seq", X.normalize_label(F.concat(F.lit(" "), F.upper("element_id"))).alias("label"), X.normalize_team(F.col("uid")).alias("team"), F.round(conf, 6).alias("confidence"), X.first_truthy(F.when(F.col("score") > 0, F.col("challenge_id")).otherwise("0"), F.lit(" "), F.col("miner_hotkey")).alias("challenge"))
+
+
+@query("SELECT ord, CASE WHEN frame < 700 THEN 'frame' WHEN confidence > 0.9 THEN 'confidence' END AS problem, round(CASE WHEN frame % 40 > 25 THEN 0 ELSE 1 - frame % 40 / 25.0 * 0.5 END, 6) AS decay FROM (SELECT ord, frame, CASE WHEN confidence > 0.9 THEN confidence + 1 ELSE confidence END AS confidence FROM ae)", "ae")
+def checked_actions(spark, d):
+    a = V.actions(spark, d).withColumn("confidence", F.when(F.col("confidence") > 0.9, F.col("confidence") + 1).otherwise(F.col("confidence")))
+    return a.select("ord", X.action_problem(F.when(F.col("frame") < 700, -1).otherwise(F.col("frame")), F.col("confidence")).alias("problem"), X.time_decay((F.col("frame") % 40).cast("double"), F.lit(25.0), F.lit(0.5)).alias("decay")).select("ord", "problem", *six("decay"))
+
+
+@query("SELECT seq, sha256(CAST(to_json({'block': block, 'challenge_id': challenge_id, 'miner_hotkey': miner_hotkey}) AS VARCHAR)) AS hash FROM shards", "shards")
+def record_hashes(spark, d):
+    return V.shards(spark, d).select("seq", X.record_hash("miner_hotkey", "block", "challenge_id").alias("hash"))
+
+
+PALETTE = {"white": (255, 255, 255), "black": (0, 0, 0), "blue": (255, 0, 0), "red": (0, 0, 255), "yellow": (0, 255, 255), "green": (0, 255, 0), "other": (128, 128, 128)}  # fixed values: blue, green, red
+
+
+@query("WITH p AS (SELECT unnest(['white','black','blue','red','yellow','green','other']) AS n, unnest([255,0,255,0,0,0,128]) AS b, unnest([255,0,0,0,255,255,128]) AS g, unnest([255,0,0,255,255,0,128]) AS r, unnest(range(7)) AS i) SELECT l.run_id, l.frame, l.det_ord, arg_min(p.n, power(l.x1 % 256 - p.b, 2) * 10 + power(l.y1 % 256 - p.g, 2) * 10 + power(l.x2 % 256 - p.r, 2) * 10 + p.i) AS colour FROM gt l, p GROUP BY ALL", "gt")
+def nearest_colours(spark, d):
+    return V.gt(spark, d).select("run_id", "frame", "det_ord", X.nearest_colour(F.col("x1") % 256, F.col("y1") % 256, F.col("x2") % 256, PALETTE).alias("colour"))
+
+
+@query("SELECT run_id, frame, det_ord, det_ord % 2 = 1 AS bowtie FROM gt", "gt")
+def bowties(spark, d):
+    g = V.gt(spark, d)
+    swap = F.col("det_ord") % 2 == 1  # the last two corners change places
+    x3, y3, x4, y4 = F.when(swap, F.col("x1")).otherwise(F.col("x2")), F.col("y2"), F.when(swap, F.col("x2")).otherwise(F.col("x1")), F.col("y2")
+    return g.select("run_id", "frame", "det_ord", X.is_bowtie(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y1"), x3, y3, x4, y4).alias("bowtie"))
+
+
+@query("SELECT run_id, count(*) AS n_frames, count(*) FILTER (n >= 3) >= 4 AS enough, count(*) >= 5 AND count(*) <= 400 AS passed FROM (SELECT run_id, frame, count(*) AS n FROM pred GROUP BY ALL) GROUP BY run_id", "pred")
+def gated_runs(spark, d):
+    f = V.pred(spark, d).groupBy("run_id", "frame").agg(F.count("*").alias("n"))
+    return f.groupBy("run_id").agg(F.count("*").alias("n_frames"), (F.count_if(F.col("n") >= 3) >= 4).alias("enough")).withColumn("passed", X.run_gate(F.lit(True), F.col("n_frames"), 5, F.lit(400)))
+
+
+_FILES = "SELECT model, revision, concat(hotkey, CASE WHEN block % 5 = 0 THEN '.pt' WHEN block % 3 = 0 THEN '.txt' ELSE '.onnx' END) AS path, block % 1000 * 1024 AS size FROM commits WHERE revision = 'r1' OR block % 5 <> 0"
+
+
+@query(f"SELECT model, revision, round(sum(size) / 1048576.0, 6) AS total_mb, count(*) FILTER (path LIKE '%.onnx') AS n_onnx, count(*) FILTER (path LIKE '%.onnx') > 0 AND count(*) FILTER (path LIKE '%.pt') = 0 AS only_onnx FROM ({_FILES}) GROUP BY ALL", "commits")
+def repository_facts(spark, d):
+    files = spark.sql(_FILES.replace("FROM commits", "FROM {commits}"), commits=V.commits(spark, d))
+    return C.repo_facts(files).select("model", "revision", *six("total_mb"), "n_onnx", "only_onnx")
+
+
+# joins, audit and snapshots
+
+
+@query("WITH m AS (SELECT run_id, frame, cls, CASE WHEN bool_or(det_ord % 2 = 0) AND bool_or(det_ord % 2 = 1) THEN 'mixed' WHEN bool_or(det_ord % 2 = 0) THEN 'polygons' ELSE 'boxes' END AS mode FROM pred GROUP BY ALL) SELECT g.run_id, g.frame, g.det_ord, coalesce(m.mode, CASE WHEN EXISTS (SELECT 1 FROM m x WHERE x.run_id = g.run_id AND x.frame = g.frame) THEN 'mixed' ELSE 'boxes' END) AS mode FROM gt g LEFT JOIN m ON g.run_id = m.run_id AND g.frame = m.frame AND g.cls = m.cls", "gt", "pred")
+def projected_truth(spark, d):
+    p = V.pred(spark, d).withColumn("has_polygon", F.col("det_ord") % 2 == 0)
+    return M.project_truth(V.gt(spark, d), p).select("run_id", "frame", "det_ord", "mode")
+
+
+_TOP = "t AS (SELECT element_id, miner_hotkey, max(commit_block) AS commit_block, row_number() OVER (PARTITION BY element_id ORDER BY avg(score) DESC, miner_hotkey) AS r FROM shards GROUP BY element_id, miner_hotkey)"
+
+
+@query(f"WITH {_TOP}, u AS (SELECT element_id, miner_hotkey, commit_block, 0 AS p, 'official' AS origin FROM t WHERE r <= 3 UNION ALL SELECT element_id, miner_hotkey, NULL, 1, 'watchlist' FROM t WHERE r BETWEEN 3 AND 6 UNION ALL SELECT element_id, miner_hotkey, commit_block, 2, 'winner' FROM t WHERE r = 1), f AS (SELECT *, row_number() OVER (PARTITION BY element_id, miner_hotkey ORDER BY p) AS k FROM u) SELECT f.element_id, f.miner_hotkey, f.commit_block, f.origin FROM f JOIN manifest USING (element_id) WHERE k = 1 AND track = 'public'", "shards", "manifest")
+def audit_targets(spark, d):
+    w = Window.partitionBy("element_id").orderBy(F.desc("a"), "miner_hotkey")
+    t = V.shards(spark, d).groupBy("element_id", "miner_hotkey").agg(F.max("commit_block").alias("commit_block"), F.avg("score").alias("a")).withColumn("r", F.row_number().over(w))
+    watch = t.where("r between 3 and 6").withColumn("commit_block", F.lit(None).cast("bigint"))
+    return D.targets_from_winners(t.where("r <= 3"), watch, t.where("r = 1"), V.manifest(spark, d).where("track = 'public'"))
+
+
+@query("WITH n AS (SELECT hotkey, max_by(model, block) AS rm, max_by(revision, block) AS rr FROM commits WHERE role = 'miner' AND hotkey <> 'hk005' GROUP BY 1) SELECT c.hotkey, c.block, CASE WHEN rm IS NULL THEN 'not_in_registry' WHEN rm <> c.model THEN 'model_changed' WHEN rr <> c.revision THEN 'revision_changed' END AS reason FROM commits c LEFT JOIN n USING (hotkey)", "commits")
+def spotcheck_reasons(spark, d):
+    c = V.commits(spark, d)
+    now = c.where("role = 'miner' and hotkey <> 'hk005'").groupBy("hotkey").agg(F.max_by("model", "block").alias("model"), F.max_by("revision", "block").alias("revision"))
+    return D.spotcheck_eligibility(c, now).select("hotkey", "block", "reason")
+
+
+@query("SELECT seq FROM shards WHERE lane = 'public' AND miner_hotkey IN (SELECT miner_hotkey FROM shards WHERE score > 0.95) ORDER BY block, seq LIMIT 20", "shards")
+def oldest_pending_checks(spark, d):
+    s = V.shards(spark, d).select(F.col("miner_hotkey").alias("hotkey"), F.col("lane").alias("scoring_version"), F.col("block").alias("created"), F.col("seq").alias("check_id"), "score")
+    return D.pending_checks(s, s.where("score > 0.95"), "public", 20).select(F.col("check_id").alias("seq"))
+
+
+@query("WITH a AS (SELECT challenge_id, count(*) FILTER (NOT is_gt) AS n_response, count(*) FILTER (is_gt) AS n_truth FROM ae GROUP BY 1) SELECT *, n_response > 0 AND n_truth > 0 AS complete, (SELECT bool_and(n_response > 0 AND n_truth > 0) FROM a) AS exportable FROM a", "ae")
+def paired_audit(spark, d):
+    a = V.actions(spark, d)
+    return D.audit_pairing(a.where("not is_gt"), a.where("is_gt"))
+
+
+@query("WITH o AS (SELECT miner_hotkey AS hotkey, element_id, commit_block, min(block) AS first_seen, max(block) AS last_seen FROM shards WHERE seq % 2 = 0 GROUP BY ALL), n AS (SELECT miner_hotkey AS hotkey, element_id, commit_block, max(block) AS ns, CASE WHEN avg(latency_ms) < 100 THEN 'PASS' ELSE 'FAIL_RUNTIME' END AS nt FROM shards WHERE seq % 3 = 0 GROUP BY ALL), b AS (SELECT *, first_seen IS NULL AS fresh FROM o FULL JOIN n USING (hotkey, element_id, commit_block)) SELECT hotkey, element_id, commit_block, coalesce(first_seen, ns) AS first_seen, coalesce(ns, last_seen) AS last_seen, coalesce(nt, 'FAIL_LATENCY') AS status FROM b WHERE nt IS NULL OR nt <> 'PASS'", "shards")
+def merged_failures(spark, d):
+    s = V.shards(spark, d).withColumnRenamed("miner_hotkey", "hotkey")
+    old = s.where("seq % 2 = 0").groupBy("hotkey", "element_id", "commit_block").agg(F.min("block").alias("first_seen"), F.max("block").alias("last_seen"), F.lit("FAIL_LATENCY").alias("status"))
+    new = s.where("seq % 3 = 0").groupBy("hotkey", "element_id", "commit_block").agg(F.max("block").alias("seen"), F.when(F.avg("latency_ms") < 100, "PASS").otherwise("FAIL_RUNTIME").alias("status"))
+    return D.merge_failed_tuples(old, new)
+
+
+@query("WITH r AS (SELECT miner_hotkey AS hotkey, element_id, commit_block, seq, CASE WHEN timed_out THEN 'latency' WHEN seq % 5 = 0 THEN 'drift' ELSE 'ok' END AS o FROM shards), x AS (SELECT *, sum(CASE WHEN o = 'drift' THEN 1 ELSE 0 END) OVER w AS dr FROM r WINDOW w AS (PARTITION BY hotkey, element_id, commit_block ORDER BY seq ROWS UNBOUNDED PRECEDING)), y AS (SELECT *, CASE WHEN o = 'drift' AND dr > 2 THEN 'output' ELSE o END AS q FROM x), z AS (SELECT *, sum(CASE WHEN q <> 'output' THEN 1 ELSE 0 END) OVER (PARTITION BY hotkey, element_id, commit_block ORDER BY seq ROWS UNBOUNDED PRECEDING) AS a FROM y), u AS (SELECT * FROM z WHERE a < 5 OR (a = 5 AND q <> 'output')) SELECT hotkey, element_id, commit_block, CASE WHEN count(*) FILTER (q = 'output') > 0 THEN 'FAIL_OUTPUT' WHEN count(*) FILTER (q = 'latency') >= 3 THEN 'FAIL_LATENCY' WHEN count(*) FILTER (q = 'latency') > 0 THEN 'PENDING_LATENCY' ELSE 'PASS' END AS status, count(*) AS n_used FROM u GROUP BY ALL", "shards")
+def target_statuses(spark, d):
+    s = V.shards(spark, d).withColumnsRenamed({"miner_hotkey": "hotkey", "seq": "ord"})
+    return D.target_status(s.withColumn("outcome", F.when(F.col("timed_out"), "latency").when(F.col("ord") % 5 == 0, "drift").otherwise("ok")))
+
+
+@query("WITH m AS (SELECT element_id, uid, miner_hotkey, count(*) AS n, avg(score) AS a FROM shards GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY element_id ORDER BY a DESC, n DESC, uid) AS k FROM m WHERE a > 1e-12) SELECT element_id, max(uid) FILTER (k = 1) AS winner_uid, string_agg(uid, ',' ORDER BY k) FILTER (k <= 3) AS official, string_agg(uid, ',' ORDER BY k) FILTER (k BETWEEN 4 AND 6) AS watchlist FROM r GROUP BY 1", "shards")
+def winners_snapshot(spark, d):
+    means = G.mean_by_miner(V.shards(spark, d))
+    top = H.top_rows(means, 6)
+    s = H.snapshot(top.where("rank <= 3"), top.where("rank > 3"), top.where("rank = 1"))
+    names = lambda c: F.array_join(F.transform(c, lambda r: r["uid"].cast("string")), ",")
+    return s.select("element_id", "winner_uid", names(F.col("official")).alias("official"), names(F.col("watchlist")).alias("watchlist"))
+
+
+@query("SELECT element_id, miner_hotkey, n FROM (SELECT element_id, miner_hotkey, max(commit_block) AS commit_block, count(*) AS n, avg(score) AS a FROM (SELECT * REPLACE (CASE WHEN uid = 4 THEN 0 ELSE score END AS score) FROM shards) GROUP BY ALL) WHERE n > 5 AND a <= 1e-12", "shards")
+def inactive_list(spark, d):
+    s = V.shards(spark, d).withColumn("score", F.when(F.col("uid") == 4, 0.0).otherwise(F.col("score")))
+    m = s.groupBy("element_id", "miner_hotkey").agg(F.count("*").alias("n"), F.avg("score").alias("avg_score"), F.max("commit_block").alias("commit_block"))
+    return G.inactive_miners(m, 5).select("element_id", "miner_hotkey", "n")
+
+
+@query("WITH m AS (SELECT element_id, uid, avg(score) AS a, avg(latency_ms) / 220 AS l FROM shards GROUP BY ALL) SELECT element_id, uid, round(CASE WHEN a > 0.3 THEN weight * 0.8 ELSE 0 END, 6) AS pay, round(weight - CASE WHEN a > 0.3 THEN weight * 0.8 ELSE 0 END, 6) AS burnt, round(0.35 * a + 0.35 * l + 0.2 * a + 0.1 * l, 6) AS trusted, round(least(greatest(1 + a / 10, 1.0), 1.03), 6) AS bonus, round(least(1.0, a / l), 6) AS filled FROM m JOIN manifest USING (element_id)", "shards", "manifest")
+def economics(spark, d):
+    m = V.shards(spark, d).groupBy("element_id", "uid").agg(F.avg("score").alias("a"), (F.avg("latency_ms") / 220).alias("l")).join(V.manifest(spark, d), "element_id")
+    a, lat = F.col("a"), F.col("l")
+    pay, burnt = H.emission_split(F.col("weight"), F.when(a > 0.3, a).otherwise(0.0), 0.8)
+    return m.select("element_id", "uid", pay.alias("pay"), burnt.alias("burnt"), H.trusted_composite(a, lat, a, lat).alias("trusted"), H.discovery_multiplier(1 + a / 10).alias("bonus"), H.fill_ratio(a, lat).alias("filled")).select("element_id", "uid", *six("pay", "burnt", "trusted", "bonus", "filled"))
+
+
+@query("SELECT trim(event_type) AS pillar, round(sum(value - 50) / sum(sum(value - 50)) OVER (), 6) AS weight FROM events WHERE value > 50 GROUP BY 1")
+def pillar_weights(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").select(F.concat(F.lit(" "), F.col("event_type")).alias("pillar"), (F.col("value") - 50).alias("weight"))
+    return A.normalize_pillar_weights(e).select("pillar", *six("weight"))
+
+
+# sources, from JSON that Spark derives from the tables
+
+
+@query("SELECT run_id, frame, cls AS label, count(*) AS n, round(sum(score), 6) AS score, sum(x1) AS x1, sum(y2) AS y2 FROM pred GROUP BY ALL", "pred")
+def flattened_predictions(spark, d):
+    objects = ["A", "N", "R"]
+    cls = F.array_position(F.array(*[F.lit(o) for o in objects]), F.col("cls")).cast("int") - 1
+    p = V.pred(spark, d).withColumn("b", F.struct("x1", "y1", "x2", "y2", cls.alias("cls_id"), F.col("score").alias("conf")))
+    frames = p.groupBy("run_id", "frame").agg(F.collect_list("b").alias("boxes")).groupBy("run_id").agg(F.to_json(F.collect_list(F.struct(F.col("frame").alias("frame_id"), "boxes"))).alias("frames"))
+    out = S.flatten_predictions(frames, objects)
+    return out.groupBy("run_id", "frame", "label").agg(F.count("*").alias("n"), F.round(F.sum("score"), 6).alias("score"), F.sum("x1").alias("x1"), F.sum("y2").alias("y2"))
+
+
+@query("SELECT run_id AS challenge_id, frame, count(*) AS n, sum(x2 - x1) AS wide FROM gt GROUP BY ALL", "gt")
+def flattened_truth(spark, d):
+    a = F.struct(F.col("frame").cast("string").alias("frame_idx"), F.array("x1", "y1", "x2", "y2").alias("bbox"), F.col("cls").alias("label"))
+    t = V.gt(spark, d).groupBy(F.col("run_id").alias("challenge_id")).agg(F.to_json(F.struct(F.collect_list(a).alias("annotations"))).alias("truth"))
+    out = S.flatten_ground_truth(t)
+    return out.select("challenge_id", "frame", F.size("boxes").cast("bigint").alias("n"), F.aggregate("boxes", F.lit(0).cast("bigint"), lambda s, b: s + b["x2"] - b["x1"]).alias("wide"))
+
+
+@query("SELECT hotkey, block, role, element_id, model, revision FROM commits WHERE block % 7 <> 0", "commits")
+def decoded_commitments(spark, d):
+    payload = F.when(F.col("block") % 7 == 0, "{broken").otherwise(F.to_json(F.struct("role", "element_id", "model", "revision")))
+    return S.read_commitments(V.commits(spark, d).select("hotkey", "block", payload.alias("payload"))).select("hotkey", "block", "role", "element_id", "model", "revision")
+
+
+@query("SELECT lane, element_id, block, score, latency_ms AS p95, true AS latency_pass, concat('https://host/', object_key) AS url FROM keys", "keys")
+def shard_rows(spark, d):
+    k = V.keys(spark, d).withColumns({"window_id": X.window_id("block", 300)})
+    out = S.shard_payload(k.withColumn("miner_hotkey", F.col("object_key")))
+    return out.select("lane", "element_id", F.col("payload.block").alias("block"), F.col("payload.score").alias("score"), F.col("payload.p95_latency_ms").alias("p95"), F.col("payload.latency_pass").alias("latency_pass"), X.resolve_key(F.lit("https://host/x/index.json"), F.col("hotkey")).alias("url"))
+
+
+@query("SELECT element_id, miner_hotkey, CASE WHEN lane = 'private' THEN challenge_id END AS challenge_id, count(*) AS n FROM shards WHERE NOT timed_out GROUP BY ALL", "shards")
+def published_rows(spark, d):
+    s = V.shards(spark, d).where(X.is_weight_eligible(F.col("timed_out")))
+    return S.public_projection(s, ["element_id", "miner_hotkey"], ["challenge_id"], F.col("lane") == "private").groupBy("element_id", "miner_hotkey", "challenge_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT miner_hotkey AS hotkey, element_id, commit_block FROM shards WHERE score = 0 OR timed_out GROUP BY ALL", "shards")
+def inactive_union(spark, d):
+    s = V.shards(spark, d).withColumnRenamed("miner_hotkey", "hotkey")
+    return S.upsert_inactive(s.where("score = 0"), s.where("timed_out"))
+
+
+@query("SELECT element_id, max(block) AS block, max_by(uid, block * 1000000 + seq) AS uid FROM shards GROUP BY element_id HAVING max(block) = (SELECT max(block) FROM shards)", "shards")
+def newest_snapshot(spark, d):
+    s = V.shards(spark, d).groupBy("element_id").agg(F.max("block").alias("block"), F.max_by("uid", F.struct("block", "seq")).alias("uid"))
+    return S.latest_snapshot(s.select("block", "element_id", "uid")).select("element_id", "block", "uid")
