@@ -234,7 +234,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 
 def substrings_of_all(docs: DataFrame) -> DataFrame:
-    """doc_id, n_removed (spans), removed_chars, kept_chars, removed and repeats_of (doc_ids) for every document."""
-    out = remove_repeats(docs.select("doc_id", "text"))
+    """doc_id, n_removed (spans), removed_chars, kept_chars, removed and repeats_of (doc_ids) of every document that loses a passage; the document that keeps it is named in repeats_of."""
+    out = remove_repeats(docs.select("doc_id", "text")).where(F.size("removed") > 0)
     chars = F.aggregate("removed", F.lit(0).cast("bigint"), lambda a, s: a + s["stop"] - s["start"])
-    return out.select("doc_id", F.size("removed").cast("bigint").alias("n_removed"), chars.alias("removed_chars"), F.coalesce(F.char_length("kept_text"), F.lit(0)).cast("bigint").alias("kept_chars"), "removed", "repeats_of")
+    return out.select("doc_id", F.size("removed").cast("bigint").alias("n_removed"), chars.alias("removed_chars"), F.char_length("kept_text").cast("bigint").alias("kept_chars"), "removed", "repeats_of")
