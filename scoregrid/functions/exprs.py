@@ -296,3 +296,10 @@ def run_gate(success: Column, frames: Column, least_frames: int, expected: Colum
 
 def is_weight_eligible(timed_out: Column) -> Column:
     return ~F.coalesce(timed_out, F.lit(False))
+
+
+def truth_type(explicit: Column, prediction: Column) -> Column:
+    """The given type, else by the keys of a prediction's JSON text: card grades, cricket fields or timed actions."""
+    has = lambda k: F.coalesce(prediction.contains(f'"{k}"'), F.lit(False))
+    guess = F.when(has("card_grade") | has("subgrade_edges"), "card").when(has("kph") | has("bounce_x"), "cricket").when(has("action"), "actions")
+    return F.coalesce(F.nullif(F.trim(explicit), F.lit("")), guess)

@@ -140,3 +140,11 @@ def band_join(gt: DataFrame, pred: DataFrame, tolerance: int, key: str = "challe
     g = gt.select(key, "action", F.col("ord").alias("gt_ord"), F.col("frame").alias("gt_frame")).withColumn("b", F.explode(F.array(*[F.floor(F.col("gt_frame") / width) + k for k in (-1, 0, 1)])))
     p = pred.select(key, "action", F.col("ord").alias("pred_ord"), F.col("frame").alias("pred_frame"), "confidence").withColumn("b", F.floor(F.col("pred_frame") / width))
     return g.join(p, [key, "action", "b"]).where(F.abs(F.col("gt_frame") - F.col("pred_frame")) <= tolerance).drop("b")
+
+
+def dispatch(rows: DataFrame, scorers: dict[str, Callable[[DataFrame], DataFrame]], kind: str = "truth_type") -> DataFrame:
+    """Rows of each type through its scorer, which gives (id, score); rows of other types score 0. Needs the column id."""
+    out = rows.where(~F.coalesce(F.col(kind).isin(list(scorers)), F.lit(False))).select("id", F.lit(0.0).alias("score"))
+    for name, fn in scorers.items():
+        out = out.unionByName(fn(rows.where(F.col(kind) == name)).select("id", "score"))
+    return out

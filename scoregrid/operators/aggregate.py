@@ -69,3 +69,9 @@ def mad_prune(df: DataFrame, keys: tuple[str, ...], value: str = "score", weight
     mad = dev.groupBy(*keys).agg(F.median("_d").alias("_mad"))
     kept = dev.join(mad, list(keys)).where(F.col("_d") <= k * F.col("_mad"))
     return kept.groupBy(*keys).agg((F.sum(F.col(value) * F.col(weight)) / F.sum(weight)).alias("mean"), F.count("*").alias("n_kept"))
+
+
+def element_window_summary(df: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(window_id, element_id, n_clips, n_miners, theta, beta): needs window_id."""
+    n = df.groupBy("window_id", "element_id").agg(F.count_distinct("challenge_id").alias("n_clips"), F.count_distinct("miner_hotkey").alias("n_miners"))
+    return n.join(F.broadcast(manifest.select("element_id", "theta", "beta")), "element_id").select("window_id", "element_id", "n_clips", "n_miners", "theta", "beta")

@@ -93,3 +93,11 @@ def compact_index(keys: DataFrame, archive: DataFrame, days: int) -> DataFrame:
 
 def index_add(index: DataFrame, new: DataFrame) -> DataFrame:
     return index.select("key").union(new.select("key")).distinct().orderBy("key")
+
+
+def rescored(published: DataFrame, again: DataFrame, key: str, threshold: float = 0.95) -> DataFrame:
+    """(key, central_score, audit_score, match, passed): published scores against recomputed ones; a missing one is 0."""
+    from ..functions.exprs import match_percentage
+
+    both = published.select(key, F.col("score").alias("central_score")).join(again.select(key, F.col("score").alias("audit_score")), key, "left").na.fill(0.0, ["audit_score"])
+    return both.withColumn("match", match_percentage(F.col("central_score"), F.col("audit_score"))).withColumn("passed", F.col("match") >= threshold)

@@ -639,3 +639,26 @@ def inactive_union(spark, d):
 def newest_snapshot(spark, d):
     s = V.shards(spark, d).groupBy("element_id").agg(F.max("block").alias("block"), F.max_by("uid", F.struct("block", "seq")).alias("uid"))
     return S.latest_snapshot(s.select("block", "element_id", "uid")).select("element_id", "block", "uid")
+
+
+@query("SELECT concat('block-', CAST(block // 7200 * 7200 AS VARCHAR)) AS window_id, element_id, count(DISTINCT challenge_id) AS n_clips, count(DISTINCT miner_hotkey) AS n_miners, theta, beta FROM shards JOIN manifest USING (element_id) GROUP BY ALL", "shards", "manifest")
+def elements_by_window(spark, d):
+    return G.element_window_summary(V.shards(spark, d).withColumn("window_id", X.window_id("block", 7200)), V.manifest(spark, d))
+
+
+_BOTH = f"0.04 * ({_NUM.format(p='kph_pred', a='kph_gt', t='3.0')}) + 0.23 * ({_NUM.format(p='bounce_x_pred', a='bounce_x_gt', t='0.25')})"
+_CARD = "0.15 * CASE WHEN abs(card_grade_pred - card_grade_gt) >= 2 THEN 0 ELSE 1 - abs(card_grade_pred - card_grade_gt) / 2.0 END"
+
+
+@query(f"SELECT pair_id AS id, round(CASE pair_id % 3 WHEN 0 THEN {_BOTH} WHEN 1 THEN {_CARD} ELSE 0 END, 6) AS score FROM fields", "fields")
+def scores_by_truth_type(spark, d):
+    t = X.truth_type(F.lit(None).cast("string"), F.element_at(F.array(F.lit('{"kph": 1}'), F.lit('{"card_grade": 1}'), F.lit("{}")), (F.col("pair_id") % 3).cast("int") + 1))
+    rows = V.fields(spark, d).withColumnRenamed("pair_id", "id").withColumn("pair_id", F.col("id")).withColumn("truth_type", t)
+    return A.dispatch(rows, {"cricket": A.cricket_score, "card": A.card_score}).select("id", *six("score"))
+
+
+@query(f"WITH s AS (SELECT pair_id, {_BOTH} AS a, ({_BOTH}) * CASE WHEN pair_id % 4 = 0 THEN 0.5 ELSE 0.99 END AS c FROM fields) SELECT pair_id, round(CASE WHEN a = 0 AND c = 0 THEN 1 WHEN a = 0 OR c = 0 THEN 0 ELSE 1 - abs(a - c) / greatest(a, c) END, 6) AS match, CASE WHEN a = 0 AND c = 0 THEN true WHEN a = 0 OR c = 0 THEN false ELSE 1 - abs(a - c) / greatest(a, c) >= 0.95 END AS passed FROM s", "fields")
+def rescored_fields(spark, d):
+    again = A.cricket_score(V.fields(spark, d)).select("pair_id", "score")
+    published = again.withColumn("score", F.col("score") * F.when(F.col("pair_id") % 4 == 0, 0.5).otherwise(0.99))
+    return D.rescored(published, again, "pair_id").select("pair_id", *six("match"), "passed")
