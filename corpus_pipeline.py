@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoregrid.llm.common import stash
+from scoregrid.llm.common import small_batches, stash
 from scoregrid.llm.language import fit, predict
 from scoregrid.llm.mixing import mix_sources
 from scoregrid.llm.ngram_join import jaccard_classes
@@ -22,6 +22,7 @@ LEAST_KNOWN = 0.3  # part of a text's 4-grams that its language must contain
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter and texts in none of the labelled languages; fills a missing lang."""
+    small_batches(spark)
     told = predict(docs.select(*COLUMNS), fit(docs))
     kept = told.where((F.col("lang_pred") != "und") & (F.col("known") >= LEAST_KNOWN))
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
@@ -29,12 +30,14 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents that links join, the one with the smallest doc_id stays."""
+    small_batches(spark)
     gone = jaccard_classes(docs).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes passages that repeat one of an earlier document; a document of which nothing is left goes."""
+    small_batches(spark)
     out = remove_repeats(docs.select(*COLUMNS))
     changed = F.size("removed") > 0
     out = out.where(~changed | (F.trim(F.regexp_replace("kept_text", r"\s+", " ")) != ""))
@@ -43,11 +46,13 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sample whose tokens meet the target shares of sources, languages and topics."""
+    small_batches(spark)
     return mix_sources(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 4,096 tokens."""
+    small_batches(spark)
     return pack(docs)
 
 

@@ -32,6 +32,12 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Arrow batches of 2,000 rows, so that whole texts of several kilobytes stay a few megabytes in each worker; called by the queries, not by the operators."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    return spark
+
+
 def stash(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark, path = df.sparkSession, scratch(df.sparkSession)

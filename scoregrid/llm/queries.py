@@ -7,6 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import small_batches
 from .fingerprint import fingerprints
 from .language import language_of_all
 from .lm_scoring import lm_of_all
@@ -20,7 +21,7 @@ from .token_files import token_digest
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return small_batches(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def op1_attention_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

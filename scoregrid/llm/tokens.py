@@ -16,7 +16,7 @@ import pyarrow as pa
 
 from .common import span_hashes, text_chunks
 
-KEEP = 3_000_000
+KEEP = 1_000_000
 LEARN = 8192  # segments that the library encodes at once
 _LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)  # a cut between an ASCII letter and a mark
 _LETTER[65:91] = _LETTER[97:123] = True
@@ -46,9 +46,9 @@ class SegmentEncoder:
         return [t.id for t in self.tokenizer.model.tokenize(text.lower() if self.lower else text)]
 
     def forget(self) -> None:
-        self.keys, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted hashes, entry of each
+        self.keys, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # sorted hashes, entry of each
         self.flat, self.size = np.zeros(1 << 16, np.uint16), 0
-        self.at, self.len = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.at, self.len = np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def _learn(self, keys: np.ndarray, texts: list[str], letters: np.ndarray) -> None:
         got: list[list[int]] = [[]] * len(texts)
@@ -68,10 +68,10 @@ class SegmentEncoder:
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.size : self.size + len(new)] = new
         first = len(self.at)
-        self.at = np.concatenate([self.at, self.size + np.concatenate([[0], np.cumsum(count)[:-1]]).astype(np.int64)])
-        self.len = np.concatenate([self.len, count])
+        self.at = np.concatenate([self.at, (self.size + np.cumsum(count) - count).astype(np.int32)])
+        self.len = np.concatenate([self.len, count.astype(np.int32)])
         self.size += len(new)
-        keys, rows = np.concatenate([self.keys, keys]), np.concatenate([self.rows, np.arange(first, len(self.at))])
+        keys, rows = np.concatenate([self.keys, keys]), np.concatenate([self.rows, np.arange(first, len(self.at), dtype=np.int32)])
         order = np.argsort(keys, kind="stable")
         self.keys, self.rows = keys[order], rows[order]
 
@@ -113,7 +113,7 @@ class SegmentEncoder:
             h = span_hashes(buf, starts, ends)
             code, keys = pd.factorize(h)
             entry = self.entries(keys, code, buf, starts, ends)[code]
-            length = self.len[entry]
+            length = self.len[entry].astype(np.int64)
             total = np.concatenate([[0], np.cumsum(length)])
             ids = self.flat[np.repeat(self.at[entry] - total[:-1], length) + np.arange(total[-1])]
             yield row, ids, total[np.searchsorted(starts, offs)]
