@@ -45,7 +45,10 @@ class SegmentEncoder:
         text = text.replace(" ", self.space)
         return [t.id for t in self.tokenizer.model.tokenize(text.lower() if self.lower else text)]
 
+    turn = 0  # counts how often it has forgotten
+
     def forget(self) -> None:
+        self.turn += 1
         self.keys, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # sorted hashes, entry of each
         self.flat, self.size = np.zeros(1 << 16, np.uint16), 0
         self.at, self.len = np.zeros(0, np.int32), np.zeros(0, np.int32)
