@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK = 2 << 20  # bytes of text handled by one round of numpy work
+CHUNK = 1 << 20  # bytes of text handled by one round of numpy work
 
 IS_WORD = np.ones(256, bool)
 IS_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
@@ -42,7 +43,17 @@ def stash(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark, path = df.sparkSession, scratch(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.stash_path = path
+    return back
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete written tables that nothing reads any more (all that came of them has been written too)."""
+    for df in frames:
+        spark, path = df.sparkSession, df.stash_path
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -60,11 +71,22 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return b[o[0] : o[-1]], o - o[0]
 
 
+def give_back() -> None:
+    """Ask the C library to return freed memory to the system; workers live longer than their tasks."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def text_chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of runs of rows that hold about `limit` bytes; a longer text is a run of its own."""
     buf, offs = text_bytes(column)
-    i, n = 0, len(offs) - 1
+    i, n, turn = 0, len(offs) - 1, 0
     while i < n:
+        turn += 1
+        if turn % 8 == 0:
+            give_back()
         j = max(i + 1, int(np.searchsorted(offs, offs[i] + limit, "right")) - 1)
         yield i, buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
         i = j

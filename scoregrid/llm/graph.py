@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import discard, stash
 
 BATCH = 500_000
 
@@ -69,7 +69,8 @@ def components(links: DataFrame) -> DataFrame:
         if state["n"] == 0 or (state["n"], state["x"]) == last:
             break
         if state["n"] < BATCH:
-            e = stash(e.coalesce(1).mapInArrow(_forest, schema))
+            old, e = e, stash(e.coalesce(1).mapInArrow(_forest, schema))
+            discard(old)
             break
         last = (state["n"], state["x"])
         both = e.union(e.selectExpr("b a", "a b"))
@@ -78,5 +79,8 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.selectExpr("b a", "m b").union(least.selectExpr("a", "m b")).where("a <> b").selectExpr("greatest(a, b) a", "least(a, b) b").distinct()
-        e = stash(small.mapInArrow(_forest, schema).distinct())
-    return e.selectExpr("a node", "b component").union(e.select("b").distinct().selectExpr("b node", "b component"))
+        old, e = e, stash(small.mapInArrow(_forest, schema).distinct())
+        discard(old)
+    out = stash(e.selectExpr("a node", "b component").union(e.select("b").distinct().selectExpr("b node", "b component")))
+    discard(e)
+    return out

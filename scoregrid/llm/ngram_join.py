@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, mix, shingles, span_hashes, stash, text_chunks, word_spans
+from .common import LOWER, discard, mix, shingles, span_hashes, stash, text_chunks, word_spans
 from .graph import components
 
 GROUPS, CELL_BITS, CELL_ROWS, BLOOM_BITS = 1024, 20, 256, 23
@@ -248,7 +248,9 @@ def _verify(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataF
     pairs = stash(pairs)
     sets = _needed_sets(docs, pairs.selectExpr("a node").union(pairs.selectExpr("b node")).distinct(), size)
     both = pairs.join(sets.selectExpr("node a", "shingles sa"), "a").join(sets.selectExpr("node b", "shingles sb"), "b")
-    return stash(both.select("a", "b", "sa", "sb").mapInArrow(_verified(percent), "a bigint, b bigint"))
+    links = stash(both.select("a", "b", "sa", "sb").mapInArrow(_verified(percent), "a bigint, b bigint"))
+    discard(pairs, sets)
+    return links
 
 
 def jaccard_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
@@ -293,7 +295,7 @@ def jaccard_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str
         return two.where(f"100 * least(ca, cb) >= {percent} * greatest(ca, cb)").selectExpr("na", "nb", "ca", "cb", "va", "vb").mapInArrow(_bounded(percent), "a bigint, b bigint")
 
     first = _verify(docs, resolve(near), size, percent)
-    comp = stash(components(first))
+    comp = components(first)
 
     # what is left: pairs of a block that are not together yet
     tagged = shared.join(nodes.selectExpr("set_id", "node"), "set_id").join(comp, "node", "left").selectExpr("token", "set_id", "coalesce(component, node) comp")
@@ -306,6 +308,9 @@ def jaccard_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str
     second = _verify(docs, left, size, percent)
 
     final = components(first.union(second))
+    discard(shared, comp, first, second)
     named = nodes.select("set_id", "node").join(final, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
     out = rows.select("id", "n", "set_id").join(named, "set_id", "left")
-    return out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.expr("if(n = 0 or id is null, id, component)").alias("component_id"))
+    out = stash(out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.expr("if(n = 0 or id is null, id, component)").alias("component_id")))
+    discard(points, nodes, final)
+    return out

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, mix, shingles, span_hashes, stash, text_chunks, word_spans
+from .common import LOWER, discard, mix, shingles, span_hashes, stash, text_chunks, word_spans
 from .graph import components, union_find
 
 SIZE, RUN_WORDS, PART, BLOOM_BITS = 5, 25, 2000, 23
@@ -170,7 +170,9 @@ def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
 
     occurs = shared.select("unit", "id").distinct().join(named.selectExpr("node unit", "component"), "unit", "left").withColumn("class", F.coalesce("component", "unit"))
     first = occurs.groupBy("class").agg(F.min("id").alias("first_id"))
-    return occurs.join(first, "class").where("id <> first_id").select("id", "unit", "first_id")
+    out = stash(occurs.join(first, "class").where("id <> first_id").select("id", "unit", "first_id"))
+    discard(shared, members, links, named)
+    return out
 
 
 def _remove(at_id: int, at_text: int, run_words: int):
