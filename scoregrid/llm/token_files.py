@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_bounds, id_range, parts_for, scratch
-from .tokens import encoder, vocabulary_path
+from .common import give_back, id_bounds, id_range, parts_for, scratch
+from .tokens import encoder, release, vocabulary_path
 
-BLOCK, RANK = 1 << 19, 512
+BLOCK, RANK = 1 << 17, 512
 BLOCKS = "part int, block int, start bigint, doc_ids array<bigint>, lengths array<bigint>, codes binary"
 
 
@@ -140,6 +140,8 @@ def read_ids(spark, path: str, digest: bool = False) -> DataFrame:
         total += r["n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()  # reading needs no encoder
+        give_back()
         for b in batches:
             for part, start, docs, lengths, codes in zip(*(b.column(k) for k in (0, 2, 3, 4, 5)), strict=True):
                 ids, n = DirectCodes.from_bytes(codes.as_py()).all().astype("<u4", copy=False), lengths.values.to_numpy()

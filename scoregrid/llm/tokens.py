@@ -132,6 +132,11 @@ def encoder(vocabulary: str) -> SegmentEncoder:
     return _ENCODERS[vocabulary]
 
 
+def release() -> None:
+    """Forget the worker's encoders."""
+    _ENCODERS.clear()
+
+
 def vocabulary_path(name: str) -> str:
     import public_tokenizers
 
