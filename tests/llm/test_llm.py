@@ -244,6 +244,30 @@ def test_lm_scores(spark, docs, none):
     assert lm_scoring.lm_of_all(none).count() == 0
 
 
+def test_class_pairs_of_all_training_texts_count(spark):
+    """Two tables differ only in the word order of the texts outside the attention sample; the held-out text scores higher after those of its order."""
+    rng = np.random.default_rng(12)
+    ids = spark.range(2000).selectExpr("id", "xxhash64(id, 9) x").orderBy("x", "id").toPandas()["id"].tolist()
+    sample = [(i, " ".join(rng.permutation(["left", "right"] * 8)), False) for i in ids[:1650]]
+    held = [(5000, "left right " * 20, True)]
+    got = []
+    for order in ("left right left right ", "left left right right "):
+        table = spark.createDataFrame(sample + [(i, order * 20, False) for i in ids[1650:]] + held, "doc_id long, text string, held boolean")
+        got.append(lm_scoring.score_texts(table, F.col("held")).where("held_out").first())
+    assert got[0]["score"] > got[1]["score"] and got[0]["base_score"] == got[1]["base_score"]
+
+
+def test_class_pair_counts_and_shares():
+    model = lm_scoring.train([["ab", "ac", "ad", None]], tokens.vocabulary_path("byte_bpe_50k.json"))
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 1, 0], pa.int32()), pa.array([False, False, True]), pa.array(["ab ac ab", "ac", "ad ad"])], ["chunk", "held", "text"])
+    got = pa.Table.from_batches(list(lm_scoring._counted(model, [batch]))).to_pylist()
+    c = {w: int(model.classes(lm_scoring.span_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([2])), np.array([97]), np.array([ord(w[1])]))[0]) for w in ("ab", "ac")}
+    e, n = lm_scoring.EDGE, lm_scoring.CLASSES
+    want = Counter([(e, c["ab"]), (c["ab"], c["ac"]), (c["ac"], c["ab"]), (c["ab"], e), (e, c["ac"]), (c["ac"], e)])
+    assert {(r["h"] // n, r["h"] % n): r["n"] for r in got if r["cls"] < 0} == want
+    assert np.allclose(lm_scoring.pair_shares(np.random.default_rng(1).integers(0, 3, (n, n))).sum(1), 1)
+
+
 def test_windows_give_the_same_as_whole_contexts():
     rng = np.random.default_rng(6)
     model = lm_scoring.train([["ab", "ac", "ad", None]], tokens.vocabulary_path("byte_bpe_50k.json"))
