@@ -26,9 +26,11 @@ _POW: dict[str, np.ndarray] = {"n": np.zeros(0, np.uint64), "i": np.zeros(0, np.
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder name under spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """A new folder name under spark.checkpoint.dir. Where that is unset a local session gets a folder of its own (one machine reads it all), and a cluster gets an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="scoregrid-")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 

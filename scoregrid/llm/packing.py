@@ -153,7 +153,7 @@ def _pieces(vocabulary: str, end_id: int, size: int):
             for row, ids, at in encode(b.column(1)):
                 doc, piece, start, length, crc = [], [], [], [], []
                 for i in range(len(at) - 1):
-                    own = np.append(ids[at[i] : at[i + 1]], np.uint16(end_id)).astype("<u4")
+                    own = np.append(ids[at[i] : at[i + 1]].astype("<u4"), np.uint32(end_id)).astype("<u4", copy=False)
                     for k in range(0, len(own), size):
                         part = own[k : k + size]
                         doc.append(names[row + i])

@@ -62,7 +62,7 @@ class DirectCodes:
             if i < k - 1:
                 bits.append(np.frombuffer(raw, np.uint8, -(-n // 8), at))
                 at += -(-n // 8)
-                ranks.append(np.frombuffer(raw[at : at + 4 * -(-n // RANK)], np.uint32))
+                ranks.append(np.frombuffer(raw, np.uint8, 4 * -(-n // RANK), at).view(np.uint32))
                 at += 4 * -(-n // RANK)
         return cls(levels, bits, ranks)
 
@@ -95,12 +95,13 @@ def _blocks(vocabulary: str, end_id: int):
         encode, part, block, start = encoder(vocabulary), None, 0, 0
         docs: list[int | None] = []
         ids: list[np.ndarray] = []
+        held = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal block, start
+            nonlocal block, start, held
             lengths = [len(x) for x in ids]
             row = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([start], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([DirectCodes.of(np.concatenate(ids)).to_bytes()], pa.binary())], ["part", "block", "start", "doc_ids", "lengths", "codes"])
-            block, start = block + 1, start + sum(lengths)
+            block, start, held = block + 1, start + held, 0
             docs.clear()
             ids.clear()
             return row
@@ -109,12 +110,13 @@ def _blocks(vocabulary: str, end_id: int):
             parts, names = b.column(0).to_pylist(), b.column(1).to_pylist()
             for row, got, at in encode(b.column(2)):
                 for i in range(len(at) - 1):
-                    if docs and (parts[row + i] != part or sum(map(len, ids)) >= BLOCK):
+                    if docs and (parts[row + i] != part or held >= BLOCK):
                         yield flush()
                     if parts[row + i] != part:
                         part, block, start = parts[row + i], 0, 0
                     docs.append(names[row + i])
-                    ids.append(np.append(got[at[i] : at[i + 1]], np.uint16(end_id)))
+                    ids.append(np.append(got[at[i] : at[i + 1]].astype(np.uint32), np.uint32(end_id)))
+                    held += len(ids[-1])
         if docs:
             yield flush()
 
@@ -122,16 +124,23 @@ def _blocks(vocabulary: str, end_id: int):
 
 
 def write_ids(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", vocabulary: str | None = None, end_id: int = 2, per_part: int = 4000) -> None:
-    """Encode every whole text (null: empty) and write its ids and `end_id` as blocks, ascending by id (null ids first, equal ids by text)."""
+    """Encode every whole text (null: empty) and write its ids and `end_id` as blocks, ascending by id (null ids first, equal ids by text).
+
+    An empty table writes a table without blocks. Columns other than the id and the text are ignored, whatever their
+    names. Parquet pages stay uncompressed, so that a block's bytes lie in the file as they are.
+    """
     docs = docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text"))
     parts = min(16384, parts_for(docs, "id", per_part))
     cut = docs.withColumn("part", id_range(F.col("id"), id_bounds(docs, "id", parts)).cast("int")).select("part", "id", "text")
     cut = cut.repartition(max(1, parts // 2), "part").sortWithinPartitions("part", "id", F.xxhash64("text"))
-    cut.mapInArrow(_blocks(vocabulary or vocabulary_path("byte_bpe_50k.json"), end_id), BLOCKS).write.parquet(path)
+    cut.mapInArrow(_blocks(vocabulary or vocabulary_path("byte_bpe_50k.json"), end_id), BLOCKS).write.option("compression", "uncompressed").parquet(path)
 
 
 def read_ids(spark, path: str, digest: bool = False) -> DataFrame:
-    """(doc_id, start, n_tokens, ids binary as uint32) for each document of a written table; digest: ids_crc32 in the place of ids."""
+    """(doc_id, start, n_tokens, ids binary as uint32) for each document of a written table; digest: ids_crc32 in the place of ids.
+
+    Null ids and repeated ids come back as they were written, a row each; a table without blocks gives no rows.
+    """
     table = spark.read.schema(BLOCKS).parquet(path)
     sums = table.select("part", F.aggregate("lengths", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n")).groupBy("part").agg(F.sum("n").alias("n")).collect()  # at most 16,384 parts
     before, total = {}, 0
@@ -154,6 +163,36 @@ def read_ids(spark, path: str, digest: bool = False) -> DataFrame:
     return table.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, " + ("ids_crc32 bigint" if digest else "ids binary"))
 
 
+def read_tokens(spark, path: str, wanted: DataFrame) -> DataFrame:
+    """(doc_id, position, token) for each distinct row (doc_id, position) of `wanted` that a written table holds.
+
+    Only the blocks with a wanted document are read further, and in them each id is reached through its levels,
+    bitmaps and ranks; none of its neighbours is decoded. Positions beyond a document's end, null ids and documents
+    that are not there give no row. Documents that share an id give a row each.
+    """
+    table = spark.read.schema(BLOCKS).parquet(path)
+
+    def index_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part, block, docs, lengths in zip(*b.columns, strict=True):
+                n = lengths.values.to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array([part.as_py()] * len(n), pa.int32()), pa.array([block.as_py()] * len(n), pa.int32()), docs.values, pa.array(n), pa.array(np.cumsum(n) - n)], ["part", "block", "doc_id", "length", "begin"])
+
+    index = table.select("part", "block", "doc_ids", "lengths").mapInArrow(index_rows, "part int, block int, doc_id bigint, length bigint, begin bigint")
+    asked = wanted.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("position").cast("bigint").alias("position")).distinct()
+    at = index.join(asked, "doc_id").where("position >= 0 and position < length")
+    at = at.groupBy("part", "block").agg(F.collect_list(F.struct("doc_id", "position", (F.col("begin") + F.col("position")).alias("place"))).alias("places"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for places, raw in zip(b.column(0), b.column(1), strict=True):
+                codes, rows = DirectCodes.from_bytes(raw.as_buffer()), places.values
+                got = [codes[i] for i in rows.field("place").to_pylist()]
+                yield pa.RecordBatch.from_arrays([rows.field("doc_id"), rows.field("position"), pa.array(got, pa.int64())], ["doc_id", "position", "token"])
+
+    return table.select("part", "block", "codes").join(at, ["part", "block"]).select("places", "codes").mapInArrow(run, "doc_id bigint, position bigint, token bigint")
+
+
 def token_digest(docs: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and crc32 of each document's ids, from the files that write_ids wrote."""
     path = scratch(docs.sparkSession)

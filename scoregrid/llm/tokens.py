@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 
-from .common import span_hashes, text_chunks
+from .common import mix, span_hashes, text_chunks
 
 KEEP = 1_000_000
 LEARN = 8192  # segments that the library encodes at once
@@ -39,6 +39,7 @@ class SegmentEncoder:
         self.lower, self.space = self.tokenizer.normalizer is not None, "" if self.tokenizer.normalizer is not None else "\u0120"
         probe = [" Probe", "probe", " a", "Z", " hEaTh", "s", " t"]
         self.plain = [self._plain(x) for x in probe] == [e.ids for e in self.tokenizer.encode_batch(probe, add_special_tokens=False)]
+        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.forget()
 
     def _plain(self, text: str) -> list[int]:
@@ -50,7 +51,7 @@ class SegmentEncoder:
     def forget(self) -> None:
         self.turn += 1
         self.keys, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # sorted hashes, entry of each
-        self.flat, self.size = np.zeros(1 << 16, np.uint16), 0
+        self.flat, self.size = np.zeros(1 << 16, self.kind), 0
         self.at, self.len = np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def _learn(self, keys: np.ndarray, texts: list[str], letters: np.ndarray) -> None:
@@ -66,7 +67,7 @@ class SegmentEncoder:
             for i, e in zip(part, self.tokenizer.encode_batch([texts[i] for i in part], add_special_tokens=False), strict=True):
                 got[i] = e.ids
         count = np.array([len(x) for x in got], np.int64)
-        new = np.fromiter((i for x in got for i in x), np.uint16, int(count.sum()))
+        new = np.fromiter((i for x in got for i in x), self.kind, int(count.sum()))
         while self.size + len(new) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.size : self.size + len(new)] = new
@@ -79,7 +80,9 @@ class SegmentEncoder:
         self.keys, self.rows = keys[order], rows[order]
 
     def entries(self, keys: np.ndarray, code: np.ndarray, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, before: str = "") -> np.ndarray:
-        """The entry of each distinct hash; keys[code] are the hashes of the spans, `before` is put before a span that is new."""
+        """The entry of each distinct hash; keys[code] are the hashes of the spans. `before` is put before a span that is new and is part of its key, so that a bare span never finds the ids of one with a prefix."""
+        if before:
+            keys = mix(keys ^ np.uint64(int.from_bytes(before.encode()[:8], "little") * 0x9E3779B97F4A7C15 % (1 << 64)))
         spot = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
         known = self.keys[spot] == keys if len(self.keys) else np.zeros(len(keys), bool)
         if not known.all():
@@ -97,11 +100,11 @@ class SegmentEncoder:
         return self.rows[spot]
 
     def __call__(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(first row, ids of a run of rows as uint16, offsets of the rows in them)."""
+        """(first row, ids of a run of rows (uint16, or uint32 for a vocabulary over 65,536), offsets of the rows in them)."""
         for row, buf, offs in text_chunks(column):
             n = len(buf)
             if not n:
-                yield row, np.zeros(0, np.uint16), np.zeros(len(offs), np.int64)
+                yield row, np.zeros(0, self.kind), np.zeros(len(offs), np.int64)
                 continue
             cut = np.zeros(n + 1, bool)
             opens = np.append(_OPEN[buf[1:]], False)

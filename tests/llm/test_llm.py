@@ -92,6 +92,48 @@ def test_segments_encode_like_whole_texts(spark, docs, name):
     assert got == [w[:-1].tolist() for w in want]
 
 
+def test_words_with_a_prefix_leave_bare_words_alone(spark):
+    """LM scoring asks the worker's encoder for " word"; token files must then still find the ids of "word"."""
+    name = tokens.vocabulary_path("byte_bpe_50k.json")
+    texts = [r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    encode = tokens.SegmentEncoder(name)
+    column = pa.array(texts, pa.string())
+    for _, buf, offs in tokens.text_chunks(column):
+        low = lm_scoring.LOWER[buf]
+        s, e, _ = lm_scoring.word_spans(low, offs)
+        h = lm_scoring.span_hashes(low, s, e)
+        keys, code = np.unique(h, return_inverse=True)
+        encode.entries(keys, code, low, s, e, " ")
+    got = [None] * len(texts)
+    for row, ids, at in encode(column):
+        for k in range(len(at) - 1):
+            got[row + k] = ids[at[k] : at[k + 1]].tolist()
+    assert got == [w[:-1].tolist() for w in encoded(texts, name, 0)]
+
+
+def test_token_queries_in_one_session(spark):
+    """Token files before and after LM scoring, in the same workers, against the tokenizers library."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rows = sorted(docs.collect(), key=lambda r: r["doc_id"])
+    ids = encoded([r["text"] for r in rows], "byte_bpe_50k.json", 2)
+    want = {r["doc_id"]: (len(w), zlib.crc32(w.tobytes())) for r, w in zip(rows, ids, strict=True)}
+    for _ in range(2):
+        assert {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in token_files.token_digest(docs).collect()} == want
+        lm_scoring.lm_of_all(docs).count()
+
+
+def test_single_tokens_of_a_written_table(spark, tmp_path):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rows = docs.collect()
+    path = str(tmp_path / "ids")
+    token_files.write_ids(docs, path, per_part=30)
+    ids = {r["doc_id"]: w for r, w in zip(rows, encoded([r["text"] for r in rows], "byte_bpe_50k.json", 2), strict=True)}
+    asked = [(d, p) for d, w in ids.items() for p in (0, len(w) // 2, len(w) - 1, len(w), -1)] + [(10**9, 0), (None, 0)]
+    got = token_files.read_tokens(spark, path, spark.createDataFrame(asked, "doc_id long, position long")).collect()
+    assert {(r["doc_id"], r["position"], r["token"]) for r in got} == {(d, p, int(ids[d][p])) for d, p in asked if d in ids and 0 <= p < len(ids[d])}
+    assert len(got) == len({(r["doc_id"], r["position"]) for r in got})
+
+
 def test_token_files(spark, docs, none, tmp_path):
     rows = sorted(docs.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0))
     path = str(tmp_path / "ids")
