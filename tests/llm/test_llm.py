@@ -382,19 +382,67 @@ def test_mixing(spark, docs, none):
     assert len(got) == docs.count() and got["probability"].between(0, 1).all()
     total = got["n_tokens"].sum()
     assert (got["probability"] * got["n_tokens"]).sum() / total == pytest.approx(0.7, abs=1e-6)
-    table = spark.read.parquet(f"{SMALL}/documents.parquet")
-    near, far = (mixing.mix_sources(table, local_cells=n).toPandas().sort_values("doc_id") for n in (1000, 0))
-    assert np.allclose(near["probability"], far["probability"], atol=3e-2)
     assert mixing.mix_sources(none).count() == 0
-
-
-def test_raking_meets_margins():
+    blank = docs.withColumn("text", F.lit(" "))
+    assert mixing.mix_sources(blank).where("kept").count() == docs.count()
+
+
+def test_mixing_on_both_sides_of_the_cell_limit(spark):
+    """The driver's raking and the joined one give the same probabilities, defaults and given targets alike."""
+    table = spark.read.parquet(f"{SMALL}/documents.parquet").withColumn("source", F.expr("if(doc_id % 3 = 0, null, source <=> 'src1')"))
+    for given in (None, {"lang": {"en": 0.6, "de": 0.2, "fr": 0.1, "es": 0.1}}):  # the same rule of ending; a few rounds show it
+        near, far = (mixing.plan_mixture(table, given=given, topics=2, local_cells=n, rounds=3, tries=1) for n in (10_000, 0))
+        a, b = (m.cells.toPandas().sort_values(list(mixing.MARGINS), ignore_index=True) for m in (near, far))
+        assert np.allclose(a["probability"], b["probability"], atol=1e-9) and near.budget == pytest.approx(far.budget, abs=1e-12)
+
+
+def test_expected_shares_meet_their_targets(spark):
+    """On the probabilities that decide, not on weights before them."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for given in (None, {"source": {f"src{i}": 3.0 if i == 4 else 1.0 for i in range(20)}}):
+        m = mixing.plan_mixture(table, given=given)
+        got = m.margins.toPandas()
+        assert (got["target"] - got["expected"]).abs().max() < 1e-6 and m.gap < 1e-7
+        assert (got["target"] - got["present"]).abs().max() > 1e-3
+    rows = mixing.mix_sources(table, mixture=m).toPandas()
+    expected = (rows["n_tokens"] * rows["probability"]).groupby(rows["source"]).sum()
+    assert (expected / expected.sum())["src4"] == pytest.approx(3 / 22, abs=1e-6)
+    kept = rows[rows["kept"]].groupby("source")["n_tokens"].sum()
+    assert abs((kept / kept.sum() - expected / expected.sum()).max()) < 0.05
+
+
+def test_contradicting_targets_report_their_gap(spark):
+    rows = [(i, "alpha beta gamma " * 5, "en" if i < 6 else "de", "a" if i < 6 else "b") for i in range(10)]
+    m = mixing.plan_mixture(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), given={"lang": {"en": 0.5, "de": 0.5}, "source": {"a": 0.9, "b": 0.1}})
+    assert m.gap > 0.05
+
+
+def test_raking_against_a_plain_version():
+    """Same margins as unbounded raking where no cell is full; no cell gives more than it has, and margins hold at p <= 1."""
     rng = np.random.default_rng(9)
-    codes, tokens_ = np.stack([rng.integers(0, k, 200) for k in (5, 3, 4)], 1), rng.integers(1, 100, 200).astype(float)
+    codes, tokens_ = [rng.integers(0, k, 200) for k in (5, 3, 4)], rng.integers(1, 100, 200).astype(float)
     targets = [rng.dirichlet(np.ones(k) * 40) for k in (5, 3, 4)]
-    w = mixing.rake(codes, tokens_, targets)
-    for m, t in enumerate(targets):
-        assert np.allclose(np.bincount(codes[:, m], w * tokens_) / tokens_.sum(), t, atol=1e-6)
+    total = tokens_.sum()
+    x, gap = mixing.rake(codes, tokens_, 0.2 * tokens_, [0.2 * total * t for t in targets])
+    w = 0.2 * tokens_
+    for _ in range(300):
+        for c, t in zip(codes, targets, strict=True):
+            w = w * (0.2 * total * t / np.bincount(c, w))[c]
+    assert gap < 1e-7 and np.allclose(x, w, rtol=1e-4) and (w < tokens_).all()
+    q = np.minimum(tokens_, 0.8 * tokens_ * rng.uniform(0.2, 2, 200))  # margins that full cells can meet
+    x, gap = mixing.rake(codes, tokens_, 0.5 * tokens_, [np.bincount(c, q) for c in codes])
+    assert gap < 1e-7 and (x <= tokens_).all() and (x == tokens_).any()
+    for c in codes:
+        assert np.allclose(np.bincount(c, x), np.bincount(c, q), rtol=1e-5)
+
+
+def test_topics_gather_texts_by_their_words(spark):
+    one, two = "orbit planet rocket star comet lunar".split(), "butter flour oven sugar recipe dough".split()
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(rng.permutation(one if i % 2 else two)) + f" word{i}", "en", "s") for i in range(60)] + [(60, None, "en", "s")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r["topic"] for r in mixing.mix_sources(table, topics=2).collect()}
+    assert got[60] == -1 and len({got[i] for i in range(0, 60, 2)}) == len({got[i] for i in range(1, 60, 2)}) == 1 and got[0] != got[1]
 
 
 def test_pipeline(spark):
