@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,50 +22,81 @@ from .tokens import encoder, vocabulary_path
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
-def _fillings(counts: list[int], room: int, most: int) -> list[list[int]]:
-    """Up to `most` undominated fillings of `room`: least waste first, larger items first.
-
-    A bitset of reachable sums gives the least waste; the search then follows only branches that can still reach it.
-    """
-    sizes = [s for s in range(min(room, len(counts) - 1), 0, -1) if counts[s]]
-    if not sizes:
-        return [[]]
-    single = [s for s in (room,) if s < len(counts) and counts[s]]
-    if single and most == 1:
-        return [single]
-    below = [1]  # sums reachable with the smallest k sizes
-    mask = (1 << (room + 1)) - 1
+def _reach(sizes: list[int], counts: list[int], room: int) -> list[int]:
+    """Bitsets of the sums up to `room` that the last k of the descending sizes can make, for every k."""
+    out, mask = [1], (1 << (room + 1)) - 1
     for s in reversed(sizes):
-        reach, left, k = below[-1], min(counts[s], room // s), 1
+        now, left, k = out[-1], min(counts[s], room // s), 1
         while left > 0:
             take = min(k, left)
-            reach |= (reach << (s * take)) & mask
+            now |= (now << (s * take)) & mask
             left -= take
             k *= 2
-        below.append(reach)
-    target = below[-1].bit_length() - 1
-    found: list[list[int]] = []
+        out.append(now)
+    return out
 
-    def go(i: int, need: int, taken: list[int]) -> None:
-        if len(found) >= most:
-            return
+
+def _of_sum(sizes: list[int], counts: list[int], below: list[int], total: int) -> Iterator[list[int]]:
+    """All multisets of items with this sum, larger items first; only branches that can still reach it are entered."""
+
+    def go(i: int, need: int, taken: list[int]) -> Iterator[list[int]]:
         if need == 0:
-            found.append(taken)
+            yield taken
             return
         for k in range(i, len(sizes)):
+            if not below[len(sizes) - k] >> need & 1:
+                return
             s = sizes[k]
-            if s > need or not below[len(sizes) - k] >> need & 1:
-                if not below[len(sizes) - k] >> need & 1:
-                    return
-                continue
             for times in range(min(counts[s], need // s), 0, -1):
                 if below[len(sizes) - k - 1] >> (need - s * times) & 1:
-                    go(k + 1, need - s * times, taken + [s] * times)
-                    if len(found) >= most:
-                        return
+                    yield from go(k + 1, need - s * times, taken + [s] * times)
+
+    return go(0, total, [])
+
 
-    go(0, target, [])
-    return found or [[]]
+def _dominated(filling: list[int], counts: list[int], room: int, present: int) -> bool:
+    """Whether an item left out can take the place of smaller ones (or of several of its own size in sum) and still fit."""
+    slack, one, wide = room - sum(filling), 0, 0  # bitsets of the sums of one item, and of several
+    left = present
+    for s in filling:
+        wide |= (one | wide) << s
+        one |= 1 << s
+    for s in set(filling):
+        if counts[s] == filling.count(s):
+            left &= ~(1 << s)
+    if left & ((2 << slack) - 2):  # something still fits
+        return True
+    step = 0
+    for s in set(filling):  # one item for a larger one
+        if (left >> (s + 1)) & ((1 << slack) - 1):
+            return True
+    while step < slack:  # several for one of their sum, up to the slack more
+        by = min(step + 1, slack - step)
+        wide |= wide << by
+        step += by
+    return bool(wide & left)
+
+
+def fillings(counts: list[int], room: int, most_waste: int) -> Iterator[list[int]]:
+    """The undominated fillings of `room` that leave at most `most_waste` free, least waste first, larger items first.
+
+    A filling is dominated where an item left out could stand in for some of its items and still fit; a best packing
+    with the dominated one can be turned into one with the other. Bitsets of reachable sums give the sums to try.
+    """
+    sizes = [s for s in range(min(room, len(counts) - 1), 0, -1) if counts[s]]
+    if not sizes:
+        if room <= most_waste:
+            yield []
+        return
+    below = _reach(sizes, counts, room)
+    present = sum(1 << s for s in sizes)
+    for total in range(room, max(-1, room - most_waste - 1), -1):
+        if below[-1] >> total & 1:
+            if total < room and (present & ((2 << (room - total)) - 2)) and all(counts[s] > room // s for s in sizes if s <= room - total):
+                return  # there is always one more item that fits
+            for f in _of_sum(sizes, counts, below, total):
+                if not _dominated(f, counts, room, present):
+                    yield f
 
 
 def _greedy(counts: list[int], size: int) -> list[tuple[list[int], int]]:
@@ -73,7 +105,14 @@ def _greedy(counts: list[int], size: int) -> list[tuple[list[int], int]]:
     for largest in range(size, 0, -1):
         while counts[largest]:
             counts[largest] -= 1
-            pattern = [largest, *_fillings(counts, size - largest, 1)[0]]
+            room = size - largest
+            if 0 < room < len(counts) and counts[room]:
+                best = [room]
+            else:
+                sizes = [s for s in range(min(room, len(counts) - 1), 0, -1) if counts[s]]
+                below = _reach(sizes, counts, room)
+                best = next(_of_sum(sizes, counts, below, below[-1].bit_length() - 1))
+            pattern = [largest, *best]
             counts[largest] += 1
             uses = {s: pattern.count(s) for s in set(pattern)}
             times = min(counts[s] // k for s, k in uses.items())
@@ -83,51 +122,89 @@ def _greedy(counts: list[int], size: int) -> list[tuple[list[int], int]]:
     return out
 
 
-def solve(counts: list[int], size: int, nodes: int = 2000, branch: int = 4, tail: int = 400) -> list[tuple[list[int], int]]:
-    """Patterns (descending lengths) with repeat counts that pack counts[length] items; counts has size + 1 entries.
+def least_bins(counts: list[int], size: int) -> int:
+    """A lower bound: items over size - k stand alone, items over half the size never share, and what small ones of k or more do not find room for beside them needs bins by volume; the best over all k."""
+    c = np.array(counts, dtype=object)  # exact integers of any size
+    s = np.arange(len(c))
+    number, volume = np.concatenate([[0], np.cumsum(c)]), np.concatenate([[0], np.cumsum(c * s)])
+    half = size // 2
+    best = -(-int(volume[-1]) // size)
+    for k in range(1, half + 1):
+        alone = number[-1] - number[min(len(c), size - k + 1)]
+        pairs = number[min(len(c), size - k + 1)] - number[half + 1]
+        beside = pairs * size - (volume[min(len(c), size - k + 1)] - volume[half + 1])
+        small = volume[half + 1] - volume[k]
+        best = max(best, int(alone + pairs + max(0, -(-(small - beside) // size))))
+    return best
+
+
+@dataclass
+class Packing:
+    patterns: list[tuple[list[int], int]]  # descending lengths and how many sequences hold them
+    sequences: int
+    lower: int  # no packing has fewer sequences
+    proved: bool  # sequences is the least number there is
+
+
+def solve(counts: list[int], size: int, nodes: int = 20_000, searched: int = 400) -> Packing:
+    """Packs counts[length] items; counts has size + 1 entries.
 
-    Best fit is the incumbent. Where it misses the volume bound, the last `tail` items of its order are searched again:
-    depth first over fillings of the largest item's bin, a branch ends when its waste exceeds what one bin less allows.
-    `nodes` bounds the search, not the items: the incumbent always packs all of them.
+    Best fit is the incumbent. Where it misses the lower bound, bins are dissolved, those with waste first, until about
+    `searched` items are free, and packed again by bin completion: depth first over the undominated fillings of the
+    largest item's bin, a branch ending when its waste exceeds what one bin less allows. With at most `searched`
+    items that is all of them, and a finished search is a proof. `nodes` bounds the bins tried; whatever is left
+    undone, all items are packed, and sequences - lower is the most that could still be gained.
     """
     best = _greedy(counts, size)
-    total = sum(s * c for s, c in enumerate(counts))
-    if sum(t for _, t in best) <= -(-total // size):
-        return best
-    kept, rest, items = list(best), [0] * (size + 1), 0
-    while kept and items < tail:  # the last bins are the ones with waste
-        pattern, times = kept.pop()
-        back = min(times, max(1, (tail - items) // len(pattern)))
+    used, lower = sum(t for _, t in best), least_bins(counts, size)
+    if used <= lower:
+        return Packing(best, used, lower, True)
+    order = sorted(range(len(best)), key=lambda i: (sum(best[i][0]) - size, -i))  # most waste first, then the last found
+    kept, rest, items = dict(enumerate(best)), [0] * (size + 1), 0
+    for i in order:
+        if items >= searched:
+            break
+        pattern, times = kept.pop(i)
+        back = min(times, max(1, (searched - items) // len(pattern)))
         if back < times:
-            kept.append((pattern, times - back))
+            kept[i] = (pattern, times - back)
         for s in pattern:
             rest[s] += back
         items += back * len(pattern)
-    volume = sum(s * c for s, c in enumerate(rest))
     incumbent: list[list[int]] = [p for p, t in _greedy(rest, size) for _ in range(t)]
-    budget = nodes
+    fixed, volume = sum(t for _, t in kept.values()), sum(s * c for s, c in enumerate(rest))
+    floor, budget = least_bins(rest, size), nodes
 
     def search(left: list[int], bins: list[list[int]], waste: int) -> None:
         nonlocal incumbent, budget
-        if budget <= 0 or waste > (len(incumbent) - 1) * size - volume:
+        spare = (len(incumbent) - 1) * size - volume - waste
+        if spare < 0 or len(incumbent) <= floor:
             return
         largest = next((s for s in range(size, 0, -1) if left[s]), 0)
         if not largest:
             incumbent = bins
             return
-        budget -= 1
         left[largest] -= 1
-        for filling in _fillings(left, size - largest, branch):
+        for filling in fillings(list(left), size - largest, spare):
+            budget -= 1
+            if budget < 0:
+                break
             for s in filling:
                 left[s] -= 1
             search(left, [*bins, [largest, *filling]], waste + size - largest - sum(filling))
             for s in filling:
                 left[s] += 1
+            if (len(incumbent) - 1) * size - volume - waste < 0 or len(incumbent) <= floor:
+                break
         left[largest] += 1
 
     search(rest, [], 0)
-    merged = kept + [(p, 1) for p in incumbent]
-    return merged if sum(t for _, t in merged) < sum(t for _, t in best) else best
+    patterns = [*kept.values(), *((p, 1) for p in incumbent)]
+    if fixed + len(incumbent) > used:
+        patterns = best
+    used = sum(t for _, t in patterns)
+    whole = not kept and budget >= 0
+    return Packing(patterns, used, used if whole else lower, whole or used <= lower)
 
 
 def slots(patterns: list[tuple[list[int], int]]) -> np.ndarray:
@@ -194,7 +271,7 @@ def pack(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     counts = [0] * (size + 1)
     for r in pieces.groupBy("length").count().collect():  # at most `size` rows
         counts[r["length"]] = r["count"]
-    table = slots(solve(counts, size))
+    table = slots(solve(counts, size).patterns)
 
     salted = pieces.withColumn("salt", F.expr("int(pmod(xxhash64(doc_id, piece, ids_crc32), 64))"))
     before = salted.groupBy("length", "salt").count().withColumn("before", F.sum("count").over(Window.partitionBy("length").orderBy("salt")) - F.col("count"))
