@@ -21,13 +21,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, discard, mix, shingles, span_hashes, stash, text_chunks, word_spans
 from .graph import components
 
-GROUPS, CELL_BITS, CELL_ROWS, BLOOM_BITS = 1024, 20, 256, 23
+GROUPS, CELL_BITS, CELL_ROWS, BLOOM_BITS = 1024, 20, 256, 26
 LEAF, FAN, PART = 32, 8, 4096
 
 
@@ -80,16 +81,28 @@ def _points(size: int):
         if cells.any():
             k = CELL_ROWS
             part = cells.reshape(k, -1)
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(np.arange(k, dtype=np.int32)), pa.array([x.astype(np.uint32).tobytes() for x in part], pa.binary())], ["id", "n", "set_id", "vec", "cell", "payload"])
+            task = pa.array(np.full(k, TaskContext.get().partitionId(), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), task, pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(np.arange(k, dtype=np.int32)), pa.array([x.astype(np.uint32).tobytes() for x in part], pa.binary())], ["id", "n", "set_id", "vec", "cell", "payload"])
 
     return run
 
 
 def _add_cells(t: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x.as_py(), np.uint32).astype(np.int64) for x in t["payload"])
+    total = sum(np.frombuffer(x.as_buffer(), np.int64 if len(x.as_buffer()) == 8 * (1 << CELL_BITS) // CELL_ROWS else np.uint32).astype(np.int64) for x in t["payload"].combine_chunks())
     return pa.table({"cell": t["cell"][:1], "payload": pa.array([total.tobytes()], pa.binary())})
 
 
+def _cells(points: DataFrame) -> np.ndarray:
+    """The count sketch of all tasks: added in two levels, so that a group takes about the square root of their number of rows."""
+    parts = points.where("cell is not null").select("cell", "n", "payload")
+    side = int(np.sqrt(parts.where("cell = 0").count())) + 1
+    first = parts.withColumn("part", F.expr(f"pmod(n, {side})")).groupBy("cell", "part").applyInArrow(_add_cells, "cell int, payload binary")
+    out = np.zeros((CELL_ROWS, (1 << CELL_BITS) // CELL_ROWS), np.int64)
+    for r in first.groupBy("cell").applyInArrow(_add_cells, "cell int, payload binary").collect():  # CELL_ROWS rows, 8 MB
+        out[r["cell"]] = np.frombuffer(r["payload"], np.int64)
+    return out.ravel()
+
+
 def _prefixes(size: int, percent: int, order: np.ndarray, heavy_cell: np.ndarray, heavy: dict[int, int]):
     """Each set's rarest shingles (by the sketch, ties by hash): any partner has one of them among its own."""
 
@@ -221,19 +234,18 @@ def _verified(percent: int):
 
 
 def _needed_sets(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
-    """(node, shingles) of the representatives in `needed`; a fixed-size bit filter (1 MB, false hits are joined away) keeps other texts from being shuffled."""
-    bits = F.pmod(F.xxhash64("node"), F.lit(1 << BLOOM_BITS))
-    words = needed.select(F.expr(f"{1 << BLOOM_BITS}L").alias("k"), bits.alias("bit")).groupBy(F.expr("bit div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(bit % 64)))").alias("v")).collect()
-    table = np.zeros(1 << (BLOOM_BITS - 6), np.int64)
-    for r in words:
-        table[r["word"]] = r["v"]
-    flat = np.unpackbits(table.view(np.uint8), bitorder="little").astype(bool)
-    packed = np.packbits(flat)
+    """(node, shingles) of the representatives in `needed`; a bit filter of 16 bits for each, at most 8 MB (false hits are joined away), keeps other texts from being shuffled."""
+    wide = 1 << int(np.clip(16 * needed.count(), 1 << 13, 1 << BLOOM_BITS) - 1).bit_length()
+    bits = F.pmod(F.xxhash64("node"), F.lit(wide))
+    words = needed.select(bits.alias("bit")).groupBy(F.expr("bit div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(bit % 64)))").alias("v")).toPandas()
+    table = np.zeros(wide // 64, np.int64)
+    table[words["word"].to_numpy(np.int64)] = words["v"].to_numpy(np.int64)
+    packed = np.packbits(np.unpackbits(table.view(np.uint8), bitorder="little"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = np.unpackbits(packed).astype(bool)
         for b in batches:
-            b = b.filter(pa.array(have[b.column(2).to_numpy()]))
+            at = b.column(2).to_numpy()
+            b = b.filter(pa.array((packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
             if not b.num_rows:
                 continue
             for row, sets in sets_of(b.column(1), size):
@@ -257,16 +269,13 @@ def jaccard_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """(id, n_shingles, component_id), a row for each input row.
 
     Null or empty texts: n_shingles 0 and a component of their own. Texts of fewer than `size` words: the whole word
-    sequence is the only shingle. Null ids: component_id null. Rows that share an id count as one node.
-    Other columns are ignored.
+    sequence is the only shingle. Null ids: component_id null. Rows that share an id are one node:
+    what any of them links to is reached by all that have words. An empty table gives no rows. Other columns are ignored.
     """
     docs = docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text"))
     points = stash(docs.mapInArrow(_points(size), POINTS))
     rows = points.where("cell is null").select("id", "n", "set_id", "vec")
-    cells = np.zeros((CELL_ROWS, (1 << CELL_BITS) // CELL_ROWS), np.int64)
-    for r in points.where("cell is not null").select("cell", "payload").groupBy("cell").applyInArrow(_add_cells, "cell int, payload binary").collect():
-        cells[r["cell"]] = np.frombuffer(r["payload"], np.int64)
-    cells = cells.ravel()
+    cells = _cells(points)
     nodes = stash(rows.where("n > 0 and id is not null").groupBy("set_id").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("vec").alias("vec"), F.count("*").alias("copies")))
     total = rows.count()
     heavy = {r["set_id"]: r["node"] for r in nodes.where(F.col("copies") > max(100, total // 1000)).select("set_id", "node").collect()}  # at most 1,000
@@ -307,7 +316,11 @@ def jaccard_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str
     left = left.join(at.selectExpr("set_id a", "node na"), "a").join(at.selectExpr("set_id b", "node nb"), "b").selectExpr("na a", "nb b")
     second = _verify(docs, left, size, percent)
 
-    final = components(first.union(second))
+    # an id with several sets is one node: its sets' representatives are linked to it
+    several = rows.where("n > 0 and id is not null").groupBy("id").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).where("lo <> hi").select("id")
+    own = rows.where("n > 0").select("id", "set_id").join(several, "id").join(nodes.select("set_id", "node"), "set_id").selectExpr("id a", "node b")
+
+    final = components(first.union(second).union(own))
     discard(shared, comp, first, second)
     named = nodes.select("set_id", "node").join(final, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
     out = rows.select("id", "n", "set_id").join(named, "set_id", "left")
