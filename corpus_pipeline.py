@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoregrid.llm.common import small_batches, stash
+from scoregrid.llm.common import discard, small_batches, stash
 from scoregrid.llm.language import fit, predict
 from scoregrid.llm.mixing import mix_sources
 from scoregrid.llm.ngram_join import jaccard_classes
@@ -18,6 +18,7 @@ from scoregrid.llm.substring_dedup import remove_repeats
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_KNOWN = 0.3  # part of a text's 4-grams that its language must contain
+SENT_IDS = 4_000_000  # up to so many ids to remove are sent to every executor; beyond, documents are shuffled to them
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,6 +33,8 @@ def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of each group of documents that links join, the one with the smallest doc_id stays."""
     small_batches(spark)
     gone = jaccard_classes(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    if gone.count() <= SENT_IDS:
+        gone = F.broadcast(gone)
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
@@ -61,8 +64,10 @@ STAGES = [("language ID", language_stage), ("n-gram Jaccard join", ngram_join_st
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = stash(stage(spark, docs, sf_dir))
+    for name, stage in STAGES[:-1]:
+        before, docs = docs, stash(stage(spark, docs, sf_dir))
+        if name != STAGES[0][0]:
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
