@@ -1,11 +1,12 @@
 """Substring deduplication by paragraph MinHash banding.
 
 A paragraph is a sentence of a line (a cut follows a line end, or `.`, `!` or `?` with a space), so that a passage that
-was set into another text falls into the same paragraphs there. Paragraphs of five or more words have their five-word
-shingles MinHashed and banded (bands() tunes them for the wanted recall); paragraphs that collide in a band are
-verified by exact Jaccard, verified links are closed into components, and of each component that occurs in several
-documents the occurrences outside the smallest doc_id are repeats. Runs of repeats of RUN_WORDS words or more, with
-nothing but shorter paragraphs between them, are removed.
+was set into another text falls into the same paragraphs there. Paragraphs have their five-word shingles MinHashed and
+banded (bands() tunes them for the wanted recall); one of fewer words is a single shingle, and has one key. Paragraphs
+that collide in a band are verified by exact Jaccard, verified links are closed into components, and of each component
+that occurs in several documents the occurrences outside the smallest doc_id are repeats. Runs of repeats of RUN_WORDS
+words or more, with nothing but shorter paragraphs between them, are removed. A repeat of fewer than five words
+counts only beside a repeat of the same earlier document: short lines are met anywhere, verses are not.
 """
 
 from __future__ import annotations
@@ -23,15 +24,19 @@ from .graph import components, union_find
 SIZE, RUN_WORDS, PART, BLOOM_BITS = 5, 25, 2000, 23
 
 
-def bands(percent: int, recall: float, most_rows: int = 4) -> tuple[int, int]:
-    """(bands, rows): the fewest bands whose recall at this similarity reaches `recall`, and the most rows they allow with at most as many hashes a band."""
-    best = None
+def bands(percent: int, recall: float, most_rows: int = 4, unlike: float = 0.3, pair_cost: float = 15.0) -> tuple[int, int]:
+    """(bands, rows): the cheapest of the tunings whose recall at this similarity reaches `recall`.
+
+    Each number of rows up to `most_rows` needs its own fewest bands. A tuning costs a key for each band, and
+    `pair_cost` keys times the chance that a pair of the low similarity `unlike` collides and has to be verified.
+    """
+    best = []
     for rows in range(1, most_rows + 1):
         n = 1
         while 1 - (1 - (percent / 100) ** rows) ** n < recall:
             n += 1
-        best = min(best or (n, rows), (n, rows))
-    return best
+        best.append((n + pair_cost * (1 - (1 - unlike**rows) ** n), n, rows))
+    return min(best)[1:]
 
 
 class Units:
@@ -52,7 +57,7 @@ class Units:
         s, e, at = word_spans(low, np.append(self.starts, n))
         self.words = np.diff(at) if n else np.zeros(0, np.int64)
         self.shingles, self.at = shingles(span_hashes(low, s, e), at, SIZE) if n else (np.zeros(0, np.uint64), np.zeros(1, np.int64))
-        self.long = np.flatnonzero(self.words >= SIZE)
+        self.long = np.flatnonzero(self.words > 0)
         self.key = np.zeros(len(self.starts), np.uint64)  # stands for the words in their order
         if len(self.long):
             place = np.arange(len(self.shingles), dtype=np.uint64) - np.repeat(self.at[:-1], np.diff(self.at)).astype(np.uint64)
@@ -80,10 +85,12 @@ def _keys(n_bands: int, rows: int, heavy: frozenset[int] = frozenset()):
                 if not len(u.long):
                     continue
                 who = b.column(0).to_numpy(zero_copy_only=False)[row + u.doc()[u.long]]
+                units, many = _signed(u.key[u.long]), u.words[u.long] > SIZE  # with one shingle, equal in one band is equal in all
                 for k in range(n_bands):
                     key = mix(sum((mix(u.minima(k * rows + r) + np.uint64(r)) for r in range(rows)), np.zeros(len(u.long), np.uint64)) + np.uint64(k))
-                    key = _signed(key)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(_signed(u.key[u.long])), pa.array(who.astype(np.int64)), pa.array(np.isin(key, hot_keys))], ["key", "unit", "id", "hot"])
+                    some = many if k else slice(None)
+                    key = _signed(key)[some]
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(units[some]), pa.array(who[some].astype(np.int64)), pa.array(np.isin(key, hot_keys))], ["key", "unit", "id", "hot"])
 
     return run
 
@@ -148,10 +155,11 @@ def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     docs = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text"))
     n_bands, rows = bands(percent, recall)
     schema = "key bigint, unit bigint, id bigint, hot boolean"
-    # keys of a few thousandths of the documents, found on a sample of them, skip the test for company and are salted
+    # keys of a few thousandths of the documents, found on a sample of them, skip the test for company and are salted;
+    # they are at most 500 times as many as a document has on average
     some = docs.where("pmod(xxhash64(id, 23), 50) = 0").mapInArrow(_keys(n_bands, rows), schema)
     limit = max(20, docs.select("id").count() // 50 // 500)
-    heavy = frozenset(r["key"] for r in some.groupBy("key").agg(F.approx_count_distinct("id").alias("n")).where(F.col("n") >= limit).orderBy(F.desc("n")).limit(20_000).select("key").collect())
+    heavy = frozenset(r["key"] for r in some.groupBy("key").agg(F.approx_count_distinct("id").alias("n")).where(F.col("n") >= limit).select("key").collect())
     found = docs.mapInArrow(_keys(n_bands, rows, heavy), schema).withColumn("salt", F.expr("if(hot, pmod(xxhash64(unit, id), 64), 0)"))
     window = "over (partition by key, salt)"
     company = F.expr(f"min(struct(unit, id)) {window} <> max(struct(unit, id)) {window}")
@@ -169,12 +177,46 @@ def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     named = components(links)
 
     occurs = shared.select("unit", "id").distinct().join(named.selectExpr("node unit", "component"), "unit", "left").withColumn("class", F.coalesce("component", "unit"))
-    first = occurs.groupBy("class").agg(F.min("id").alias("first_id"))
-    out = stash(occurs.join(first, "class").where("id <> first_id").select("id", "unit", "first_id"))
+    occurs = stash(occurs.select("class", "unit", "id"))
+    first = stash(occurs.groupBy("class").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.count("*").alias("n")).where("first_id <> last_id"))
+    # a class of a ten-thousandth of all occurrences or more (there are at most ten thousand) goes to them; the others meet by hash
+    most = max(1000, (first.agg(F.sum("n")).first()[0] or 0) // 10_000)
+    hot, cold = F.broadcast(first.where(F.col("n") >= most).select("class", "first_id")), first.where(F.col("n") < most).select("class", "first_id")
+    large = occurs.join(hot, "class").select("id", "unit", "first_id")
+    small = occurs.join(hot, "class", "left_anti").join(cold, "class").select("id", "unit", "first_id")
+    out = stash(large.union(small).where("id <> first_id"))
+    discard(occurs, first)
     discard(shared, members, links, named)
     return out
 
 
+def _runs(key: list[int], words: list[int], source: dict[int, int], first: int, last: int, run_words: int) -> Iterator[tuple[int, int, set[int]]]:
+    """(first unit, last unit, earlier documents) of each run of repeats between units first and last - 1 with run_words words or more.
+
+    A run goes on over repeats and over units of fewer than SIZE words. It begins and ends with a repeat that counts:
+    one of SIZE words or more, or a shorter one whose nearest repeat before or after it has the same earlier document.
+    """
+    at = [k for k in range(first, last) if words[k] and key[k] in source]
+    near = {}
+    for i, k in enumerate(at):
+        beside = [source[key[j]] for j in at[max(0, i - 1) : i] + at[i + 1 : i + 2] if all(words[x] < SIZE or key[x] in source for x in range(min(j, k), max(j, k)))]
+        near[k] = words[k] >= SIZE or source[key[k]] in beside
+    k = first
+    while k < last:
+        if not near.get(k):
+            k += 1
+            continue
+        total, stop, j, met = 0, k, k, set()
+        while j < last and (words[j] < SIZE or j in near):
+            if near.get(j):
+                total, stop = total + words[j], j
+                met.add(source[key[j]])
+            j += 1
+        if total >= run_words:
+            yield k, stop, met
+        k = j
+
+
 def _remove(at_id: int, at_text: int, run_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -187,22 +229,9 @@ def _remove(at_id: int, at_text: int, run_words: int):
                     marked, cuts, sources = units[row + i].as_py(), [], set()
                     if marked:
                         source = dict(zip(marked, firsts[row + i].as_py(), strict=True))
-                        key, words = _signed(u.key), u.words
-                        k, last = int(u.first[i]), int(u.first[i + 1])
-                        while k < last:
-                            if words[k] >= SIZE and int(key[k]) in source:
-                                total, stop, j, met = 0, k, k, set()
-                                while j < last and (words[j] < SIZE or int(key[j]) in source):
-                                    if words[j] >= SIZE:
-                                        total, stop = total + int(words[j]), j
-                                        met.add(source[int(key[j])])
-                                    j += 1
-                                if total >= run_words:
-                                    cuts.append((int(u.starts[k]), int(u.ends[stop])))
-                                    sources |= met
-                                k = j
-                            else:
-                                k += 1
+                        for x, y, met in _runs(_signed(u.key).tolist(), u.words.tolist(), source, int(u.first[i]), int(u.first[i + 1]), run_words):
+                            cuts.append((int(u.starts[x]), int(u.ends[y])))
+                            sources |= met
                     text, spot = [], begin
                     for x, y in cuts:
                         text.append(raw[spot:x])
