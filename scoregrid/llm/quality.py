@@ -59,7 +59,7 @@ def logits(p: dict[str, np.ndarray], chunks: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(chunks: np.ndarray, doc: np.ndarray, label: np.ndarray, epochs: int = 9, seed: int = 5) -> dict[str, np.ndarray]:
+def train(chunks: np.ndarray, doc: np.ndarray, label: np.ndarray, epochs: int = 4, seed: int = 5) -> dict[str, np.ndarray]:
     """chunks (n, CHUNK) uint8, doc: index of each chunk's document (ascending), label 0 or 1 of each document."""
     rng = np.random.default_rng(seed)
     n = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
@@ -112,8 +112,12 @@ def cut(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(inside, padded[np.minimum(place, len(buf))], np.uint8(0)), at
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text_column: str = "text", label_column: str = "quality", rows: int = 3000, chunks: int = 8) -> dict[str, np.ndarray]:
-    """Parameters learned from at most `rows` labelled documents, the first by a hash of their key, and of each at most `chunks` chunks spread evenly over its whole text."""
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text_column: str = "text", label_column: str = "quality", rows: int = 3000) -> dict[str, np.ndarray]:
+    """Parameters learned from all chunks of at most `rows` labelled documents, the first by a hash of their key.
+
+    Labels or keys that are null teach nothing; of several labels of a key the largest counts, and every document with
+    that key is read. Without labelled texts, or with one label only, every text gets the same prior.
+    """
     picked = labels.where(F.col(label_column).isNotNull() & F.col(key).isNotNull()).select(key, F.col(label_column).cast("int").alias("label")).groupBy(key).agg(F.max("label").alias("label")).orderBy(F.xxhash64(F.col(key), F.lit(3)), key).limit(rows)
     joined = docs.where(F.col(text_column).isNotNull()).select(key, F.col(text_column).alias("text")).join(F.broadcast(picked), key).select(F.col(key).cast("bigint").alias("id"), "label", "text")
 
@@ -121,8 +125,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text_column: st
         for b in batches:
             for row, buf, offs in text_chunks(b.column(2)):
                 x, at = cut(buf, offs)
-                some = [np.unique(np.linspace(at[i], at[i + 1] - 1, min(chunks, at[i + 1] - at[i])).astype(int)) if at[i + 1] > at[i] else [] for i in range(len(offs) - 1)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(row, len(some)), b.column(1).slice(row, len(some)), pa.array([x[s].tobytes() if len(s) else b"" for s in some], pa.binary())], ["id", "label", "x"])
+                n = len(offs) - 1
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(row, n), b.column(1).slice(row, n), pa.array([x[at[i] : at[i + 1]].tobytes() for i in range(n)], pa.binary())], ["id", "label", "x"])
 
     got = sorted(((r["id"], r["label"], bytes(r["x"])) for r in joined.mapInArrow(run, "id bigint, label int, x binary").collect()))
     if not got:

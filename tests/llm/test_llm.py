@@ -290,12 +290,27 @@ def test_languages(spark, docs, none):
     assert {r["lang_pred"] for r in language.predict(docs, language.fit(none)).collect()} == {"und"}
 
 
-def test_language_filters_hold_many():
-    grams = {f"l{i:03d}": np.arange(i * 50, i * 50 + 60, dtype=np.int64) for i in range(70)}
-    m = language.LanguageFilters.build(grams)
-    for i, (name, g) in enumerate(sorted(grams.items())):
-        a, b = m._slots(g.astype(np.uint32), m.bits)
+def test_language_filters_hold_every_gram(spark):
+    """Seventy languages, two words of masks: every gram of a labelled text has its language's bit, against plain sets."""
+    rng = np.random.default_rng(14)
+    letters = np.array(list("abcdefghijklmnop"))
+    rows = [(i, "".join(rng.choice(letters, 60)), f"l{i % 70:03d}") for i in range(210)]
+    m = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert m.languages == sorted({r[2] for r in rows})
+    has = {name: set() for name in m.languages}
+    for _, text, lang in rows:
+        padded = f" {text} ".encode()
+        has[lang] |= {padded[k : k + 5] for k in range(len(padded) - 4)}
+    for i, name in enumerate(m.languages):
+        code = np.array([int.from_bytes(g, "little") for g in has[name]], np.uint64)
+        a, b = m.slots(code, m.bits)
         assert (((m.table[i // 64][a] & m.table[i // 64][b]) >> np.uint64(i % 64)) & np.uint64(1)).all(), name
+    out = {r["doc_id"]: r for r in language.predict(spark.createDataFrame([*rows, (999, "!", None), (998, "zzzzzz", None)], "doc_id long, text string, lang string"), m).collect()}
+    for i, text, lang in rows:
+        padded = f" {text} ".encode()
+        share = {name: np.mean([padded[k : k + 5] in g for k in range(len(padded) - 4)]) for name, g in has.items()}
+        assert out[i]["lang_pred"] == lang == max(share, key=share.get) and out[i]["known"] == pytest.approx(1)
+    assert out[999]["lang_pred"] == "und" and (out[998]["lang_pred"], out[998]["score"]) == ("l000", 0)
 
 
 def test_quality(spark, docs, none):
@@ -308,6 +323,29 @@ def test_quality(spark, docs, none):
     assert quality.score(none, quality.fit(none, lab.limit(0))).count() == 0
 
 
+def test_network_against_a_plain_forward_pass():
+    rng = np.random.default_rng(15)
+    p = quality.train(rng.integers(0, 255, (6, quality.CHUNK), dtype=np.uint8), np.array([0, 0, 1, 2, 2, 2]), np.array([1, 0, 1]), epochs=1)
+    x = rng.integers(0, 255, (3, quality.CHUNK), dtype=np.uint8)
+    for got, chunk in zip(quality.logits(p, x), x, strict=True):
+        best = np.full(quality.FILTERS, -np.inf)
+        for k in range(0, quality.CHUNK - quality.WIDTH + 1, quality.STEP):
+            seen = np.concatenate([p["embed"][c] for c in chunk[k : k + quality.WIDTH]])
+            best = np.maximum(best, seen @ p["filters"])
+        hidden = np.tanh(np.maximum(best + p["shift"], 0) @ p["dense"] + p["dense_b"])
+        assert got == pytest.approx(float((hidden @ p["out"] + p["out_b"])[0]), abs=1e-4)
+
+
+def test_repeated_and_tied_labels(spark, docs):
+    """Of several labels of an id the largest counts; equal texts get equal scores."""
+    labels = spark.createDataFrame([(0, 0), (0, 1), (8, 0), (9, 0), (None, 1)], "doc_id long, quality int")
+    plain = spark.createDataFrame([(0, 1), (8, 0), (9, 0)], "doc_id long, quality int")
+    a, b = (quality.fit(docs, x) for x in (labels, plain))
+    assert all(np.array_equal(a[k], b[k]) for k in a)
+    got = {(r["doc_id"], r["text"]): r["score"] for r in quality.score(docs, a).collect()}
+    assert got[0, docs.where("doc_id = 0").first()["text"]] == pytest.approx(got[1, docs.where("doc_id = 1").first()["text"]])
+
+
 def test_chunks_cover_every_byte():
     text = np.random.default_rng(5).integers(1, 255, 1000, dtype=np.uint8)
     for n in (0, 1, 127, 128, 129, 224, 225, 1000):
