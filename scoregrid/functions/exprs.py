@@ -31,7 +31,7 @@ def block_from_key(key: Column | str, bare: bool = False) -> Column:
     return F.when(head.rlike(r"^\d{1,18}$"), head).try_cast("bigint")
 
 
-def parse_key(key: Column | str, root: str = "manako") -> Column:
+def parse_key(key: Column | str, root: str) -> Column:
     """struct(element, miner, commit) of a key below `root`; commit -1 in the layout without it; ('', '', -1) if malformed."""
     parts = F.split(col(key), "/")
     at = F.array_position(parts, root).cast("int")
@@ -51,11 +51,13 @@ def lane_index(url: Column | str, lane: Column) -> Column:
     return F.when(lane == "private", F.regexp_replace(col(url), r"index\.json$", "indexprivate.json")).otherwise(col(url))
 
 
-def resolve_key(index_url: Column, key: Column) -> Column:
-    """Absolute address of a key: http keys stay, keys of the root or with a leading slash hang at the host, others beside the index."""
+def resolve_key(index_url: Column, key: Column, root: str) -> Column:
+    """Absolute address of a key: http keys stay, keys of the root or with a leading slash hang at the host, others beside the index, without spaces around and "./" before them."""
+    key = F.trim(key)
+    key = F.when(key.startswith("./"), F.regexp_replace(key, r"^(\./)+", "")).otherwise(key)
     host = F.regexp_extract(index_url, r"^(https?://[^/]+)", 1)
     folder = F.regexp_replace(index_url, r"[^/]*$", "")
-    return F.when(key.rlike("^https?://"), key).when(key.startswith("/"), F.concat(host, key)).when(key.startswith("manako/"), F.concat(host, F.lit("/"), key)).otherwise(F.concat(folder, key))
+    return F.when(key.rlike("^https?://"), key).when(key.startswith("/"), F.concat(host, key)).when(key.startswith(f"{root}/"), F.concat(host, F.lit("/"), key)).otherwise(F.concat(folder, key))
 
 
 def window_start(block: Column | str, tempo: int) -> Column:
@@ -81,9 +83,45 @@ def days_to_blocks(days: Column | str) -> Column:
 
 
 def first_truthy(*candidates: Column) -> Column:
-    """The first candidate that is neither null, empty, blank, `0` nor `false` as text; trimmed."""
-    clean = [F.trim(c.cast("string")) for c in candidates]
-    return F.coalesce(*[F.when((c != "") & ~F.lower(c).isin("0", "0.0", "false"), c) for c in clean])
+    """The first candidate that is neither null, an empty text, a false flag nor the number zero; as trimmed text, null where that is empty.
+
+    A text "0" counts, and so does a blank one: it is chosen and then gives null.
+    """
+    chosen = [F.when(F.when(F.typeof(c) == "string", c.cast("string") != "").when(F.typeof(c) == "boolean", c.cast("string") == "true").otherwise(c.cast("string").try_cast("double") != 0), c.cast("string")) for c in candidates]
+    return F.nullif(F.regexp_replace(F.coalesce(*chosen), r"^\s+|\s+$", ""), F.lit(""))
+
+
+# Where a record names its challenge, in the order in which the places are tried.
+CHALLENGE_PATHS = ["$.meta.task_id", "$.task_id", "$.telemetry.task_id", "$.meta.challenge_id", "$.challenge_id", "$.telemetry.challenge_id", "$.job_id", "$.telemetry.job_id"]
+
+
+def challenge_id(payload: Column) -> Column:
+    """The challenge of a payload (JSON text): the first of CHALLENGE_PATHS that holds something (see first_truthy); null for what is no JSON."""
+    record = F.try_parse_json(payload)
+
+    def held(path: str) -> Column:
+        v = F.try_variant_get(record, path, "variant")
+        kind, text = F.schema_of_variant(v), F.try_variant_get(record, path, "string")
+        return F.when(F.when(kind == "STRING", text != "").when(kind == "BOOLEAN", text == "true").when(kind == "VOID", F.lit(False)).otherwise(F.coalesce(text.try_cast("double") != 0, F.lit(True))), text)
+
+    return F.nullif(F.regexp_replace(F.coalesce(*[held(p) for p in CHALLENGE_PATHS]), r"^\s+|\s+$", ""), F.lit(""))
+
+
+def sample_block(*values: Column) -> Column:
+    """The first value that is a whole number: a payload's block, its telemetry's, its line's."""
+    text = [F.regexp_replace(v.cast("string"), r"^\s+|\s+$", "") for v in values]
+    return F.coalesce(*[F.when(t.rlike(r"^[+-]?\d{1,18}(\.\d*)?$"), F.regexp_replace(t, r"\..*$", "")).try_cast("bigint") for t in text])
+
+
+def sample_commit(root: str, *keys: Column) -> Column:
+    """The commit of the first key, path or url that names one (zero or more)."""
+    found = [parse_key(k, root)["commit"] for k in keys]
+    return F.coalesce(*[F.when(c >= 0, c) for c in found])
+
+
+def element_in_key(key: Column | str, root: str, element: Column | str) -> Column:
+    """Whether a key or address lies below an element's folder of the root."""
+    return F.contains(F.concat(F.lit("/"), F.regexp_replace(col(key), r"^/|[?#].*$", "")), F.concat(F.lit(f"/{root}/"), safe_element_id(element), F.lit("/")))
 
 
 # scores
@@ -104,10 +142,11 @@ def economic_score(score: Column, theta: Column, floor: Column, beta: Column) ->
     return beta * F.greatest(F.greatest(score - theta, F.lit(0.0)), floor)
 
 
-def element_category(element: Column | str, prefixes: list[str]) -> Column:
-    """The first prefix, in the given order, that the text after the last `/` begins with."""
+def element_category(element: Column | str, prefixes: list[str], strict: bool = True) -> Column:
+    """The first prefix, in the given order, that the text after the last `/` begins with; none is an error (strict) or null."""
     name = F.element_at(F.split(col(element), "/"), -1)
-    return F.coalesce(*[F.when(name.startswith(p), F.lit(p)) for p in prefixes])
+    unknown = F.raise_error(F.concat(F.lit("unknown element: "), F.coalesce(col(element), F.lit("null")))).cast("string") if strict else F.lit(None).cast("string")
+    return F.coalesce(*[F.when(name.startswith(p), F.lit(p)) for p in prefixes], unknown)
 
 
 def adaptive_delta(theta: Column, default: float, low: float = 0.04, high: float = 0.175) -> Column:
@@ -245,6 +284,40 @@ def action_problem(frame: Column, confidence: Column) -> Column:
     return F.when(frame.isNull() | (frame < 0), "frame").when((c < 0) | (c > 1), "confidence")
 
 
+BOX_FIELDS = ["x1", "y1", "x2", "y2", "cls_id"]  # fixed values: what a predicted box must have, in the order of the checks
+
+
+def prediction_problem(rows: Column) -> Column:
+    """What is wrong first with predicted rows (JSON text of an array): a reason with the row's and the item's place, else null.
+
+    A row needs frame_id; boxes and polygons are lists or absent; a box needs BOX_FIELDS, a polygon cls_id and a list of
+    points (points, polygon or masks) of two numbers each.
+    """
+    maps = "array<map<string,string>>"
+    listed = lambda t: t.isNull() | (t == "") | t.startswith("[")
+    at = lambda text, *i: F.concat_ws("_", F.lit(text + "_at"), *[x.cast("string") for x in i])
+    first = lambda reasons: F.get(F.filter(reasons, lambda x: x.isNotNull()), F.lit(0))
+
+    def box(r: Column, i: Column) -> Column:
+        each = F.from_json(F.coalesce(r["boxes"], F.lit("[]")), maps)
+        return first(F.transform(each, lambda b, j: F.coalesce(*[F.when(~F.map_contains_key(b, k), at(f"output_box_missing_{k}", i, j)) for k in BOX_FIELDS])))
+
+    def polygon(r: Column, i: Column) -> Column:
+        each = F.from_json(F.coalesce(r["polygons"], F.lit("[]")), maps)
+
+        def one(p: Column, j: Column) -> Column:
+            points = F.from_json(F.coalesce(F.nullif(p["points"], F.lit("[]")), F.nullif(p["polygon"], F.lit("[]")), F.nullif(p["masks"], F.lit("[]"))), "array<string>")
+            bad = first(F.transform(points, lambda q, k: F.when(~q.startswith("[") | (F.coalesce(F.json_array_length(q), F.lit(0)) != 2), at("output_polygon_point_invalid", i, j, k))))
+            return F.coalesce(F.when(~F.map_contains_key(p, "cls_id"), at("output_polygon_missing_cls_id", i, j)), F.when(points.isNull() | (F.size(points) == 0), at("output_polygon_points_invalid", i, j)), bad)
+
+        return first(F.transform(each, one))
+
+    def row(r: Column, i: Column) -> Column:
+        return F.coalesce(F.when(~F.map_contains_key(r, "frame_id"), at("output_missing_frame_id", i)), F.when(~listed(r["boxes"]), at("output_boxes_invalid", i)), F.when(~listed(r["polygons"]), at("output_polygons_invalid", i)), box(r, i), polygon(r, i))
+
+    return first(F.transform(F.from_json(rows, maps), row))
+
+
 def public_asset_url(url: Column, private_hosts: list[str], public_host: str) -> Column:
     """Paths of /challenge-objects/ on a private host move to the public one."""
     host = F.try_parse_url(url, F.lit("HOST"))

@@ -56,11 +56,13 @@ def greedy_match(gt: DataFrame, pred: DataFrame, iou: float | None = None) -> Da
     return both.select(*keys, F.explode(got).alias("m")).select(*keys, F.col("m.item.det_ord").alias("det_ord"), F.col("m.item.score").alias("score"), F.col("m.hit").alias("tp"))
 
 
-def compare_outputs(expected: DataFrame, actual: DataFrame, bar: float = 0.95) -> DataFrame:
-    """(run_id, frame, n_expected, n_actual, matched, mean_iou) on common frames: in expected order each box takes the best free actual box of its class.
+def compare_outputs(expected: DataFrame, actual: DataFrame, bar: float = 0.95, expected_frames: DataFrame | None = None, actual_frames: DataFrame | None = None) -> DataFrame:
+    """(run_id, frame, n_expected, n_actual, matched, matched_iou, mean_iou, passed) on frames that both sides have: in expected order each box takes the best free actual box of its class.
 
-    The mean divides by the expected count; a frame of extras only scores 0.
+    The mean divides by the expected count; a frame without boxes on both sides scores 1, a frame of extras only 0.
+    expected_frames, actual_frames: (run_id, frame) of all frames; left out, the frames with boxes.
     """
+    common = (expected if expected_frames is None else expected_frames).select(*FRAME).distinct().join((actual if actual_frames is None else actual_frames).select(*FRAME).distinct(), list(FRAME))
     both = _sides(expected, actual, ("run_id", "frame", "cls"), "full", [F.col("det_ord")])
     none = F.expr("cast(array() as array<struct<det_ord:int,score:double,x1:bigint,y1:bigint,x2:bigint,y2:bigint>>)")
     some = F.expr("cast(array() as array<struct<det_ord:int,x1:bigint,y1:bigint,x2:bigint,y2:bigint>>)")
@@ -68,9 +70,22 @@ def compare_outputs(expected: DataFrame, actual: DataFrame, bar: float = 0.95) -
     m = m.withColumn("m", _fold(F.col("g"), F.col("p"), lambda g, p: box_iou(g, p), lambda b: b["v"] > 0))
     hit = F.filter("m", lambda x: x["hit"])
     rows = m.select("run_id", "frame", F.size("g").alias("ne"), F.size("p").alias("na"), F.size(hit).alias("nm"), F.aggregate(hit, F.lit(0.0), lambda a, x: a + x["value"]).alias("s"))
-    out = rows.groupBy("run_id", "frame").agg(F.sum("ne").alias("n_expected"), F.sum("na").alias("n_actual"), F.sum("nm").alias("matched"), F.sum("s").alias("s"))
-    common = out.where((F.col("n_expected") > 0) | (F.col("n_actual") > 0))
-    return common.select("run_id", "frame", "n_expected", "n_actual", "matched", ratio(F.col("s"), F.col("n_expected")).alias("mean_iou"), (ratio(F.col("s"), F.col("n_expected")) >= bar).alias("passed"))
+    out = rows.groupBy(*FRAME).agg(F.sum("ne").alias("n_expected"), F.sum("na").alias("n_actual"), F.sum("nm").alias("matched"), F.sum("s").alias("matched_iou"))
+    out = common.join(out, list(FRAME), "left").na.fill(0, ["n_expected", "n_actual", "matched"]).na.fill(0.0, ["matched_iou"])
+    mean = F.when((F.col("n_expected") == 0) & (F.col("n_actual") == 0), 1.0).otherwise(ratio(F.col("matched_iou"), F.col("n_expected")))
+    return out.select(*FRAME, "n_expected", "n_actual", "matched", "matched_iou", mean.alias("mean_iou"), (mean >= bar).alias("passed"))
+
+
+def comparison_verdicts(compared: DataFrame, runs: DataFrame, bar: float = 0.95) -> DataFrame:
+    """(run_id, reason, passed, mean_iou, matched_mean_iou, missing, extra, missing_ratio, extra_ratio, frames_compared) of each run of `runs`.
+
+    A run whose sides share no frame fails with the reason no_common_frames.
+    """
+    missing, extra = F.greatest(F.col("n_expected") - F.col("matched"), F.lit(0)), F.greatest(F.col("n_actual") - F.col("matched"), F.lit(0))
+    total = compared.groupBy("run_id").agg(F.avg("mean_iou").alias("mean_iou"), F.sum("matched_iou").alias("s"), F.sum("matched").alias("m"), F.sum(missing).alias("missing"), F.sum(extra).alias("extra"), F.sum("n_expected").alias("ne"), F.sum("n_actual").alias("na"), F.count("*").alias("frames_compared"))
+    both = runs.select("run_id").distinct().join(total, "run_id", "left").na.fill(0, ["missing", "extra", "frames_compared", "m", "ne", "na"])
+    lost = F.col("frames_compared") == 0
+    return both.select("run_id", F.when(lost, "no_common_frames").alias("reason"), F.coalesce(F.col("mean_iou") >= bar, F.lit(False)).alias("passed"), "mean_iou", ratio(F.col("s"), F.col("m")).alias("matched_mean_iou"), "missing", "extra", (F.col("missing") / F.greatest(F.col("ne"), F.lit(1))).alias("missing_ratio"), (F.col("extra") / F.greatest(F.col("na"), F.lit(1))).alias("extra_ratio"), "frames_compared")
 
 
 def soft_drift(matched: Column, missing: Column, extra: Column, mean_iou: Column) -> Column:
@@ -105,6 +120,14 @@ def _assign(cost: np.ndarray) -> np.ndarray:
     return out
 
 
+def _columns(boxes: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(offsets, coordinates, labels) of a column of lists of boxes; a null list is empty."""
+    flat = boxes.flatten()
+    size = np.where(boxes.is_null(), 0, np.asarray(boxes.value_lengths().fill_null(0)))
+    xy = np.stack([flat.field(k).to_numpy(zero_copy_only=False).astype(float) for k in BOX], 1)
+    return np.concatenate([[0], np.cumsum(size)]), xy, flat.field("cls").to_numpy(zero_copy_only=False)
+
+
 def optimal_pairs(gt: DataFrame, pred: DataFrame, strict: bool = False) -> DataFrame:
     """(run_id, frame, n_gt, n_pred, ious): IoU of the pairs of a best one-to-one assignment of each frame.
 
@@ -117,25 +140,24 @@ def optimal_pairs(gt: DataFrame, pred: DataFrame, strict: bool = False) -> DataF
 
     def run(batches):
         for b in batches:
-            runs, frames, out, ng, np_ = b.column(0), b.column(1), [], [], []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = x.as_py() or [], y.as_py() or []
-                ng.append(len(x)), np_.append(len(y))
-                if not x or not y:
+            one, two = (_columns(b.column(k)) for k in (2, 3))
+            out = []
+            for i in range(b.num_rows):
+                x, y = slice(one[0][i], one[0][i + 1]), slice(two[0][i], two[0][i + 1])
+                if x.start == x.stop or y.start == y.stop:
                     out.append([])
                     continue
-                a, c = (np.array([[r[k] for k in BOX] for r in s], float) for s in (x, y))
+                a, c = one[1][x], two[1][y]
                 w = np.clip(np.minimum(a[:, None, 2], c[None, :, 2]) - np.maximum(a[:, None, 0], c[None, :, 0]), 0, None)
                 h = np.clip(np.minimum(a[:, None, 3], c[None, :, 3]) - np.maximum(a[:, None, 1], c[None, :, 1]), 0, None)
                 size = lambda z: np.clip(z[:, 2] - z[:, 0], 0, None) * np.clip(z[:, 3] - z[:, 1], 0, None)
                 union = size(a)[:, None] + size(c)[None] - w * h
                 iou = np.divide(w * h, union, out=np.zeros_like(union), where=union > 0).astype(np.float32)
                 if strict:
-                    iou[np.array([r["cls"] for r in x])[:, None] != np.array([r["cls"] for r in y])[None]] = 0
-                flip = len(x) > len(y)
-                m = iou.T if flip else iou
+                    iou[one[2][x][:, None] != two[2][y][None]] = 0
+                m = iou.T if len(a) > len(c) else iou
                 out.append(m[np.arange(len(m)), _assign(1.0 - m.astype(float))].tolist())
-            yield pa.RecordBatch.from_arrays([runs, frames, pa.array(ng, pa.int32()), pa.array(np_, pa.int32()), pa.array(out, pa.list_(pa.float32()))], ["run_id", "frame", "n_gt", "n_pred", "ious"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(np.diff(s[0]), pa.int32()) for s in (one, two)), pa.array(out, pa.list_(pa.float32()))], ["run_id", "frame", "n_gt", "n_pred", "ious"])
 
     return both.select(*FRAME, "g", "p").mapInArrow(run, "run_id bigint, frame bigint, n_gt int, n_pred int, ious array<float>")
 
@@ -149,12 +171,17 @@ def frame_f1(pairs: DataFrame, *bars: float) -> DataFrame:
 
 
 def union_area(boxes: DataFrame, keys: tuple[str, ...], width: int = 960, height: int = 540) -> DataFrame:
-    """Pixels that a key's boxes cover inside the image, merged along scanlines."""
+    """Pixels that a key's boxes cover inside the image; keys without a box inside have no row.
+
+    The boxes' own edges cut the image into slabs; in a slab boxes are merged from left to right. A key is a frame, so
+    its boxes are few; nothing is multiplied by pixels or lines.
+    """
     cut = boxes.select(*keys, F.greatest("x1", F.lit(0)).alias("x1"), F.greatest("y1", F.lit(0)).alias("y1"), F.least("x2", F.lit(width)).alias("x2"), F.least("y2", F.lit(height)).alias("y2")).where("x1 < x2 and y1 < y2")
-    lines = cut.withColumn("y", F.explode(F.sequence("y1", F.col("y2") - 1))).select(*keys, "y", "x1", "x2")
-    w = Window.partitionBy(*keys, "y").orderBy("x1", "x2").rowsBetween(Window.unboundedPreceding, -1)
-    fresh = lines.withColumn("far", F.coalesce(F.max("x2").over(w), F.lit(-1)))
-    return fresh.groupBy(*keys).agg(F.sum(F.greatest(F.col("x2") - F.greatest("x1", "far"), F.lit(0))).alias("pixels"))
+    framed = cut.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*[F.col(c).cast("bigint").alias(c) for c in BOX]))).alias("b"))
+    framed = framed.withColumn("y", F.expr("array_sort(array_distinct(flatten(transform(b, r -> array(r.y1, r.y2)))))"))
+    line = "aggregate(filter(b, r -> r.y1 <= top and r.y2 > top), struct(-1L as far, 0L as n), (a, r) -> struct(greatest(a.far, r.x2) as far, a.n + greatest(r.x2 - greatest(r.x1, a.far), 0L) as n), a -> a.n)"
+    slabs = f"aggregate(transform(slice(y, 1, size(y) - 1), (top, i) -> (y[i + 1] - top) * {line}), 0L, (a, n) -> a + n)"
+    return framed.select(*keys, F.expr(slabs).alias("pixels"))
 
 
 def set_iou(a: DataFrame, b: DataFrame, keys: tuple[str, ...]) -> DataFrame:

@@ -43,18 +43,28 @@ def precision_recall(matches: DataFrame, gt: DataFrame, frames: DataFrame | None
 def average_precision(matches: DataFrame, gt: DataFrame) -> DataFrame:
     """(run_id, cls, ap): area under the monotone precision envelope; classes without truth are left out.
 
-    Only score, order and flag are sorted, never boxes.
+    Only score, order and flag are sorted, never boxes. The envelope is a running maximum from the last row back.
     """
     n = gt.groupBy("run_id", "cls").agg(F.count("*").alias("n_gt"))
     w = Window.partitionBy("run_id", "cls").orderBy(F.desc("score"), "frame", "det_ord")
-    up, down = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    up = w.rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy("run_id", "cls").orderBy("score", F.desc("frame"), F.desc("det_ord")).rowsBetween(Window.unboundedPreceding, 0)
     run = matches.select("run_id", "cls", "score", "frame", "det_ord", F.col("tp").cast("int").alias("tp")).join(n, ["run_id", "cls"])
     run = run.withColumns({"c": F.sum("tp").over(up), "k": F.count("*").over(up)}).withColumns({"p": F.col("c") / F.col("k"), "r": F.col("c") / F.col("n_gt")})
-    run = run.withColumns({"e": F.max("p").over(down), "before": F.coalesce(F.lag("r").over(w), F.lit(0.0))})
+    run = run.withColumns({"e": F.max("p").over(back), "before": F.coalesce(F.lag("r").over(w), F.lit(0.0))})
     ap = run.groupBy("run_id", "cls").agg(F.sum((F.col("r") - F.col("before")) * F.col("e")).alias("ap"))
     return n.select("run_id", "cls").join(ap, ["run_id", "cls"], "left").na.fill(0.0, ["ap"])
 
 
+def per_class_report(matches: DataFrame, gt: DataFrame) -> DataFrame:
+    """(run_id, cls, n_gt, n_pred, tp, fp, fn, precision, recall, f1, ap) of each class that truth or predictions have; ap is null without truth."""
+    n = gt.groupBy("run_id", "cls").agg(F.count("*").alias("n_gt"))
+    hits = matches.groupBy("run_id", "cls").agg(F.count("*").alias("n_pred"), F.count_if("tp").alias("tp"))
+    both = n.join(hits, ["run_id", "cls"], "full").na.fill(0, ["n_gt", "n_pred", "tp"]).join(average_precision(matches, gt), ["run_id", "cls"], "left")
+    tp, g, p = F.col("tp"), F.col("n_gt"), F.col("n_pred")
+    return both.select("run_id", "cls", "n_gt", "n_pred", "tp", (p - tp).alias("fp"), (g - tp).alias("fn"), ratio(tp, p).alias("precision"), ratio(tp, g).alias("recall"), ratio(2.0 * tp, g + p).alias("f1"), "ap")
+
+
 def mean_average_precision(ap: DataFrame) -> DataFrame:
     return ap.groupBy("run_id").agg(F.avg("ap").alias("map"))
 

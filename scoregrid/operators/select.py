@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import BLOCKS_PER_DAY
+from ..functions.exprs import BLOCKS_PER_DAY, element_in_key
 
 UNKNOWN_COMMIT = 10**18
 
@@ -53,6 +53,35 @@ def latest_commit_for_element(commits: DataFrame, role: str = "miner") -> DataFr
     return newest.select("element_id", "hotkey", "r.*")
 
 
+def latest_validator_index(commits: DataFrame, hotkey: str | None = None, role: str = "central_validator", url: str = "url") -> DataFrame:
+    """The newest commit of each validator hotkey (or of one) whose address is http or https: (hotkey, block, url)."""
+    rows = commits.where((F.col("role") == role) & F.lower(F.trim(url)).rlike("^https?://"))
+    rows = rows if hotkey is None else rows.where(F.col("hotkey") == hotkey)
+    return rows.groupBy("hotkey").agg(F.max(F.struct("block", F.trim(url).alias(url))).alias("r")).select("hotkey", "r.block", f"r.{url}")
+
+
+def element_keys(keys: DataFrame, root: str, element: str, key: str = "key") -> DataFrame:
+    """Keys and addresses below one element's folder."""
+    return keys.where(element_in_key(key, root, F.lit(element)))
+
+
+def prior_scored(miners: DataFrame, index: DataFrame, keys: tuple[str, ...] = ("element_id", "miner_hotkey")) -> DataFrame:
+    """Miners that an index already names for the element."""
+    return miners.join(index.select(*keys).distinct(), list(keys), "left_semi")
+
+
+def with_uids(scores: DataFrame, registry: DataFrame, hotkey: str = "miner_hotkey") -> DataFrame:
+    """scores with the uid that the registry (hotkey, uid) gives a hotkey now; departed hotkeys go. Of several uids of a hotkey the smallest counts."""
+    now = registry.where(F.col("hotkey").isNotNull()).groupBy(F.col("hotkey").alias(hotkey)).agg(F.min("uid").alias("uid"))
+    return scores.drop("uid").join(now, hotkey)
+
+
+def extract_scores(payloads: DataFrame, registry: DataFrame) -> DataFrame:
+    """(uid, miner_hotkey, score) of payload rows (hotkey, metric_score, payload_score) whose trimmed hotkey the registry knows: the metric's composite, else the payload's, else 0."""
+    named = payloads.withColumn("miner_hotkey", F.nullif(F.trim("hotkey"), F.lit("")))
+    return with_uids(named, registry).select("uid", "miner_hotkey", F.coalesce("metric_score", "payload_score", F.lit(0.0)).alias("score"))
+
+
 def commit_block_by_miner(live: DataFrame, archive: DataFrame, first_block: int) -> DataFrame:
     """Newest commit block of each (element, hotkey) in the live list, else in the archive from first_block on."""
     now = live.where("role = 'miner'").groupBy("element_id", "hotkey").agg(F.max("block").alias("a"))
@@ -78,16 +107,28 @@ def repo_facts(files: DataFrame) -> DataFrame:
     return files.groupBy("model", "revision").agg((F.sum("size") / 1048576.0).alias("total_mb"), F.count_if(onnx).alias("n_onnx"), ((F.count_if(onnx) > 0) & (F.count_if(weights & ~onnx) == 0)).alias("only_onnx"))
 
 
-def as_of(rows: DataFrame, versions: DataFrame, at: str = "block", version_at: str = "from_block", fallback: bool = True) -> DataFrame:
+def as_of(rows: DataFrame, versions: DataFrame, at: str = "block", version_at: str = "from_block", fallback: bool = True, span: int = 7 * BLOCKS_PER_DAY, expires: str | None = None) -> DataFrame:
     """rows with the version of the largest version_at <= at; without one the largest overall (fallback) or nulls.
 
-    Union and a running last_value inside ranges would suit two large sides; versions are a manifest history, so each
-    row's version is found in one sorted array of the history's blocks and joined by equality.
+    expires: a column of versions; a row at or after it is an error, as for a manifest that has run out. Of versions of
+    equal blocks one row counts. Rows and versions are united and cut into ranges of `span` blocks; in a range the
+    newest version so far is a running maximum, and what a range begins with is the largest version of those before it,
+    from a table of one row a range.
     """
-    sorted_at = versions.agg(F.array_sort(F.collect_set(version_at)).alias("_all"))
-    found = rows.crossJoin(F.broadcast(sorted_at)).withColumn("_hit", F.expr(f"array_max(filter(_all, b -> b <= {at}))"))
-    found = found.withColumn("_hit", F.coalesce("_hit", F.array_max("_all")) if fallback else F.col("_hit")).drop("_all")
-    return found.join(versions, found["_hit"] == versions[version_at], "left").drop("_hit")
+    newest = versions.groupBy(version_at).agg(F.max(F.struct(*[c for c in versions.columns if c != version_at])).alias("_v")) if len(versions.columns) > 1 else versions.distinct().withColumn("_v", F.lit(None).cast("string"))
+    points = rows.select(F.col(at).alias("_at")).distinct().select("_at", F.lit(None).cast("bigint").alias("_from")).union(newest.select(F.col(version_at).alias("_at"), F.col(version_at).cast("bigint").alias("_from")))
+    points = points.where("_at is not null").withColumn("_range", F.floor(F.col("_at") / span))
+    ends = points.groupBy("_range").agg(F.max("_from").alias("_last")).withColumn("_carried", F.max("_last").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)))
+    running = F.max("_from").over(Window.partitionBy("_range").orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    found = points.withColumn("_run", running).join(ends.select("_range", "_carried"), "_range").select("_at", F.coalesce("_run", "_carried").alias("_hit")).distinct()
+    if fallback:
+        found = found.crossJoin(F.broadcast(versions.agg(F.max(version_at).alias("_most")))).select("_at", F.coalesce("_hit", "_most").alias("_hit"))  # one row
+    out = rows.join(found, F.col(at) == F.col("_at"), "left").join(newest, F.col("_hit") == F.col(version_at), "left")
+    named = [F.col("_v")[c].alias(c) for c in versions.columns if c != version_at]
+    out = out.select(*rows.columns, version_at, *named)
+    if expires is not None:
+        out = out.withColumn(expires, F.when(F.col(at) < F.col(expires), F.col(expires)).when(F.col(expires).isNull(), F.col(expires)).otherwise(F.raise_error(F.concat(F.lit("expired version at block "), F.col(at).cast("string"))).cast(dict(versions.dtypes)[expires])))
+    return out
 
 
 def warmup_trim(df: DataFrame, window_blocks: int = 3 * BLOCKS_PER_DAY, most: int = 5, keys: tuple[str, ...] = ("element_id", "miner_hotkey"), order: tuple[str, ...] = ("block", "seq")) -> DataFrame:

@@ -19,7 +19,7 @@ SHARDS = """SELECT event_id AS seq,
   20 + value AS latency_ms, value > 150 AS timed_out
 FROM events"""
 
-KEYS = f"""SELECT s.*, concat('manako/', replace(element_id, '/', '_'), '/', miner_hotkey, '/', lpad(CAST(commit_block AS VARCHAR(9)), 9, '0'),
+KEYS = f"""SELECT s.*, concat('results/', replace(element_id, '/', '_'), '/', miner_hotkey, '/', lpad(CAST(commit_block AS VARCHAR(9)), 9, '0'),
   '/evaluation/', lpad(CAST(block AS VARCHAR(9)), 9, '0'), '-', challenge_id, '.json') AS object_key FROM ({SHARDS}) s"""
 
 _U = """SELECT l_orderkey, l_linenumber, min(l_partkey) AS pk, min(l_suppkey) AS sk, min(l_quantity) AS q,

@@ -100,8 +100,8 @@ def ranked_private_shares(spark, d):
 @query("SELECT object_key, element_id, try_cast(split_part(split_part(object_key, '/', 6), '-', 1) AS BIGINT) AS key_block, split_part(object_key, '/', 2) AS key_element, split_part(object_key, '/', 3) AS key_miner, try_cast(split_part(object_key, '/', 4) AS BIGINT) AS key_commit, concat('block-', CAST(block // 300 * 300 AS VARCHAR)) AS window_id, concat('https://host/', object_key) AS url FROM keys", "keys")
 def key_parts(spark, d):
     k = V.keys(spark, d)
-    p = X.parse_key("object_key")
-    return k.select("object_key", "element_id", X.block_from_key("object_key").alias("key_block"), p["element"].alias("key_element"), p["miner"].alias("key_miner"), p["commit"].alias("key_commit"), X.window_id("block", 300).alias("window_id"), X.resolve_key(F.lit("https://host/a/index.json"), F.col("object_key")).alias("url"))
+    p = X.parse_key("object_key", "results")
+    return k.select("object_key", "element_id", X.block_from_key("object_key").alias("key_block"), p["element"].alias("key_element"), p["miner"].alias("key_miner"), p["commit"].alias("key_commit"), X.window_id("block", 300).alias("window_id"), X.resolve_key(F.lit("https://host/a/index.json"), F.col("object_key"), "results").alias("url"))
 
 
 @query("SELECT element_id, count(*) AS n, min(block) AS first_block, max(block) AS last_block FROM shards WHERE block >= (SELECT max(block) FROM shards) - 21600 GROUP BY element_id", "shards")
@@ -149,6 +149,27 @@ def registry_skip_reasons(spark, d):
     return C.registry_select(V.commits(spark, d).where("role = 'miner'"), rules).groupBy("skip_reason").agg(F.count("*").alias("n"))
 
 
+@query("SELECT uid, miner_hotkey, element_id, count(*) AS n FROM (SELECT s.miner_hotkey, s.element_id, r.uid FROM shards s JOIN (SELECT miner_hotkey, min(uid) AS uid FROM shards WHERE block >= (SELECT max(block) - 216000 FROM shards) GROUP BY 1) r USING (miner_hotkey)) GROUP BY ALL", "shards")
+def rows_of_registered_miners(spark, d):
+    s = V.shards(spark, d)
+    now = C.tail_filter(s, TAIL).select(F.col("miner_hotkey").alias("hotkey"), "uid")
+    return C.with_uids(s, now).groupBy("uid", "miner_hotkey", "element_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT DISTINCT hotkey, element_id FROM commits c WHERE role = 'miner' AND EXISTS (SELECT 1 FROM shards s WHERE s.miner_hotkey = c.hotkey AND s.element_id = c.element_id)", "commits", "shards")
+def miners_scored_before(spark, d):
+    miners = V.commits(spark, d).where("role = 'miner'").select(F.col("hotkey").alias("miner_hotkey"), "element_id").distinct()
+    return C.prior_scored(miners, V.shards(spark, d)).select(F.col("miner_hotkey").alias("hotkey"), "element_id")
+
+
+@query("SELECT object_key, CAST(commit_block AS BIGINT) AS commit_block FROM keys WHERE element_id = (SELECT min(element_id) FROM keys)", "keys")
+def keys_of_an_element(spark, d):
+    k = V.keys(spark, d)
+    first = k.agg(F.min("element_id").alias("first"))
+    below = X.element_in_key("object_key", "results", F.col("first"))
+    return k.crossJoin(F.broadcast(first)).where(below).select("object_key", X.sample_commit("results", F.lit(None).cast("string"), F.col("object_key")).alias("commit_block"))  # one row
+
+
 @query("WITH v AS (SELECT block AS from_block, max(model) AS version FROM commits WHERE role = 'central_validator' GROUP BY block) SELECT q.block, coalesce((SELECT max(from_block) FROM v WHERE v.from_block <= q.block), (SELECT max(from_block) FROM v)) AS from_block FROM (SELECT DISTINCT block FROM commits WHERE role = 'miner') q", "commits")
 def manifest_as_of(spark, d):
     c = V.commits(spark, d)
@@ -222,10 +243,10 @@ def mad_pruned_mean(spark, d):
     return G.mad_prune(V.shards(spark, d), ("element_id",), "score", "latency_ms", 2.0).select("element_id", *six("mean"), "n_kept")
 
 
-@query("SELECT block // 7200 * 7200 AS start, element_id, miner_hotkey, count(*) AS n, round(avg(score), 6) AS avg_score, round(avg(beta * greatest(greatest(score - theta, 0), delta_floor)), 6) AS paid FROM shards JOIN manifest USING (element_id) GROUP BY ALL", "shards", "manifest")
+@query("SELECT block // 7200 * 7200 AS start, element_id, miner_hotkey, count(*) AS n, round(avg(score) + 1e-9, 6) AS avg_score, round(avg(beta * greatest(greatest(score - theta, 0), delta_floor)) + 1e-9, 6) AS paid FROM shards JOIN manifest USING (element_id) GROUP BY ALL", "shards", "manifest")
 def clip_means_by_window(spark, d):
     s = V.shards(spark, d).join(F.broadcast(V.manifest(spark, d)), "element_id").withColumn("paid", X.economic_score(F.col("score"), F.col("theta"), F.col("delta_floor"), F.col("beta")))
-    return s.groupBy(X.window_start("block", 7200).alias("start"), "element_id", "miner_hotkey").agg(F.count("*").alias("n"), F.avg("score").alias("avg_score"), F.avg("paid").alias("paid")).select("start", "element_id", "miner_hotkey", "n", *six("avg_score", "paid"))
+    return s.groupBy(X.window_start("block", 7200).alias("start"), "element_id", "miner_hotkey").agg(F.count("*").alias("n"), (F.avg("score") + 1e-9).alias("avg_score"), (F.avg("paid") + 1e-9).alias("paid")).select("start", "element_id", "miner_hotkey", "n", *six("avg_score", "paid"))  # means of few short decimals stand on halves, which the order of a sum would round either way
 
 
 @query("WITH r AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY element_id, miner_hotkey) AS n FROM shards WINDOW w AS (PARTITION BY element_id, miner_hotkey ORDER BY block, seq)) SELECT element_id, miner_hotkey, round(sum(score * power(power(2.0, -1.0 / 20), n - k) * CASE WHEN k = 1 THEN 1 ELSE 1 - power(2.0, -1.0 / 20) END), 6) AS ewma, max(n) AS n FROM r GROUP BY ALL", "shards")
@@ -304,9 +325,9 @@ def _greedy_sql(bar: str) -> str:
 g AS (SELECT run_id, cls, frame, list({{'o': det_ord, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}} ORDER BY det_ord) AS boxes FROM gt GROUP BY ALL),
 pairs AS (SELECT a.run_id, a.cls, a.frame, a.k, b.i, b.b AS box, a.det_ord, a.score, {_IOU.replace('b.x', 'b.b.x').replace('b.y', 'b.b.y')} AS iou FROM p a JOIN (SELECT run_id, cls, frame, unnest(boxes) AS b, generate_subscripts(boxes, 1) AS i FROM g) b ON a.run_id = b.run_id AND a.cls = b.cls AND a.frame = b.frame),
 cand AS (SELECT run_id, cls, frame, k, list({{'v': iou, 'i': -i, 'r': (box.x2 - box.x1) * (box.y2 - box.y1) / 518400.0}} ORDER BY iou DESC, i) AS c FROM pairs GROUP BY ALL),
-st AS (SELECT run_id, cls, frame, 0::BIGINT AS k, []::BIGINT[] AS used, false AS tp FROM (SELECT DISTINCT run_id, cls, frame FROM p)
- UNION ALL SELECT s.run_id, s.cls, s.frame, s.k + 1, CASE WHEN hit THEN list_append(used, i) ELSE used END, hit FROM (SELECT s.*, -(best.i) AS i, coalesce(best.v > 0 AND best.v >= {bar}, false) AS hit FROM (SELECT s.*, list_filter(cand.c, lambda x: NOT list_contains(s.used, -(x.i)))[1] AS best FROM st s JOIN p ON p.run_id = s.run_id AND p.cls = s.cls AND p.frame = s.frame AND p.k = s.k + 1 LEFT JOIN cand ON cand.run_id = s.run_id AND cand.cls = s.cls AND cand.frame = s.frame AND cand.k = s.k + 1) s) s),
-m AS (SELECT p.run_id, p.cls, p.frame, p.det_ord, p.score, st.tp FROM st JOIN p USING (run_id, cls, frame, k))"""
+st AS (SELECT run_id, cls, frame, 0::BIGINT AS k, []::BIGINT[] AS used, false AS tp, 0.0::DOUBLE AS v FROM (SELECT DISTINCT run_id, cls, frame FROM p)
+ UNION ALL SELECT s.run_id, s.cls, s.frame, s.k + 1, CASE WHEN hit THEN list_append(used, i) ELSE used END, hit, CASE WHEN hit THEN w ELSE 0 END FROM (SELECT s.*, -(best.i) AS i, best.v AS w, coalesce(best.v > 0 AND best.v >= {bar}, false) AS hit FROM (SELECT s.*, list_filter(cand.c, lambda x: NOT list_contains(s.used, -(x.i)))[1] AS best FROM st s JOIN p ON p.run_id = s.run_id AND p.cls = s.cls AND p.frame = s.frame AND p.k = s.k + 1 LEFT JOIN cand ON cand.run_id = s.run_id AND cand.cls = s.cls AND cand.frame = s.frame AND cand.k = s.k + 1) s) s),
+m AS (SELECT p.run_id, p.cls, p.frame, p.det_ord, p.score, st.tp, st.v FROM st JOIN p USING (run_id, cls, frame, k))"""
 
 
 _BAR = "CASE WHEN best.r <= 0.0005 THEN 0.3 WHEN best.r <= 0.01 THEN 0.3 + 0.2 * (log10(best.r) - log10(0.0005)) / (log10(0.01) - log10(0.0005)) WHEN best.r <= 0.05 THEN 0.5 WHEN best.r <= 0.25 THEN 0.5 + 0.2 * (log10(best.r) - log10(0.05)) / (log10(0.25) - log10(0.05)) ELSE 0.7 END"
@@ -338,6 +359,12 @@ def detection_average_precision(spark, d):
     return E.average_precision(M.greedy_match(g, V.pred(spark, d)), g).select("run_id", "cls", *six("ap"))
 
 
+@query()
+def class_report(spark, d):
+    g = V.gt(spark, d)
+    return E.per_class_report(M.greedy_match(g, V.pred(spark, d)), g).select("run_id", "cls", "n_gt", "n_pred", "tp", "fp", "fn", *six("precision", "recall", "f1", "ap"))
+
+
 @query()
 def detection_map(spark, d):
     g = V.gt(spark, d)
@@ -346,10 +373,11 @@ def detection_map(spark, d):
 
 _AP = "n AS (SELECT run_id, cls, count(*) AS n_gt FROM gt GROUP BY ALL), r1 AS (SELECT m.*, n_gt, sum(CASE WHEN tp THEN 1 ELSE 0 END) OVER w AS c, count(*) OVER w AS k FROM m JOIN n USING (run_id, cls) WINDOW w AS (PARTITION BY run_id, cls ORDER BY score DESC, frame, det_ord ROWS UNBOUNDED PRECEDING)), r2 AS (SELECT *, c / k AS p, c / n_gt AS r FROM r1), r3 AS (SELECT *, max(p) OVER (PARTITION BY run_id, cls ORDER BY score DESC, frame, det_ord ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS e, coalesce(lag(r) OVER (PARTITION BY run_id, cls ORDER BY score DESC, frame, det_ord), 0) AS b FROM r2), ap AS (SELECT n.run_id, n.cls, coalesce(sum((r - b) * e), 0) AS ap FROM n LEFT JOIN r3 ON n.run_id = r3.run_id AND n.cls = r3.cls GROUP BY ALL)"
 ORACLES |= {
-    "greedy_matches": _recursive(_greedy_sql(_BAR)) + " SELECT * FROM m",
-    "greedy_matches_constant": _recursive(_greedy_sql("0.5")) + " SELECT * FROM m",
+    "greedy_matches": _recursive(_greedy_sql(_BAR)) + " SELECT run_id, cls, frame, det_ord, score, tp FROM m",
+    "greedy_matches_constant": _recursive(_greedy_sql("0.5")) + " SELECT run_id, cls, frame, det_ord, score, tp FROM m",
     "detection_precision_recall": _recursive(_greedy_sql(_BAR)) + ", h AS (SELECT run_id, count(*) FILTER (tp) AS tp, count(*) FILTER (NOT tp) AS fp FROM m GROUP BY 1), n AS (SELECT run_id, count(*) AS n_gt, count(DISTINCT frame) AS f FROM gt GROUP BY 1) SELECT run_id, tp, fp, n_gt, round(tp / (tp + fp), 6) AS precision, round(tp / n_gt, 6) AS recall, round(greatest(0, 1 - fp / f / 10), 6) AS false_positive FROM n JOIN h USING (run_id)",
     "detection_average_precision": _recursive(_greedy_sql(_BAR)) + f", {_AP} SELECT run_id, cls, round(ap, 6) AS ap FROM ap",
+    "class_report": _recursive(_greedy_sql(_BAR)) + f", {_AP}, h AS (SELECT run_id, cls, count(*) AS n_pred, count(*) FILTER (tp) AS tp FROM m GROUP BY ALL), b AS (SELECT run_id, cls, coalesce(n_gt, 0) AS n_gt, coalesce(n_pred, 0) AS n_pred, coalesce(tp, 0) AS tp FROM n FULL JOIN h USING (run_id, cls)) SELECT run_id, cls, n_gt, n_pred, tp, n_pred - tp AS fp, n_gt - tp AS fn, round(CASE WHEN n_pred > 0 THEN tp / n_pred ELSE 0 END, 6) AS precision, round(CASE WHEN n_gt > 0 THEN tp / n_gt ELSE 0 END, 6) AS recall, round(2.0 * tp / (n_gt + n_pred), 6) AS f1, round(ap, 6) AS ap FROM b LEFT JOIN ap USING (run_id, cls)",
     "detection_map": _recursive(_greedy_sql(_BAR)) + f", {_AP} SELECT run_id, round(avg(ap), 6) AS map FROM ap GROUP BY run_id",
 }
 
@@ -369,6 +397,22 @@ def output_comparison(spark, d):
     return M.compare_outputs(V.gt(spark, d), V.pred(spark, d)).select("run_id", "frame", "n_expected", "n_actual", "matched", *six("mean_iou"), "passed")
 
 
+@query()
+def output_verdicts(spark, d):
+    g = V.gt(spark, d)
+    return M.comparison_verdicts(M.compare_outputs(g, V.pred(spark, d)), g).select("run_id", "reason", "passed", *six("mean_iou", "matched_mean_iou"), "missing", "extra", *six("missing_ratio", "extra_ratio"), "frames_compared")
+
+
+# expected boxes take actual ones: the same fold with the sides changed, in expected order
+_COMPARED = f"WITH RECURSIVE gt AS ({V.PRED}), pred AS (SELECT * EXCLUDE (score), 0.0 AS score FROM (SELECT *, 0.0 AS score FROM ({V.GT}))), " + _greedy_sql("0").replace("WITH RECURSIVE ", "") + """,
+ex AS (SELECT run_id, frame, count(*) AS ne FROM pred GROUP BY ALL), ac AS (SELECT run_id, frame, count(*) AS na FROM gt GROUP BY ALL), hits AS (SELECT run_id, frame, count(*) FILTER (tp) AS nm, sum(v) AS s FROM m GROUP BY ALL),
+fr AS (SELECT run_id, frame, ne, na, nm, s, s / ne AS mean FROM ex JOIN ac USING (run_id, frame) JOIN hits USING (run_id, frame))"""
+ORACLES |= {
+    "output_comparison": _COMPARED + " SELECT run_id, frame, ne AS n_expected, na AS n_actual, nm AS matched, round(mean, 6) AS mean_iou, mean >= 0.95 AS passed FROM fr",
+    "output_verdicts": _COMPARED + ", t AS (SELECT run_id, avg(mean) AS mi, sum(s) AS s, sum(nm) AS m, sum(ne - nm) AS missing, sum(na - nm) AS extra, sum(ne) AS ne, sum(na) AS na, count(*) AS fc FROM fr GROUP BY 1) SELECT r.run_id, CASE WHEN fc IS NULL THEN 'no_common_frames' END AS reason, coalesce(mi >= 0.95, false) AS passed, round(mi, 6) AS mean_iou, round(CASE WHEN m > 0 THEN s / m ELSE 0 END, 6) AS matched_mean_iou, coalesce(missing, 0) AS missing, coalesce(extra, 0) AS extra, round(coalesce(missing, 0) / greatest(coalesce(ne, 0), 1), 6) AS missing_ratio, round(coalesce(extra, 0) / greatest(coalesce(na, 0), 1), 6) AS extra_ratio, coalesce(fc, 0) AS frames_compared FROM (SELECT DISTINCT run_id FROM pred) r LEFT JOIN t USING (run_id)",
+}
+
+
 _LINES = "cut AS (SELECT run_id, frame, greatest(x1, 0) AS x1, greatest(y1, 0) AS y1, least(x2, 960) AS x2, least(y2, 540) AS y2 FROM gt), li AS (SELECT run_id, frame, unnest(range(y1, y2)) AS y, x1, x2 FROM cut WHERE x1 < x2 AND y1 < y2), fr AS (SELECT *, coalesce(max(x2) OVER (PARTITION BY run_id, frame, y ORDER BY x1, x2 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS far FROM li)"
 
 
@@ -545,11 +589,13 @@ def paired_audit(spark, d):
     return D.audit_pairing(a.where("not is_gt"), a.where("is_gt"))
 
 
-@query("WITH o AS (SELECT miner_hotkey AS hotkey, element_id, commit_block, min(block) AS first_seen, max(block) AS last_seen FROM shards WHERE seq % 2 = 0 GROUP BY ALL), n AS (SELECT miner_hotkey AS hotkey, element_id, commit_block, max(block) AS ns, CASE WHEN avg(latency_ms) < 100 THEN 'PASS' ELSE 'FAIL_RUNTIME' END AS nt FROM shards WHERE seq % 3 = 0 GROUP BY ALL), b AS (SELECT *, first_seen IS NULL AS fresh FROM o FULL JOIN n USING (hotkey, element_id, commit_block)) SELECT hotkey, element_id, commit_block, coalesce(first_seen, ns) AS first_seen, coalesce(ns, last_seen) AS last_seen, coalesce(nt, 'FAIL_LATENCY') AS status FROM b WHERE nt IS NULL OR nt <> 'PASS'", "shards")
+@query("WITH o AS (SELECT miner_hotkey AS hotkey, element_id, commit_block, min(block) AS first_seen, max(block) AS last_seen FROM shards WHERE 2 * block < (SELECT min(block) + max(block) FROM shards) GROUP BY ALL), n AS (SELECT miner_hotkey AS hotkey, element_id, commit_block, max(block) AS ns, CASE WHEN avg(latency_ms) < 100 THEN 'PASS' ELSE 'FAIL_RUNTIME' END AS nt FROM shards WHERE 2 * block >= (SELECT min(block) + max(block) FROM shards) GROUP BY ALL), b AS (SELECT *, first_seen IS NULL AS fresh FROM o FULL JOIN n USING (hotkey, element_id, commit_block)) SELECT hotkey, element_id, commit_block, coalesce(first_seen, ns) AS first_seen, coalesce(ns, last_seen) AS last_seen, coalesce(nt, 'FAIL_LATENCY') AS status FROM b WHERE nt IS NULL OR nt <> 'PASS'", "shards")
 def merged_failures(spark, d):
     s = V.shards(spark, d).withColumnRenamed("miner_hotkey", "hotkey")
-    old = s.where("seq % 2 = 0").groupBy("hotkey", "element_id", "commit_block").agg(F.min("block").alias("first_seen"), F.max("block").alias("last_seen"), F.lit("FAIL_LATENCY").alias("status"))
-    new = s.where("seq % 3 = 0").groupBy("hotkey", "element_id", "commit_block").agg(F.max("block").alias("seen"), F.when(F.avg("latency_ms") < 100, "PASS").otherwise("FAIL_RUNTIME").alias("status"))
+    middle = s.agg((F.min("block") + F.max("block")).alias("middle"))  # one row: earlier shards are the known state, later ones the news
+    s = s.crossJoin(F.broadcast(middle))
+    old = s.where("2 * block < middle").groupBy("hotkey", "element_id", "commit_block").agg(F.min("block").alias("first_seen"), F.max("block").alias("last_seen"), F.lit("FAIL_LATENCY").alias("status"))
+    new = s.where("2 * block >= middle").groupBy("hotkey", "element_id", "commit_block").agg(F.max("block").alias("seen"), F.when(F.avg("latency_ms") < 100, "PASS").otherwise("FAIL_RUNTIME").alias("status"))
     return D.merge_failed_tuples(old, new)
 
 

@@ -2,8 +2,10 @@
 
 import itertools
 import json
+import random
 
 import numpy as np
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,11 +36,11 @@ def test_scalar_rules(spark):
 
 
 def test_keys(spark):
-    key = F.lit("manako/el/hk/000000012/evaluation/000000034-c1.json")
-    old = F.lit("manako/el/hk/evaluation/000000034-c1.json")
+    key = F.lit("results/el/hk/000000012/evaluation/000000034-c1.json")
+    old = F.lit("results/el/hk/evaluation/000000034-c1.json")
     bad = F.lit("other/x")
-    got = one(spark, X.block_from_key(key), X.parse_key(key), X.parse_key(old), X.parse_key(bad), X.first_truthy(F.lit("0"), F.lit(" "), F.lit(" x ")), X.lane_index(F.lit("h/index.json"), F.lit("private")))
-    assert (got[0], tuple(got[1]), tuple(got[2]), tuple(got[3]), got[4], got[5]) == (34, ("el", "hk", 12), ("el", "hk", -1), ("", "", -1), "x", "h/indexprivate.json")
+    got = one(spark, X.block_from_key(key), X.parse_key(key, "results"), X.parse_key(old, "results"), X.parse_key(bad, "results"), X.first_truthy(F.lit(0), F.lit(""), F.lit(False), F.lit(" 0 ")), X.lane_index(F.lit("h/index.json"), F.lit("private")))
+    assert (got[0], tuple(got[1]), tuple(got[2]), tuple(got[3]), got[4], got[5]) == (34, ("el", "hk", 12), ("el", "hk", -1), ("", "", -1), "0", "h/indexprivate.json")
 
 
 def test_warmup_trim_stops_at_five(spark):
@@ -182,3 +184,68 @@ def test_aggregates_do_not_depend_on_partitions(spark):
     df = spark.createDataFrame([("e", "m", i % 4, i, i, float(i % 5)) for i in range(50)], "element_id string, miner_hotkey string, challenge_id int, block long, seq long, score double")
     for fn in (lambda d: G.challenge_map(d, recent=10), lambda d: G.p95_index(d, ("element_id",), "score"), lambda d: H.ewma(d, ("element_id",), ("block",), "score", 5).select(F.round("ewma", 9))):
         assert sorted(fn(df).collect()) == sorted(fn(df.repartition(9)).collect())
+
+
+def test_challenge_and_sample_fields(spark):
+    payloads = [
+        ('{"meta": {"task_id": 0, "challenge_id": "c"}, "task_id": "", "telemetry": {"task_id": "0"}}', "0"),
+        ('{"meta": {"task_id": null}, "challenge_id": 17}', "17"),
+        ('{"telemetry": {"job_id": " j "}, "job_id": false}', "j"),
+        ('{"task_id": "  ", "job_id": "x"}', None),
+        ("{}", None),
+        ("no json", None),
+        (None, None),
+    ]
+    df = spark.createDataFrame([(i, p) for i, (p, _) in enumerate(payloads)], "i int, p string")
+    assert [r[0] for r in df.orderBy("i").select(X.challenge_id(F.col("p"))).collect()] == [w for _, w in payloads]
+    n = F.lit(None).cast("string")
+    got = one(spark, X.sample_block(n, F.lit("x"), F.lit(" 12 ")), X.sample_block(n, n), X.sample_commit("results", n, F.lit("results/e/m/000000012/evaluation/1-a.json")), X.sample_commit("results", F.lit("results/e/m/evaluation/1-a.json"), F.lit("zz")))
+    assert tuple(got) == (12, None, 12, None)
+    assert one(spark, X.element_in_key(F.lit("https://h/results/a_b/m/1.json?x"), "results", F.lit("a/b")), X.element_in_key(F.lit("results/a/m/1.json"), "results", F.lit("a_b"))) == (True, False)
+    assert one(spark, X.element_category(F.lit("ns/Detect-x"), ["Track", "Detect"]), X.element_category(F.lit("zz"), ["Detect"], strict=False)) == ("Detect", None)
+    with pytest.raises(Exception, match="unknown element"):
+        one(spark, X.element_category(F.concat(F.lit("z"), F.rand().cast("string")), ["Detect"]))
+
+
+def test_prediction_problems(spark):
+    rows = [
+        ('[{"frame_id": 1, "boxes": [{"x1": 1, "y1": 1, "x2": 2, "y2": 2, "cls_id": 0}], "polygons": [{"cls_id": 1, "points": [[1, 2], [3, 4]]}]}]', None),
+        ('[{"frame_id": 1}, {"boxes": []}]', "output_missing_frame_id_at_1"),
+        ('[{"frame_id": 1, "boxes": {"a": 1}}]', "output_boxes_invalid_at_0"),
+        ('[{"frame_id": 1, "boxes": [{"x1": 1, "y1": 1, "x2": 2, "cls_id": 0}]}]', "output_box_missing_y2_at_0_0"),
+        ('[{"frame_id": 1, "polygons": [{"points": [[1, 2]]}]}]', "output_polygon_missing_cls_id_at_0_0"),
+        ('[{"frame_id": 1, "polygons": [{"cls_id": 1, "points": []}]}]', "output_polygon_points_invalid_at_0_0"),
+        ('[{"frame_id": 1, "polygons": [{"cls_id": 1, "polygon": [[1, 2], [3]]}]}]', "output_polygon_point_invalid_at_0_0_1"),
+    ]
+    df = spark.createDataFrame([(i, p) for i, (p, _) in enumerate(rows)], "i int, p string")
+    assert [r[0] for r in df.orderBy("i").select(X.prediction_problem(F.col("p"))).collect()] == [w for _, w in rows]
+
+
+def test_outputs_are_compared_on_common_frames(spark):
+    box = "run_id long, frame long, cls string, det_ord int, x1 long, y1 long, x2 long, y2 long"
+    want = spark.createDataFrame([(1, 1, "a", 0, 0, 0, 10, 10), (1, 2, "a", 0, 0, 0, 10, 10), (2, 1, "a", 0, 0, 0, 9, 9)], box)
+    have = spark.createDataFrame([(1, 1, "a", 0, 0, 0, 10, 10), (1, 1, "b", 1, 0, 0, 10, 10), (1, 3, "a", 0, 0, 0, 10, 10), (2, 7, "a", 0, 0, 0, 9, 9)], box).withColumn("score", F.lit(1.0))
+    got = M.compare_outputs(want, have)
+    assert [(r["run_id"], r["frame"], r["n_expected"], r["n_actual"], r["matched"], r["mean_iou"], r["passed"]) for r in got.collect()] == [(1, 1, 1, 2, 1, 1.0, True)]
+    verdicts = {r["run_id"]: (r["reason"], r["passed"], r["extra"], r["frames_compared"]) for r in M.comparison_verdicts(got, want).collect()}
+    assert verdicts == {1: (None, True, 1, 1), 2: ("no_common_frames", False, 0, 0)}
+    frames = spark.createDataFrame([(1, 1), (1, 9)], "run_id long, frame long")
+    assert {r["frame"]: r["mean_iou"] for r in M.compare_outputs(want, have, expected_frames=frames, actual_frames=frames).collect()} == {1: 1.0, 9: 1.0}
+
+
+def test_as_of_over_ranges(spark):
+    rng = random.Random(5)
+    versions = sorted({rng.randrange(0, 400_000) for _ in range(40)})
+    rows = [rng.randrange(-10_000, 600_000) for _ in range(300)]
+    df = C.as_of(spark.createDataFrame([(b,) for b in rows], "block long"), spark.createDataFrame([(v, f"v{v}") for v in versions], "from_block long, name string"), span=5000)
+    got = sorted((r["block"], r["from_block"], r["name"]) for r in df.collect())
+    pick = lambda b: max([v for v in versions if v <= b] or versions)
+    assert got == sorted((b, pick(b), f"v{pick(b)}") for b in rows)
+
+
+def test_registry_joins(spark):
+    registry = spark.createDataFrame([("a", 1), ("b", 2), (None, 9)], "hotkey string, uid int")
+    payloads = spark.createDataFrame([(" a ", 0.5, 0.9), ("b", None, 0.25), ("b", None, None), ("gone", 1.0, 1.0), (None, 1.0, 1.0), (" ", 1.0, 1.0)], "hotkey string, metric_score double, payload_score double")
+    assert sorted(tuple(r) for r in C.extract_scores(payloads, registry).collect()) == [(1, "a", 0.5), (2, "b", 0.0), (2, "b", 0.25)]
+    commits = spark.createDataFrame([("v", 5, "central_validator", " https://x/index.json "), ("v", 9, "central_validator", "ftp://x"), ("v", 7, "miner", "http://m"), ("w", 1, "central_validator", "http://w")], "hotkey string, block long, role string, url string")
+    assert sorted(tuple(r) for r in C.latest_validator_index(commits).collect()) == [("v", 5, "https://x/index.json"), ("w", 1, "http://w")]
