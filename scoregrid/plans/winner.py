@@ -10,6 +10,11 @@ from ..operators.rank import allocate_weights, final_routing, provisional_winner
 from ..operators.select import exclude_blacklist, latest_commit_filter, tail_filter, warmup_trim
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df written once to the shared checkpoint folder, for a plan that reads it several times; as it is where no folder is set."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+
+
 def eligible_rows(shards: DataFrame, tail: int = 216_000, blacklist: tuple[str, ...] = ()) -> DataFrame:
     """Rows of the newest commits inside the look-back, without blacklisted miners and warm-up zeros."""
     return warmup_trim(exclude_blacklist(tail_filter(latest_commit_filter(shards), tail), list(blacklist)))
@@ -26,8 +31,8 @@ def winners(shards: DataFrame, tail: int = 216_000, least: int = 5, blacklist: t
 
 def window_weights(shards: DataFrame, manifest: DataFrame, fallback: int = 0, tail: int = 216_000, least: int = 5) -> DataFrame:
     """(uid, weight): public elements pay their tie-broken winner in full, private ones their first three ranks."""
-    rows = eligible_rows(shards, tail)
-    means = mean_by_miner(rows).where(F.col("n") >= least)
+    rows = kept(eligible_rows(shards, tail).select("element_id", "uid", "miner_hotkey", "validator_hotkey", "challenge_id", "block", "seq", "score", "commit_block", "lane"))
+    means = kept(mean_by_miner(rows).where(F.col("n") >= least))
     commits = mode_commit(rows, ("element_id", "miner_hotkey"))
     final = tiebreak(rows, provisional_winner(means), commits, least_common=3)
     whole = F.broadcast(manifest.select("element_id", "weight", "track"))  # a row for each element of one manifest

@@ -16,7 +16,7 @@ from .operators import metrics as E
 from .operators import rank as H
 from .operators import select as C
 from .plans import views as V
-from .plans.winner import eligible_rows, window_weights, winners
+from .plans.winner import eligible_rows, kept, window_weights, winners
 from .sources import shards as S
 
 TAIL, LEAST = 216_000, 5
@@ -70,7 +70,7 @@ final AS (SELECT element_id, candidate AS final_hotkey, n_alike FROM (SELECT a.e
 
 @query(f"WITH {_MEANS}, {_COMMIT}, {_SIM} SELECT element_id, best.miner_hotkey, final_hotkey, n_alike FROM best JOIN final USING (element_id)", "shards")
 def tiebreak_by_similarity(spark, d):
-    rows = eligible_rows(V.shards(spark, d), TAIL)
+    rows = kept(eligible_rows(V.shards(spark, d), TAIL))
     means = G.mean_by_miner(rows).where(F.col("n") >= LEAST)
     out = H.tiebreak(rows, H.provisional_winner(means), G.mode_commit(rows, ("element_id", "miner_hotkey")), least_common=3)
     return out.select("element_id", "miner_hotkey", "final_hotkey", "n_alike")

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.audit import merge_failed_tuples
+
 SECONDS = 12
 
 
@@ -119,9 +121,29 @@ def warmup_stream(df: DataFrame, most: int = 5) -> DataFrame:
 
 
 def upsert_writer(path: str):
-    """A foreachBatch function that keeps the newest row of each tuple at path, as one version folder a batch."""
+    """A foreachBatch function that merges each batch (hotkey, element_id, commit_block, seen, status) into the failures known so far (see merge_failed_tuples).
+
+    State lies below path, one version folder a batch; a batch reads the newest version of an earlier batch, so one
+    that is run again gives the same version again. Of a batch's rows of a tuple the newest counts.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.groupBy("hotkey", "element_id", "commit_block").agg(F.max_by(F.struct("seen", "status"), "seen").alias("r")).select("hotkey", "element_id", "commit_block", "r.*").write.mode("overwrite").parquet(f"{path}/batch={epoch}")
+        spark = batch.sparkSession
+        news = batch.groupBy("hotkey", "element_id", "commit_block").agg(F.max_by(F.struct("seen", "status"), F.struct("seen", "status")).alias("r")).select("hotkey", "element_id", "commit_block", "r.*")
+        known = read_upserts(spark, path, epoch)
+        merge_failed_tuples(known, news).write.mode("overwrite").parquet(f"{path}/batch={epoch}")
 
     return write
+
+
+UPSERTS = "hotkey string, element_id string, commit_block bigint, first_seen bigint, last_seen bigint, status string"
+
+
+def read_upserts(spark, path: str, before: int | None = None) -> DataFrame:
+    """The newest version below path (of a batch earlier than `before`); an empty table where there is none."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in fs.listStatus(folder)] if fs.exists(folder) else []
+    done = [int(n[6:]) for n in names if n.startswith("batch=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    done = [n for n in done if before is None or n < before]
+    return spark.read.schema(UPSERTS).parquet(f"{path}/batch={max(done)}") if done else spark.createDataFrame([], UPSERTS)

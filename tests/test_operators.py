@@ -249,3 +249,11 @@ def test_registry_joins(spark):
     assert sorted(tuple(r) for r in C.extract_scores(payloads, registry).collect()) == [(1, "a", 0.5), (2, "b", 0.0), (2, "b", 0.25)]
     commits = spark.createDataFrame([("v", 5, "central_validator", " https://x/index.json "), ("v", 9, "central_validator", "ftp://x"), ("v", 7, "miner", "http://m"), ("w", 1, "central_validator", "http://w")], "hotkey string, block long, role string, url string")
     assert sorted(tuple(r) for r in C.latest_validator_index(commits).collect()) == [("v", 5, "https://x/index.json"), ("w", 1, "http://w")]
+
+
+def test_public_names_exist():
+    import scoregrid
+
+    assert all(callable(getattr(scoregrid, n)) for n in scoregrid.__all__) and len(scoregrid.__all__) > 60
+    with pytest.raises(AttributeError):
+        scoregrid.nothing_of_this_name

@@ -49,3 +49,31 @@ def test_keyed_state(spark, rows, tmp_path):
     want = {r["seq"]: (r["streak"], r["status"]) for r in latency_streak(batch, ("miner_hotkey",), F.col("latency_ms") <= 100, ("block", "seq")).collect()}
     assert got == want
     assert drain(ops.warmup_stream(stream), "trim", "append", tmp_path).count() <= batch.count()
+
+
+def test_upserts_keep_what_earlier_batches_saw(spark, tmp_path):
+    path = str(tmp_path / "failures")
+    schema = "hotkey string, element_id string, commit_block long, seen long, status string"
+    write = ops.upsert_writer(path)
+    batches = [[("a", "e", 1, 10, "FAIL_LATENCY"), ("b", "e", 1, 11, "FAIL_OUTPUT")], [("a", "e", 1, 20, "FAIL_RUNTIME"), ("a", "e", 1, 15, "PASS")], [("a", "e", 1, 30, "FAIL_LATENCY"), ("c", "e", 2, 31, "PASS")]]
+    for k, rows in enumerate([*batches, batches[2]]):
+        write(spark.createDataFrame(rows, schema), min(k, 2))
+    got = {r["hotkey"]: (r["first_seen"], r["last_seen"], r["status"]) for r in ops.read_upserts(spark, path).collect()}
+    assert got == {"a": (10, 30, "FAIL_LATENCY"), "b": (11, 11, "FAIL_OUTPUT")}
+    write(spark.createDataFrame([("a", "e", 1, 40, "PASS")], schema), 3)
+    assert {r["hotkey"] for r in ops.read_upserts(spark, path).collect()} == {"b"}
+
+
+def test_late_rows_are_dropped_by_the_watermark(spark, tmp_path):
+    """A shard older than the watermark reaches neither its window nor a later one; the batch form counts it."""
+    schema = "seq long, block long, element_id string, miner_hotkey string, validator_hotkey string, challenge_id string, score double, latency_ms double"
+    path = str(tmp_path / "shards")
+    rows = [[(1, 100, "e", "m", "v", "c1", 1.0, 1.0)], [(2, 500_000, "e", "m", "v", "c2", 1.0, 1.0)], [(3, 101, "e", "m", "v", "c3", 0.0, 1.0), (4, 1_000_000, "e", "m", "v", "c4", 1.0, 1.0)]]
+    for part in rows:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+        scores = ops.tumbling_scores(ops.with_time(spark.readStream.schema(schema).parquet(path)), 7200)
+        scores.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(availableNow=True).start().awaitTermination(120)
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    batch = ops.tumbling_scores(ops.with_time(spark.read.schema(schema).parquet(path)), 7200).collect()
+    first = lambda d: min(d, key=lambda r: r["start"])
+    assert first(got)["n"] == 1 and first(batch)["n"] == 2
