@@ -66,6 +66,18 @@ def test_ngram_classes(docs, none):
     assert ngram_join.jaccard_classes(none).count() == 0
 
 
+def test_ngram_join_against_its_sql(spark):
+    import duckdb
+
+    from scoregrid.llm import queries
+
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
+    want = c.sql(queries.oracle_sql()["op8_ngram_join"])
+    got = queries.op8_ngram_join(spark, SMALL)
+    assert sorted(tuple(r) for r in got.select(*want.columns).collect()) == sorted(want.fetchall())
+
+
 def test_rows_that_share_an_id_are_one_node(spark):
     text = {k: " ".join(f"{k}{i}" for i in range(30)) for k in "XYZ"}
     table = spark.createDataFrame([(5, text["X"]), (3, text["X"]), (5, text["Y"]), (9, text["Y"]), (7, text["Z"]), (5, "")], "doc_id long, text string")
