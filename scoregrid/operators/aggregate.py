@@ -49,8 +49,15 @@ def p95_index(df: DataFrame, keys: tuple[str, ...], value: str) -> DataFrame:
     return ranked.where(F.col("_r") == F.floor(0.95 * (F.col("_n") - 1)) + 1).select(*keys, F.col(value).alias("p95"))
 
 
-def challenge_map(df: DataFrame, keys: tuple[str, ...] = ("element_id", "miner_hotkey"), recent: int | None = None) -> DataFrame:
-    """Last score of each (key, challenge); recent: of the last so many rows only, taken before repeats overwrite."""
+def challenge_map(df: DataFrame, keys: tuple[str, ...] = ("element_id", "miner_hotkey"), recent: int | None = None, eligible: DataFrame | None = None, excluded: DataFrame | None = None) -> DataFrame:
+    """Last score of each (key, challenge); recent: of the last so many rows only, taken before repeats overwrite.
+
+    eligible, excluded: tables of challenge_id; only the former's and none of the latter's rows count.
+    """
+    if eligible is not None:
+        df = df.join(eligible.select("challenge_id").distinct(), "challenge_id", "left_semi")
+    if excluded is not None:
+        df = df.join(excluded.select("challenge_id").distinct(), "challenge_id", "left_anti")
     if recent is not None:
         w = Window.partitionBy(*keys).orderBy(F.desc("block"), F.desc("seq"))
         df = df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= recent).drop("_r")

@@ -51,6 +51,19 @@ def audit_pairing(responses: DataFrame, truth: DataFrame, key: str = "challenge_
     return both.crossJoin(F.broadcast(every))  # one row
 
 
+def weighted_fields(fields: Column, weights: dict[str, float]) -> Column:
+    """The entries of a map that have a positive weight; null where none is left."""
+    named = [n for n, w in sorted(weights.items()) if w > 0]
+    kept = F.map_filter(fields, lambda k, v: k.isin(named) & v.isNotNull()) if named else F.map_filter(fields, lambda k, v: F.lit(False))
+    return F.when(F.size(kept) > 0, kept)
+
+
+def frame_actions(listed: Column) -> Column:
+    """Frame and action of each entry of a JSON list that has both; null where none has."""
+    rows = F.filter(F.from_json(listed, "array<struct<frame:bigint,action:string>>"), lambda r: r["frame"].isNotNull() & r["action"].isNotNull())
+    return F.when(F.size(rows) > 0, rows)
+
+
 def latency_streak(checks: DataFrame, keys: tuple[str, ...], passed: Column, order: tuple[str, ...], limit: int = 3) -> DataFrame:
     """Each check with streak (fails since the last pass) and status: PASS, PENDING_LATENCY or FAIL_LATENCY."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -107,6 +107,22 @@ def repo_facts(files: DataFrame) -> DataFrame:
     return files.groupBy("model", "revision").agg((F.sum("size") / 1048576.0).alias("total_mb"), F.count_if(onnx).alias("n_onnx"), ((F.count_if(onnx) > 0) & (F.count_if(weights & ~onnx) == 0)).alias("only_onnx"))
 
 
+def artifact_problems(files: DataFrame, allowed: list[str], forbidden: list[str], most_bytes: int) -> DataFrame:
+    """(model, revision, total_bytes, n_onnx, problem) of a file listing (model, revision, path, size); problem is null for a good one.
+
+    Compiled caches do not count. By path, the first file with a forbidden suffix or one that is not allowed is the
+    problem; then a size over most_bytes; then no model file at all.
+    """
+    suffix = F.lower(F.regexp_extract("path", r"[^/.][^/]*?(\.[^./]+)$", 1))
+    live = files.where(~F.col("path").contains("__pycache__") & (suffix != ".pyc"))
+    name = F.element_at(F.split("path", "/"), -1)
+    bad = F.when(suffix.isin(forbidden), F.concat(F.lit("disallowed_binary_artifact:"), name)).when((suffix != "") & ~suffix.isin(allowed), F.concat(F.lit("unsupported_artifact_suffix:"), name))
+    total = live.groupBy("model", "revision").agg(F.sum("size").alias("total_bytes"), F.count_if(suffix == ".onnx").alias("n_onnx"), F.min(F.when(bad.isNotNull(), F.struct("path", bad.alias("bad")))).alias("b"))
+    out = files.select("model", "revision").distinct().join(total, ["model", "revision"], "left").na.fill(0, ["total_bytes", "n_onnx"])
+    size = F.when(F.col("total_bytes") > most_bytes, F.concat(F.lit("repo_size_exceeded:"), F.col("total_bytes").cast("string"), F.lit(f">{most_bytes}")))
+    return out.select("model", "revision", "total_bytes", "n_onnx", F.coalesce(F.col("b.bad"), size, F.when(F.col("n_onnx") == 0, "no_onnx_model_found")).alias("problem"))
+
+
 def as_of(rows: DataFrame, versions: DataFrame, at: str = "block", version_at: str = "from_block", fallback: bool = True, span: int = 7 * BLOCKS_PER_DAY, expires: str | None = None) -> DataFrame:
     """rows with the version of the largest version_at <= at; without one the largest overall (fallback) or nulls.
 

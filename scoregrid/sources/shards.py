@@ -89,6 +89,34 @@ def flatten_action_truth(rows: DataFrame, column: str = "truth") -> DataFrame:
     return x.select("challenge_id", F.col("ord").cast("bigint").alias("ord"), "a.frame", F.coalesce("a.type", "a.action").alias("action"), F.coalesce("a.confidence", F.lit(1.0)).alias("confidence"))
 
 
+def flatten_field_truth(rows: DataFrame, kind: str, column: str = "truth") -> DataFrame:
+    """(challenge_id, fields map<string,string>, problem) of cricket or card truth in `ground_truth`.
+
+    cricket: the first element's meta. card: the object, or a list's first element; its meta where that holds Header
+    or Grading_Features. What is missing gives null fields and says so.
+    """
+    v = F.try_parse_json(column)
+    listed = F.try_variant_get(v, "$.ground_truth", "array<variant>")
+    first = F.when(listed.isNotNull(), F.get(listed, F.lit(0))) if kind == "cricket" else F.when(listed.isNotNull(), F.get(listed, F.lit(0))).otherwise(F.try_variant_get(v, "$.ground_truth", "variant"))
+    meta = F.try_variant_get(first, "$.meta", "map<string,string>")
+    own = F.try_variant_get(first, "$", "map<string,string>")
+    fields = meta if kind == "cricket" else F.when(F.map_contains_key(meta, "Header") | F.map_contains_key(meta, "Grading_Features"), meta).otherwise(own)
+    problem = F.when(first.isNull(), "empty").when(fields.isNull(), "no fields")
+    return rows.select("challenge_id", fields.alias("fields"), problem.alias("problem"))
+
+
+def write_snapshot(winners: DataFrame, path: str, block: int) -> None:
+    """The winners of one block as a version folder; the same block written again replaces it."""
+    winners.write.mode("overwrite").parquet(f"{path}/block={block}")
+
+
+def read_latest_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """The winners of the largest block below path, with the column block; only that folder is read."""
+    every = spark.read.parquet(path)
+    newest = every.select("block").agg(F.max("block")).first()[0]
+    return every.where(F.col("block") == newest)
+
+
 def shard_payload(df: DataFrame) -> DataFrame:
     """Shard rows with payload struct: p95 by a fallback chain, latency_pass true by default, frame numbers off the private lane only."""
     have = set(df.columns)

@@ -257,3 +257,30 @@ def test_public_names_exist():
     assert all(callable(getattr(scoregrid, n)) for n in scoregrid.__all__) and len(scoregrid.__all__) > 60
     with pytest.raises(AttributeError):
         scoregrid.nothing_of_this_name
+
+
+def test_field_truth_and_reduced_pairs(spark):
+    rows = [(1, '{"ground_truth": [{"meta": {"kph": 120, "bounce_x": 1.5, "note": null}}]}'), (2, '{"ground_truth": []}'), (3, '{"ground_truth": {"card_grade": 9}}'), (4, '{"ground_truth": [{"meta": {"Header": "x"}, "z": 1}]}'), (5, None)]
+    df = spark.createDataFrame(rows, "challenge_id int, truth string")
+    got = {r["challenge_id"]: r for r in S.flatten_field_truth(df, "cricket").collect()}
+    assert (got[1]["fields"]["kph"], got[1]["problem"], got[2]["problem"], got[5]["problem"]) == ("120", None, "empty", "empty")
+    card = {r["challenge_id"]: r["fields"] for r in S.flatten_field_truth(df, "card").collect()}
+    assert card[3] == {"card_grade": "9"} and card[4] == {"Header": "x"} and card[5] is None
+    kept = S.flatten_field_truth(df.where("challenge_id = 1"), "cricket").select(D.weighted_fields(F.col("fields"), {"kph": 2.0, "bounce_x": 0.0, "note": 1.0}), D.weighted_fields(F.col("fields"), {"zz": 1.0})).first()
+    assert tuple(kept) == ({"kph": "120"}, None)
+    acts = one(spark, D.frame_actions(F.lit('[{"frame": 3, "action": "goal"}, {"frame": 4}, {"action": "x"}]')), D.frame_actions(F.lit('[{"frame": 4}]')))
+    assert [tuple(r) for r in acts[0]] == [(3, "goal")] and acts[1] is None
+
+
+def test_snapshots_and_artifacts(spark, tmp_path):
+    path = str(tmp_path / "snapshots")
+    for block, uid in ((5, 1), (30, 2), (12, 3), (30, 4)):
+        S.write_snapshot(spark.createDataFrame([("e", uid)], "element_id string, uid int"), path, block)
+    assert [(r["uid"], r["block"]) for r in S.read_latest_snapshot(spark, path).collect()] == [(4, 30)]
+    files = [("a", "m.onnx", 10), ("a", "miner.py", 5), ("a", "__pycache__/x.pyc", 99), ("b", "m.onnx", 10), ("b", "lib/z.so", 1), ("b", "a.zip", 1), ("c", "miner.py", 1), ("d", "m.onnx", 1000), ("e", "README", 1), ("e", "m.onnx", 1)]
+    listing = spark.createDataFrame([(m, "r", f, n) for m, f, n in files], "model string, revision string, path string, size long")
+    got = {r["model"]: r["problem"] for r in C.artifact_problems(listing, [".onnx", ".py"], [".so"], 100).collect()}
+    assert got == {"a": None, "b": "unsupported_artifact_suffix:a.zip", "c": "no_onnx_model_found", "d": "repo_size_exceeded:1000>100", "e": None}
+    rows = spark.createDataFrame([("e", "m", "c1", 0.5, 1, 1), ("e", "m", "c1", 0.7, 2, 1), ("e", "m", "c2", 0.1, 3, 1), ("e", "m", "c3", 0.2, 4, 1)], "element_id string, miner_hotkey string, challenge_id string, score double, block long, seq long")
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "challenge_id string")
+    assert {r["challenge_id"]: r["score"] for r in G.challenge_map(rows, eligible=ids("c1", "c2"), excluded=ids("c2")).collect()} == {"c1": 0.7}
