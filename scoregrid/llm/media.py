@@ -250,14 +250,15 @@ def decode_jpeg(frame: bytes) -> np.ndarray:
     return pixels(*decode_coefficients(frame))
 
 
-def shots(frames: list[np.ndarray], bins: int = 32, factor: float = 3.0, least: float = 0.1) -> list[tuple[int, int]]:
+def shots(frames: list[np.ndarray], bins: int = 32, factor: float = 3.0, least: float = 0.1, first: float = 0.5) -> list[tuple[int, int]]:
     """(first frame, frame after the last) of each shot: a cut stands where a histogram differs from its predecessor's
-    by more than the mean of the shot's differences so far, plus `factor` deviations, plus `least`."""
+    by more than the mean of the shot's differences so far, plus `factor` deviations, plus `least`; a shot's first
+    difference has none before it and cuts beyond `first`."""
     hist = [np.bincount(f.ravel() >> 3, minlength=bins) / f.size for f in frames]
     cuts, seen = [0], []
     for i in range(1, len(hist)):
         d = float(np.abs(hist[i] - hist[i - 1]).sum()) / 2
-        if seen and d > np.mean(seen) + factor * np.std(seen) + least:
+        if d > (np.mean(seen) + factor * np.std(seen) + least if seen else first):
             cuts.append(i)
             seen = []
         else:
@@ -269,15 +270,20 @@ CLIPS = "media_id bigint, clip int, first_frame int, frames int, start_s double,
 
 
 def clips(media: DataFrame, id_column: str = "media_id", media_column: str = "media") -> DataFrame:
-    """Timed clip rows of each AVI file: (media_id, clip, first_frame, frames, start_s, end_s). Null or empty files give none."""
+    """Timed clip rows of each AVI file: (media_id, clip, first_frame, frames, start_s, end_s). Null or empty files give none; a damaged file, or one whose frames the decoder refuses (colour), gives one row of nulls beside its id, so that it can be told from one without frames."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for name, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 if raw.as_py():
-                    avi = read_avi(raw.as_py())
-                    rows += [(name, k, x, y - x, x / avi.fps, y / avi.fps) for k, (x, y) in enumerate(shots([decode_jpeg(f) for f in avi.frames]))]
+                    try:
+                        avi = read_avi(raw.as_py())
+                        cuts = shots([decode_jpeg(f) for f in avi.frames])
+                    except (ValueError, IndexError, KeyError, struct.error):
+                        rows.append((name, *[None] * 5))
+                        continue
+                    rows += [(name, k, x, y - x, x / avi.fps, y / avi.fps) for k, (x, y) in enumerate(cuts)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(list(x)) for x in zip(*rows, strict=True)], ["media_id", "clip", "first_frame", "frames", "start_s", "end_s"]).cast(pa.schema([("media_id", pa.int64()), ("clip", pa.int32()), ("first_frame", pa.int32()), ("frames", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64())]))
 

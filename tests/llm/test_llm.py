@@ -584,8 +584,14 @@ def test_paragraph_links_against_all_pairs():
 
 
 def test_media(docs, none):
-    for r in media.media_digest(docs).collect():
-        assert r["payload_bytes"] % 64 == 0 and r["payload_bytes"] >= 64
+    got = Counter((r["doc_id"], r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"], r["media_bytes"], r["media_sha256"]) for r in media.media_digest(docs).collect())
+    want = Counter()
+    for r in docs.collect():
+        raw = (r["text"] or "").encode()
+        raw += bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        file = media.write_avi(np.frombuffer(raw, np.uint8))
+        want[r["doc_id"], len((r["text"] or "").encode()), len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]), len(file), hashlib.sha256(file).hexdigest()] += 1
+    assert got == want
     for raw in (b"", b"a", "é\n".encode() * 9000, bytes(range(256)) * 17):
         padded = np.zeros(max(64, -(-len(raw) // 64) * 64), np.uint8)
         padded[: len(raw)] = np.frombuffer(raw, np.uint8)
@@ -596,6 +602,14 @@ def test_media(docs, none):
     assert media.clips(none.selectExpr("doc_id media_id", "cast(null as binary) media")).count() == 0
 
 
+def test_damaged_files_give_a_row_of_nulls(spark):
+    good = media.write_avi(np.arange(6400, dtype=np.uint8))
+    rows = [(1, bytearray(good)), (2, bytearray(b"RIFFxx")), (3, bytearray(good[: len(good) // 2])), (4, None), (5, bytearray(b"")), (6, bytearray(b"no file at all, just text"))]
+    got = media.clips(spark.createDataFrame(rows, "media_id long, media binary")).collect()
+    assert {r["media_id"] for r in got if r["clip"] is not None} >= {1}
+    assert {r["media_id"] for r in got if r["clip"] is None} >= {2, 6} and not {4, 5} & {r["media_id"] for r in got}
+
+
 def test_shots_and_general_frames(spark):
     """Frames of the general decoder (several symbols, no restarts) and a cut between dark and bright runs."""
     rng = np.random.default_rng(8)
@@ -611,6 +625,7 @@ def test_shots_and_general_frames(spark):
     assert dark.shape == (16, 16) and dark.max() < 80 and bright.min() > 170
     noise = lambda x: np.clip(x.astype(int) + rng.integers(0, 3, x.shape), 0, 255).astype(np.uint8)
     assert media.shots([noise(dark) for _ in range(5)] + [noise(bright) for _ in range(4)]) == [(0, 5), (5, 9)]
+    assert media.shots([dark, bright]) == [(0, 1), (1, 2)] and media.shots([dark, noise(dark)]) == [(0, 2)]
 
 
 def test_mixing(spark, docs, none):
