@@ -283,6 +283,39 @@ def test_fingerprints(spark, docs, none):
     assert tuple(r)[:3] == (True, True, True) and 0.3 < r[3] <= 1
 
 
+def test_fingerprints_against_a_plain_version(docs):
+    """Every coordinate by its definition, and likeness from sums of random signs."""
+    import struct
+
+    import xxhash
+
+    def one_hash(text, seed):
+        return xxhash.xxh64(struct.pack("<i", seed), seed=xxhash.xxh64(text.encode(), seed=42).intdigest()).intdigest()
+
+    def vector(text):
+        parts = [p for p in re.split(r"\n+|(?<=[.!?]) +", text) if p]
+        whole = [len(parts)] + [sum(one_hash(p, s) & fingerprint.M61 for p in parts) & fingerprint.M61 for s in (1, 2, 3, 4)]
+        signs = []
+        for s in (5, 6):
+            hashes = [one_hash(p, s) for p in parts]
+            whole += [sum((h >> j) & fingerprint.BITS for h in hashes) & fingerprint.M62 for j in range(fingerprint.FIELD)]
+            signs += [2 * sum(h >> (j + fingerprint.FIELD * k) & 1 for h in hashes) - len(parts) for j in range(fingerprint.FIELD) for k in range(3)]
+        return whole, np.array(signs, float)
+
+    rows = docs.where("doc_id is not null and doc_id <> 13").select("doc_id", "text")
+    plain = sorted(rows.collect(), key=lambda r: r["doc_id"])
+    got = {r["doc_id"]: r for r in fingerprint.fingerprints(rows).collect()}
+    for i, r in enumerate(plain):
+        x, y = r["text"] or "", plain[(i + 1) % len(plain)]["text"] or ""
+        edited = x[: len(x) - len(x) // 2] + y[: len(x) // 2]
+        (v, a), (w, b), (e, c) = vector(x), vector(y), vector(edited)
+        g = got[r["doc_id"]]
+        assert g["fingerprint"] == "".join(f"{k:016X}" for k in v) and g["edited_fingerprint"] == "".join(f"{k:016X}" for k in e)
+        for name, u, z, su, sz in (("near_next", v, w, a, b), ("near_edited", v, e, a, c)):
+            want = 1.0 if u == z else 0.0 if 0 in (u[0], z[0]) else min(1.0, max(0.0, float(su @ sz / max(1e-9 * 120, su @ su + sz @ sz - su @ sz))))
+            assert g[name] == pytest.approx(want, abs=1e-9)
+
+
 def test_fingerprint_plan_is_native(docs):
     plan = fingerprint.fingerprints(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
