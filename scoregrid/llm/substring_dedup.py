@@ -190,18 +190,19 @@ def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     return out
 
 
-def _runs(key: list[int], words: list[int], source: dict[int, int], first: int, last: int, run_words: int) -> Iterator[tuple[int, int, set[int]]]:
-    """(first unit, last unit, earlier documents) of each run of repeats between units first and last - 1 with run_words words or more.
+def _runs(key: list[int], words: list[int], source: dict[int, int], run_words: int) -> Iterator[tuple[int, int, set[int]]]:
+    """(first unit, last unit, earlier documents) of each run of repeats with run_words words or more in a document's units.
 
     A run goes on over repeats and over units of fewer than SIZE words. It begins and ends with a repeat that counts:
     one of SIZE words or more, or a shorter one whose nearest repeat before or after it has the same earlier document.
     """
-    at = [k for k in range(first, last) if words[k] and key[k] in source]
+    last = len(key)
+    at = [k for k in range(last) if words[k] and key[k] in source]
     near = {}
     for i, k in enumerate(at):
         beside = [source[key[j]] for j in at[max(0, i - 1) : i] + at[i + 1 : i + 2] if all(words[x] < SIZE or key[x] in source for x in range(min(j, k), max(j, k)))]
         near[k] = words[k] >= SIZE or source[key[k]] in beside
-    k = first
+    k = 0
     while k < last:
         if not near.get(k):
             k += 1
@@ -224,13 +225,15 @@ def _remove(at_id: int, at_text: int, run_words: int):
             units, firsts = b.column(b.num_columns - 2), b.column(b.num_columns - 1)
             for row, buf, offs in text_chunks(b.column(at_text)):
                 u, raw = Units(buf, offs), buf.tobytes()
+                keys, words = _signed(u.key), u.words
                 for i in range(len(offs) - 1):
                     begin, end = int(offs[i]), int(offs[i + 1])
                     marked, cuts, sources = units[row + i].as_py(), [], set()
                     if marked:
                         source = dict(zip(marked, firsts[row + i].as_py(), strict=True))
-                        for x, y, met in _runs(_signed(u.key).tolist(), u.words.tolist(), source, int(u.first[i]), int(u.first[i + 1]), run_words):
-                            cuts.append((int(u.starts[x]), int(u.ends[y])))
+                        lo, hi = int(u.first[i]), int(u.first[i + 1])
+                        for x, y, met in _runs(keys[lo:hi].tolist(), words[lo:hi].tolist(), source, run_words):
+                            cuts.append((int(u.starts[lo + x]), int(u.ends[lo + y])))
                             sources |= met
                     text, spot = [], begin
                     for x, y in cuts:
