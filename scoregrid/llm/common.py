@@ -179,3 +179,29 @@ def parts_for(docs: DataFrame, column: str, per_part: int) -> int:
 def crc_mod(column: Column, k: int) -> Column:
     """crc32 of an id written as text, modulo k (null id: 0)."""
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % k, F.lit(0))
+
+
+def text_key(text: Column) -> Column:
+    """SHA-256 of a text as binary (null: that of the empty text)."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
+HOT_PARTS = 1000
+
+
+def join_by_text(docs: DataFrame, values: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """doc_id of every row of docs (as bigint), with the other columns of `values` (key = text_key, copies, ...) of its text, null where it has none.
+
+    A text that a thousandth of all copies or more share is sent to the documents; there are at most a thousand of those.
+    The others are shuffled by key, and rows of sent texts go by a hash of their id instead. `values` is read three times: a
+    written table.
+    """
+    rest = [c for c in values.columns if c not in ("key", "copies")]
+    total = values.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("all")).first()["all"]
+    hot = values.where(F.col("copies") * HOT_PARTS >= F.lit(total)).select(F.col("key").alias("hot_key"), F.struct(*rest).alias("hot"))
+    keyed = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), text_key(F.col(text_column)).alias("full_key"))
+    keyed = keyed.join(F.broadcast(hot), F.col("full_key") == F.col("hot_key"), "left")
+    keyed = keyed.withColumn("key", F.when(F.col("hot_key").isNull(), F.col("full_key")).otherwise(F.coalesce(F.col("doc_id"), F.lit(0)).cast("string").cast("binary")))  # at most 20 bytes: no key
+    cold = values.where(F.length("key") == 32).select("key", F.struct(*rest).alias("cold"))
+    both = keyed.join(cold, "key", "left").withColumn("v", F.coalesce("hot", "cold"))
+    return both.select("doc_id", *[F.col(f"v.{c}").alias(c) for c in rest])

@@ -7,6 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
+from .alignment import alignment_of_all
 from .common import small_batches
 from .fingerprint import fingerprints
 from .language import language_of_all
@@ -64,8 +65,12 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_of_all(_documents(spark, sf_dir))
 
 
+def op11_text_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment_of_all(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_attention_scoring, op2_token_files, op3_paragraph_dedup, op4_multiset_fingerprint, op5_byte_cnn_quality, op6_language_filters, op7_best_fit_packing, op8_ngram_join, op9_avi_media, op10_source_mixing)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_attention_scoring, op2_token_files, op3_paragraph_dedup, op4_multiset_fingerprint, op5_byte_cnn_quality, op6_language_filters, op7_best_fit_packing, op8_ngram_join, op9_avi_media, op10_source_mixing, op11_text_alignment)} | {"pipeline": corpus_pipeline.run}
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
