@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import CHUNK, discard, join_by_text, span_hashes, stash, text_chunks, text_key
 from .tokens import vocabulary_path
 
-KEEP = 400_000
+KEEP = 1_000_000
 SENT_PAIRS = 1_500_000  # up to so many id pairs are sent to every executor; beyond, both sides are shuffled by the pair
 PIECE_BITS = 15
 _OPEN = np.zeros(256, bool)  # bytes that begin a character which is no white space, ASCII or U+00C0 to U+07FF
@@ -57,6 +58,41 @@ def _summed(code: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return code[first], np.add.reduceat(times, first) if len(first) else times
 
 
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of the lists, and all their items."""
+    count = np.array([len(x) for x in lists], np.int64)
+    return count, np.fromiter(chain.from_iterable(lists), np.int64, int(count.sum()))
+
+
+class _Strings:
+    """A table of byte strings by id."""
+
+    def __init__(self, strings: list[bytes]):
+        self.length = np.array([len(x) for x in strings], np.int64)
+        self.at = np.cumsum(self.length) - self.length
+        self.flat = np.frombuffer(b"".join(strings), np.uint8)
+
+    def gather(self, ids: np.ndarray, room: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """The strings of ids one after another, each with `room` free bytes behind it, and their lengths."""
+        length = self.length[ids]
+        out = np.zeros(int(length.sum()) + room * len(ids), np.uint8)
+        out[_ranges(np.cumsum(length + room) - length - room, length)] = self.flat[_ranges(self.at[ids], length)]
+        return out, length + room
+
+    def same(self, lists: list[list[int]], want: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Whether the strings of each list give the bytes want[at[i]:at[i + 1]] (never an empty span)."""
+        count, ids = _flat(lists)
+        size = np.concatenate([[0], np.cumsum(self.length[ids])])[np.concatenate([[0], np.cumsum(count)])]
+        good = np.diff(size) == np.diff(at)
+        got = self.gather(ids)[0]
+        spans = np.flatnonzero(good)
+        if len(spans):
+            n = np.diff(at)[spans]
+            equal = got[_ranges(size[spans], n)] == want[_ranges(at[spans], n)]
+            good[spans] = np.logical_and.reduceat(equal, np.cumsum(n) - n)
+        return good
+
+
 class SegmentAligner:
     """Alignments of segments under a byte-level tokenizers file (A) and a sentencepiece model (B)."""
 
@@ -69,12 +105,12 @@ class SegmentAligner:
         self.a.encode_special_tokens = True  # their strings in a text are ordinary text
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_file)
         code = _byte_alphabet()
-        self.a_bytes = [bytes(code[c] for c in token) if token is not None and all(c in code for c in token) else (token or "").encode() for token in map(self.a.id_to_token, range(self.a.get_vocab_size()))]
+        self.a_text = _Strings([bytes(code[c] for c in token) if token is not None and all(c in code for c in token) else (token or "").encode() for token in map(self.a.id_to_token, range(self.a.get_vocab_size()))])
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        if len(pieces) > 1 << PIECE_BITS or len(self.a_bytes) > 1 << 31 - PIECE_BITS:
+        if len(pieces) > 1 << PIECE_BITS or len(self.a_text.length) > 1 << 31 - PIECE_BITS:
             raise ValueError("an id pair must fit 31 bits")
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.a_len, self.b_len = (np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes))
+        self.b_text = _Strings([bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)])
+        self.digits = _Strings([b"%d" % i for i in range(max(len(pieces), len(self.a_text.length)))])
         # no piece goes on over a space or a line end: then a text may be cut there
         self.cuts = not any("\n" in p or "▁" in p.lstrip("▁") for p in pieces) and len(self.b.encode("\n")) == 2
         self.forget()
@@ -91,59 +127,53 @@ class SegmentAligner:
         got = self.b.encode([(s[1:] if lead else b"\n" + s).decode() for s, lead in zip(segments, led, strict=True)], num_threads=1)
         return [ids if lead else ids[2:] for ids, lead in zip(got, led, strict=True)]
 
-    def learn(self, keys: np.ndarray, segments: list[bytes]) -> None:
-        """Align new segments and keep what came of it."""
-        a = [e.ids for e in self.a.encode_batch([s.decode() for s in segments], add_special_tokens=False)]
+    def learn(self, keys: np.ndarray, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Align new segments (spans of buf) and keep what came of it."""
+        raw = buf.tobytes()
+        segments = [raw[i:j] for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
+        a = [e.ids for e in self.a.encode_batch_fast([s.decode() for s in segments], add_special_tokens=False)]
         b = self._pieces(segments)
-        good = [b"".join([self.a_bytes[i] for i in x]) == s == b"".join([self.b_bytes[i] for i in y]) for s, x, y in zip(segments, a, b, strict=True)]
-        a, b = ([x if ok else [] for x, ok in zip(side, good, strict=True)] for side in (a, b))
-        seg = np.arange(len(segments))
-        na, nb = (np.array([len(x) for x in side], np.int64) for side in (a, b))
-        ia, ib = (np.array([i for x in side for i in x], np.int64) for side in (a, b))
-        end_a, end_b = np.cumsum(self.a_len[ia]), np.cumsum(self.b_len[ib])
-        ends = np.intersect1d(end_a, end_b)
-        group_a, group_b = np.searchsorted(ends, end_a), np.searchsorted(ends, end_b)
-        of = np.zeros(len(ends), np.int64)
+        seg, want = np.arange(len(segments)), np.concatenate([[0], np.cumsum(ends - starts)])
+        bytes_of = buf[_ranges(starts, ends - starts)]
+        good = self.a_text.same(a, bytes_of, want) & self.b_text.same(b, bytes_of, want)
+        a, b = ([x if ok else [] for x, ok in zip(side, good.tolist(), strict=True)] for side in (a, b))
+        (na, ia), (nb, ib) = _flat(a), _flat(b)
+        end_a, end_b = np.cumsum(self.a_text.length[ia]), np.cumsum(self.b_text.length[ib])
+        ends_of = end_a[end_b[np.minimum(np.searchsorted(end_b, end_a), max(0, len(end_b) - 1))] == end_a] if len(end_b) else end_a
+        group_a, group_b = np.searchsorted(ends_of, end_a), np.searchsorted(ends_of, end_b)
+        of = np.zeros(len(ends_of), np.int64)
         of[group_a] = np.repeat(seg, na)
-        in_a, in_b = np.bincount(group_a, minlength=len(ends)), np.bincount(group_b, minlength=len(ends))
-        sizes = np.stack([na, nb, np.bincount(of, minlength=len(seg)), np.bincount(of, in_a * in_b, len(seg)).astype(np.int64), np.array(good, np.int64)])
+        in_a, in_b = np.bincount(group_a, minlength=len(of)), np.bincount(group_b, minlength=len(of))
+        sizes = np.stack([na, nb, np.bincount(of, minlength=len(seg)), np.bincount(of, in_a * in_b, len(seg)).astype(np.int64), good.astype(np.int64)])
         ua, ta = _summed(group_a << 32 | ia, np.ones(len(ia), np.int64))
         ub, tb = _summed(group_b << 32 | ib, np.ones(len(ib), np.int64))
-        each = np.bincount(ub >> 32, minlength=len(ends))
+        each = np.bincount(ub >> 32, minlength=len(of))
         from_b = np.concatenate([[0], np.cumsum(each)])
         reps = each[ua >> 32]
         right = _ranges(from_b[ua >> 32], reps)
         pair = np.repeat(ua & 0xFFFFFFFF, reps) << PIECE_BITS | ub[right] & 0xFFFFFFFF
         code, times = _summed(np.repeat(of[ua >> 32], reps) << 31 | pair, np.repeat(ta, reps) * tb[right])
-        said = self._said(a, b, na, group_a, group_b)
-        length = np.array([len(x) for x in said], np.int64)
+        said, length = self._said(ia, ib, group_a, group_b)
         first = self.sizes.shape[1]
         self.sizes = np.concatenate([self.sizes, sizes], axis=1)
         self.pair = np.concatenate([self.pair, (code & 0x7FFFFFFF).astype(np.int32)])
         self.times = np.concatenate([self.times, times.astype(np.int32)])
         self.pair_at = np.concatenate([self.pair_at, self.pair_at[-1] + np.cumsum(np.bincount(code >> 31, minlength=len(seg)))])
-        self.said = np.concatenate([self.said, np.frombuffer(b"".join(said), np.uint8)])
-        self.said_at = np.concatenate([self.said_at, self.said_at[-1] + np.cumsum(length)])
+        self.said = np.concatenate([self.said, said])
+        self.said_at = np.concatenate([self.said_at, self.said_at[-1] + np.cumsum(np.bincount(of, length, len(seg)).astype(np.int64))])
         keys, rows = np.concatenate([self.keys, keys]), np.concatenate([self.rows, first + seg])
         order = np.argsort(keys, kind="stable")
         self.keys, self.rows = keys[order], rows[order]
 
-    def _said(self, a: list[list[int]], b: list[list[int]], na: np.ndarray, group_a: np.ndarray, group_b: np.ndarray) -> list[bytes]:
-        """The groups of each segment as text, each with `;` behind it."""
-        out, i, j = [], 0, 0
-        ga, gb = group_a.tolist(), group_b.tolist()
-        for x, y in zip(a, b, strict=True):
-            parts, p, q = [], 0, 0
-            while p < len(x):
-                g, p0, q0 = ga[i + p], p, q
-                while p < len(x) and ga[i + p] == g:
-                    p += 1
-                while q < len(y) and gb[j + q] == g:
-                    q += 1
-                parts.append(",".join(map(str, x[p0:p])) + "|" + ",".join(map(str, y[q0:q])) + ";")
-            out.append("".join(parts).encode())
-            i, j = i + len(x), j + len(y)
-        return out
+    def _said(self, ia: np.ndarray, ib: np.ndarray, group_a: np.ndarray, group_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The groups as text, each with `;` behind it, and the length of each."""
+        side = np.concatenate([2 * group_a, 2 * group_b + 1])
+        order = np.argsort(side, kind="stable")
+        ids, side = np.concatenate([ia, ib])[order], side[order]
+        last = np.append(side[1:] != side[:-1], True) if len(side) else np.zeros(0, bool)
+        out, length = self.digits.gather(ids, 1)
+        out[np.cumsum(length) - 1] = np.where(last, np.where(side & 1, ord(";"), ord("|")), ord(","))
+        return out, np.bincount(side >> 1, length).astype(np.int64)
 
     def entries(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         code, keys = pd.factorize(span_hashes(buf, starts, ends))
@@ -155,8 +185,7 @@ class SegmentAligner:
                 known = np.zeros(len(keys), bool)
             at = np.zeros(len(keys), np.int64)
             at[code[::-1]] = np.arange(len(code))[::-1]
-            raw = buf.tobytes()
-            self.learn(keys[~known], [raw[starts[i] : ends[i]] for i in at[~known].tolist()])
+            self.learn(keys[~known], buf, starts[at[~known]], ends[at[~known]])
             spot = np.searchsorted(self.keys, keys)
         return self.rows[spot][code]
 

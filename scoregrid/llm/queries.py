@@ -95,13 +95,14 @@ SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.c) AS componen
 OP12_SQL = rf"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
 w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
 o AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, (SELECT unnest(range(1, 5)) AS k) WHERE len(w) >= k),
-f AS (SELECT lang, k, phrase, count(*) AS f FROM o GROUP BY ALL),
-n AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY 1),
-c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2 AND f >= 30),
-u AS (SELECT c.lang, c.phrase, c.a, x.f AS l, y.f AS r, cut, (2000000::HUGEINT * c.a) // (x.f + y.f)::HUGEINT AS score FROM c, (SELECT unnest(range(1, 4)) AS cut), f x, f y
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM o GROUP BY ALL),
+n AS MATERIALIZED (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY 1),
+q AS MATERIALIZED (SELECT * FROM f WHERE f >= 30),
+c AS MATERIALIZED (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM q WHERE k >= 2),
+u AS MATERIALIZED (SELECT c.lang, c.phrase, c.a, x.f AS l, y.f AS r, cut, (2000000::HUGEINT * c.a) // (x.f + y.f)::HUGEINT AS score FROM c, (SELECT unnest(range(1, 4)) AS cut), q x, q y
   WHERE cut < c.k AND x.lang = c.lang AND x.phrase = array_to_string(c.w[1:cut], ' ') AND y.lang = c.lang AND y.phrase = array_to_string(c.w[cut + 1:], ' ')),
-m AS (SELECT * FROM (SELECT u.*, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS place FROM u) WHERE place = 1),
-i AS (SELECT lang, sub, max(a) AS most FROM (SELECT lang, a, unnest(list_transform(range(1, k - s + 2), lambda i: array_to_string(w[i:i + s - 1], ' '))) AS sub FROM c, (SELECT unnest(range(2, 4)) AS s) WHERE s < k) GROUP BY ALL),
+m AS MATERIALIZED (SELECT * FROM (SELECT u.*, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS place FROM u) WHERE place = 1),
+i AS MATERIALIZED (SELECT lang, sub, max(a) AS most FROM (SELECT lang, a, unnest(list_transform(range(1, k - s + 2), lambda i: array_to_string(w[i:i + s - 1], ' '))) AS sub FROM c, (SELECT unnest(range(2, 4)) AS s) WHERE s < k) GROUP BY ALL),
 g AS (SELECT m.*, row_number() OVER (PARTITION BY m.lang ORDER BY score DESC, a DESC, phrase) AS rank FROM m LEFT JOIN i ON i.lang = m.lang AND i.sub = m.phrase WHERE i.most IS NULL OR 100::HUGEINT * i.most < 80::HUGEINT * m.a)
 SELECT g.lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM g JOIN n USING (lang) WHERE rank <= 2000"""
 
