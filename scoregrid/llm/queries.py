@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .alignment import alignment_of_all
 from .collocations import collocations
 from .common import small_batches
+from .credentials import KINDS, REACH, secrets_of_all
 from .fingerprint import fingerprints
 from .language import language_of_all
 from .lm_scoring import lm_of_all
@@ -74,8 +75,12 @@ def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_documents(spark, sf_dir))
 
 
+def op13_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_of_all(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_attention_scoring, op2_token_files, op3_paragraph_dedup, op4_multiset_fingerprint, op5_byte_cnn_quality, op6_language_filters, op7_best_fit_packing, op8_ngram_join, op9_avi_media, op10_source_mixing, op11_text_alignment, op12_phrase_collocations)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_attention_scoring, op2_token_files, op3_paragraph_dedup, op4_multiset_fingerprint, op5_byte_cnn_quality, op6_language_filters, op7_best_fit_packing, op8_ngram_join, op9_avi_media, op10_source_mixing, op11_text_alignment, op12_phrase_collocations, op13_credential_links)} | {"pipeline": corpus_pipeline.run}
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -99,13 +104,39 @@ f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM o GROUP BY ALL),
 n AS MATERIALIZED (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY 1),
 q AS MATERIALIZED (SELECT * FROM f WHERE f >= 30),
 c AS MATERIALIZED (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM q WHERE k >= 2),
-u AS MATERIALIZED (SELECT c.lang, c.phrase, c.a, x.f AS l, y.f AS r, cut, (2000000::HUGEINT * c.a) // (x.f + y.f)::HUGEINT AS score FROM c, (SELECT unnest(range(1, 4)) AS cut), q x, q y
-  WHERE cut < c.k AND x.lang = c.lang AND x.phrase = array_to_string(c.w[1:cut], ' ') AND y.lang = c.lang AND y.phrase = array_to_string(c.w[cut + 1:], ' ')),
+h AS MATERIALIZED (SELECT lang, phrase, a, cut, array_to_string(w[1:cut], ' ') AS head, array_to_string(w[cut + 1:], ' ') AS tail FROM c, (SELECT unnest(range(1, 4)) AS cut) WHERE cut < k),
+u AS MATERIALIZED (SELECT h.lang, h.phrase, a, x.f AS l, y.f AS r, cut, (2000000::HUGEINT * a) // (x.f + y.f)::HUGEINT AS score FROM h JOIN q x ON x.lang = h.lang AND x.phrase = head JOIN q y ON y.lang = h.lang AND y.phrase = tail),
 m AS MATERIALIZED (SELECT * FROM (SELECT u.*, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS place FROM u) WHERE place = 1),
 i AS MATERIALIZED (SELECT lang, sub, max(a) AS most FROM (SELECT lang, a, unnest(list_transform(range(1, k - s + 2), lambda i: array_to_string(w[i:i + s - 1], ' '))) AS sub FROM c, (SELECT unnest(range(2, 4)) AS s) WHERE s < k) GROUP BY ALL),
 g AS (SELECT m.*, row_number() OVER (PARTITION BY m.lang ORDER BY score DESC, a DESC, phrase) AS rank FROM m LEFT JOIN i ON i.lang = m.lang AND i.sub = m.phrase WHERE i.most IS NULL OR 100::HUGEINT * i.most < 80::HUGEINT * m.a)
 SELECT g.lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM g JOIN n USING (lang) WHERE rank <= 2000"""
 
 
+def _op13_sql() -> str:
+    """Matches placed by the lengths before them, and weak parts that an identifier-secret pair within reach confirms."""
+    quoted = {k: p.replace("'", "''") for k, _, p in KINDS}
+    good = {"assign": f"length(regexp_extract(m, '{quoted['assign']}', 2)) >= 8", "access": "length(m) >= 16", "opaque": "regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[0-9]')"}
+    found = " UNION ALL ".join(f"SELECT rid, {i} AS kind, regexp_extract_all(text, '{quoted[k]}') AS f, string_split_regex(text, '{quoted[k]}') AS g FROM d" for i, (k, _, _) in enumerate(KINDS))
+    counts = "CASE kind " + " ".join(f"WHEN {i} THEN {good[k]}" for i, (k, _, _) in enumerate(KINDS) if k in good) + " ELSE true END"
+    of = {c: ", ".join(str(i) for i, (_, x, _) in enumerate(KINDS) if x == c) for c in ("id", "secret", "endpoint")}
+    gap = lambda a, b: f"greatest({a}.start - {b}.stop, {b}.start - {a}.stop) BETWEEN 0 AND {REACH}"
+    name = "CASE kind " + " ".join(f"WHEN {i} THEN '{k}'" for i, (k, _, _) in enumerate(KINDS)) + " END"
+    return f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+x AS (SELECT rid, kind, f, g, unnest(range(1, len(f) + 1)) AS i FROM ({found}) AS a WHERE len(f) > 0),
+y AS (SELECT rid, kind, f[i] AS m, sum(length(g[i]) + length(f[i])) OVER (PARTITION BY rid, kind ORDER BY i) AS stop FROM x),
+z AS MATERIALIZED (SELECT rid, kind, (stop - length(m))::BIGINT AS start, stop::BIGINT AS stop FROM y WHERE {counts}),
+p AS MATERIALIZED (SELECT *, count(CASE WHEN kind = 6 THEN 1 END) OVER w AS scope,
+  coalesce(max(CASE WHEN kind < 3 THEN stop END) OVER w > start, false) OR coalesce(min(CASE WHEN kind < 3 THEN start END) OVER v < stop, false) AS covered FROM z
+  WINDOW w AS (PARTITION BY rid ORDER BY start, kind ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), v AS (PARTITION BY rid ORDER BY start, kind ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+u AS MATERIALIZED (SELECT * FROM p WHERE kind < 3 OR kind = 5 OR (kind < 5 AND NOT covered)),
+l AS MATERIALIZED (SELECT a.rid, a.scope, a.kind AS ak, a.start AS a1, a.stop AS a2, b.kind AS bk, b.start AS b1, b.stop AS b2 FROM u a JOIN u b ON a.rid = b.rid AND a.scope = b.scope
+  WHERE a.kind IN ({of['id']}) AND b.kind IN ({of['secret']}) AND {gap('a', 'b')}),
+e AS (SELECT DISTINCT c.rid, c.kind, c.start, c.stop FROM l JOIN u c ON c.rid = l.rid AND c.scope = l.scope WHERE c.kind IN ({of['endpoint']}) AND greatest(a1 - c.stop, c.start - a2) BETWEEN 0 AND {REACH} AND greatest(b1 - c.stop, c.start - b2) BETWEEN 0 AND {REACH}),
+r AS (SELECT rid, kind, start, stop FROM p WHERE kind < 3 UNION SELECT rid, ak, a1, a2 FROM l WHERE ak >= 3 UNION SELECT rid, bk, b1, b2 FROM l WHERE bk >= 3 UNION SELECT * FROM e),
+t AS (SELECT rid, count(CASE WHEN kind = 0 THEN 1 END) AS n_assign, count(CASE WHEN kind = 1 THEN 1 END) AS n_access, count(CASE WHEN kind = 2 THEN 1 END) AS n_hex,
+  string_agg(CASE WHEN kind < 3 THEN {name} || ':' || start || ':' || stop END, ',' ORDER BY start, kind) AS base, string_agg({name} || ':' || start || ':' || stop, ',' ORDER BY start, kind) AS spans FROM r GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN t USING (rid)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_ngram_join": OP8_SQL, "op12_phrase_collocations": OP12_SQL}
+    return {"op8_ngram_join": OP8_SQL, "op12_phrase_collocations": OP12_SQL, "op13_credential_links": _op13_sql()}
