@@ -214,13 +214,13 @@ def adaptive_iou_bar(box: Column, width: int = 960, height: int = 540) -> Column
 
 
 def is_bowtie(x1, y1, x2, y2, x3, y3, x4, y4) -> Column:
-    """A quadrilateral crosses itself if opposite edges do, by orientation signs."""
+    """A quadrilateral crosses itself if opposite edges do. A corner on another edge's line counts as lying on its not-left side."""
 
-    def side(ax, ay, bx, by, cx, cy):
-        return F.signum(((by - ay) * (cx - bx) - (bx - ax) * (cy - by)).cast("double"))
+    def left(a, b, c):
+        return (c[1] - a[1]) * (b[0] - a[0]) > (b[1] - a[1]) * (c[0] - a[0])
 
     def cross(a, b, c, d):
-        return (side(*a, *b, *c) != side(*a, *b, *d)) & (side(*c, *d, *a) != side(*c, *d, *b))
+        return (left(a, c, d) != left(b, c, d)) & (left(a, b, c) != left(a, b, d))
 
     p = [(x1, y1), (x2, y2), (x3, y3), (x4, y4)]
     return cross(p[0], p[1], p[2], p[3]) | cross(p[1], p[2], p[3], p[0])
@@ -290,11 +290,11 @@ BOX_FIELDS = ["x1", "y1", "x2", "y2", "cls_id"]  # fixed values: what a predicte
 def prediction_problem(rows: Column) -> Column:
     """What is wrong first with predicted rows (JSON text of an array): a reason with the row's and the item's place, else null.
 
-    A row needs frame_id; boxes and polygons are lists or absent; a box needs BOX_FIELDS, a polygon cls_id and a list of
+    A row needs frame_id; boxes and polygons are lists or absent (what is empty, zero or false counts as absent); a box needs BOX_FIELDS, a polygon cls_id and a list of
     points (points, polygon or masks) of two numbers each.
     """
     maps = "array<map<string,string>>"
-    listed = lambda t: t.isNull() | (t == "") | t.startswith("[")
+    listed = lambda t: t.isNull() | t.isin("", "0", "0.0", "false", "{}") | t.startswith("[")
     at = lambda text, *i: F.concat_ws("_", F.lit(text + "_at"), *[x.cast("string") for x in i])
     first = lambda reasons: F.get(F.filter(reasons, lambda x: x.isNotNull()), F.lit(0))
 

@@ -82,3 +82,15 @@ def element_window_summary(df: DataFrame, manifest: DataFrame) -> DataFrame:
     """(window_id, element_id, n_clips, n_miners, theta, beta): needs window_id."""
     n = df.groupBy("window_id", "element_id").agg(F.count_distinct("challenge_id").alias("n_clips"), F.count_distinct("miner_hotkey").alias("n_miners"))
     return n.join(F.broadcast(manifest.select("element_id", "theta", "beta")), "element_id").select("window_id", "element_id", "n_clips", "n_miners", "theta", "beta")
+
+
+def clip_means(df: DataFrame, tempo: int, values: tuple[str, ...], keys: tuple[str, ...] = ("element_id", "miner_hotkey"), unit: float = 1e-9) -> DataFrame:
+    """(start, keys, n, a mean for each value) of each window of tempo blocks.
+
+    Values are summed as whole numbers of `unit`, so that a mean does not depend on the order of its rows; means are rounded
+    half up to a thousand units. Null values count as rows and add nothing.
+    """
+    whole = lambda v: F.floor(F.col(v) / unit + 0.5).cast("decimal(28,0)")
+    sums = df.groupBy((F.floor(F.col("block") / tempo) * tempo).alias("start"), *keys).agg(F.count("*").alias("n"), *[F.coalesce(F.sum(whole(v)), F.lit(0)).cast("decimal(38,0)").alias(v) for v in values])
+    mean = lambda v: F.expr(f"(2 * {v} + 1000 * n) div (2000 * n)") * (unit * 1000)
+    return sums.select("start", *keys, "n", *[mean(v).alias(v) for v in values])

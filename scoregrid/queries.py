@@ -243,10 +243,14 @@ def mad_pruned_mean(spark, d):
     return G.mad_prune(V.shards(spark, d), ("element_id",), "score", "latency_ms", 2.0).select("element_id", *six("mean"), "n_kept")
 
 
-@query("SELECT block // 7200 * 7200 AS start, element_id, miner_hotkey, count(*) AS n, round(avg(score) + 1e-9, 6) AS avg_score, round(avg(beta * greatest(greatest(score - theta, 0), delta_floor)) + 1e-9, 6) AS paid FROM shards JOIN manifest USING (element_id) GROUP BY ALL", "shards", "manifest")
+_UNITS = "CAST(floor({} / 1e-9 + 0.5) AS HUGEINT)"
+_MEAN = "round((2 * sum({}) + 1000 * count(*)) // (2000 * count(*)) * 1e-6, 6)"
+
+
+@query(f"WITH v AS (SELECT block // 7200 * 7200 AS start, element_id, miner_hotkey, {_UNITS.format('score')} AS s, {_UNITS.format('(beta * greatest(greatest(score - theta, 0), delta_floor))')} AS p FROM shards JOIN manifest USING (element_id)) SELECT start, element_id, miner_hotkey, count(*) AS n, {_MEAN.format('s')} AS avg_score, {_MEAN.format('p')} AS paid FROM v GROUP BY ALL", "shards", "manifest")
 def clip_means_by_window(spark, d):
-    s = V.shards(spark, d).join(F.broadcast(V.manifest(spark, d)), "element_id").withColumn("paid", X.economic_score(F.col("score"), F.col("theta"), F.col("delta_floor"), F.col("beta")))
-    return s.groupBy(X.window_start("block", 7200).alias("start"), "element_id", "miner_hotkey").agg(F.count("*").alias("n"), (F.avg("score") + 1e-9).alias("avg_score"), (F.avg("paid") + 1e-9).alias("paid")).select("start", "element_id", "miner_hotkey", "n", *six("avg_score", "paid"))  # means of few short decimals stand on halves, which the order of a sum would round either way
+    s = V.shards(spark, d).join(F.broadcast(V.manifest(spark, d)), "element_id").withColumns({"avg_score": F.col("score"), "paid": X.economic_score(F.col("score"), F.col("theta"), F.col("delta_floor"), F.col("beta"))})
+    return G.clip_means(s, 7200, ("avg_score", "paid")).select("start", "element_id", "miner_hotkey", "n", *six("avg_score", "paid"))
 
 
 @query("WITH r AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY element_id, miner_hotkey) AS n FROM shards WINDOW w AS (PARTITION BY element_id, miner_hotkey ORDER BY block, seq)) SELECT element_id, miner_hotkey, round(sum(score * power(power(2.0, -1.0 / 20), n - k) * CASE WHEN k = 1 THEN 1 ELSE 1 - power(2.0, -1.0 / 20) END), 6) AS ewma, max(n) AS n FROM r GROUP BY ALL", "shards")
@@ -501,11 +505,19 @@ def nearest_event_spans(spark, d):
 # further scalar rules over whole tables
 
 
-@query("SELECT seq, lower(trim(concat(' ', upper(element_id)))) AS label, CASE WHEN uid % 15 IN (0, 1) THEN 'white' WHEN uid = 2 THEN 'black' END AS team, CASE WHEN timed_out THEN 1.0 ELSE round(score, 6) END AS confidence, CASE WHEN score > 0 THEN challenge_id ELSE miner_hotkey END AS challenge FROM shards", "shards")
+@query("SELECT seq, lower(trim(concat(' ', upper(element_id)))) AS label, CASE WHEN uid % 15 IN (0, 1) THEN 'white' WHEN uid = 2 THEN 'black' END AS team, CASE WHEN timed_out THEN 1.0 ELSE round(score, 6) END AS confidence FROM shards", "shards")
 def normalized_labels(spark, d):
     s = V.shards(spark, d)
     conf = X.safe_confidence(F.when(F.col("timed_out"), F.lit("bad")).otherwise(F.col("score").cast("string")), F.lit(None))
-    return s.select("seq", X.normalize_label(F.concat(F.lit(" "), F.upper("element_id"))).alias("label"), X.normalize_team(F.col("uid")).alias("team"), F.round(conf, 6).alias("confidence"), X.first_truthy(F.when(F.col("score") > 0, F.col("challenge_id")).otherwise("0"), F.lit(" "), F.col("miner_hotkey")).alias("challenge"))
+    return s.select("seq", X.normalize_label(F.concat(F.lit(" "), F.upper("element_id"))).alias("label"), X.normalize_team(F.col("uid")).alias("team"), F.round(conf, 6).alias("confidence"))
+
+
+@query("SELECT seq, CASE WHEN uid % 4 = 0 THEN nullif(trim(concat(challenge_id, ' ')), '') WHEN uid % 4 = 1 THEN '0' WHEN uid % 4 = 2 THEN miner_hotkey END AS challenge FROM shards", "shards")
+def chosen_challenges(spark, d):
+    k = F.col("uid") % 4
+    s = V.shards(spark, d)
+    text = F.when(k == 0, F.concat("challenge_id", F.lit(" "))).when(k == 1, F.lit("0")).when(k == 2, F.lit("")).otherwise(F.lit(" "))  # a text "0" is taken, an empty one is not, a blank one is and gives null
+    return s.select("seq", X.first_truthy(F.lit(0), F.lit(False), text, F.col("miner_hotkey")).alias("challenge"))
 
 
 @query("SELECT ord, CASE WHEN frame < 700 THEN 'frame' WHEN confidence > 0.9 THEN 'confidence' END AS problem, round(CASE WHEN frame % 40 > 25 THEN 0 ELSE 1 - frame % 40 / 25.0 * 0.5 END, 6) AS decay FROM (SELECT ord, frame, CASE WHEN confidence > 0.9 THEN confidence + 1 ELSE confidence END AS confidence FROM ae)", "ae")
@@ -527,12 +539,20 @@ def nearest_colours(spark, d):
     return V.gt(spark, d).select("run_id", "frame", "det_ord", X.nearest_colour(F.col("x1") % 256, F.col("y1") % 256, F.col("x2") % 256, PALETTE).alias("colour"))
 
 
-@query("SELECT run_id, frame, det_ord, det_ord % 2 = 1 AS bowtie FROM gt", "gt")
+_CORNERS = [("x1 % 3", "y1 % 3"), ("x2 % 3", "y1 % 3"), ("det_ord % 3", "y2 % 3"), ("x1 % 2", "(x2 + y2) % 3")]  # a small grid: many corners lie on edges
+
+
+def _crossing(a, b, c, d) -> str:
+    left = lambda p, q, r: f"(({r[1]} - {p[1]}) * ({q[0]} - {p[0]}) > ({q[1]} - {p[1]}) * ({r[0]} - {p[0]}))"
+    return f"({left(a, c, d)} <> {left(b, c, d)} AND {left(a, b, c)} <> {left(a, b, d)})"
+
+
+_P = [(f"({x})", f"({y})") for x, y in _CORNERS]
+
+
+@query(f"SELECT run_id, frame, det_ord, {_crossing(*_P)} OR {_crossing(_P[1], _P[2], _P[3], _P[0])} AS bowtie FROM gt", "gt")
 def bowties(spark, d):
-    g = V.gt(spark, d)
-    swap = F.col("det_ord") % 2 == 1  # the last two corners change places
-    x3, y3, x4, y4 = F.when(swap, F.col("x1")).otherwise(F.col("x2")), F.col("y2"), F.when(swap, F.col("x2")).otherwise(F.col("x1")), F.col("y2")
-    return g.select("run_id", "frame", "det_ord", X.is_bowtie(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y1"), x3, y3, x4, y4).alias("bowtie"))
+    return V.gt(spark, d).select("run_id", "frame", "det_ord", X.is_bowtie(*[F.expr(c) for p in _CORNERS for c in p]).alias("bowtie"))
 
 
 @query("SELECT run_id, count(*) AS n_frames, count(*) FILTER (n >= 3) >= 4 AS enough, count(*) >= 5 AND count(*) <= 400 AS passed FROM (SELECT run_id, frame, count(*) AS n FROM pred GROUP BY ALL) GROUP BY run_id", "pred")
@@ -665,8 +685,8 @@ def decoded_commitments(spark, d):
 @query("SELECT lane, element_id, block, score, latency_ms AS p95, true AS latency_pass, concat('https://host/', object_key) AS url FROM keys", "keys")
 def shard_rows(spark, d):
     k = V.keys(spark, d).withColumns({"window_id": X.window_id("block", 300)})
-    out = S.shard_payload(k.withColumn("miner_hotkey", F.col("object_key")))
-    return out.select("lane", "element_id", F.col("payload.block").alias("block"), F.col("payload.score").alias("score"), F.col("payload.p95_latency_ms").alias("p95"), F.col("payload.latency_pass").alias("latency_pass"), X.resolve_key(F.lit("https://host/x/index.json"), F.col("hotkey")).alias("url"))
+    out = S.shard_payload(k, "object_key")
+    return out.select("lane", "element_id", F.col("payload.block").alias("block"), F.col("payload.score").alias("score"), F.col("payload.p95_latency_ms").alias("p95"), F.col("payload.latency_pass").alias("latency_pass"), X.resolve_key(F.lit("https://host/x/index.json"), F.col("object_key"), "results").alias("url"))
 
 
 @query("SELECT element_id, miner_hotkey, CASE WHEN lane = 'private' THEN challenge_id END AS challenge_id, count(*) AS n FROM shards WHERE NOT timed_out GROUP BY ALL", "shards")

@@ -117,14 +117,14 @@ def read_latest_snapshot(spark: SparkSession, path: str) -> DataFrame:
     return every.where(F.col("block") == newest)
 
 
-def shard_payload(df: DataFrame) -> DataFrame:
-    """Shard rows with payload struct: p95 by a fallback chain, latency_pass true by default, frame numbers off the private lane only."""
+def shard_payload(df: DataFrame, *more: str) -> DataFrame:
+    """Shard rows with payload struct: p95 by a fallback chain, latency_pass true by default, frame numbers off the private lane only; `more` columns stand beside it."""
     have = set(df.columns)
     c = lambda n, t: F.col(n) if n in have else F.lit(None).cast(t)
     p95 = F.coalesce(c("p95_latency_ms", "double"), c("latency_p95_ms", "double"), c("latency_ms", "double"), F.lit(0.0))
     frames = F.when(F.col("lane") != "private", c("scored_frame_numbers", "array<bigint>"))
     payload = F.struct("window_id", "element_id", "lane", "challenge_id", "block", "score", p95.alias("p95_latency_ms"), F.coalesce(c("latency_pass", "boolean"), F.lit(True)).alias("latency_pass"), frames.alias("scored_frame_numbers"))
-    return df.select("lane", "element_id", payload.alias("payload"), F.col("miner_hotkey").alias("hotkey"))
+    return df.select("lane", "element_id", payload.alias("payload"), F.col("miner_hotkey").alias("hotkey"), *more)
 
 
 def write_shards(df: DataFrame, path: str, mode: str = "append", kind: str = "parquet") -> None:
