@@ -8,16 +8,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import adaptive_iou_bar, box_iou, ratio
+from ..functions.raster import MASK, raster, shape_iou
 
 FRAME = ("run_id", "frame")
 BOX = ("x1", "y1", "x2", "y2")
 
 
+def _drawn(df: DataFrame) -> DataFrame:
+    """df with the mask of its column polygon (array of structs x, y; null or left out: the row is a box)."""
+    return df.withColumn("mask", raster("polygon") if "polygon" in df.columns else F.lit(None).cast(MASK))
+
+
 def _sides(gt: DataFrame, pred: DataFrame, keys: tuple[str, ...], how: str, order: list[Column]) -> DataFrame:
-    """One row a key: truth boxes g in det_ord order and predictions p in the given order."""
-    g = gt.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("det_ord", *BOX))).alias("g"))
-    p = pred.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, F.col("score"), *BOX))).alias("p"))
-    return g.join(p, list(keys), how)
+    """One row a key: truth shapes g in det_ord order and predictions p in the given order; a missing side is empty."""
+    g = _drawn(gt).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("det_ord", *BOX, "mask"))).alias("g"))
+    p = _drawn(pred).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, F.col("score") if "score" in pred.columns else F.lit(0.0).alias("score"), *BOX, "mask"))).alias("p"))
+    both = g.join(p, list(keys), how)
+    return both.withColumns({c: F.coalesce(c, F.array().cast(both.schema[c].dataType)) for c in ("g", "p")})
+
+
+def _overlap(gt: DataFrame, pred: DataFrame, empty: float):
+    """The value of a pair: IoU of boxes, or of pixels where either side is a polygon."""
+    if "polygon" in gt.columns or "polygon" in pred.columns:
+        return lambda x, y: shape_iou(x, y, empty)
+    return box_iou
 
 
 def _fold(items: Column, others: Column, value, accept) -> Column:
@@ -44,30 +58,28 @@ def _fold(items: Column, others: Column, value, accept) -> Column:
 
 
 def greedy_match(gt: DataFrame, pred: DataFrame, iou: float | None = None) -> DataFrame:
-    """(run_id, cls, frame, det_ord, score, tp): predictions by confidence take the best free truth box of their class and frame.
+    """(run_id, cls, frame, det_ord, score, tp): predictions by confidence take the best free truth shape of their class and frame.
 
-    iou: a constant bar; None: the bar depends on the area of the best free truth box, and no other box is tried.
+    iou: a constant bar; None: the bar depends on the box area of the best free truth shape, and no other one is tried.
+    A column polygon on either side makes shapes of both: two boxes meet by area, all other pairs by pixels (see raster).
     Frames are independent, so the key is (run, class, frame) and groups stay small.
     """
     keys = ("run_id", "cls", "frame")
     both = _sides(gt, pred, keys, "right", [(-F.col("score")).alias("by"), F.col("det_ord")])
     bar = (lambda b: adaptive_iou_bar(b["o"])) if iou is None else (lambda b: F.lit(float(iou)))
-    got = _fold(F.col("p"), F.coalesce("g", F.expr("filter(array(struct(0 as det_ord, 0L as x1, 0L as y1, 0L as x2, 0L as y2)), x -> false)").cast("array<struct<det_ord:int,x1:bigint,y1:bigint,x2:bigint,y2:bigint>>")), lambda p, g: box_iou(p, g), lambda b: (b["v"] > 0) & (b["v"] >= bar(b)))
+    got = _fold(F.col("p"), F.col("g"), _overlap(gt, pred, 1.0), lambda b: (b["v"] > 0) & (b["v"] >= bar(b)))
     return both.select(*keys, F.explode(got).alias("m")).select(*keys, F.col("m.item.det_ord").alias("det_ord"), F.col("m.item.score").alias("score"), F.col("m.hit").alias("tp"))
 
 
 def compare_outputs(expected: DataFrame, actual: DataFrame, bar: float = 0.95, expected_frames: DataFrame | None = None, actual_frames: DataFrame | None = None) -> DataFrame:
-    """(run_id, frame, n_expected, n_actual, matched, matched_iou, mean_iou, passed) on frames that both sides have: in expected order each box takes the best free actual box of its class.
+    """(run_id, frame, n_expected, n_actual, matched, matched_iou, mean_iou, passed) on frames that both sides have: in expected order each shape takes the best free actual shape of its class.
 
-    The mean divides by the expected count; a frame without boxes on both sides scores 1, a frame of extras only 0.
-    expected_frames, actual_frames: (run_id, frame) of all frames; left out, the frames with boxes.
+    The mean divides by the expected count; a frame without shapes on both sides scores 1, a frame of extras only 0.
+    A column polygon makes shapes polygons, as in greedy_match. expected_frames, actual_frames: (run_id, frame) of all frames; left out, the frames with shapes.
     """
     common = (expected if expected_frames is None else expected_frames).select(*FRAME).distinct().join((actual if actual_frames is None else actual_frames).select(*FRAME).distinct(), list(FRAME))
     both = _sides(expected, actual, ("run_id", "frame", "cls"), "full", [F.col("det_ord")])
-    none = F.expr("cast(array() as array<struct<det_ord:int,score:double,x1:bigint,y1:bigint,x2:bigint,y2:bigint>>)")
-    some = F.expr("cast(array() as array<struct<det_ord:int,x1:bigint,y1:bigint,x2:bigint,y2:bigint>>)")
-    m = both.withColumns({"g": F.coalesce("g", some), "p": F.coalesce("p", none)})
-    m = m.withColumn("m", _fold(F.col("g"), F.col("p"), lambda g, p: box_iou(g, p), lambda b: b["v"] > 0))
+    m = both.withColumn("m", _fold(F.col("g"), F.col("p"), _overlap(expected, actual, 0.0), lambda b: b["v"] > 0))
     hit = F.filter("m", lambda x: x["hit"])
     rows = m.select("run_id", "frame", F.size("g").alias("ne"), F.size("p").alias("na"), F.size(hit).alias("nm"), F.aggregate(hit, F.lit(0.0), lambda a, x: a + x["value"]).alias("s"))
     out = rows.groupBy(*FRAME).agg(F.sum("ne").alias("n_expected"), F.sum("na").alias("n_actual"), F.sum("nm").alias("matched"), F.sum("s").alias("matched_iou"))
@@ -224,3 +236,9 @@ def project_truth(gt: DataFrame, pred: DataFrame) -> DataFrame:
     modes = label_modes(pred)
     any_mode = modes.select(*FRAME).distinct().withColumn("_any", F.lit(True))
     return gt.join(modes, [*FRAME, "cls"], "left").join(any_mode, list(FRAME), "left").withColumn("mode", F.coalesce("mode", F.when(F.col("_any"), "mixed").otherwise("boxes"))).drop("_any")
+
+
+def project_shapes(gt: DataFrame, pred: DataFrame) -> DataFrame:
+    """gt as the predictions of its frame ask for it: truth whose label is predicted in boxes only loses its polygon. Both have a column polygon."""
+    modes = pred.withColumn("has_polygon", F.col("polygon").isNotNull())
+    return project_truth(gt, modes).withColumn("polygon", F.when(F.col("mode") != "boxes", F.col("polygon"))).drop("mode")

@@ -35,6 +35,18 @@ PRED = f"""SELECT l_orderkey % 50 AS run_id, l_orderkey AS frame, l_linenumber A
   sk*13%400 + sk%5 + 20 + l_linenumber*15 AS y2, round(1 - dc*5 - tx, 6) AS score
 FROM ({_U}) u WHERE pk % 7 <> 0"""
 
+# small shapes: a box (x1, y1, x2, y2), and has_polygon where its outline below counts
+SHAPES = f"""SELECT l_orderkey % 50 AS run_id, l_orderkey AS frame, l_linenumber AS det_ord, cls, pk * 7 % 40 AS x1, sk * 13 % 30 AS y1,
+  pk * 7 % 40 + 4 + CAST(q AS BIGINT) % 6 AS x2, sk * 13 % 30 + 4 + l_linenumber AS y2, pk % 3 <> 0 AS has_polygon
+FROM ({_U}) u WHERE pk % 9 <> 0"""
+
+SHAPE_PREDICTIONS = f"""SELECT l_orderkey % 50 AS run_id, l_orderkey AS frame, l_linenumber AS det_ord, CASE WHEN pk % 13 = 0 THEN 'A' ELSE cls END AS cls,
+  pk * 7 % 40 + pk % 2 AS x1, sk * 13 % 30 + sk % 2 AS y1, pk * 7 % 40 + pk % 2 + 4 + CAST(q AS BIGINT) % 6 AS x2, sk * 13 % 30 + sk % 2 + 4 + l_linenumber AS y2,
+  (pk + sk) % 2 = 0 AS has_polygon, round(1 - dc*5 - tx, 6) AS score
+FROM ({_U}) u WHERE pk % 7 <> 0"""
+
+OUTLINE = [("x1", "y1"), ("x2", "y1 + 1"), ("x2 - 1", "y2"), ("x1 + 2", "y2 - 2"), ("x1 + 1", "y2")]
+
 ACTIONS = """SELECT user_id AS challenge_id, event_id % 3 = 0 AS is_gt, event_id AS ord,
   CAST(floor(EPOCH(ts)) AS BIGINT) % 1500 AS frame,
   CASE event_type WHEN 'view' THEN 'pass' WHEN 'click' THEN 'shot' WHEN 'purchase' THEN 'goal'
@@ -86,6 +98,19 @@ def pred(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, PRED, "lineitem")
 
 
+def _outlined(df: DataFrame) -> DataFrame:
+    points = ", ".join(f"struct(CAST({x} AS BIGINT) AS x, CAST({y} AS BIGINT) AS y)" for x, y in OUTLINE)
+    return df.selectExpr("* EXCEPT (has_polygon)", f"CASE WHEN has_polygon THEN array({points}) END AS polygon")
+
+
+def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _outlined(view(spark, sf_dir, SHAPES, "lineitem"))
+
+
+def shape_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _outlined(view(spark, sf_dir, SHAPE_PREDICTIONS, "lineitem"))
+
+
 def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, ACTIONS, "events")
 

@@ -417,6 +417,58 @@ ORACLES |= {
 }
 
 
+# shapes of boxes and polygons, met by enumerated pixels
+
+
+def _pixels(name: str) -> str:
+    """The pixels of each row of `name`: nearest pixels of its edges, and those between pairs of crossings."""
+    outline = ", ".join(f"{{'x': {x}, 'y': {y}}}" for x, y in V.OUTLINE)
+    return f"""{name}_e AS (SELECT run_id, frame, cls, det_ord, unnest(list_transform(range(1, len(pts) + 1), lambda i: {{'p': pts[i], 'q': pts[i % len(pts) + 1]}})) AS e FROM (SELECT *, CASE WHEN has_polygon THEN [{outline}] ELSE [{{'x': x1, 'y': y1}}, {{'x': x2, 'y': y1}}, {{'x': x2, 'y': y2}}, {{'x': x1, 'y': y2}}] END AS pts FROM {name})),
+{name}_f AS (SELECT * EXCLUDE (e), e.p.x AS xa, e.p.y AS ya, e.q.x AS xb, e.q.y AS yb FROM {name}_e),
+{name}_c AS (SELECT run_id, frame, cls, det_ord, y, CAST(floor(xa + (y - ya) * (xb - xa) / (yb - ya) + 0.5) AS BIGINT) AS x FROM (SELECT *, unnest(range(least(ya, yb), greatest(ya, yb))) AS y FROM {name}_f WHERE ya <> yb)),
+{name}_i AS (SELECT run_id, frame, cls, det_ord, y, unnest(range(x, nx + 1)) AS x FROM (SELECT *, lead(x) OVER w AS nx, row_number() OVER w AS k FROM {name}_c WINDOW w AS (PARTITION BY run_id, frame, cls, det_ord, y ORDER BY x)) WHERE k % 2 = 1 AND nx IS NOT NULL),
+{name}_b AS (SELECT run_id, frame, cls, det_ord, y, CASE WHEN ya = yb THEN xa ELSE CAST(floor(xa + (y - ya) * (xb - xa) / (yb - ya) + 0.5) AS BIGINT) END AS x FROM (SELECT *, unnest(range(least(ya, yb), greatest(ya, yb) + 1)) AS y FROM {name}_f WHERE abs(yb - ya) >= abs(xb - xa))
+ UNION ALL SELECT run_id, frame, cls, det_ord, CAST(floor(ya + (x - xa) * (yb - ya) / (xb - xa) + 0.5) AS BIGINT), x FROM (SELECT *, unnest(range(least(xa, xb), greatest(xa, xb) + 1)) AS x FROM {name}_f WHERE abs(yb - ya) < abs(xb - xa))),
+{name}_p AS MATERIALIZED (SELECT DISTINCT run_id, frame, cls, det_ord, x, y FROM (SELECT run_id, frame, cls, det_ord, x, y FROM {name}_i UNION ALL SELECT run_id, frame, cls, det_ord, x, y FROM {name}_b)),
+{name}_n AS MATERIALIZED (SELECT run_id, frame, cls, det_ord, count(*) AS n FROM {name}_p GROUP BY ALL)"""
+
+
+def _shapes_sql(gt: str, pred: str, bar: str) -> str:
+    """The fold over shapes: pairs of boxes by area, other pairs by shared pixels."""
+    fold = _greedy_sql(bar)
+    formula = _IOU.replace("b.x", "b.b.x").replace("b.y", "b.b.y")
+    fold = fold.replace(formula, f"CASE WHEN a.has_polygon OR b.b.h THEN coalesce(px.iou, 0.0) ELSE {formula} END").replace("'y2': y2} ORDER", "'y2': y2, 'h': has_polygon} ORDER")
+    fold = fold.replace("AND a.frame = b.frame),", "AND a.frame = b.frame LEFT JOIN px ON px.run_id = a.run_id AND px.cls = a.cls AND px.frame = a.frame AND px.pred = a.det_ord AND px.truth = b.b.o),", 1)
+    shared = "ov AS (SELECT a.run_id, a.frame, a.cls, a.det_ord AS truth, b.det_ord AS pred, count(*) AS n FROM gt_p a JOIN pred_p b USING (run_id, frame, cls, x, y) GROUP BY ALL), px AS MATERIALIZED (SELECT ov.run_id, ov.frame, ov.cls, truth, pred, ov.n / (g.n + p.n - ov.n) AS iou FROM ov JOIN gt_n g ON g.run_id = ov.run_id AND g.frame = ov.frame AND g.cls = ov.cls AND g.det_ord = truth JOIN pred_n p ON p.run_id = ov.run_id AND p.frame = ov.frame AND p.cls = ov.cls AND p.det_ord = pred)"
+    return f"WITH RECURSIVE gt AS ({gt}), pred AS ({pred}), {_pixels('gt')}, {_pixels('pred')}, {shared}, " + fold.replace("WITH RECURSIVE ", "")
+
+
+_MODES = f"SELECT g.* EXCLUDE (has_polygon), has_polygon AND coalesce(md, CASE WHEN a.frame IS NOT NULL THEN 'mixed' ELSE 'boxes' END) <> 'boxes' AS has_polygon FROM ({V.SHAPES}) g LEFT JOIN (SELECT run_id, frame, cls, CASE WHEN bool_or(has_polygon) THEN 'shapes' ELSE 'boxes' END AS md FROM ({V.SHAPE_PREDICTIONS}) GROUP BY ALL) m USING (run_id, frame, cls) LEFT JOIN (SELECT DISTINCT run_id, frame FROM ({V.SHAPE_PREDICTIONS})) a USING (run_id, frame)"
+
+
+@query(_shapes_sql(_MODES, V.SHAPE_PREDICTIONS, _BAR) + " SELECT run_id, cls, frame, det_ord, score, tp FROM m")
+def shape_matches(spark, d):
+    p = V.shape_predictions(spark, d)
+    return M.greedy_match(M.project_shapes(V.shapes(spark, d), p), p)
+
+
+@query(_shapes_sql(_MODES, V.SHAPE_PREDICTIONS, _BAR) + f", {_AP}, h AS (SELECT run_id, cls, count(*) FILTER (tp) AS tp FROM m GROUP BY ALL) SELECT run_id, cls, n_gt, coalesce(tp, 0) AS tp, round(ap, 6) AS ap FROM n LEFT JOIN h USING (run_id, cls) JOIN ap USING (run_id, cls)")
+def shape_average_precision(spark, d):
+    p = V.shape_predictions(spark, d)
+    g = M.project_shapes(V.shapes(spark, d), p)
+    return E.per_class_report(M.greedy_match(g, p), g).where("n_gt > 0").select("run_id", "cls", "n_gt", "tp", *six("ap"))
+
+
+_SHAPES_COMPARED = _shapes_sql(V.SHAPE_PREDICTIONS, V.SHAPES.replace("pk % 3 <> 0 AS has_polygon", "pk % 3 <> 0 AS has_polygon, 0.0 AS score"), "0") + """,
+ex AS (SELECT run_id, frame, count(*) AS ne FROM pred GROUP BY ALL), ac AS (SELECT run_id, frame, count(*) AS na FROM gt GROUP BY ALL), hits AS (SELECT run_id, frame, count(*) FILTER (tp) AS nm, sum(v) AS s FROM m GROUP BY ALL)
+SELECT run_id, frame, ne AS n_expected, na AS n_actual, nm AS matched, round(s / ne, 6) AS mean_iou, s / ne >= 0.95 AS passed FROM ex JOIN ac USING (run_id, frame) JOIN hits USING (run_id, frame)"""
+
+
+@query(_SHAPES_COMPARED)
+def shape_output_comparison(spark, d):
+    return M.compare_outputs(V.shapes(spark, d), V.shape_predictions(spark, d)).select("run_id", "frame", "n_expected", "n_actual", "matched", *six("mean_iou"), "passed")
+
+
 _LINES = "cut AS (SELECT run_id, frame, greatest(x1, 0) AS x1, greatest(y1, 0) AS y1, least(x2, 960) AS x2, least(y2, 540) AS y2 FROM gt), li AS (SELECT run_id, frame, unnest(range(y1, y2)) AS y, x1, x2 FROM cut WHERE x1 < x2 AND y1 < y2), fr AS (SELECT *, coalesce(max(x2) OVER (PARTITION BY run_id, frame, y ORDER BY x1, x2 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS far FROM li)"
 
 
