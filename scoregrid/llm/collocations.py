@@ -1,14 +1,17 @@
 """Phrase collocations by dynamic itemset counting.
 
 The texts are dealt to shards, and shards are scanned in a cycle. Words are counted from the first scan on. A longer phrase
-becomes active in the scan after both its subphrases (without its last and without its first word) have reached the least
-count, whatever their length, so lengths interleave; it is counted for exactly one full cycle of shards and then complete.
-A phrase that reaches the least count has subphrases that do, so no such phrase is missed.
+becomes active in the scan after both its subphrases (without its last and without its first word) have reached the
+threshold, whatever their length, so lengths interleave; it is counted for exactly one full cycle of shards and then
+complete. The threshold of one scan is a shard's share of the least count, least / shards: a phrase with the least count
+has that many in one shard or more, so no such phrase and none of its subphrases is missed, and one scan's counts decide.
 
-What a scan needs to know is the scan in which each phrase reached the least count. That is one byte in a table of up
+What a scan needs to know is the scan in which each phrase reached the threshold. That is one byte in a table of up
 to 2^MOST_BITS slots, addressed by the phrase's hash and kept for the whole run. Phrases that share a slot take the
 earlier scan: then a phrase may become active although a subphrase is rare, and is still counted for exactly one cycle.
-Counts themselves are kept by phrase, so every number in the result is exact.
+
+Scans count hashes. Those whose cycle gives the least count are spelled in a last pass over the texts, which counts them by
+their words, so that two phrases of one hash are told apart and every number in the result is exact.
 """
 
 from __future__ import annotations
@@ -28,8 +31,9 @@ from .common import discard, mix, scratch, span_hashes, stash, text_chunks
 LONGEST = 4
 MOST_BITS = 26
 NEVER = 255
-HELD = 400_000  # phrases that a task holds before it hands its counts on
-COUNTED = "h bigint, k int, lang string, phrase string, c bigint"
+HELD = 2_000_000  # phrases that a task holds before it hands its counts on
+COUNTED = "h bigint, c bigint"
+SPELLED = "h bigint, k int, lang string, phrase string, c bigint"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _STEP = 0xD6E8FEB86659FD93
 
@@ -52,7 +56,7 @@ def _words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 class _Held:
-    """Counts by phrase hash, with a row of the phrase's columns."""
+    """Counts by phrase hash, with further columns of the row that came first."""
 
     def __init__(self) -> None:
         self.h, self.c, self.columns, self.size = [], [], [], 0
@@ -63,14 +67,16 @@ class _Held:
         self.columns.append(columns)
         self.size += len(h)
 
-    def drain(self) -> pa.RecordBatch:
+    def drain(self, names: list[str]) -> pa.RecordBatch:
         code, h = pd.factorize(np.concatenate(self.h))
         c = np.bincount(code, np.concatenate(self.c), len(h)).astype(np.int64)
-        first = np.zeros(len(h), np.int64)
-        first[code[::-1]] = np.arange(len(code))[::-1]
-        columns = [pa.concat_arrays(x).take(pa.array(first)) for x in zip(*self.columns, strict=True)]
+        columns = []
+        if self.columns[0]:
+            first = np.zeros(len(h), np.int64)
+            first[code[::-1]] = np.arange(len(code))[::-1]
+            columns = [pa.concat_arrays(x).take(pa.array(first)) for x in zip(*self.columns, strict=True)]
         self.__init__()
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *columns, pa.array(c)], ["h", "k", "lang", "phrase", "c"])
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *columns, pa.array(c)], names)
 
 
 def _strings(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -80,49 +86,81 @@ def _strings(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.StringArray.from_buffers(len(starts), pa.py_buffer(at.astype(np.int32)), pa.py_buffer(raw.tobytes()))
 
 
+def _phrases(b: pa.RecordBatch, limit: int) -> Iterator[tuple]:
+    """For runs of texts in a batch (seed, lang, text) and each length: (k, hash of the phrase at each word, whether it lies in one piece, buffer, starts, ends, batch row of each word).
+
+    The lowest two bits of a hash are k - 1.
+    """
+    seeds = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+    for row, buf, offs in text_chunks(b.column(2), limit):
+        if not len(buf):
+            continue
+        starts, ends, text, piece = _words(buf, offs)
+        word = span_hashes(buf, starts, ends)
+        seed, total, factor = seeds[row + text], word, np.uint64(1)
+        for k in range(1, min(LONGEST, len(word)) + 1):
+            m = len(word) - k + 1
+            if k > 1:
+                factor = np.uint64(int(factor) * _STEP % (1 << 64))
+                total = total[:m] + word[k - 1 :] * factor
+            h = mix(total + seed[:m] * np.uint64(2 * k + 1))
+            yield k, h >> np.uint64(2) << np.uint64(2) | np.uint64(k - 1), piece[:m] == piece[k - 1 :], buf, starts, ends, row + text
+
+
 def _scan(step: int, shards: int, bits: int, table: Broadcast):
-    """Counts of the phrases that are active in scan `step`, in the batches (seed, lang, text) of its shard."""
+    """Counts of the phrases that are active in scan `step`, in the batches of its shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reached, held = np.frombuffer(table.value, np.uint8), _Held()
-        shift = np.uint64(64 - bits)
+        reached, held, when = np.frombuffer(table.value, np.uint8), _Held(), None
         for b in batches:
-            seeds = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for row, buf, offs in text_chunks(b.column(2)):
-                if not len(buf):
-                    continue
-                starts, ends, text, piece = _words(buf, offs)
-                word = span_hashes(buf, starts, ends)
-                seed, total, factor, when = seeds[row + text], word, np.uint64(1), None
-                n = len(word)
-                for k in range(1, LONGEST + 1):
-                    m = n - k + 1
-                    if m <= 0:
-                        break
-                    if k > 1:
-                        factor = np.uint64(int(factor) * _STEP % (1 << 64))
-                        total = total[:m] + word[k - 1 :] * factor
-                    whole = piece[:m] == piece[k - 1 :]
-                    begins = np.zeros(m, np.int16) if k == 1 else 1 + np.maximum(when[:-1], when[1:]).astype(np.int16)
-                    active = np.flatnonzero(whole & (begins <= step) & (step < begins + shards))
-                    h = mix(total + seed[:m] * np.uint64(2 * k + 1))
-                    if k < LONGEST:
-                        when = np.where(whole, reached[h >> shift], np.uint8(NEVER))
-                    if len(active):
-                        code, distinct = pd.factorize(h[active])
-                        first = np.zeros(len(distinct), np.int64)
-                        first[code[::-1]] = active[::-1]
-                        held.add(distinct, np.bincount(code), [pa.array(np.full(len(distinct), k, np.int32)), b.column(1).take(pa.array(row + text[first])), _strings(buf, starts[first], ends[first + k - 1])])
+            for k, h, whole, *_ in _phrases(b, 1 << 22):
+                begins = np.zeros(len(h), np.int16) if k == 1 else 1 + np.maximum(when[:-1], when[1:]).astype(np.int16)
+                active = h[whole & (begins <= step) & (step < begins + shards)]
+                when = np.where(whole, reached[h >> np.uint64(64 - bits)], np.uint8(NEVER))
+                if len(active):
+                    code, distinct = pd.factorize(active)
+                    held.add(distinct, np.bincount(code), [])
                 if held.size > HELD:
-                    yield held.drain()
+                    yield held.drain(["h", "c"])
         if held.size:
-            yield held.drain()
+            yield held.drain(["h", "c"])
 
     return run
 
 
+def _spell(bits: int, table: Broadcast):
+    """The phrases whose slot is wanted, counted, and for each language a row without a phrase that counts its words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, held, names = np.frombuffer(table.value, np.uint8), _Held(), ["h", "k", "lang", "phrase", "c"]
+        for b in batches:
+            lang = b.column(1)
+            for k, h, whole, buf, starts, ends, row in _phrases(b, 1 << 20):
+                if k == 1:
+                    code, seen = pd.factorize(lang.take(pa.array(row)).to_numpy(zero_copy_only=False))
+                    n = len(seen)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(seen, pa.string()), pa.nulls(n, pa.string()), pa.array(np.bincount(code, minlength=n))], names)
+                found = np.flatnonzero(whole & (wanted[h >> np.uint64(64 - bits)] != NEVER))
+                if len(found):
+                    code, distinct = pd.factorize(h[found])
+                    first = np.zeros(len(distinct), np.int64)
+                    first[code[::-1]] = found[::-1]
+                    held.add(distinct, np.bincount(code), [pa.array(np.full(len(distinct), k, np.int32)), lang.take(pa.array(row[first])), _strings(buf, starts[first], ends[first + k - 1])])
+                if held.size > HELD // 4:
+                    yield held.drain(names)
+        if held.size:
+            yield held.drain(names)
+
+    return run
+
+
+def _slots(found: DataFrame, bits: int) -> np.ndarray:
+    """The distinct slots of hashes: at most 2^MOST_BITS numbers."""
+    return found.select(F.shiftrightunsigned("h", 64 - bits).cast("int").alias("slot")).distinct().toArrow()["slot"].to_numpy()
+
+
 def count_phrases(docs: DataFrame, least: int = 30, shards: int = 4, text_column: str = "text", lang_column: str = "lang") -> tuple[DataFrame, DataFrame]:
-    """((lang, phrase, k, f) of every phrase of one to four words with f >= least, (lang, n) with the number of words), as written tables.
+    """((lang, phrase, k, f) of every phrase of one to four words with f >= least, (lang, n) with the number of words), of written tables.
 
     Null languages are `und`, null texts empty. Languages and texts are taken whole; a table without words gives no rows.
     """
@@ -133,27 +171,31 @@ def count_phrases(docs: DataFrame, least: int = 30, shards: int = 4, text_column
     texts = spark.read.schema("seed bigint, lang string, text string, shard int").parquet(f"{root}/shards")
     bits = min(MOST_BITS, max(16, int(np.log2(seen.get["bytes"] / 60 + 1)) + 1))
     reached = np.full(1 << bits, NEVER, np.uint8)
-    step, end = 0, shards
+    step, end, share = 0, shards, -(-least // shards)
     tables: list[DataFrame] = []
     while step < end:
         sent = spark.sparkContext.broadcast(reached.tobytes())
         found = texts.where(F.col("shard") == step % shards).select("seed", "lang", "text").mapInArrow(_scan(step, shards, bits, sent), COUNTED)
-        found = found.repartition("h").groupBy("h", "k", "lang", "phrase").agg(F.sum("c").alias("c"))
-        tables.append(stash(found))
-        # a phrase's whole cycle lies in the last `shards` scans
-        cycle = reduce(DataFrame.unionByName, tables[-shards:]).where(F.col("k") < LONGEST).groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
-        slots = cycle.select(F.shiftrightunsigned("h", 64 - bits).cast("int").alias("slot")).distinct().toArrow()["slot"].to_numpy()  # at most 2^MOST_BITS
+        tables.append(stash(found.groupBy("h").agg(F.sum("c").alias("c"))))
+        sent.destroy()
+        slots = _slots(tables[-1].where(F.col("h").bitwiseAND(3) < LONGEST - 1).where(F.col("c") >= share), bits)
         new = slots[reached[slots] == NEVER]
         if len(new):
             reached[new] = step
             end = max(end, step + 1 + shards)
-        sent.destroy()
         step += 1
     every = reduce(DataFrame.unionByName, tables)
-    frequent = stash(every.groupBy("lang", "phrase", "k").agg(F.sum("c").alias("f")).where(F.col("f") >= least))
-    words = stash(every.where("k = 1").groupBy("lang").agg(F.sum("c").alias("n")))
-    discard(*tables)
-    return frequent, words
+    likely = every.where(F.col("c") >= share).select("h").distinct()
+    complete = every.join(likely, "h", "left_semi").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least).select("h")
+    complete = stash(complete)
+    wanted = np.full(1 << bits, NEVER, np.uint8)
+    wanted[_slots(complete, bits)] = 0
+    sent = spark.sparkContext.broadcast(wanted.tobytes())
+    spelled = texts.select("seed", "lang", "text").coalesce(max(spark.sparkContext.defaultParallelism, texts.rdd.getNumPartitions() // 4)).mapInArrow(_spell(bits, sent), SPELLED)
+    spelled = spelled.join(complete.withColumnRenamed("h", "done"), F.col("h") == F.col("done"), "left").where("phrase is null or done is not null")
+    spelled = stash(spelled.groupBy("lang", "phrase", "k").agg(F.sum("c").alias("f")))
+    discard(*tables, complete)
+    return spelled.where(F.col("phrase").isNotNull() & (F.col("f") >= least)), spelled.where("phrase is null").select("lang", F.col("f").alias("n"))
 
 
 def _exact(c: Column) -> Column:
