@@ -110,22 +110,51 @@ def closest_event(gt: DataFrame, keys: tuple[str, ...] = ("challenge_id", "actio
     return e.select(*keys, "frame", F.floor((F.lag("frame").over(w) + F.col("frame")) / 2).alias("from_frame"), F.floor((F.lead("frame").over(w) + F.col("frame")) / 2).alias("to_frame"))
 
 
-def map_at_1s(gt: DataFrame, pred: DataFrame, key: str = "challenge_id", delta: int = FPS, thresholds: int = 200) -> DataFrame:
-    """(key, action, ap): each truth, in frame order, takes the highest free prediction within delta // 2 frames; precision and
-    recall at `thresholds` confidences give an 11-point average precision. One prediction a frame and action, the last wins."""
-    half = delta // 2
+def matched_actions(gt: DataFrame, pred: DataFrame, half: int, key: str = "challenge_id") -> DataFrame:
+    """(key, action, frame, confidence, hit): each truth, in frame order, takes the highest free prediction within `half` frames (ties: the earlier one).
+
+    Truth and predictions are cut where more than `half` frames lie between neighbours, so a fold sees one stretch of
+    events and never all of a key's. One prediction a frame and action, the last wins.
+    """
     acts = F.col("action").isin(list(ACTIONS))
-    g = gt.where(acts).select(key, "action", "frame").distinct().groupBy(key, "action").agg(F.array_sort(F.collect_list(F.struct("frame"))).alias("g"))
-    p = pred.where(acts).groupBy(key, "action", "frame").agg(F.max_by("confidence", "ord").alias("confidence")).groupBy(key, "action").agg(F.array_sort(F.collect_list(F.struct("frame", "confidence"))).alias("p"))
-    both = g.join(p, [key, "action"], "left").withColumn("p", F.coalesce("p", F.expr("cast(array() as array<struct<frame:bigint,confidence:double>>)")))
+    g = gt.where(acts).select(key, "action", "frame").distinct().withColumn("confidence", F.lit(None).cast("double"))
+    p = pred.where(acts).groupBy(key, "action", "frame").agg(F.max_by("confidence", "ord").cast("double").alias("confidence"))
+    order = Window.partitionBy(key, "action").orderBy("frame")
+    apart = F.coalesce(F.col("frame") - F.lag("frame").over(order) > half, F.lit(True)).cast("int")
+    both = g.withColumn("real", F.lit(True)).unionByName(p.withColumn("real", F.lit(False))).withColumn("apart", apart)
+    both = both.withColumn("stretch", F.sum("apart").over(order.rangeBetween(Window.unboundedPreceding, 0)))
+    one = lambda real: F.array_sort(F.collect_list(F.when(F.col("real") == real, F.struct("frame", "confidence"))))
+    met = both.groupBy(key, "action", "stretch").agg(one(True).alias("g"), one(False).alias("p"))
     near = lambda g, p: F.when(F.abs(p["frame"] - g["frame"]) <= half, p["confidence"]).otherwise(-1.0)
-    both = both.withColumn("m", F.filter(_fold(F.col("g"), F.col("p"), near, lambda b: b["v"] >= 0), lambda x: x["hit"]))
-    grid = both.withColumn("t", F.explode(F.transform(F.sequence(F.lit(0), F.lit(thresholds - 1)), lambda i: i / float(thresholds - 1))))
-    hit, seen = F.size(F.filter("m", lambda x: x["value"] >= F.col("t"))), F.size(F.filter("p", lambda x: x["confidence"] >= F.col("t")))
-    points = grid.select(key, "action", ratio(hit, seen).alias("precision"), (hit / F.size("g")).alias("recall"))
-    levels = points.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(10))))
-    best = levels.groupBy(key, "action", "level").agg(F.coalesce(F.max(F.when(F.col("recall") >= F.col("level") / 10.0, F.col("precision"))), F.lit(0.0)).alias("p"))
-    return best.groupBy(key, "action").agg((F.sum("p") / 11).alias("ap"))
+    start = F.filter(F.transform("p", lambda x: x["frame"]), lambda x: F.lit(False))
+
+    def take(used: Column, g: Column) -> Column:
+        free = F.filter(F.transform("p", lambda p: F.struct(near(g, p).alias("v"), (-p["frame"]).alias("f"))), lambda c: (c["v"] >= 0) & ~F.array_contains(used, -c["f"]))
+        return F.transform(F.array(F.array_max(free)), lambda best: F.when(best.isNull(), used).otherwise(F.array_append(used, -best["f"])))[0]
+
+    taken = met.withColumn("used", F.aggregate("g", start, take))
+    return taken.select(key, "action", "used", F.explode("p").alias("x")).select(key, "action", "x.frame", "x.confidence", F.array_contains("used", F.col("x.frame")).alias("hit"))
+
+
+def map_at_1s(gt: DataFrame, pred: DataFrame, key: str = "challenge_id", delta: int = FPS, thresholds: int = 200) -> DataFrame:
+    """(key, action, ap) of each action that truth has: 11-point average precision of precision and recall at `thresholds` confidences from 0 to 1.
+
+    Truth meets predictions within delta // 2 frames (matched_actions). A prediction counts up to the last threshold that
+    its confidence reaches; sums over falling thresholds are the counts at each, and only thresholds at which they
+    change are looked at.
+    """
+    steps = thresholds - 1
+    truth = gt.where(F.col("action").isin(list(ACTIONS))).select(key, "action", "frame").distinct().groupBy(key, "action").agg(F.count("*").alias("n"))
+    near = F.floor(F.col("confidence") * steps)
+    reach = F.greatest(*[F.when((near + d) / float(steps) <= F.col("confidence"), near + d) for d in (-1, 0, 1)])
+    found = matched_actions(gt, pred, delta // 2, key).withColumn("level", F.least(reach, F.lit(steps))).where("level >= 0")
+    counts = found.groupBy(key, "action", "level").agg(F.count_if("hit").alias("hits"), F.count("*").alias("seen"))
+    falling = Window.partitionBy(key, "action").orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, 0)  # at most `thresholds` rows
+    points = counts.withColumns({"hits": F.sum("hits").over(falling), "seen": F.sum("seen").over(falling)}).join(truth, [key, "action"])
+    precision, recall = F.col("hits") / F.col("seen"), F.col("hits") / F.col("n")
+    best = points.groupBy(key, "action").agg(*[F.max(F.when(recall >= k / 10.0, precision)).alias(f"p{k}") for k in range(11)])
+    ap = sum((F.coalesce(f"p{k}", F.lit(0.0)) for k in range(11)), F.lit(0.0)) / 11
+    return truth.select(key, "action").join(best, [key, "action"], "left").select(key, "action", ap.alias("ap"))
 
 
 def mean_map_at_1s(ap: DataFrame, key: str = "challenge_id") -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -34,19 +36,59 @@ def reject_diagnostics(df: DataFrame) -> DataFrame:
     return df.groupBy("reason").agg(F.count("*").alias("n"), F.count_distinct("validator_hotkey").alias("n_sources"))
 
 
+BUCKETS = 256
+
+
+def _bucket(value: Column, bounds: Column) -> Column:
+    """How many of the ascending bounds (an array column) are <= value, by halving."""
+    down = F.array(*[F.lit(BUCKETS >> k) for k in range(1, BUCKETS.bit_length())])
+    return F.aggregate(down, F.lit(0), lambda at, step: F.when(F.coalesce(F.get(bounds, at + step - 1) <= value, F.lit(False)), at + step).otherwise(at))
+
+
+def values_at(df: DataFrame, keys: tuple[str, ...], value: str, *ranks: Callable[[Column], Column], weight: Column | None = None) -> DataFrame:
+    """(keys, total, r0, r1, ...): for each rank the smallest value up to which a key's weights sum to it, exactly.
+
+    Each of `ranks` is given the key's total weight; left out, the weight of a row is 1 and ranks are places from 1. Rows of
+    null values or of no positive weight are left out.
+
+    No key's rows are sorted or sent together: approximate quantiles cut a key's values into BUCKETS ranges, the weights of
+    ranges (partial sums first) say which one holds a rank, and only that range's values, each with its weight once,
+    are looked at in order.
+    """
+    w = F.lit(1).cast("bigint") if weight is None else weight.cast("decimal(38,12)")
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"), w.alias("_w")).where("_w > 0")
+    cuts = rows.groupBy(*keys).agg(F.percentile_approx("_v", [i / BUCKETS for i in range(1, BUCKETS)], 2000).alias("_cuts"))
+    valued = rows.join(cuts, list(keys)).withColumn("_b", _bucket(F.col("_v"), F.col("_cuts"))).groupBy(*keys, "_b", "_v").agg(F.sum("_w").alias("_w"))
+    ranges = valued.groupBy(*keys, "_b").agg(F.sum("_w").alias("_s"))
+    of_key = Window.partitionBy(*keys)
+    placed = ranges.withColumns({"_before": F.sum("_s").over(of_key.orderBy("_b")) - F.col("_s"), "_total": F.sum("_s").over(of_key)})  # at most BUCKETS rows a key
+    holds = [(F.col("_before") < r(F.col("_total"))) & (r(F.col("_total")) <= F.col("_before") + F.col("_s")) for r in ranks]
+    any_rank = holds[0]
+    for h in holds[1:]:
+        any_rank = any_rank | h
+    inside = valued.join(placed.where(any_rank).select(*keys, "_b", "_before", "_total"), [*keys, "_b"])
+    order = Window.partitionBy(*keys, "_b").orderBy("_v")
+    run = inside.withColumn("_upto", F.sum("_w").over(order) + F.col("_before"))
+    return run.groupBy(*keys).agg(F.first("_total").alias("total"), *[F.min(F.when(F.col("_upto") >= r(F.col("_total")), F.col("_v"))).alias(f"r{i}") for i, r in enumerate(ranks)])
+
+
+def median(df: DataFrame, keys: tuple[str, ...], value: str) -> DataFrame:
+    """(keys, median): the middle value, or halfway between the two middle ones."""
+    two = values_at(df, keys, value, lambda n: F.floor((n + 1) / 2), lambda n: F.floor(n / 2) + 1)
+    return two.select(*keys, (F.col("r0") + (F.col("r1") - F.col("r0")) * 0.5).alias("median"))
+
+
 def weighted_median(df: DataFrame, keys: tuple[str, ...], value: str, weight: str) -> DataFrame:
     """The smallest value whose cumulative positive weight reaches half; without weight the plain median."""
-    w = Window.partitionBy(*keys).orderBy(value)
-    pos = df.withColumn("_w", F.greatest(F.col(weight), F.lit(0.0)))
-    run = pos.withColumns({"_c": F.sum("_w").over(w), "_t": F.sum("_w").over(Window.partitionBy(*keys))})
-    return run.groupBy(*keys).agg(F.coalesce(F.min(F.when((F.col("_w") > 0) & (F.col("_c") >= F.col("_t") / 2), F.col(value))), F.median(value)).alias("median"))
+    heavy = values_at(df, keys, value, lambda t: t / 2, weight=F.col(weight)).select(*keys, F.col("r0").alias("_r"))
+    has = df.groupBy(*keys).agg(F.max(F.coalesce(F.col(weight) > 0, F.lit(False)) & F.col(value).isNotNull()).alias("_has"))
+    plain = median(df.join(has.where(~F.col("_has")), list(keys), "left_semi"), keys, value)
+    return has.join(heavy, list(keys), "left").join(plain, list(keys), "left").select(*keys, F.coalesce("_r", "median").alias("median"))
 
 
 def p95_index(df: DataFrame, keys: tuple[str, ...], value: str) -> DataFrame:
     """sorted[int(0.95 * (n - 1))], by position: neither a continuous nor a discrete percentile."""
-    w = Window.partitionBy(*keys)
-    ranked = df.where(F.col(value).isNotNull()).withColumns({"_r": F.row_number().over(w.orderBy(value)), "_n": F.count("*").over(w)})
-    return ranked.where(F.col("_r") == F.floor(0.95 * (F.col("_n") - 1)) + 1).select(*keys, F.col(value).alias("p95"))
+    return values_at(df, keys, value, lambda n: F.floor(0.95 * (n - 1)) + 1).select(*keys, F.col("r0").alias("p95"))
 
 
 def challenge_map(df: DataFrame, keys: tuple[str, ...] = ("element_id", "miner_hotkey"), recent: int | None = None, eligible: DataFrame | None = None, excluded: DataFrame | None = None) -> DataFrame:
@@ -71,9 +113,9 @@ def inactive_miners(means: DataFrame, least: int = 30) -> DataFrame:
 
 def mad_prune(df: DataFrame, keys: tuple[str, ...], value: str = "score", weight: str = "stake", k: float = 3.0) -> DataFrame:
     """Weighted mean of the values within k median absolute deviations of the median."""
-    med = df.groupBy(*keys).agg(F.median(value).alias("_m"))
+    med = median(df, keys, value).withColumnRenamed("median", "_m")
     dev = df.join(med, list(keys)).withColumn("_d", F.abs(F.col(value) - F.col("_m")))
-    mad = dev.groupBy(*keys).agg(F.median("_d").alias("_mad"))
+    mad = median(dev, keys, "_d").withColumnRenamed("median", "_mad")
     kept = dev.join(mad, list(keys)).where(F.col("_d") <= k * F.col("_mad"))
     return kept.groupBy(*keys).agg((F.sum(F.col(value) * F.col(weight)) / F.sum(weight)).alias("mean"), F.count("*").alias("n_kept"))
 

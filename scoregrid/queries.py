@@ -491,7 +491,21 @@ def action_scores(spark, d):
     return A.action_score(a.where("is_gt"), a.where("not is_gt")).select("challenge_id", *six("score"))
 
 
-@query()
+_ACTS = ", ".join(f"'{a}'" for a in A.ACTIONS)
+_MAP = f"""WITH RECURSIVE ae AS ({V.ACTIONS}), g AS (SELECT challenge_id, action, frame, row_number() OVER (PARTITION BY challenge_id, action ORDER BY frame) AS k FROM (SELECT DISTINCT challenge_id, action, frame FROM ae WHERE is_gt AND action IN ({_ACTS}))),
+p AS (SELECT challenge_id, action, frame, max_by(confidence, ord) AS confidence FROM ae WHERE NOT is_gt AND action IN ({_ACTS}) GROUP BY ALL),
+c AS (SELECT g.challenge_id, g.action, g.k, list(p.frame ORDER BY p.confidence DESC, p.frame) AS c FROM g JOIN p ON p.challenge_id = g.challenge_id AND p.action = g.action AND abs(p.frame - g.frame) <= 12 GROUP BY ALL),
+st AS (SELECT challenge_id, action, 0::BIGINT AS k, []::BIGINT[] AS used FROM (SELECT DISTINCT challenge_id, action FROM g)
+ UNION ALL SELECT challenge_id, action, k, CASE WHEN best IS NULL THEN used ELSE list_append(used, best) END FROM (SELECT s.challenge_id, s.action, g.k, s.used, list_filter(c.c, lambda x: NOT list_contains(s.used, x))[1] AS best FROM st s JOIN g ON g.challenge_id = s.challenge_id AND g.action = s.action AND g.k = s.k + 1 LEFT JOIN c ON c.challenge_id = g.challenge_id AND c.action = g.action AND c.k = g.k)),
+u AS (SELECT challenge_id, action, max_by(used, k) AS used, max(k) AS n FROM st GROUP BY ALL),
+m AS (SELECT u.challenge_id, u.action, n, p.confidence, list_contains(used, p.frame) AS hit FROM u LEFT JOIN p USING (challenge_id, action)),
+t AS (SELECT unnest(range(200)) / 199.0::DOUBLE AS t),
+x AS (SELECT challenge_id, action, t, count(*) FILTER (hit AND confidence >= t) / max(n) AS r, coalesce(count(*) FILTER (hit AND confidence >= t) / nullif(count(*) FILTER (confidence >= t), 0), 0) AS pr FROM m, t GROUP BY ALL),
+y AS (SELECT challenge_id, action, l, coalesce(max(pr) FILTER (r >= l / 10.0::DOUBLE), 0) AS p FROM x, (SELECT unnest(range(11)) AS l) GROUP BY ALL)
+SELECT challenge_id, round(sum(p) / 11 / {len(A.ACTIONS)}, 6) AS map_at_1s FROM y GROUP BY 1"""
+
+
+@query(_MAP)
 def action_map_at_1s(spark, d):
     a = V.actions(spark, d)
     return A.mean_map_at_1s(A.map_at_1s(a.where("is_gt"), a.where("not is_gt"))).select("challenge_id", *six("map_at_1s"))
@@ -715,7 +729,7 @@ def flattened_predictions(spark, d):
     objects = ["A", "N", "R"]
     cls = F.array_position(F.array(*[F.lit(o) for o in objects]), F.col("cls")).cast("int") - 1
     p = V.pred(spark, d).withColumn("b", F.struct("x1", "y1", "x2", "y2", cls.alias("cls_id"), F.col("score").alias("conf")))
-    frames = p.groupBy("run_id", "frame").agg(F.collect_list("b").alias("boxes")).groupBy("run_id").agg(F.to_json(F.collect_list(F.struct(F.col("frame").alias("frame_id"), "boxes"))).alias("frames"))
+    frames = p.groupBy("run_id", "frame").agg(F.collect_list("b").alias("boxes")).select("run_id", F.to_json(F.array(F.struct(F.col("frame").alias("frame_id"), "boxes"))).alias("frames"))
     out = S.flatten_predictions(frames, objects)
     return out.groupBy("run_id", "frame", "label").agg(F.count("*").alias("n"), F.round(F.sum("score"), 6).alias("score"), F.sum("x1").alias("x1"), F.sum("y2").alias("y2"))
 
@@ -723,7 +737,7 @@ def flattened_predictions(spark, d):
 @query("SELECT run_id AS challenge_id, frame, count(*) AS n, sum(x2 - x1) AS wide FROM gt GROUP BY ALL", "gt")
 def flattened_truth(spark, d):
     a = F.struct(F.col("frame").cast("string").alias("frame_idx"), F.array("x1", "y1", "x2", "y2").alias("bbox"), F.col("cls").alias("label"))
-    t = V.gt(spark, d).groupBy(F.col("run_id").alias("challenge_id")).agg(F.to_json(F.struct(F.collect_list(a).alias("annotations"))).alias("truth"))
+    t = V.gt(spark, d).groupBy(F.col("run_id").alias("challenge_id"), "frame").agg(F.to_json(F.struct(F.collect_list(a).alias("annotations"))).alias("truth"))
     out = S.flatten_ground_truth(t)
     return out.select("challenge_id", "frame", F.size("boxes").cast("bigint").alias("n"), F.aggregate("boxes", F.lit(0).cast("bigint"), lambda s, b: s + b["x2"] - b["x1"]).alias("wide"))
 
