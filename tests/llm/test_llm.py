@@ -695,6 +695,18 @@ def test_expected_shares_meet_their_targets(spark):
     assert abs((kept / kept.sum() - expected / expected.sum()).max()) < 0.05
 
 
+@pytest.mark.parametrize("size", ["0.001", "0.01"])
+def test_default_targets_take_the_whole_budget(spark, size):
+    m = mixing.plan_mixture(spark.read.parquet(f"/root/testdata/sf{size}/documents.parquet"))
+    assert m.budget == 0.8 and m.gap < 1e-6
+
+
+def test_word_counts_are_not_cut_off():
+    text = b"again " * 70_000 + b"other"
+    n, counts = mixing.word_counts(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    assert n[0] == 70_001 and sorted(counts[0][counts[0] > 0].tolist()) == [1, 70_000]
+
+
 def test_contradicting_targets_report_their_gap(spark):
     rows = [(i, "alpha beta gamma " * 5, "en" if i < 6 else "de", "a" if i < 6 else "b") for i in range(10)]
     m = mixing.plan_mixture(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), given={"lang": {"en": 0.5, "de": 0.5}, "source": {"a": 0.9, "b": 0.1}})
