@@ -4,8 +4,10 @@ A paragraph is a sentence of a line (a cut follows a line end, or `.`, `!` or `?
 was set into another text falls into the same paragraphs there. Paragraphs have their five-word shingles MinHashed and
 banded (bands() tunes them for the wanted recall); one of fewer words is a single shingle, and has one key. Paragraphs
 that collide in a band are verified by exact Jaccard, verified links are closed into components, and of each component
-that occurs in several documents the occurrences outside the smallest doc_id are repeats. Runs of repeats of RUN_WORDS
-words or more, with nothing but shorter paragraphs between them, are removed. A repeat of fewer than five words
+that occurs in several documents the occurrences outside the smallest doc_id are repeats. Repeats with nothing but shorter
+paragraphs between them are a run. A passage that was set into the middle of sentences begins and ends in paragraphs that
+are glued to it, so a run grows word by word into the paragraph before and after it, as far as these agree with their
+like in the document that it repeats. Runs of RUN_WORDS words or more are removed. A repeat of fewer than five words
 counts only beside a repeat of the same earlier document: short lines are met anywhere, verses are not.
 """
 
@@ -21,7 +23,8 @@ from pyspark.sql import functions as F
 from .common import LOWER, discard, mix, shingles, span_hashes, stash, text_chunks, word_spans
 from .graph import components, union_find
 
-SIZE, RUN_WORDS, PART, BLOOM_BITS = 5, 25, 2000, 23
+SIZE, RUN_WORDS, PART = 5, 25, 2000
+LEAST_BITS, MOST_BITS = 23, 27  # of a filter: eight for each item, and no more than 16 MB
 
 
 def bands(percent: int, recall: float, most_rows: int = 4, unlike: float = 0.3, pair_cost: float = 15.0) -> tuple[int, int]:
@@ -54,9 +57,10 @@ class Units:
         edges = np.flatnonzero(cut)
         self.starts, self.ends = (edges[:-1], edges[1:]) if n else (edges[:0], edges[:0])
         self.first = np.searchsorted(self.starts, offs) if n else np.zeros(len(offs), np.int64)
-        s, e, at = word_spans(low, np.append(self.starts, n))
-        self.words = np.diff(at) if n else np.zeros(0, np.int64)
-        self.shingles, self.at = shingles(span_hashes(low, s, e), at, SIZE) if n else (np.zeros(0, np.uint64), np.zeros(1, np.int64))
+        self.word_starts, self.word_ends, self.word_at = word_spans(low, np.append(self.starts, n))  # of each word, and each paragraph's range of words
+        self.words = np.diff(self.word_at) if n else np.zeros(0, np.int64)
+        self.word = span_hashes(low, self.word_starts, self.word_ends) if n else np.zeros(0, np.uint64)
+        self.shingles, self.at = shingles(self.word, self.word_at, SIZE) if n else (np.zeros(0, np.uint64), np.zeros(1, np.int64))
         self.long = np.flatnonzero(self.words > 0)
         self.key = np.zeros(len(self.starts), np.uint64)  # stands for the words in their order
         if len(self.long):
@@ -67,6 +71,10 @@ class Units:
         """The k-th MinHash of each paragraph in `long`."""
         return np.minimum.reduceat(mix(self.shingles ^ np.uint64(0xA24BAED4963EE407 * (2 * k + 1) % (1 << 64))), self.at[:-1])[self.long]
 
+    def words_of(self, i: int) -> np.ndarray:
+        """32 bits of each word of a paragraph, in order."""
+        return (self.word[self.word_at[i] : self.word_at[i + 1]] >> np.uint64(32)).astype(np.uint32)
+
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
@@ -124,22 +132,47 @@ def _verify(percent: int):
     return run
 
 
-def _bit_filter(needed: DataFrame) -> np.ndarray:
-    """A bit array of fixed size (1 MB) over the column `unit`; false hits are joined away later."""
-    words = needed.select(F.expr(f"unit & {(1 << BLOOM_BITS) - 1}L").alias("bit")).groupBy(F.expr("bit div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(bit % 64)))").alias("v")).collect()
-    table = np.zeros(1 << (BLOOM_BITS - 6), np.int64)
-    for r in words:
-        table[r["word"]] = r["v"]
-    return table.view(np.uint8)
+def _bit_filter(needed: DataFrame, column: str) -> tuple[np.ndarray, int]:
+    """(bit array over the low bits of an integer column of distinct rows, number of those bits); false hits are joined away later."""
+    bits = min(MOST_BITS, max(LEAST_BITS, int(np.ceil(np.log2(8 * needed.count() + 1)))))
+    words = needed.select(F.expr(f"{column} & {(1 << bits) - 1}L").alias("bit")).groupBy(F.expr("bit div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(bit % 64)))").alias("v")).toArrow()  # at most 2^(MOST_BITS - 6) rows
+    table = np.zeros(1 << (bits - 6), np.int64)
+    table[words["word"].to_numpy()] = words["v"].to_numpy()
+    return table.view(np.uint8), bits
+
+
+def _has(packed: np.ndarray, bits: int, values: np.ndarray) -> np.ndarray:
+    low = values & np.uint64((1 << bits) - 1)
+    return (packed[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
-def _sets(packed: np.ndarray):
+def _beside(ids: tuple[np.ndarray, int], units: tuple[np.ndarray, int]):
+    """(first_id, first_unit, before, after): words of the paragraphs before and after those that `units` may hold, in documents that `ids` may hold."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have, met = np.unpackbits(packed, bitorder="little").astype(bool), set()
+        for b in batches:
+            b = b.filter(pa.array(_has(*ids, b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))))
+            for row, buf, offs in text_chunks(b.column(1)):
+                u = Units(buf, offs)
+                doc = u.doc()
+                hit = u.long[_has(*units, u.key[u.long])]
+                if not len(hit):
+                    continue
+                begin, end = u.first[doc[hit]], u.first[doc[hit] + 1] - 1
+                before = [u.words_of(i - 1).tobytes() if i > x else b"" for i, x in zip(hit.tolist(), begin.tolist(), strict=True)]
+                after = [u.words_of(i + 1).tobytes() if i < y else b"" for i, y in zip(hit.tolist(), end.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row + doc[hit])), pa.array(_signed(u.key[hit])), pa.array(before, pa.binary()), pa.array(after, pa.binary())], ["first_id", "first_unit", "before", "after"])
+
+    return run
+
+
+def _sets(packed: np.ndarray, bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
         for b in batches:
             for _, buf, offs in text_chunks(b.column(0)):
                 u = Units(buf, offs)
-                want = u.long[have[(u.key[u.long] & np.uint64((1 << BLOOM_BITS) - 1)).astype(np.int64)]]
+                want = u.long[_has(packed, bits, u.key[u.long])]
                 key = _signed(u.key)
                 new = [i for i in want.tolist() if key[i] not in met and not met.add(key[i])]
                 if len(met) > 500_000:
@@ -151,7 +184,7 @@ def _sets(packed: np.ndarray):
 
 
 def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = 75, recall: float = 0.98) -> DataFrame:
-    """(id, unit, first_id): paragraphs of a document that repeat one in the document first_id < id."""
+    """(id, unit, first_id, first_unit): paragraphs of a document that repeat the paragraph first_unit of the document first_id < id."""
     docs = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text"))
     n_bands, rows = bands(percent, recall)
     schema = "key bigint, unit bigint, id bigint, hot boolean"
@@ -170,7 +203,7 @@ def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     blocks = pairs.groupBy("key").agg(F.count("*").alias("m"), F.expr("bit_xor(xxhash64(unit))").alias("x")).where("m > 1").groupBy("m", "x").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("m") / PART).alias("k"))
     members = stash(pairs.join(blocks, "key"))
     needed = members.select("unit").distinct()
-    sets = docs.select("text").mapInArrow(_sets(_bit_filter(needed)), "unit bigint, shingles binary").groupBy("unit").agg(F.first("shingles").alias("shingles"))
+    sets = docs.select("text").mapInArrow(_sets(*_bit_filter(needed, "unit")), "unit bigint, shingles binary").groupBy("unit").agg(F.first("shingles").alias("shingles"))
     dealt = members.join(sets, "unit").withColumn("chunk", F.expr("int(pmod(xxhash64(unit, 7), k))")).withColumn("other", F.explode(F.expr("sequence(0, int(k) - 1)")))
     dealt = dealt.selectExpr("key", "least(chunk, other) c1", "greatest(chunk, other) c2", "chunk", "unit", "shingles")
     links = stash(dealt.groupBy("key", "c1", "c2").applyInArrow(_verify(percent), "a bigint, b bigint").distinct())
@@ -178,20 +211,29 @@ def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
 
     occurs = shared.select("unit", "id").distinct().join(named.selectExpr("node unit", "component"), "unit", "left").withColumn("class", F.coalesce("component", "unit"))
     occurs = stash(occurs.select("class", "unit", "id"))
-    first = stash(occurs.groupBy("class").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.count("*").alias("n")).where("first_id <> last_id"))
+    first = stash(occurs.groupBy("class").agg(F.min(F.struct("id", "unit")).alias("f"), F.max("id").alias("last_id"), F.count("*").alias("n")).select("class", F.col("f.id").alias("first_id"), F.col("f.unit").alias("first_unit"), "last_id", "n").where("first_id <> last_id"))
     # a class of a ten-thousandth of all occurrences or more (there are at most ten thousand) goes to them; the others meet by hash
     most = max(1000, (first.agg(F.sum("n")).first()[0] or 0) // 10_000)
-    hot, cold = F.broadcast(first.where(F.col("n") >= most).select("class", "first_id")), first.where(F.col("n") < most).select("class", "first_id")
-    large = occurs.join(hot, "class").select("id", "unit", "first_id")
-    small = occurs.join(hot, "class", "left_anti").join(cold, "class").select("id", "unit", "first_id")
+    hot, cold = F.broadcast(first.where(F.col("n") >= most).select("class", "first_id", "first_unit")), first.where(F.col("n") < most).select("class", "first_id", "first_unit")
+    large = occurs.join(hot, "class").select("id", "unit", "first_id", "first_unit")
+    small = occurs.join(hot, "class", "left_anti").join(cold, "class").select("id", "unit", "first_id", "first_unit")
     out = stash(large.union(small).where("id <> first_id"))
     discard(occurs, first)
     discard(shared, members, links, named)
     return out
 
 
-def _runs(key: list[int], words: list[int], source: dict[int, int], run_words: int) -> Iterator[tuple[int, int, set[int]]]:
-    """(first unit, last unit, earlier documents) of each run of repeats with run_words words or more in a document's units.
+def _agreeing(own: np.ndarray, other: np.ndarray) -> int:
+    """How many words two lists have in common from their first word on."""
+    n = min(len(own), len(other))
+    differs = np.flatnonzero(own[:n] != other[:n])
+    return int(differs[0]) if len(differs) else n
+
+
+def _runs(key: list[int], words: list[int], source: dict[int, int], run_words: int, grown=lambda k, stop: (0, 0)) -> Iterator[tuple[int, int, set[int], int, int]]:
+    """(first unit, last unit, earlier documents, words before, words after) of each run of repeats with run_words words or more in a document's units.
+
+    grown(first, last) tells how many words before and after the units belong to the run as well.
 
     A run goes on over repeats and over units of fewer than SIZE words. It begins and ends with a repeat that counts:
     one of SIZE words or more, or a shorter one whose nearest repeat before or after it has the same earlier document.
@@ -213,8 +255,9 @@ def _runs(key: list[int], words: list[int], source: dict[int, int], run_words: i
                 total, stop = total + words[j], j
                 met.add(source[key[j]])
             j += 1
-        if total >= run_words:
-            yield k, stop, met
+        left, right = grown(k, stop)
+        if total + left + right >= run_words:
+            yield k, stop, met, left, right
         k = j
 
 
@@ -222,7 +265,7 @@ def _remove(at_id: int, at_text: int, run_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             spans, of, kept = [], [], []
-            units, firsts = b.column(b.num_columns - 2), b.column(b.num_columns - 1)
+            units, firsts, befores, afters = (b.column(b.num_columns - k) for k in (4, 3, 2, 1))
             for row, buf, offs in text_chunks(b.column(at_text)):
                 u, raw = Units(buf, offs), buf.tobytes()
                 keys, words = _signed(u.key), u.words
@@ -231,9 +274,21 @@ def _remove(at_id: int, at_text: int, run_words: int):
                     marked, cuts, sources = units[row + i].as_py(), [], set()
                     if marked:
                         source = dict(zip(marked, firsts[row + i].as_py(), strict=True))
+                        beside = {k: (np.frombuffer(x or b"", np.uint32), np.frombuffer(y or b"", np.uint32)) for k, x, y in zip(marked, befores[row + i].as_py(), afters[row + i].as_py(), strict=True)}
                         lo, hi = int(u.first[i]), int(u.first[i + 1])
-                        for x, y, met in _runs(keys[lo:hi].tolist(), words[lo:hi].tolist(), source, run_words):
-                            cuts.append((int(u.starts[lo + x]), int(u.ends[lo + y])))
+
+                        def grown(k: int, stop: int, lo: int = lo, hi: int = hi, beside: dict = beside, u: Units = u, keys: np.ndarray = keys) -> tuple[int, int]:
+                            left = _agreeing(u.words_of(lo + k - 1)[::-1], beside[int(keys[lo + k])][0][::-1]) if k else 0
+                            return left, _agreeing(u.words_of(lo + stop + 1), beside[int(keys[lo + stop])][1]) if lo + stop + 1 < hi else 0
+
+                        spot = begin
+                        for x, y, met, left, right in _runs(keys[lo:hi].tolist(), words[lo:hi].tolist(), source, run_words, grown):
+                            first = int(u.word_starts[u.word_at[lo + x] - left]) if left else int(u.starts[lo + x])
+                            last = int(u.word_ends[u.word_at[lo + y + 1] + right - 1]) if right else int(u.ends[lo + y])
+                            first = max(first, spot)  # two runs may grow into one paragraph between them
+                            if last > first:
+                                cuts.append((first, last))
+                                spot = last
                             sources |= met
                     text, spot = [], begin
                     for x, y in cuts:
@@ -245,7 +300,7 @@ def _remove(at_id: int, at_text: int, run_words: int):
                     spans.append([{"start": chars(x), "stop": chars(y)} for x, y in cuts])
                     of.append(sorted(sources))
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays([*b.columns[: b.num_columns - 2], pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(of, pa.list_(pa.int64())), pa.array(kept, pa.string())], [*b.schema.names[:-2], "removed", "repeats_of", "kept_text"])
+                yield pa.RecordBatch.from_arrays([*b.columns[: b.num_columns - 4], pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(of, pa.list_(pa.int64())), pa.array(kept, pa.string())], [*b.schema.names[:-4], "removed", "repeats_of", "kept_text"])
 
     return run
 
@@ -258,8 +313,17 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """
     keep = [c for c in docs.columns if c not in ("removed", "repeats_of", "kept_text")]
     docs = docs.select(*keep)
-    marks = repeats(docs, id_column, text_column, percent).groupBy("id").agg(F.collect_list(F.struct("unit", "first_id")).alias("m"))
-    marks = marks.select(F.col("id").alias("_mark_id"), F.col("m.unit").alias("_units"), F.col("m.first_id").alias("_firsts"))
+    found = repeats(docs, id_column, text_column, percent)
+    sources = stash(found.groupBy("first_id", "first_unit").agg(F.count("*").alias("n")))
+    texts = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text"))
+    filters = _bit_filter(sources.select("first_id").distinct(), "first_id"), _bit_filter(sources.select("first_unit").distinct(), "first_unit")
+    beside = texts.mapInArrow(_beside(*filters), "first_id bigint, first_unit bigint, before binary, after binary")
+    beside = stash(beside.join(sources, ["first_id", "first_unit"]).groupBy("first_id", "first_unit").agg(F.first("n").alias("n"), F.max("before").alias("before"), F.max("after").alias("after")))
+    most = max(1000, (sources.agg(F.sum("n")).first()[0] or 0) // 10_000)  # a paragraph that so many repeat goes to them: at most ten thousand
+    hot, cold = F.broadcast(beside.where(F.col("n") >= most).drop("n")), beside.where(F.col("n") < most).drop("n")
+    known = found.join(hot, ["first_id", "first_unit"]).unionByName(found.join(hot, ["first_id", "first_unit"], "left_anti").join(cold, ["first_id", "first_unit"], "left"), allowMissingColumns=True)
+    marks = known.groupBy("id").agg(F.collect_list(F.struct("unit", "first_id", "before", "after")).alias("m"))
+    marks = marks.select(F.col("id").alias("_mark_id"), F.col("m.unit").alias("_units"), F.col("m.first_id").alias("_firsts"), F.col("m.before").alias("_befores"), F.col("m.after").alias("_afters"))
     both = docs.join(marks, docs[id_column] == marks["_mark_id"], "left").drop("_mark_id")
     from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 

@@ -570,6 +570,37 @@ def test_band_tuning():
         assert (rows > 1 or percent < 75) and 1 - (1 - (percent / 100) ** rows) ** n >= recall > 1 - (1 - (percent / 100) ** rows) ** (n - 1)
 
 
+def test_removed_words_against_exact_runs(spark):
+    """Runs of 25 words or more that an earlier document holds word for word lose nine tenths of their words."""
+    rows = {r["doc_id"]: r for r in substring_dedup.remove_repeats(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")).collect()}
+    size, seen, repeated, removed, long, lost = substring_dedup.RUN_WORDS, set(), 0, 0, 0, 0
+    for i in sorted(rows):
+        words = [(m.start(), m.end(), m[0]) for m in re.finditer("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), rows[i]["text"] or ""))]
+        grams = [tuple(w[2] for w in words[k : k + size]) for k in range(len(words) - size + 1)]
+        marked = {j for k, g in enumerate(grams) if g in seen for j in range(k, k + size)}
+        gone = {j for j, (a, e, _) in enumerate(words) if any(x["start"] <= a and e <= x["stop"] for x in rows[i]["removed"])}
+        repeated, removed = repeated + len(marked), removed + len(marked & gone)
+        for j in sorted(marked):
+            if j - 1 not in marked:
+                stop = next(k for k in range(j, len(words) + 1) if k not in marked)
+                if stop - j > 50:
+                    long, lost = long + 1, lost + (not any(k in gone for k in range(j, stop)))
+        seen.update(grams)
+    assert removed >= 0.9 * repeated > 0 and lost <= 0.02 * long
+
+
+def test_runs_grow_into_glued_paragraphs(spark):
+    """A passage whose first and last sentences are glued to other words is cut at its own words."""
+    inner = "Seven grey herons stood along the narrow bank. The water moved under them without any sound"
+    rows = [(1, f"Alpha beta said that early on {inner} while gamma delta went home. Then nothing."), (2, f"Other people noted that early on {inner} while gamma delta slept. Quite another end."), (3, None), (4, "")]
+    got = {r["doc_id"]: r for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), run_words=20).collect()}
+    assert got[1]["kept_text"] == rows[0][1] and got[3]["kept_text"] is None
+    more = "One full sentence of ten plain words stands right here."
+    rows = [(i, f"{a} seen before noon {inner}. {more} It ended as it had begun {b}.") for i, a, b in ((1, "Alpha beta were", "quietly"), (2, "Others have been", "loudly"))]
+    got = {r["doc_id"]: r for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[2]["kept_text"] == "Others have been  loudly." and got[2]["repeats_of"] == [1]
+
+
 def test_paragraph_recall_against_all_pairs(spark):
     """Edited sentences: of all pairs of documents with paragraphs of Jaccard 0.75 or more, the marks find nine tenths or more, and nothing else."""
     rng = np.random.default_rng(21)
