@@ -1,7 +1,9 @@
 """A training-corpus pipeline: language, one document of each near-duplicate group, repeated passages, mixture, packing.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. Rows
-with a null doc_id pass the second and third stage as they are. An empty table stays empty.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. Of rows
+that are equal in every column the second stage keeps one, null ids included; apart from that, rows with a null doc_id pass
+the second and third stage as they are, and rows that share an id but differ stay or go together. Texts that are null or
+have no letter go in the first stage. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from scoregrid.llm.packing import pack
 from scoregrid.llm.substring_dedup import remove_repeats
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-LEAST_KNOWN = 0.3  # part of a text's 4-grams that its language must contain
+LEAST_KNOWN = 0.3  # part of a text's 5-grams that its language must contain
 SENT_IDS = 4_000_000  # up to so many ids to remove are sent to every executor; beyond, documents are shuffled to them
 
 
@@ -29,9 +31,22 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
+def one_of_repeats(docs: DataFrame) -> DataFrame:
+    """docs without exact repeats of rows. Only rows whose id stands more than once are compared, so that other texts are not shuffled."""
+    several = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("id"))
+    count = several.count()
+    if not count:
+        return docs
+    if count <= SENT_IDS:
+        several = F.broadcast(several)
+    same = F.col("doc_id").eqNullSafe(F.col("id"))
+    return docs.join(several, same, "left_anti").unionByName(docs.join(several, same, "left_semi").dropDuplicates(COLUMNS))
+
+
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that links join, the one with the smallest doc_id stays."""
+    """Of each group of documents that links join, the one with the smallest doc_id stays; of equal rows one."""
     small_batches(spark)
+    docs = one_of_repeats(docs.select(*COLUMNS))
     gone = jaccard_classes(docs).where("doc_id <> component_id").select("doc_id").distinct()
     if gone.count() <= SENT_IDS:
         gone = F.broadcast(gone)

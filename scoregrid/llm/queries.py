@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from .alignment import alignment_of_all
@@ -80,7 +79,7 @@ def op13_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_attention_scoring, op2_token_files, op3_paragraph_dedup, op4_multiset_fingerprint, op5_byte_cnn_quality, op6_language_filters, op7_best_fit_packing, op8_ngram_join, op9_avi_media, op10_source_mixing, op11_text_alignment, op12_phrase_collocations, op13_credential_links)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_attention_scoring, op2_token_files, op3_paragraph_dedup, op4_multiset_fingerprint, op5_byte_cnn_quality, op6_language_filters, op7_best_fit_packing, op8_ngram_join, op9_avi_media, op10_source_mixing, op11_text_alignment, op12_phrase_collocations, op13_credential_links)}
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

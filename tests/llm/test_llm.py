@@ -784,3 +784,34 @@ def test_pipeline(spark):
         before = docs.count()
     assert c.STAGES[-1][1](spark, docs, SMALL).select("doc_id").distinct().count() == docs.count()
     assert not set(docs.select("doc_id").distinct().collect()) - set(spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id").collect())
+
+
+def test_pipeline_stages_on_awkward_rows(spark, docs, none):
+    """Nulls, empty and very long texts, repeated rows and ids, clashing extra columns, and an empty table."""
+    import corpus_pipeline as c
+
+    table = docs.unionByName(docs.where("doc_id in (1, 6) or doc_id is null"))  # exact repeats of three rows
+    labelled = spark.read.parquet(f"{SMALL}/documents.parquet").where("doc_id < 60").withColumn("doc_id", F.col("doc_id") + 1000)
+    table = table.withColumn("lang", F.lit(None).cast("string")).unionByName(labelled, allowMissingColumns=True)
+    told = c.language_stage(spark, table, SMALL)
+    assert told.columns == c.COLUMNS and told.where("text is null or trim(text) = '' or lang is null").count() == 0
+    joined = c.ngram_join_stage(spark, table, SMALL).collect()
+    ids = [r["doc_id"] for r in joined]
+    assert sorted(i for i in ids if i is not None and i < 1000) == [0, 3, 4, 5, 6, 8, 9, 10, 11, 12, 13, 13, 15] and ids.count(None) == 1
+    cut = {r["doc_id"]: r for r in c.substring_stage(spark, table, SMALL).collect()}
+    assert cut[3]["text"] is None and cut[8]["text"].count("Shared") == 7 and "Shared" not in cut[9]["text"] and cut[9]["n_chars"] == len(cut[9]["text"])
+    mixed = c.mixing_stage(spark, table, SMALL)
+    assert mixed.columns == c.COLUMNS and 0 < mixed.count() < table.count()
+    packed = c.packing_stage(spark, table, SMALL)
+    assert packed.select("doc_id").where("doc_id is not null").distinct().count() == table.select("doc_id").where("doc_id is not null").distinct().count()
+    for _, stage in c.STAGES:
+        assert stage(spark, none, SMALL).count() == 0
+
+
+def test_equal_rows_leave_one(spark):
+    import corpus_pipeline as c
+
+    row = lambda i, t: (i, t, "en", "s", len(t))
+    table = spark.createDataFrame([row(1, "x y z"), row(1, "x y z"), row(2, "x y z"), row(1, "other"), row(None, "n"), row(None, "n")], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r["doc_id"] or 0), r["text"]) for r in c.ngram_join_stage(spark, table, SMALL).collect())
+    assert got == [(0, "n"), (1, "other"), (1, "x y z")]
