@@ -236,6 +236,30 @@ def keypoint_screen(points: Column, width: int = 960, height: int = 540) -> Colu
     return F.struct(kept.alias("points"), n.alias("n"), ((n >= 4) & (F.coalesce(span("x"), F.lit(0)) <= 2 * width) & (F.coalesce(span("y"), F.lit(0)) <= 2 * height)).alias("ok"))
 
 
+def near_edges(p: Column, width: int = 960, height: int = 540, within: int = 50) -> Column:
+    """The image borders that lie at most `within` pixels from a point, as an array of names."""
+    named = [("left", p["x"] <= within), ("right", p["x"] >= width - within), ("top", p["y"] <= within), ("bottom", p["y"] >= height - within)]
+    return F.filter(F.array(*[F.when(hit, F.lit(name)) for name, hit in named]), lambda n: n.isNotNull())
+
+
+def same_edge_pairs(points: Column, pairs: list[tuple[int, int]], width: int = 960, height: int = 540, within: int = 100) -> Column:
+    """The pairs (places from 1) of live points of which both lie near one border, as an array of their numbers in `pairs`."""
+    point = lambda i: F.get(points, F.lit(i - 1))
+    live = lambda p: (p["x"] != 0) | (p["y"] != 0)
+    hit = [F.when(live(point(a)) & live(point(b)) & F.arrays_overlap(near_edges(point(a), width, height, within), near_edges(point(b), width, height, within)), F.lit(k)) for k, (a, b) in enumerate(pairs)]
+    return F.filter(F.array(*hit), lambda k: k.isNotNull())
+
+
+def set_key(places: Column) -> Column:
+    """One number for a set of small numbers, whatever their order."""
+    return F.xxhash64(F.array_join(F.array_sort(F.array_distinct(places)), ","))
+
+
+def live_places(points: Column) -> Column:
+    """The places, from 1, of points that are not (0, 0)."""
+    return F.filter(F.transform(points, lambda p, i: F.when((p["x"] != 0) | (p["y"] != 0), i + 1)), lambda i: i.isNotNull())
+
+
 # tolerance scoring
 
 

@@ -140,12 +140,21 @@ def _columns(boxes: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate([[0], np.cumsum(size)]), xy, flat.field("cls").to_numpy(zero_copy_only=False)
 
 
+def both_pairs(gt: DataFrame, pred: DataFrame) -> DataFrame:
+    """(run_id, frame, n_gt, n_pred, ious, strict): both results of optimal_pairs(), from one pass over the frames."""
+    return _optimal(gt, pred, (False, True), "run_id bigint, frame bigint, n_gt int, n_pred int, ious array<float>, strict array<float>")
+
+
 def optimal_pairs(gt: DataFrame, pred: DataFrame, strict: bool = False) -> DataFrame:
     """(run_id, frame, n_gt, n_pred, ious): IoU of the pairs of a best one-to-one assignment of each frame.
 
     strict: pairs of different labels count 0. IoUs are single precision, so that a value at a bar still passes it.
     Many frames share an Arrow batch; a frame's boxes are one row's arrays.
     """
+    return _optimal(gt, pred, (strict,), "run_id bigint, frame bigint, n_gt int, n_pred int, ious array<float>")
+
+
+def _optimal(gt: DataFrame, pred: DataFrame, kinds: tuple[bool, ...], schema: str) -> DataFrame:
     g = gt.groupBy(*FRAME).agg(F.array_sort(F.collect_list(F.struct("det_ord", "cls", *BOX))).alias("g"))
     p = pred.groupBy(*FRAME).agg(F.array_sort(F.collect_list(F.struct("det_ord", "cls", *BOX))).alias("p"))
     both = g.join(p, list(FRAME), "full")
@@ -153,11 +162,12 @@ def optimal_pairs(gt: DataFrame, pred: DataFrame, strict: bool = False) -> DataF
     def run(batches):
         for b in batches:
             one, two = (_columns(b.column(k)) for k in (2, 3))
-            out = []
+            out: list[list] = [[] for _ in kinds]
             for i in range(b.num_rows):
                 x, y = slice(one[0][i], one[0][i + 1]), slice(two[0][i], two[0][i + 1])
                 if x.start == x.stop or y.start == y.stop:
-                    out.append([])
+                    for values in out:
+                        values.append([])
                     continue
                 a, c = one[1][x], two[1][y]
                 w = np.clip(np.minimum(a[:, None, 2], c[None, :, 2]) - np.maximum(a[:, None, 0], c[None, :, 0]), 0, None)
@@ -165,13 +175,14 @@ def optimal_pairs(gt: DataFrame, pred: DataFrame, strict: bool = False) -> DataF
                 size = lambda z: np.clip(z[:, 2] - z[:, 0], 0, None) * np.clip(z[:, 3] - z[:, 1], 0, None)
                 union = size(a)[:, None] + size(c)[None] - w * h
                 iou = np.divide(w * h, union, out=np.zeros_like(union), where=union > 0).astype(np.float32)
-                if strict:
-                    iou[one[2][x][:, None] != two[2][y][None]] = 0
-                m = iou.T if len(a) > len(c) else iou
-                out.append(m[np.arange(len(m)), _assign(1.0 - m.astype(float))].tolist())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(np.diff(s[0]), pa.int32()) for s in (one, two)), pa.array(out, pa.list_(pa.float32()))], ["run_id", "frame", "n_gt", "n_pred", "ious"])
-
-    return both.select(*FRAME, "g", "p").mapInArrow(run, "run_id bigint, frame bigint, n_gt int, n_pred int, ious array<float>")
+                for values, strict in zip(out, kinds, strict=True):
+                    worth = np.where(one[2][x][:, None] != two[2][y][None], np.float32(0), iou) if strict else iou
+                    m = worth.T if len(a) > len(c) else worth
+                    values.append(m[np.arange(len(m)), _assign(1.0 - m.astype(float))].tolist())
+            names = [c.split(" ")[0] for c in schema.split(", ")]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(np.diff(s[0]), pa.int32()) for s in (one, two)), *(pa.array(v, pa.list_(pa.float32())) for v in out)], names)
+
+    return both.select(*FRAME, "g", "p").mapInArrow(run, schema)
 
 
 def frame_f1(pairs: DataFrame, *bars: float) -> DataFrame:

@@ -8,9 +8,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import economic_score, ratio
-from .match import BOX, frame_f1, optimal_pairs, set_iou
+from .match import BOX, both_pairs, frame_f1, greedy_match, optimal_pairs, set_iou
 
 METRICS: dict[tuple[str, str], Callable] = {}
+SHARED: dict[tuple[str, str], tuple[str, Callable[[], Column]]] = {}
+# what pillars of one run share: a table with run_id, made once however many of them ask for it
+INTERMEDIATES: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
+    "pairs": both_pairs,
+    "matches": lambda gt, pred: precision_recall(greedy_match(gt, pred), gt),
+    "precision curve": lambda gt, pred: average_precision(greedy_match(gt, pred), gt),
+    "truth smoothness": lambda gt, pred: smoothness(pred),
+}
 
 
 def register_metric(category: str, pillar: str):
@@ -23,8 +31,61 @@ def register_metric(category: str, pillar: str):
     return keep
 
 
+def register_shared(category: str, pillar: str, intermediate: str):
+    """Decorator: fn() -> Column, an aggregate over the rows of a run in one of INTERMEDIATES, becomes the pillar of a category."""
+
+    def keep(fn: Callable[[], Column]) -> Callable[[], Column]:
+        SHARED[(category, pillar)] = (intermediate, fn)
+        return fn
+
+    return keep
+
+
+def element_pillars(category: str, pillars: list[str], gt: DataFrame, pred: DataFrame, params: dict | None = None) -> DataFrame:
+    """(run_id, pillar, score) of the asked pillars of a category; one that nobody has registered raises.
+
+    Pillars over one intermediate are aggregates of one grouping of it, so that boxes are assigned once for all of them;
+    the others are computed by their own function. Every run that truth or predictions have gets a row a pillar, 0 where it has no value.
+    """
+    unknown = [p for p in pillars if (category, p) not in SHARED and (category, p) not in METRICS]
+    if unknown:
+        raise NotImplementedError(f"no metric of {category} is registered for {', '.join(unknown)}")
+    out, of = [], {}
+    for p in pillars:
+        if (category, p) in SHARED:
+            of.setdefault(SHARED[category, p][0], []).append(p)
+        else:
+            out.append(METRICS[category, p](gt, pred, params).select("run_id", F.lit(p).alias("pillar"), "score"))
+    for name, asked in of.items():
+        wide = INTERMEDIATES[name](gt, pred).groupBy("run_id").agg(*[SHARED[category, p][1]().alias(f"_{i}") for i, p in enumerate(asked)])
+        long = F.explode(F.array(*[F.struct(F.lit(p).alias("pillar"), F.col(f"_{i}").cast("double").alias("score")) for i, p in enumerate(asked)]))
+        out.append(wide.select("run_id", long.alias("l")).select("run_id", "l.*"))
+    found = out[0]
+    for more in out[1:]:
+        found = found.unionByName(more)
+    every = gt.select("run_id").union(pred.select("run_id")).distinct().withColumn("pillar", F.explode(F.array(*[F.lit(p) for p in pillars])))
+    return every.join(found, ["run_id", "pillar"], "left").na.fill(0.0, ["score"])
+
+
+def _f1_column(ious: str, *bars: float) -> Column:
+    """Mean over frames of the mean F1 over bars, of rows of both_pairs()."""
+    total = F.col("n_gt") + F.col("n_pred")
+    tp = lambda t: F.size(F.filter(ious, lambda x: x >= F.lit(t).cast("float")))
+    return F.avg(F.when(total == 0, 1.0).otherwise(sum((ratio(2.0 * tp(t), total) for t in bars), F.lit(0.0)) / len(bars)))
+
+
+register_shared("Detect", "placement", "pairs")(lambda: _f1_column("ious", 0.3, 0.5))
+register_shared("Detect", "count", "pairs")(lambda: _f1_column("ious", 0.3))
+register_shared("Detect", "label", "pairs")(lambda: _f1_column("strict", 0.3, 0.5))
+register_shared("Detect", "precision", "matches")(lambda: F.max("precision"))
+register_shared("Detect", "recall", "matches")(lambda: F.max("recall"))
+register_shared("Detect", "false_positive", "matches")(lambda: F.max("false_positive"))
+register_shared("Detect", "map", "precision curve")(lambda: F.avg("ap"))
+register_shared("Detect", "smoothness", "truth smoothness")(lambda: F.max("score"))
+
+
 def pillar_catalog(spark) -> DataFrame:
-    return spark.createDataFrame(sorted(METRICS) or [("", "")], "category string, pillar string").where("category <> ''")
+    return spark.createDataFrame(sorted(set(METRICS) | set(SHARED)) or [("", "")], "category string, pillar string").where("category <> ''")
 
 
 def precision_recall(matches: DataFrame, gt: DataFrame, frames: DataFrame | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import BLOCKS_PER_DAY, element_in_key
+from ..functions.exprs import BLOCKS_PER_DAY, element_in_key, live_places, set_key
 
 UNKNOWN_COMMIT = 10**18
 
@@ -187,3 +187,22 @@ def window_shard_dedup(df: DataFrame, keys: tuple[str, ...] = ("window_id", "min
     """One row a key: the smallest source, then the earliest ingest."""
     w = Window.partitionBy(*keys).orderBy("validator_hotkey", "seq")
     return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+# Places of four keypoints that do not fix a frame, as they lie on few lines.
+WEAK_QUADS = [
+    [23, 24, 27, 28], [7, 8, 3, 4], [2, 10, 1, 14], [18, 26, 14, 25], [5, 13, 6, 17], [21, 29, 17, 30], [10, 11, 2, 3], [10, 11, 2, 7], [12, 13, 4, 5],
+    [12, 13, 5, 8], [18, 19, 26, 27], [18, 19, 26, 23], [20, 21, 24, 29], [20, 21, 28, 29], [8, 4, 5, 13], [3, 7, 2, 10], [23, 27, 18, 26], [24, 28, 21, 29],
+]
+
+
+def weak_quads(spark) -> DataFrame:
+    return spark.createDataFrame([(q,) for q in WEAK_QUADS], "places array<int>")
+
+
+def mark_weak_quads(frames: DataFrame, quads: DataFrame, points: str = "points") -> DataFrame:
+    """frames with weak: exactly four points are live, and they are one of the quads (places, in any order). Quads meet frames by the key of their set."""
+    key = set_key(live_places(F.col(points)))
+    listed = quads.select(set_key(F.col("places")).alias("_quad")).distinct()
+    four = frames.withColumn("_key", F.when(F.size(live_places(F.col(points))) == 4, key))
+    return four.join(F.broadcast(listed), F.col("_key") == F.col("_quad"), "left").withColumn("weak", F.col("_quad").isNotNull()).drop("_key", "_quad")

@@ -305,6 +305,24 @@ def screened_keypoints(spark, d):
     return s.select("vec_id", F.col("s.n").cast("bigint").alias("n"), F.col("s.ok").alias("ok"))
 
 
+_LIVE = "p AS (SELECT vec_id, i, (vec_id % 36 < 18 AND list_contains(QUADS[CAST(vec_id % 36 AS INT) + 1], i)) OR (vec_id % 36 >= 18 AND (i * 7 + vec_id) % 8 = 0) AS live, greatest(1, least(959, CAST(floor(CAST(embedding[i] AS DOUBLE) * 2000 + 400) AS BIGINT))) AS x, greatest(1, least(539, CAST(floor(CAST(embedding[i + 32] AS DOUBLE) * 1200 + 250) AS BIGINT))) AS y FROM embeddings, (SELECT unnest(range(1, 33)) AS i))".replace("QUADS", str(C.WEAK_QUADS))
+_LINES_OF_POINTS = [(1, 2), (7, 8), (12, 13), (20, 29), (3, 11), (23, 24)]
+_NEAR = "CASE WHEN {0}.x <= 100 AND {1}.x <= 100 OR {0}.x >= 860 AND {1}.x >= 860 OR {0}.y <= 100 AND {1}.y <= 100 OR {0}.y >= 440 AND {1}.y >= 440 THEN 1 ELSE 0 END".format("a", "b")
+
+
+@query(f"WITH {_LIVE}, l AS (SELECT vec_id, list(i ORDER BY i) FILTER (live) AS s, count(*) FILTER (live) AS n FROM p GROUP BY 1), q AS (SELECT DISTINCT list_sort(unnest({C.WEAK_QUADS})) AS s), n AS (SELECT a.vec_id, sum({_NEAR}) AS near FROM p a JOIN p b ON a.vec_id = b.vec_id AND a.live AND b.live JOIN (SELECT unnest({[list(x) for x in _LINES_OF_POINTS]}) AS ab) t ON a.i = ab[1] AND b.i = ab[2] GROUP BY 1) SELECT l.vec_id, n, q.s IS NOT NULL AS weak, coalesce(near, 0) AS near_pairs FROM l LEFT JOIN q ON q.s = l.s AND n = 4 LEFT JOIN n ON n.vec_id = l.vec_id")
+def weak_keypoint_frames(spark, d):
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    quads = F.array(*[F.array(*[F.lit(i) for i in q]) for q in C.WEAK_QUADS])
+    k = (F.col("vec_id") % 36).cast("int")
+    live = lambda i: ((k < 18) & F.array_contains(F.get(quads, k), i)) | ((k >= 18) & ((i * 7 + F.col("vec_id")) % 8 == 0))
+    x = lambda i: F.greatest(F.lit(1), F.least(F.lit(959), F.floor(F.get("embedding", i - 1).cast("double") * 2000 + 400)))
+    y = lambda i: F.greatest(F.lit(1), F.least(F.lit(539), F.floor(F.get("embedding", i + 31).cast("double") * 1200 + 250)))
+    pts = F.transform(F.sequence(F.lit(1), F.lit(32)), lambda i: F.struct(F.when(live(i), x(i)).otherwise(0).alias("x"), F.when(live(i), y(i)).otherwise(0).alias("y")))
+    marked = C.mark_weak_quads(e.select("vec_id", pts.alias("points")), C.weak_quads(spark))
+    return marked.select("vec_id", F.size(X.live_places(F.col("points"))).cast("bigint").alias("n"), "weak", F.size(X.same_edge_pairs(F.col("points"), _LINES_OF_POINTS)).cast("bigint").alias("near_pairs"))
+
+
 # boxes
 
 _IOU = "CASE WHEN least(a.x2, b.x2) <= greatest(a.x1, b.x1) OR least(a.y2, b.y2) <= greatest(a.y1, b.y1) THEN 0.0 ELSE CAST((least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS DOUBLE) / ((a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - (least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1))) END"
@@ -396,6 +414,20 @@ def label_strict_f1(spark, d):
     return E.label_f1(V.gt(spark, d), V.pred(spark, d)).select("run_id", *six("score"))
 
 
+# an element of the pillars that shared intermediates give, against its weights; precision, recall and mAP have an oracle
+_PILLAR_WEIGHTS = {"precision": 0.2, "recall": 0.3, "false_positive": 0.1, "map": 0.4}
+_ELEMENT = _recursive(_greedy_sql(_BAR)) + f""", {_AP}, h AS (SELECT run_id, count(*) FILTER (tp) AS tp, count(*) FILTER (NOT tp) AS fp FROM m GROUP BY 1), c AS (SELECT run_id, count(*) AS n_gt, count(DISTINCT frame) AS f FROM gt GROUP BY 1),
+z AS (SELECT run_id, tp / (tp + fp) AS p, tp / c.n_gt AS r, greatest(0, 1 - fp / f / 10) AS q, (SELECT avg(ap) FROM ap WHERE ap.run_id = c.run_id) AS a FROM c JOIN h USING (run_id))
+SELECT run_id, round(p + r + q + a, 6) AS score, round(0.2 * p + 0.3 * r + 0.1 * q + 0.4 * a, 6) AS weighted, round(1.4 * greatest(greatest(0.2 * p + 0.3 * r + 0.1 * q + 0.4 * a - 0.5, 0), 0.0), 6) AS paid FROM z"""
+
+
+@query(_ELEMENT)
+def element_score_of_runs(spark, d):
+    found = E.element_pillars("Detect", list(_PILLAR_WEIGHTS), V.gt(spark, d), V.pred(spark, d)).withColumn("element_id", F.lit("ns/Detect-error"))
+    weights = spark.createDataFrame([("ns/Detect-error", p, w) for p, w in _PILLAR_WEIGHTS.items()], "element_id string, pillar string, weight double")
+    return E.element_scores(found, weights, V.manifest(spark, d)).select("run_id", *six("score", "weighted", "paid"))
+
+
 @query()
 def output_comparison(spark, d):
     return M.compare_outputs(V.gt(spark, d), V.pred(spark, d)).select("run_id", "frame", "n_expected", "n_actual", "matched", *six("mean_iou"), "passed")

@@ -158,3 +158,38 @@ def read_list(spark: SparkSession, path: str) -> DataFrame:
     """(line): trimmed lines that are neither blank nor comments."""
     line = F.trim("value")
     return spark.read.text(path).select(line.alias("line")).where((F.col("line") != "") & ~F.col("line").startswith("#"))
+
+
+def write_by_day(df: DataFrame, path: str, per_day: int = 7200) -> None:
+    """Shard rows below path by the day of their block, sorted by block in each file: what read_tail() prunes by."""
+    df.withColumn("day", F.floor(F.col("block") / per_day)).sortWithinPartitions("day", "block").write.mode("append").partitionBy("day").parquet(path)
+
+
+def read_tail(spark: SparkSession, path: str, tail: int, per_day: int = 7200) -> DataFrame:
+    """Rows of the last `tail` blocks of a table of write_by_day(), with max_block and min_block; the floor is included.
+
+    The newest day comes from the partitions, the newest block from that day's files alone. Both bounds then reach the
+    scan as constants: days by partition, blocks by the statistics of row groups.
+    """
+    every = spark.read.parquet(path)
+    newest = every.agg(F.max("day")).first()[0]
+    if newest is None:
+        return every.drop("day").withColumns({"max_block": F.lit(None).cast("bigint"), "min_block": F.lit(None).cast("bigint")})
+    top = every.where(F.col("day") == newest).agg(F.max("block")).first()[0]
+    floor = top - tail
+    kept = every.where((F.col("day") >= floor // per_day) & (F.col("block") >= floor)).drop("day")
+    return kept.withColumns({"max_block": F.lit(top).cast("bigint"), "min_block": F.lit(floor).cast("bigint")})
+
+
+def append_shards(lines: DataFrame, path: str, name: str = "object") -> None:
+    """Add lines to the named objects below path (a folder for each value of the column `name`); equal lines of an object stand once.
+
+    Only the objects that `lines` name are read and replaced, as whole folders, so that a rerun changes nothing and a
+    run that fails leaves the old ones. Two writers of one object at the same time are not arbitrated.
+    """
+    spark = lines.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        old = spark.read.schema(lines.schema).parquet(path).join(lines.select(name).distinct(), name, "left_semi")
+        lines = old.select(*lines.columns).unionByName(lines)
+    lines.distinct().write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(name).parquet(path)

@@ -284,3 +284,151 @@ def test_snapshots_and_artifacts(spark, tmp_path):
     rows = spark.createDataFrame([("e", "m", "c1", 0.5, 1, 1), ("e", "m", "c1", 0.7, 2, 1), ("e", "m", "c2", 0.1, 3, 1), ("e", "m", "c3", 0.2, 4, 1)], "element_id string, miner_hotkey string, challenge_id string, score double, block long, seq long")
     ids = lambda *x: spark.createDataFrame([(i,) for i in x], "challenge_id string")
     assert {r["challenge_id"]: r["score"] for r in G.challenge_map(rows, eligible=ids("c1", "c2"), excluded=ids("c2")).collect()} == {"c1": 0.7}
+
+
+def test_masks_against_plain_pixels(spark):
+    """Random small polygons, some of them degenerate or partly at negative places, against fractions pixel by pixel."""
+    from fractions import Fraction
+    from math import floor
+    from random import Random
+
+    from scoregrid.functions import raster as R
+
+    near = lambda q: floor(q + Fraction(1, 2))
+
+    def pixels(points):
+        out, edges = set(), [(points[i], points[(i + 1) % len(points)]) for i in range(len(points))]
+        for a, b in edges:
+            steep = abs(b[1] - a[1]) >= abs(b[0] - a[0])
+            along, across = (1, 0) if steep else (0, 1)
+            a, b = sorted([a, b], key=lambda p: p[along])
+            for t in range(a[along], b[along] + 1):
+                v = a[across] + (0 if a[along] == b[along] else near(Fraction((t - a[along]) * (b[across] - a[across]), b[along] - a[along])))
+                out.add((v, t) if steep else (t, v))
+        for y in range(min(p[1] for p in points), max(p[1] for p in points) + 1):
+            xs = sorted(near(a[0] + Fraction((y - a[1]) * (b[0] - a[0]), b[1] - a[1])) for a, b in edges if a[1] != b[1] and min(a[1], b[1]) <= y < max(a[1], b[1]))
+            out |= {(x, y) for left, right in zip(xs[::2], xs[1::2], strict=True) for x in range(left, right + 1)}
+        return {p for p in out if min(p) >= 0}
+
+    rng, rows = Random(3), []
+    for i in range(200):
+        shape = lambda: [(rng.randint(-3, 14), rng.randint(-3, 14)) for _ in range(rng.randint(1, 7))]
+        x, y = sorted(rng.randint(0, 10) for _ in range(2)), sorted(rng.randint(0, 10) for _ in range(2))
+        rows.append((i, shape(), shape() if i % 3 else None, x[0], y[0], x[1], y[1]))
+    df = spark.createDataFrame(rows, "i int, a array<struct<x:int,y:int>>, b array<struct<x:int,y:int>>, x1 int, y1 int, x2 int, y2 int").withColumns({"ma": R.raster("a"), "mb": R.raster("b")})
+    shape = lambda m: F.struct("x1", "y1", "x2", "y2", F.col(m).alias("mask"))
+    for r in df.select("i", "ma", R.shape_iou(shape("ma"), shape("mb"), 1.0).alias("iou")).collect():
+        _, a, b, x1, y1, x2, y2 = rows[r["i"]]
+        one, two = pixels(a), pixels(b or [(x1, y1), (x2, y1), (x2, y2), (x1, y2)])
+        assert {(x, r["ma"]["y0"] + k) for k, line in enumerate(r["ma"]["rows"]) for s in line for x in range(s["a"], s["b"] + 1)} == one and r["ma"]["size"] == len(one)
+        assert r["iou"] == pytest.approx(len(one & two) / len(one | two) if one | two else 1.0)
+
+
+def test_polygons_in_output_comparison(spark):
+    """Equal polygons match, and a box matches the polygon of its corners."""
+    square = [(10, 10), (20, 10), (20, 20), (10, 20)]
+    make = lambda polygon, cls="0": spark.createDataFrame([(1, 1, 0, cls, 10, 10, 20, 20, polygon)], "run_id long, frame long, det_ord int, cls string, x1 long, y1 long, x2 long, y2 long, polygon array<struct<x:long,y:long>>")
+    for want, have in ((square, square), (None, square), (square, None)):
+        r = M.compare_outputs(make(want), make(have)).first()
+        assert (r["matched"], r["mean_iou"], r["passed"]) == (1, 1.0, True)
+    assert M.compare_outputs(make(square), make(square, "1")).first()["mean_iou"] == 0.0
+    triangle = M.compare_outputs(make(None), make([(10, 10), (20, 10), (10, 20)])).first()
+    assert triangle["mean_iou"] == pytest.approx(66 / 121)
+
+
+def test_order_statistics_of_a_hot_key(spark):
+    """Nine tenths of the rows share a key; no window sorts rows, and results are exact, ties and single rows included."""
+    import numpy as np
+
+    from scoregrid.operators import aggregate as G
+
+    rng = np.random.default_rng(2)
+    rows = [("hot" if i % 10 else f"k{i % 70}", float(rng.choice([rng.normal(), 0.25])), float(rng.integers(-1, 4))) for i in range(6000)] + [("one", 3.0, 0.0), ("none", None, 1.0)]
+    df = spark.createDataFrame(rows, "k string, v double, w double").repartition(5)
+    of = lambda k: sorted(v for a, v, _ in rows if a == k and v is not None)
+    keys = {k for k, v, _ in rows if v is not None}
+    assert {r["k"]: r["p95"] for r in G.p95_index(df, ("k",), "v").collect()} == {k: of(k)[int(0.95 * (len(of(k)) - 1))] for k in keys}
+    assert {r["k"]: r["median"] for r in G.median(df, ("k",), "v").collect()} == pytest.approx({k: float(np.median(of(k))) for k in keys})
+    want = {}
+    for k in keys:
+        heavy = sorted((v, w) for a, v, w in rows if a == k and w > 0)
+        half, total = sum(w for _, w in heavy) / 2, 0.0
+        want[k] = float(np.median(of(k)))
+        for v, w in heavy:
+            total += w
+            if total >= half:
+                want[k] = v
+                break
+    got = {r["k"]: r["median"] for r in G.weighted_median(df, ("k",), "v", "w").collect()}
+    assert {k: got[k] for k in keys} == want and got["none"] is None
+
+
+def test_pruned_look_back(spark, tmp_path):
+    from scoregrid.sources import shards as S
+
+    path = str(tmp_path / "by_day")
+    rows = spark.range(0, 80_000, 40).selectExpr("id AS block", "id % 7 AS seq")
+    S.write_by_day(rows, path)
+    got = S.read_tail(spark, path, 10_000)
+    assert got.agg(F.min("block"), F.max("block"), F.max("max_block"), F.max("min_block")).first()[:] == (69_960, 79_960, 79_960, 69_960)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan and ">= 9" in plan and "GreaterThanOrEqual(block,69960)" in plan
+    assert len(spark.read.parquet(path).inputFiles()) > 3 * len({r[0] for r in got.select(F.input_file_name()).distinct().collect()})
+
+
+def test_objects_are_appended_once(spark, tmp_path):
+    from scoregrid.sources import shards as S
+
+    path = str(tmp_path / "objects")
+    make = lambda *rows: spark.createDataFrame(rows, "line string, object string")
+    S.append_shards(make(("a", "x"), ("b", "y")), path)
+    untouched = [f for f in spark.read.parquet(path).inputFiles() if "object=y" in f]
+    for _ in range(2):
+        S.append_shards(make(("c", "x"), ("c", "x"), ("d", "z")), path)
+    assert sorted(tuple(r) for r in spark.read.parquet(path).select("line", "object").collect()) == [("a", "x"), ("b", "y"), ("c", "x"), ("d", "z")]
+    assert untouched == [f for f in spark.read.parquet(path).inputFiles() if "object=y" in f]
+
+
+def test_elements_assign_once(spark):
+    from scoregrid.operators import metrics as E
+    from scoregrid.plans import views as V
+
+    g, p = V.gt(spark, "/root/testdata/sf0.001"), V.pred(spark, "/root/testdata/sf0.001")
+    asked = ["placement", "count", "label"]
+    got = E.element_pillars("Detect", asked, g, p)
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    found = {(r["run_id"], r["pillar"]): r["score"] for r in got.collect()}
+    for pillar in asked:
+        alone = {(r["run_id"], pillar): r["score"] for r in E.METRICS["Detect", pillar](g, p).collect()}
+        assert {k: v for k, v in found.items() if k[1] == pillar} == pytest.approx(alone)
+    with pytest.raises(NotImplementedError):
+        E.element_pillars("Detect", ["placement", "shine"], g, p)
+
+
+def test_map_at_1s_against_loops(spark):
+    """The sweep against matching and thresholds by loops, with ties, repeated frames and confidences on a threshold."""
+    from random import Random
+
+    from scoregrid.operators import actions as A
+
+    rng, rows = Random(4), []
+    for i in range(400):
+        rows.append((i % 3, rng.random() < 0.4, i, rng.randint(0, 400), rng.choice(["pass", "shot", "odd"]), rng.choice([0.0, 1.0, 50 / 199, rng.random()])))
+    df = spark.createDataFrame(rows, "challenge_id int, is_gt boolean, ord int, frame int, action string, confidence double")
+    got = {(r["challenge_id"], r["action"]): r["ap"] for r in A.map_at_1s(df.where("is_gt"), df.where("not is_gt")).collect()}
+    want = {}
+    for c in range(3):
+        for a in ("pass", "shot"):
+            truth = sorted({r[3] for r in rows if r[0] == c and r[1] and r[4] == a})
+            pred = {r[3]: r[5] for r in rows if r[0] == c and not r[1] and r[4] == a}
+            used = set()
+            for t in truth:
+                near = [(-v, f) for f, v in pred.items() if abs(f - t) <= 12 and f not in used]
+                if near:
+                    used.add(min(near)[1])
+            points = []
+            for i in range(200):
+                over = [f for f, v in pred.items() if v >= i / 199]
+                points.append((len([f for f in over if f in used]) / len(truth), len([f for f in over if f in used]) / len(over) if over else 0.0))
+            want[c, a] = sum(max((p for r, p in points if r >= k / 10), default=0.0) for k in range(11)) / 11
+    assert got == pytest.approx(want)
