@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -26,10 +26,77 @@ def tumbling_scores(df: DataFrame, tempo: int, late: str = "1 hour") -> DataFram
     return df.withWatermark("ts", late).groupBy(w, "element_id", "miner_hotkey").agg(F.count("*").alias("n"), F.avg("score").alias("avg_score")).select(F.col("window.start").alias("start"), "element_id", "miner_hotkey", "n", "avg_score")
 
 
-def sliding_scores(df: DataFrame, tail: int, tempo: int, late: str = "1 hour") -> DataFrame:
-    """Mean over the last `tail` blocks, moved on by `tempo`."""
-    w = F.window("ts", f"{tail * SECONDS} seconds", f"{tempo * SECONDS} seconds")
-    return df.withWatermark("ts", late).groupBy(w, "element_id", "miner_hotkey").agg(F.count("*").alias("n"), F.avg("score").alias("avg_score")).select(F.col("window.start").alias("start"), "element_id", "miner_hotkey", "n", "avg_score")
+def _pane(tempo: int) -> Column:
+    """Seconds at which the pane of a row's ts begins."""
+    return F.floor(F.unix_seconds("ts") / (tempo * SECONDS)) * (tempo * SECONDS)
+
+
+def sliding_scores(df: DataFrame, tail: int, tempo: int) -> DataFrame:
+    """(start, element_id, miner_hotkey, n, avg_score): mean over windows of `tail` blocks (a multiple of `tempo`), moved on by `tempo`, of a finished table.
+
+    Rows are summed by pane of `tempo` blocks first; only panes are shown to their tail / tempo windows.
+    """
+    panes = df.groupBy(_pane(tempo).alias("pane"), "element_id", "miner_hotkey").agg(F.count("*").alias("n"), F.sum("score").alias("total"))
+    back = F.sequence(F.lit(0), F.lit(tail // tempo - 1))
+    shown = panes.withColumn("start", F.explode(F.transform(back, lambda k: F.timestamp_seconds(F.col("pane") - k * tempo * SECONDS))))
+    return shown.groupBy("start", "element_id", "miner_hotkey").agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("avg_score"))
+
+
+class Panes(StatefulProcessor):
+    """Sums by pane; the window that ends with a pane goes out once the watermark passes its end, and panes that left all windows are dropped."""
+
+    def __init__(self, tail: int, tempo: int):
+        self.tail, self.tempo = tail * SECONDS, tempo * SECONDS
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.panes = handle.getMapState("panes", "pane bigint", "n bigint, total double")
+        self.done = handle.getValueState("done", "end bigint")
+
+    def close(self) -> None:
+        pass
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        seen, total = {}, {}
+        for part in rows:
+            for pane, v in part[["pane", "score"]].itertuples(index=False):
+                seen[int(pane)] = seen.get(int(pane), 0) + 1
+                total[int(pane)] = total.get(int(pane), 0.0) + float(v)
+        for pane, n in seen.items():
+            old = self.panes.getValue((pane,)) if self.panes.containsKey((pane,)) else (0, 0.0)
+            self.panes.updateValue((pane,), (int(old[0]) + n, float(old[1]) + total[pane]))
+            self.handle.registerTimer((pane + self.tempo) * 1000)
+        return iter(())
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        last = max(int(expiredTimerInfo.getExpiryTimeInMs()), int(timerValues.getCurrentWatermarkInMs())) // 1000
+        held = {int(p[0]): (int(v[0]), float(v[1])) for p, v in self.panes.iterator()}
+        done = int(self.done.get()[0]) if self.done.exists() else None
+        out = []
+        # several ends may be due, and only those with a pane of their own have a timer
+        ends = sorted({p + k * self.tempo for p in held for k in range(1, self.tail // self.tempo + 1)})
+        for end in ends:
+            if end <= last and (done is None or end > done):
+                inside = [held[p] for p in sorted(held) if end - self.tail <= p < end]
+                n = sum(x[0] for x in inside)
+                out.append((pd.Timestamp(end - self.tail, unit="s"), key[0], key[1], n, sum(x[1] for x in inside) / n))
+        if done is None or last > done:
+            self.done.update((last,))
+            later = [end for end in ends if end > last]
+            if later:
+                self.handle.registerTimer(later[0] * 1000)
+            for p in held:
+                if p + self.tail <= last:  # in no later window
+                    self.panes.removeKey((p,))
+        if out:
+            yield pd.DataFrame(out, columns=["start", "element_id", "miner_hotkey", "n", "avg_score"])
+
+
+def sliding_scores_stream(df: DataFrame, tail: int, tempo: int, late: str = "1 hour") -> DataFrame:
+    """sliding_scores() of a stream with ts: each window once, in append mode, when the watermark passes its end. State holds panes, never rows."""
+    timed = df.withWatermark("ts", late).withColumn("pane", _pane(tempo)).select("element_id", "miner_hotkey", "pane", "score", "ts")
+    schema = "start timestamp, element_id string, miner_hotkey string, n bigint, avg_score double"
+    return timed.groupBy("element_id", "miner_hotkey").transformWithStateInPandas(Panes(tail, tempo), schema, "Append", "EventTime")
 
 
 def dedup_stream(df: DataFrame, late: str = "1 hour") -> DataFrame:

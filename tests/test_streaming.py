@@ -34,6 +34,29 @@ def test_windows(spark, rows, tmp_path):
     assert ops.sliding_scores(ops.with_time(batch), 14400, 7200).agg(F.sum("n")).first()[0] == 2 * batch.count()
 
 
+def test_sliding_panes(spark, rows, tmp_path):
+    """Panes in state give the windows of a batch, as far as the watermark has passed their ends; files come in event-time order."""
+    batch, _ = rows
+    path = str(tmp_path / "ordered")
+    low, high = batch.agg(F.min("block"), F.max("block")).first()
+    for k in range(5):  # one file after another, as their times tell the stream's order
+        ops.with_time(batch).where(F.floor((F.col("block") - low) * 5 / (high - low + 1)) == k).coalesce(1).write.mode("append").parquet(path)
+    back = spark.read.parquet(path)
+    stream = spark.readStream.schema(back.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    got = drain(ops.sliding_scores_stream(stream, 14400, 3600, "365 days"), "panes_late", "append", tmp_path)
+    assert got.count() == 0  # nothing is final yet
+    got = drain(ops.sliding_scores_stream(stream, 14400, 3600, "0 seconds"), "panes", "append", tmp_path)
+    want = ops.sliding_scores(back, 14400, 3600)
+    by_rows = want.groupBy().agg(F.sum("n")).first()[0]
+    assert by_rows == 4 * batch.count()
+    r = lambda d: {(x["start"], x["miner_hotkey"]): (x["n"], round(x["avg_score"], 9)) for x in d.collect()}
+    passed = back.where(F.floor((F.col("block") - low) * 5 / (high - low + 1)) < 4).agg(F.max("ts")).first()[0]  # the watermark that the last file meets
+    done, every = r(got), r(want)
+    assert done and done == {k: v for k, v in every.items() if k in done}
+    missing = [k for k in every if k not in done]
+    assert all((passed - k[0]).total_seconds() < 14400 * 12 for k in missing)
+
+
 def test_dedup_keeps_one(spark, rows, tmp_path):
     batch, stream = rows
     got = drain(ops.dedup_stream(ops.with_time(stream), "365 days"), "dedup", "append", tmp_path)
