@@ -736,6 +736,8 @@ def test_word_counts_are_not_cut_off():
     text = b"again " * 70_000 + b"other"
     n, counts = mixing.word_counts(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
     assert n[0] == 70_001 and sorted(counts[0][counts[0] > 0].tolist()) == [1, 70_000]
+    rows = np.stack([np.minimum(counts[0], most) for most in (200, 60_000, 1 << 20)])
+    assert (mixing._matrix(pa.array([mixing._packed(x) for x in rows])) == rows).all()
 
 
 def test_contradicting_targets_report_their_gap(spark):
