@@ -53,6 +53,23 @@ def latest_commit_for_element(commits: DataFrame, role: str = "miner") -> DataFr
     return newest.select("element_id", "hotkey", "r.*")
 
 
+def latest_private_commit(commits: DataFrame) -> DataFrame:
+    """The newest private commit of each (element, hotkey): its track is private, and its role is miner or left out. Needs the column track."""
+    own = (F.col("track") == "private") & (F.col("role").isNull() | (F.col("role") == "miner"))
+    return latest_commit_for_element(commits.where(own).withColumn("role", F.lit("miner")))
+
+
+def common_history(winner: DataFrame, candidate: DataFrame, excluded: DataFrame, window: str, n: int, keys: tuple[str, ...] = ("element_id",)) -> DataFrame:
+    """(keys, challenge_id, winner_score, candidate_score): of the challenges that both histories of a key hold and `excluded` does not name, the first n (one at least) by sha256(window:id).
+
+    Every validator takes the same ones. Histories are (keys, challenge_id, score), excluded is (challenge_id).
+    """
+    one, two = winner.withColumnRenamed("score", "winner_score"), candidate.withColumnRenamed("score", "candidate_score")
+    both = one.join(two, [*keys, "challenge_id"]).join(excluded.select("challenge_id").distinct(), "challenge_id", "left_anti")
+    order = Window.partitionBy(*keys).orderBy(F.sha2(F.concat(F.lit(window + ":"), F.col("challenge_id")), 256), "challenge_id")
+    return both.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= max(1, n)).select(*keys, "challenge_id", "winner_score", "candidate_score")
+
+
 def latest_validator_index(commits: DataFrame, hotkey: str | None = None, role: str = "central_validator", url: str = "url") -> DataFrame:
     """The newest commit of each validator hotkey (or of one) whose address is http or https: (hotkey, block, url)."""
     rows = commits.where((F.col("role") == role) & F.lower(F.trim(url)).rlike("^https?://"))

@@ -18,6 +18,7 @@ from .operators import select as C
 from .plans import views as V
 from .plans.winner import eligible_rows, kept, window_weights, winners
 from .sources import shards as S
+from .streaming import ops as T
 
 TAIL, LEAST = 216_000, 5
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -753,6 +754,105 @@ def pillar_weights(spark, d):
     return A.normalize_pillar_weights(e).select("pillar", *six("weight"))
 
 
+@query("SELECT seq, block // 300 * 300 AS start, seq % 3 = 0 OR block <= block // 300 * 300 + 100 AS active FROM shards", "shards")
+def window_blocks(spark, d):
+    start = X.window_start_of_id(X.window_id("block", 300))
+    expiry = F.when(F.col("seq") % 3 != 0, start + 100)
+    return V.shards(spark, d).select("seq", start.alias("start"), X.is_window_active(F.col("block"), start, expiry).alias("active"))
+
+
+@query("SELECT seq, CASE WHEN uid = 3 THEN NULL ELSE replace(element_id, '/', '_') END AS safe, CASE WHEN lane = 'private' THEN 'https://h/indexprivate.json' ELSE 'https://h/index.json' END AS index_url, CASE WHEN score > 0 THEN greatest(1, CAST(trunc(score / 1000 * 7200) AS BIGINT)) END AS blocks, 'Detect' AS category, round(CASE WHEN timed_out THEN 0.1 ELSE CAST(0.04 AS DOUBLE) + (CAST(0.175 AS DOUBLE) - CAST(0.04 AS DOUBLE)) * greatest(0, least(1, score)) END, 6) AS delta FROM shards", "shards")
+def cleaned_ids(spark, d):
+    s = V.shards(spark, d)
+    return s.select("seq", X.safe_element_id(F.when(F.col("uid") == 3, F.lit("  ")).otherwise(F.concat(F.lit(" "), F.col("element_id")))).alias("safe"), X.lane_index(F.lit("https://h/index.json"), F.col("lane")).alias("index_url"), X.days_to_blocks(F.col("score") / 1000).alias("blocks"), X.element_category("element_id", ["Pose", "Detect"]).alias("category"), X.adaptive_delta(F.when(~F.col("timed_out"), F.col("score")), 0.1).alias("delta")).select("seq", "safe", "index_url", "blocks", "category", *six("delta"))
+
+
+@query("SELECT seq, CASE uid % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN uid END AS kind, CASE WHEN uid % 3 = 0 THEN seq WHEN uid % 3 = 1 THEN block END AS frame FROM shards", "shards")
+def challenge_kinds(spark, d):
+    s, k = V.shards(spark, d), F.col("uid") % 4
+    raw = F.when(k == 0, F.lit(" Soccer")).when(k == 1, F.lit("cricket")).when(k == 2, F.col("uid").cast("string")).otherwise(F.lit("chess"))
+    third = F.col("uid") % 3
+    first, second = F.when(third == 0, F.col("seq").cast("string")).otherwise("f1"), F.when(third == 1, F.col("block"))
+    return s.select("seq", X.challenge_type_id(raw, {"soccer": 1, "cricket": 2}).alias("kind"), X.frame_id(first, second).alias("frame"))
+
+
+@query("WITH u AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN concat('https://store.local/challenge-objects/', page_id, '.png?sig=1') WHEN 1 THEN concat('https://sub.media.example/', page_id, '.mp4') ELSE url END AS url FROM pages) SELECT page_id, CASE WHEN page_id % 3 = 0 THEN concat('https://cdn.example/challenge-objects/', page_id, '.png') ELSE url END AS public_url, page_id % 3 = 1 AS allowed FROM u")
+def asset_urls(spark, d):
+    p, k = spark.read.parquet(f"{d}/pages.parquet"), F.col("page_id") % 3
+    name = F.col("page_id").cast("string")
+    url = F.when(k == 0, F.concat(F.lit("https://store.local/challenge-objects/"), name, F.lit(".png?sig=1"))).when(k == 1, F.concat(F.lit("https://sub.media.example/"), name, F.lit(".mp4"))).otherwise(F.col("url"))
+    p = p.select("page_id", url.alias("url"))
+    return p.select("page_id", X.public_asset_url(F.col("url"), ["store.local"], "https://cdn.example").alias("public_url"), X.url_allowed(F.col("url"), ["media.example"]).alias("allowed"))
+
+
+@query("SELECT pair_id, round(coalesce(kph_pred, kph_gt), 6) AS speed, round(bounce_x_gt, 6) AS bounce FROM fields", "fields")
+def aliased_fields(spark, d):
+    f = V.fields(spark, d).withColumnsRenamed({"kph_pred": "kph", "kph_gt": "speed_kph", "bounce_x_gt": "rel_x"})
+    return f.select("pair_id", X.alias(["kph", "speed_kph", "speed"], f.columns).alias("speed"), X.alias(["bounce_x", "rel_x"], f.columns).alias("bounce")).select("pair_id", *six("speed", "bounce"))
+
+
+@query("SELECT DISTINCT object_key AS key FROM keys WHERE seq % 3 <> 1", "keys")
+def index_additions(spark, d):
+    k = V.keys(spark, d).withColumnRenamed("object_key", "key")
+    return D.index_add(k.where("seq % 3 = 0"), k.where("seq % 3 = 2 or seq % 6 = 0"))
+
+
+@query("SELECT element_id, miner_hotkey AS hotkey, concat(block, '-', challenge_id, '-', seq) AS name, CASE WHEN uid <> 4 THEN round(score, 6) END AS central, NOT timed_out AS passed FROM shards", "shards")
+def spot_check_rows(spark, d):
+    s = V.shards(spark, d).select("element_id", F.col("miner_hotkey").alias("hotkey"), "block", "challenge_id", F.col("seq").alias("ts"), F.when(F.col("uid") == 4, F.lit(float("nan"))).otherwise(F.col("score")).alias("central_score"), F.lit(float("inf")).alias("audit_score"), (~F.col("timed_out")).alias("passed"))
+    r = S.audit_rows(s)
+    return r.select("element_id", "hotkey", "name", F.round(F.get_json_object("result", "$.central_score").cast("double"), 6).alias("central"), F.get_json_object("result", "$.passed").cast("boolean").alias("passed"))
+
+
+@query("WITH m AS (SELECT element_id, max_by(miner_hotkey, block * 1000000 + seq) AS winner_hotkey FROM shards GROUP BY 1) SELECT m.element_id, winner_hotkey, max(commit_block) FILTER (miner_hotkey = winner_hotkey AND uid % 2 = 0 OR miner_hotkey = winner_hotkey AND uid % 3 = 0) AS commit_block FROM m JOIN shards s USING (element_id) GROUP BY ALL", "shards")
+def winner_targets(spark, d):
+    row = F.struct(F.col("miner_hotkey").alias("hotkey"), F.col("commit_block").cast("bigint").alias("commit_block"))
+    s = V.shards(spark, d).groupBy("element_id").agg(F.max_by("miner_hotkey", F.struct("block", "seq")).alias("winner_hotkey"), F.collect_set(F.when(F.col("uid") % 2 == 0, row)).alias("official"), F.collect_set(F.when(F.col("uid") % 3 == 0, row)).alias("ranks"))
+    return D.winner_target(s)
+
+
+@query("SELECT uid, round(avg(score), 6) AS avg_score, 'some' AS source FROM shards GROUP BY 1 UNION ALL SELECT 99, 0.0, 'none'", "shards")
+def fallback_means(spark, d):
+    m = V.shards(spark, d).groupBy("uid").agg(F.avg("score").alias("avg_score"))
+    some, none = G.with_fallback(m, 99).withColumn("source", F.lit("some")), G.with_fallback(m.where("uid < 0"), 99).withColumn("source", F.lit("none"))
+    return some.union(none).select("uid", *six("avg_score"), "source")
+
+
+@query(_COMPARED + " SELECT run_id, frame, nm > 0 AND ne - nm <= 2 AND na - nm <= 2 AND mean >= 0.95 AS soft FROM fr")
+def soft_drifts(spark, d):
+    c = M.compare_outputs(V.gt(spark, d), V.pred(spark, d))
+    return c.select("run_id", "frame", M.soft_drift(F.col("matched"), F.col("n_expected") - F.col("matched"), F.col("n_actual") - F.col("matched"), F.col("mean_iou")).alias("soft"))
+
+
+@query("SELECT hotkey, element_id, max(block) AS block, max_by(model, block) AS model FROM commits WHERE block % 3 = 0 AND (role = 'miner' OR block % 4 = 0) GROUP BY 1, 2", "commits")
+def private_commits(spark, d):
+    c = V.commits(spark, d).withColumns({"track": F.when(F.col("block") % 3 == 0, "private").otherwise("public"), "role": F.when(F.col("block") % 4 != 0, F.col("role"))})
+    return C.latest_private_commit(c).select("hotkey", "element_id", "block", "model")
+
+
+@query("WITH h AS (SELECT element_id, miner_hotkey, challenge_id, max_by(score, block * 1000000 + seq) AS score FROM shards GROUP BY ALL), b AS (SELECT a.element_id, a.challenge_id, a.score AS winner_score, c.score AS candidate_score, row_number() OVER (PARTITION BY a.element_id ORDER BY sha256(concat('w9:', a.challenge_id)), a.challenge_id) AS r FROM h a JOIN h c USING (element_id, challenge_id) WHERE a.miner_hotkey = 'hk005' AND c.miner_hotkey = 'hk010' AND challenge_id NOT IN ('c1', 'c7')) SELECT element_id, challenge_id, round(winner_score, 6) AS winner_score, round(candidate_score, 6) AS candidate_score FROM b WHERE r <= 4", "shards")
+def common_histories(spark, d):
+    h = G.challenge_map(V.shards(spark, d))
+    of = lambda who: h.where(F.col("miner_hotkey") == who).drop("miner_hotkey")
+    out = spark.createDataFrame([("c1",), ("c7",)], "challenge_id string")
+    return C.common_history(of("hk005"), of("hk010"), out, "w9", 4).select("element_id", "challenge_id", *six("winner_score", "candidate_score"))
+
+
+_PANES = "p AS (SELECT CAST(floor((1704067200 + block * 12) / 43200) AS BIGINT) * 43200 AS pane, element_id, miner_hotkey, count(*) AS n, sum(score) AS s FROM shards GROUP BY ALL)"
+
+
+@query(f"WITH {_PANES}, w AS (SELECT pane - 43200 * k AS start, * FROM p, (SELECT unnest(range(4)) AS k)) SELECT start, element_id, miner_hotkey, CAST(sum(n) AS BIGINT) AS n, round(sum(s), 6) AS total FROM w GROUP BY ALL", "shards")
+def sliding_means(spark, d):
+    s = T.with_time(V.shards(spark, d))
+    return T.sliding_scores(s, 14400, 3600).select(F.unix_seconds("start").alias("start"), "element_id", "miner_hotkey", "n", F.round(F.col("avg_score") * F.col("n"), 6).alias("total"))
+
+
+@query(f"WITH {_PANES} SELECT pane AS start, element_id, miner_hotkey, n, round(s, 6) AS total FROM p", "shards")
+def tumbling_means(spark, d):
+    s = T.with_time(V.shards(spark, d))
+    return T.tumbling_scores(s, 3600).select(F.unix_seconds("start").alias("start"), "element_id", "miner_hotkey", "n", F.round(F.col("avg_score") * F.col("n"), 6).alias("total"))
+
+
 # sources, from JSON that Spark derives from the tables
 
 
