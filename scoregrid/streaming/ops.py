@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..functions.exprs import BLOCKS_PER_DAY
 from ..operators.audit import merge_failed_tuples
 
 SECONDS = 12
@@ -149,25 +150,55 @@ class Streak(_Keyed):
         yield pd.DataFrame(out, columns=["element_id", "miner_hotkey", "seq", "streak", "status"])
 
 
-class WarmupTrim(_Keyed):
-    STATE = "dropped bigint, open boolean"
+class WarmupTrim(StatefulProcessor):
+    """Rows of a commit wait until the watermark passes them, and go out in (block, seq) order without up to `most` leading zeros; once a commit has shown a score or enough rows, its rows no longer wait."""
 
     def __init__(self, most: int):
         self.most = most
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "block bigint, seq bigint, score double, at bigint")
+        self.past = handle.getValueState("past", "n bigint, open boolean")
+
+    def close(self) -> None:
+        pass
+
+    def _out(self, key: Any, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame([(*key, *r[:3]) for r in rows], columns=["element_id", "miner_hotkey", "commit_block", "block", "seq", "score"])
+
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        dropped, open_ = self.state.get() if self.state.exists() else (0, True)
-        got, keep = self.rows(rows), []
-        for v in got["score"]:
-            if open_ and abs(v) <= 1e-12 and dropped < self.most:
-                dropped += 1
-                keep.append(False)
-            else:
-                open_ = False
-                keep.append(True)
-        self.state.update((dropped, open_))
-        kept = got[pd.Series(keep, index=got.index)]
-        yield kept[["element_id", "miner_hotkey", "block", "seq", "score"]]
+        through, kept = [], []
+        n, open_ = self.past.get() if self.past.exists() else (0, True)
+        for part in rows:
+            for block, seq, score, at, recent in part[["block", "seq", "score", "at", "recent"]].itertuples(index=False):
+                (kept if recent and open_ and n < self.most else through).append((int(block), int(seq), float(score), int(at)))
+        if kept:
+            self.waiting.appendList(kept)
+            self.handle.registerTimer(min(r[3] for r in kept) + 1)
+        if through:
+            yield self._out(key, through)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        now = int(timerValues.getCurrentWatermarkInMs())
+        rows = sorted(tuple(r) for r in self.waiting.get()) if self.waiting.exists() else []
+        due, rest = [r for r in rows if r[3] < now], [r for r in rows if r[3] >= now]
+        n, open_ = self.past.get() if self.past.exists() else (0, True)
+        out = []
+        for r in due:
+            n, open_ = n + 1, open_ and abs(r[2]) <= 1e-12
+            if not open_ or n > self.most:
+                out.append(r)
+        self.past.update((n, open_))
+        if not open_ or n >= self.most:
+            out, rest = out + rest, []
+        if rest:
+            self.waiting.put(rest)
+            self.handle.registerTimer(min(r[3] for r in rest) + 1)
+        else:
+            self.waiting.clear()
+        if out:
+            yield self._out(key, out)
 
 
 def _run(df: DataFrame, processor: StatefulProcessor, schema: str, mode: str) -> DataFrame:
@@ -183,8 +214,16 @@ def streak_stream(df: DataFrame, limit: float, most: int = 3) -> DataFrame:
     return _run(df, Streak(limit, most), "element_id string, miner_hotkey string, seq bigint, streak bigint, status string", "Append")
 
 
-def warmup_stream(df: DataFrame, most: int = 5) -> DataFrame:
-    return _run(df, WarmupTrim(most), "element_id string, miner_hotkey string, block bigint, seq bigint, score double", "Append")
+def warmup_stream(df: DataFrame, head: int, window_blocks: int = 3 * BLOCKS_PER_DAY, most: int = 5, late: str = "1 hour") -> DataFrame:
+    """select.warmup_trim() on a stream with ts: (element_id, miner_hotkey, commit_block, block, seq, score), in any order of arrival within `late`.
+
+    head: the block that commits are aged against (a batch takes the newest one of its look-back). Rows of the private lane,
+    of unknown and of older commits pass at once. Counts are kept by commit; a batch counts by miner after it kept the newest commit.
+    """
+    recent = (F.col("lane") != "private") & F.col("commit_block").isNotNull() & (F.lit(head) - F.col("commit_block") <= window_blocks)
+    timed = df.withWatermark("ts", late).select("element_id", "miner_hotkey", F.col("commit_block").cast("bigint").alias("commit_block"), "block", "seq", F.col("score").cast("double").alias("score"), "ts", F.unix_millis("ts").alias("at"), F.coalesce(recent, F.lit(False)).alias("recent"))
+    schema = "element_id string, miner_hotkey string, commit_block bigint, block bigint, seq bigint, score double"
+    return timed.groupBy("element_id", "miner_hotkey", "commit_block").transformWithStateInPandas(WarmupTrim(most), schema, "Append", "EventTime")
 
 
 def upsert_writer(path: str):
