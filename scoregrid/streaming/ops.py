@@ -226,30 +226,50 @@ def warmup_stream(df: DataFrame, head: int, window_blocks: int = 3 * BLOCKS_PER_
     return timed.groupBy("element_id", "miner_hotkey", "commit_block").transformWithStateInPandas(WarmupTrim(most), schema, "Append", "EventTime")
 
 
-def upsert_writer(path: str):
+def upsert_writer(path: str, compact: int = 8):
     """A foreachBatch function that merges each batch (hotkey, element_id, commit_block, seen, status) into the failures known so far (see merge_failed_tuples).
 
-    State lies below path, one version folder a batch; a batch reads the newest version of an earlier batch, so one
-    that is run again gives the same version again. Of a batch's rows of a tuple the newest counts.
+    A batch writes its own rows only, as path/delta/batch=N; of its rows of a tuple the newest counts. Every `compact` batches
+    the state is written whole as path/base/batch=N, and what is older than the base before it is removed. A batch that is
+    run again writes the same rows again, or nothing where a base holds them already.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
+        bases = _versions(spark, f"{path}/base")
+        if bases and bases[-1] >= epoch:
+            return
         news = batch.groupBy("hotkey", "element_id", "commit_block").agg(F.max_by(F.struct("seen", "status"), F.struct("seen", "status")).alias("r")).select("hotkey", "element_id", "commit_block", "r.*")
-        known = read_upserts(spark, path, epoch)
-        merge_failed_tuples(known, news).write.mode("overwrite").parquet(f"{path}/batch={epoch}")
+        news.write.mode("overwrite").parquet(f"{path}/delta/batch={epoch}")
+        last = bases[-1] if bases else -1
+        if len([n for n in _versions(spark, f"{path}/delta") if n > last]) >= compact:
+            read_upserts(spark, path, epoch + 1).write.mode("overwrite").parquet(f"{path}/base/batch={epoch}")
+            for kind, old in (("base", [n for n in bases if n < last]), ("delta", [n for n in _versions(spark, f"{path}/delta") if n <= last])):
+                for n in old:
+                    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{kind}/batch={n}")
+                    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
     return write
 
 
 UPSERTS = "hotkey string, element_id string, commit_block bigint, first_seen bigint, last_seen bigint, status string"
+DELTA = "hotkey string, element_id string, commit_block bigint, seen bigint, status string"
 
 
-def read_upserts(spark, path: str, before: int | None = None) -> DataFrame:
-    """The newest version below path (of a batch earlier than `before`); an empty table where there is none."""
+def _versions(spark, path: str) -> list[int]:
+    """The batches whose folders below path are complete, ascending."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     names = [x.getPath().getName() for x in fs.listStatus(folder)] if fs.exists(folder) else []
-    done = [int(n[6:]) for n in names if n.startswith("batch=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
-    done = [n for n in done if before is None or n < before]
-    return spark.read.schema(UPSERTS).parquet(f"{path}/batch={max(done)}") if done else spark.createDataFrame([], UPSERTS)
+    return sorted(int(n[6:]) for n in names if n.startswith("batch=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
+
+
+def read_upserts(spark, path: str, before: int | None = None) -> DataFrame:
+    """The failures after all batches (those earlier than `before`): the newest base, and the deltas after it merged in their order."""
+    upto = lambda kind: [n for n in _versions(spark, f"{path}/{kind}") if before is None or n < before]
+    bases = upto("base")
+    known = spark.read.schema(UPSERTS).parquet(f"{path}/base/batch={bases[-1]}") if bases else spark.createDataFrame([], UPSERTS)
+    for n in upto("delta"):
+        if not bases or n > bases[-1]:
+            known = merge_failed_tuples(known, spark.read.schema(DELTA).parquet(f"{path}/delta/batch={n}"))
+    return known

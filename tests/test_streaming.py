@@ -125,3 +125,23 @@ def test_warmup_of_shuffled_batches(spark, tmp_path):
     want = warmup_trim(table.withColumn("max_block", F.lit(head)))
     r = lambda d: sorted((x["miner_hotkey"], x["block"], x["seq"], x["score"]) for x in d.collect())
     assert r(got) == r(want) and len(r(want)) < len(rows)
+
+
+def test_upserts_write_deltas_and_compact(spark, tmp_path):
+    """Any compaction gives the state of merging batch by batch; a rerun changes nothing, and what a base holds is removed."""
+    from random import Random
+
+    schema = "hotkey string, element_id string, commit_block long, seen long, status string"
+    rng = Random(1)
+    batches = [[(rng.choice("abcd"), "e", 1, 10 * k + j, rng.choice(["PASS", "FAIL_LATENCY", "FAIL_OUTPUT"])) for j in range(3)] for k in range(7)]
+    states = []
+    for compact in (2, 100):
+        path = str(tmp_path / f"upserts{compact}")
+        write = ops.upsert_writer(path, compact)
+        for k, rows in enumerate(batches):
+            write(spark.createDataFrame(rows, schema), k)
+            write(spark.createDataFrame(rows, schema), k)
+        states.append(sorted(tuple(r) for r in ops.read_upserts(spark, path).collect()))
+    assert states[0] == states[1] and states[0]
+    assert ops._versions(spark, str(tmp_path / "upserts2" / "base")) == [3, 5] and ops._versions(spark, str(tmp_path / "upserts2" / "delta")) == [4, 5, 6]
+    assert ops._versions(spark, str(tmp_path / "upserts100" / "base")) == []
