@@ -114,3 +114,23 @@ def rescored(published: DataFrame, again: DataFrame, key: str, threshold: float
 
     both = published.select(key, F.col("score").alias("central_score")).join(again.select(key, F.col("score").alias("audit_score")), key, "left").na.fill(0.0, ["audit_score"])
     return both.withColumn("match", match_percentage(F.col("central_score"), F.col("audit_score"))).withColumn("passed", F.col("match") >= threshold)
+
+
+def audit_export(rows: DataFrame, weights: dict[str, float], key: str = "challenge_id") -> DataFrame:
+    """(key, truth_type, response, truth, complete, exportable): both sides of each pair reduced to what an audit compares, as JSON.
+
+    rows are (key, truth_type, response, truth), the sides as JSON text. `cricket` keeps the fields with a positive weight and a
+    value, in name order; `actions` keeps frame and action of each entry that has both. A side of which nothing is left, or
+    that is no JSON, is null and makes its pair incomplete, as does another type. One incomplete pair blocks the
+    whole export: exportable is one flag for all rows.
+    """
+
+    def reduced(side: str) -> Column:
+        fields = weighted_fields(F.from_json(side, "map<string,string>"), weights)
+        ordered = F.map_from_entries(F.array_sort(F.map_entries(fields)))
+        return F.when(F.col("truth_type") == "cricket", F.to_json(ordered)).when(F.col("truth_type") == "actions", F.to_json(frame_actions(F.col(side))))
+
+    pairs = rows.select(key, "truth_type", reduced("response").alias("response"), reduced("truth").alias("truth"))
+    pairs = pairs.withColumn("complete", F.col("response").isNotNull() & F.col("truth").isNotNull())
+    every = pairs.agg(F.coalesce(F.bool_and("complete"), F.lit(True)).alias("exportable"))
+    return pairs.crossJoin(F.broadcast(every))  # one row

@@ -237,6 +237,14 @@ def polygon_area_iou(rows: DataFrame, keys: tuple[str, ...], a: str = "a", b: st
     return out.select(*keys, F.when(F.col("na") + F.col("nb") - F.col("i") > 0, F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))).otherwise(1.0).alias("iou"))
 
 
+def polygon_iou(rows: DataFrame, a: str = "a", b: str = "b", empty: float = 1.0) -> DataFrame:
+    """rows with iou: the pixels that two integer polygons (arrays of structs x, y) share, over those that either has (see raster). Null where a side is null; `empty` where neither paints a pixel."""
+    drawn = rows.withColumns({"_a": raster(a), "_b": raster(b)})
+    none = F.lit(0).cast("bigint")
+    shape = lambda m: F.struct(*[none.alias(c) for c in BOX], F.col(m).alias("mask"))
+    return drawn.withColumn("iou", F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), shape_iou(shape("_a"), shape("_b"), empty))).drop("_a", "_b")
+
+
 def label_modes(pred: DataFrame) -> DataFrame:
     """(run_id, frame, cls, mode): boxes, polygons or mixed, by what the predictions of a label hold; needs has_polygon."""
     return pred.groupBy(*FRAME, "cls").agg(F.bool_or("has_polygon").alias("p"), F.bool_or(~F.col("has_polygon")).alias("b")).select(*FRAME, "cls", F.when(F.col("p") & F.col("b"), "mixed").when(F.col("p"), "polygons").otherwise("boxes").alias("mode"))

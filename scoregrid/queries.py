@@ -838,6 +838,24 @@ def common_histories(spark, d):
     return C.common_history(of("hk005"), of("hk010"), out, "w9", 4).select("element_id", "challenge_id", *six("winner_score", "candidate_score"))
 
 
+_EXPORT = """WITH r AS (SELECT pair_id, pair_id % 7 <> 0 AS has, CASE WHEN pair_id % 2 = 0 THEN 'cricket' WHEN pair_id % 5 = 0 THEN 'other' ELSE 'actions' END AS t, CAST(floor(kph_gt) AS BIGINT) AS k FROM fields),
+x AS (SELECT pair_id, t AS truth_type, CASE WHEN NOT has OR t = 'other' THEN NULL WHEN t = 'cricket' THEN concat('{"bounce":"', pair_id % 30, '","kph":"', k, '"}') ELSE concat('[{"frame":', pair_id % 30, ',"action":"pass"}]') END AS response,
+  CASE WHEN t = 'other' THEN NULL WHEN t = 'cricket' THEN concat('{"kph":"', k, '"}') ELSE concat('[{"frame":', k, ',"action":"shot"}]') END AS truth FROM r)
+SELECT *, response IS NOT NULL AND truth IS NOT NULL AS complete, false AS exportable FROM x"""
+
+
+@query(_EXPORT, "fields")
+def audit_exports(spark, d):
+    k, has = F.floor("kph_gt").cast("string"), F.col("pair_id") % 7 != 0
+    spot = (F.col("pair_id") % 30).cast("string")
+    kind = F.when(F.col("pair_id") % 2 == 0, "cricket").when(F.col("pair_id") % 5 == 0, "other").otherwise("actions")
+    fields = F.when(has, F.concat(F.lit('{"note":"x","kph":'), k, F.lit(',"bounce":'), spot, F.lit(',"swing":null}'))).otherwise('{"note":"x"}')
+    listed = F.when(has, F.concat(F.lit('[{"frame":'), spot, F.lit(',"action":"pass"},{"frame":3}]'))).otherwise("no json")
+    own = F.when(F.col("pair_id") % 2 == 0, F.concat(F.lit('{"kph":'), k, F.lit("}"))).otherwise(F.concat(F.lit('[{"action":"shot","frame":'), k, F.lit("}]")))
+    rows = V.fields(spark, d).select("pair_id", kind.alias("truth_type"), F.when(F.col("pair_id") % 2 == 0, fields).otherwise(listed).alias("response"), own.alias("truth"))
+    return D.audit_export(rows, {"kph": 1.0, "bounce": 0.5, "swing": 1.0, "note": 0.0}, "pair_id")
+
+
 _PANES = "p AS (SELECT CAST(floor((1704067200 + block * 12) / 43200) AS BIGINT) * 43200 AS pane, element_id, miner_hotkey, count(*) AS n, sum(score) AS s FROM shards GROUP BY ALL)"
 
 

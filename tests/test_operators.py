@@ -432,3 +432,27 @@ def test_map_at_1s_against_loops(spark):
                 points.append((len([f for f in over if f in used]) / len(truth), len([f for f in over if f in used]) / len(over) if over else 0.0))
             want[c, a] = sum(max((p for r, p in points if r >= k / 10), default=0.0) for k in range(11)) / 11
     assert got == pytest.approx(want)
+
+
+def test_one_incomplete_pair_blocks_the_export(spark):
+    rows = [(1, "cricket", '{"kph": 120, "note": "x"}', '{"kph": 121}'), (2, "actions", '[{"frame": 3, "action": "pass"}, {"frame": 4}]', '[{"frame": 3, "action": "pass"}]')]
+    make = lambda more=(): {r["challenge_id"]: r for r in D.audit_export(spark.createDataFrame([*rows, *more], "challenge_id int, truth_type string, response string, truth string"), {"kph": 1.0, "note": 0.0}).collect()}
+    good = make()
+    assert (good[1]["response"], good[2]["response"]) == ('{"kph":"120"}', '[{"frame":3,"action":"pass"}]') and good[1]["exportable"] and good[2]["complete"]
+    for bad in ((3, "cricket", '{"note": "x"}', '{"kph": 1}'), (3, "actions", "[]", '[{"frame": 1, "action": "pass"}]'), (3, "card", "{}", "{}"), (3, "cricket", None, '{"kph": 1}')):
+        got = make([bad])
+        assert not got[3]["complete"] and not got[1]["exportable"] and got[1]["complete"]
+    assert D.audit_export(spark.createDataFrame([], "challenge_id int, truth_type string, response string, truth string"), {}).count() == 0
+
+
+def test_polygon_iou_counts_boundary_pixels(spark):
+    square = lambda x, n: [(x, 0), (x + n, 0), (x + n, n), (x, n)]
+    df = spark.createDataFrame([(1, square(0, 10), square(5, 10)), (2, square(3, 4), square(3, 4)), (3, None, square(0, 1)), (4, [(-5, -5)], [(-1, -2)])], "i int, a array<struct<x:int,y:int>>, b array<struct<x:int,y:int>>")
+    assert {r["i"]: r["iou"] for r in M.polygon_iou(df).collect()} == {1: pytest.approx(66 / 176), 2: 1.0, 3: None, 4: 1.0}
+
+
+def test_public_names_are_there():
+    import scoregrid
+
+    for name in scoregrid.__all__:
+        assert callable(getattr(scoregrid, name)), name
