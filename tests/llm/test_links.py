@@ -70,7 +70,11 @@ def plain_alignment(rows):
 COLUMNS = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 
 
-def test_alignment_against_whole_texts(spark, docs, none):
+@pytest.mark.parametrize("sent", [True, False])
+def test_alignment_against_whole_texts(spark, docs, none, monkeypatch, sent):
+    if not sent:
+        monkeypatch.setattr(alignment, "SENT_PAIRS", 0)  # both sides shuffled by the pair
+        monkeypatch.setattr(common, "HOT_PARTS", 2)  # hardly any text is sent
     more = spark.createDataFrame([(20, "a▁b mixed"), (21, " leading  spaces\n\n x  y"), (22, "<s> <0x41> <|endoftext|> \u0000　é"), (23, "①②③ ﬁ"), (24, "aaaa" * 400), (24, "aaaa" * 400), (25, "line\nbreak. Next\r\nlast ")], "doc_id long, text string")
     table = docs.select("doc_id", "text").union(more)
     rows = [(r["doc_id"], r["text"]) for r in table.collect()]
@@ -79,13 +83,10 @@ def test_alignment_against_whole_texts(spark, docs, none):
     assert alignment.alignment_of_all(none).count() == 0
 
 
-def test_alignment_query_against_whole_texts(spark, monkeypatch):
+def test_alignment_query_against_whole_texts(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
     want = by_repr(plain_alignment(rows))
     assert by_repr(map(tuple, queries.op11_text_alignment(spark, SMALL).select(*COLUMNS).collect())) == want
-    monkeypatch.setattr(alignment, "SENT_PAIRS", 0)  # both sides shuffled by the pair
-    monkeypatch.setattr(common, "HOT_PARTS", 2)  # hardly any text is sent
-    assert by_repr(map(tuple, queries.op11_text_alignment(spark, SMALL).select(*COLUMNS).collect())) == want
 
 
 def test_aligner_forgets_and_stays_right(spark, monkeypatch):
