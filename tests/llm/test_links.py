@@ -49,9 +49,9 @@ def plain_alignment(rows):
             told.append((i, [], [], [], Counter()))
             continue
         ends = [np.cumsum([len(f(x)) for x in ids]).tolist() for f, ids in ((a_bytes, a), (b_bytes, b))]
-        groups, spot = [], [0, 0]
+        groups, spot, place = [], [0, 0], [{e: k + 1 for k, e in enumerate(end)} for end in ends]
         for e in sorted(set(ends[0]) & set(ends[1])):
-            to = [end.index(e) + 1 for end in ends]
+            to = [p[e] for p in place]
             groups.append((a[spot[0] : to[0]], b[spot[1] : to[1]]))
             spot = to
         links = Counter(p for x, y in groups for p in product(x, y))
