@@ -761,10 +761,10 @@ def window_blocks(spark, d):
     return V.shards(spark, d).select("seq", start.alias("start"), X.is_window_active(F.col("block"), start, expiry).alias("active"))
 
 
-@query("SELECT seq, CASE WHEN uid = 3 THEN NULL ELSE replace(element_id, '/', '_') END AS safe, CASE WHEN lane = 'private' THEN 'https://h/indexprivate.json' ELSE 'https://h/index.json' END AS index_url, CASE WHEN score > 0 THEN greatest(1, CAST(trunc(score / 1000 * 7200) AS BIGINT)) END AS blocks, 'Detect' AS category, round(CASE WHEN timed_out THEN 0.1 ELSE CAST(0.04 AS DOUBLE) + (CAST(0.175 AS DOUBLE) - CAST(0.04 AS DOUBLE)) * greatest(0, least(1, score)) END, 6) AS delta FROM shards", "shards")
+@query("SELECT seq, CASE WHEN uid = 3 THEN NULL ELSE replace(element_id, '/', '_') END AS safe, CASE WHEN lane = 'private' THEN 'https://h/indexprivate.json' ELSE 'https://h/index.json' END AS index_url, CASE WHEN score > 0 THEN greatest(1, CAST(trunc(score / 1000 * 7200) AS BIGINT)) END AS blocks, 'Detect' AS category, CAST(round(CASE WHEN timed_out THEN 0.1 ELSE CAST(0.04 AS DOUBLE) + (CAST(0.175 AS DOUBLE) - CAST(0.04 AS DOUBLE)) * greatest(0, least(1, score)) END * 1e9) AS BIGINT) AS delta FROM shards", "shards")
 def cleaned_ids(spark, d):
     s = V.shards(spark, d)
-    return s.select("seq", X.safe_element_id(F.when(F.col("uid") == 3, F.lit("  ")).otherwise(F.concat(F.lit(" "), F.col("element_id")))).alias("safe"), X.lane_index(F.lit("https://h/index.json"), F.col("lane")).alias("index_url"), X.days_to_blocks(F.col("score") / 1000).alias("blocks"), X.element_category("element_id", ["Pose", "Detect"]).alias("category"), X.adaptive_delta(F.when(~F.col("timed_out"), F.col("score")), 0.1).alias("delta")).select("seq", "safe", "index_url", "blocks", "category", *six("delta"))
+    return s.select("seq", X.safe_element_id(F.when(F.col("uid") == 3, F.lit("  ")).otherwise(F.concat(F.lit(" "), F.col("element_id")))).alias("safe"), X.lane_index(F.lit("https://h/index.json"), F.col("lane")).alias("index_url"), X.days_to_blocks(F.col("score") / 1000).alias("blocks"), X.element_category("element_id", ["Pose", "Detect"]).alias("category"), X.adaptive_delta(F.when(~F.col("timed_out"), F.col("score")), 0.1).alias("delta")).withColumn("delta", F.round(F.col("delta") * 1e9).cast("bigint"))  # billionths: six digits would stand on halves
 
 
 @query("SELECT seq, CASE uid % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN uid END AS kind, CASE WHEN uid % 3 = 0 THEN seq WHEN uid % 3 = 1 THEN block END AS frame FROM shards", "shards")
