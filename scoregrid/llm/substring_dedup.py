@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, discard, mix, shingles, span_hashes, stash, text_chunks, word_spans
+from .common import LOWER, discard, give_back, mix, shingles, span_hashes, stash, text_chunks, word_spans
 from .graph import components, union_find
 
 SIZE, RUN_WORDS, PART = 5, 25, 2000
@@ -162,6 +162,7 @@ def _beside(ids: tuple[np.ndarray, int], units: tuple[np.ndarray, int]):
                 before = [u.words_of(i - 1).tobytes() if i > x else b"" for i, x in zip(hit.tolist(), begin.tolist(), strict=True)]
                 after = [u.words_of(i + 1).tobytes() if i < y else b"" for i, y in zip(hit.tolist(), end.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row + doc[hit])), pa.array(_signed(u.key[hit])), pa.array(before, pa.binary()), pa.array(after, pa.binary())], ["first_id", "first_unit", "before", "after"])
+        give_back()
 
     return run
 
@@ -301,6 +302,7 @@ def _remove(at_id: int, at_text: int, run_words: int):
                     of.append(sorted(sources))
             if b.num_rows:
                 yield pa.RecordBatch.from_arrays([*b.columns[: b.num_columns - 4], pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(of, pa.list_(pa.int64())), pa.array(kept, pa.string())], [*b.schema.names[:-4], "removed", "repeats_of", "kept_text"])
+        give_back()
 
     return run
 
