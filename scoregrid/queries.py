@@ -604,11 +604,12 @@ def nearest_event_spans(spark, d):
 # further scalar rules over whole tables
 
 
-@query("SELECT seq, lower(trim(concat(' ', upper(element_id)))) AS label, CASE WHEN uid % 15 IN (0, 1) THEN 'white' WHEN uid = 2 THEN 'black' END AS team, CASE WHEN timed_out THEN 1.0 ELSE round(score, 6) END AS confidence FROM shards", "shards")
+@query("SELECT seq, lower(trim(concat(' ', upper(element_id)))) AS label, CASE WHEN uid % 15 IN (0, 1) THEN 'white' WHEN uid = 2 THEN 'black' END AS team, CASE WHEN timed_out THEN 1.0 ELSE round(score, 6) END AS confidence, CASE WHEN score > 0 THEN challenge_id ELSE miner_hotkey END AS challenge FROM shards", "shards")
 def normalized_labels(spark, d):
     s = V.shards(spark, d)
     conf = X.safe_confidence(F.when(F.col("timed_out"), F.lit("bad")).otherwise(F.col("score").cast("string")), F.lit(None))
-    return s.select("seq", X.normalize_label(F.concat(F.lit(" "), F.upper("element_id"))).alias("label"), X.normalize_team(F.col("uid")).alias("team"), F.round(conf, 6).alias("confidence"))
+    challenge = X.first_truthy(F.when(F.col("score") > 0, F.col("challenge_id")).otherwise(""), F.lit(0), F.col("miner_hotkey"))  # an empty text and the number zero are passed over
+    return s.select("seq", X.normalize_label(F.concat(F.lit(" "), F.upper("element_id"))).alias("label"), X.normalize_team(F.col("uid")).alias("team"), F.round(conf, 6).alias("confidence"), challenge.alias("challenge"))
 
 
 @query("SELECT seq, CASE WHEN uid % 4 = 0 THEN nullif(trim(concat(challenge_id, ' ')), '') WHEN uid % 4 = 1 THEN '0' WHEN uid % 4 = 2 THEN miner_hotkey END AS challenge FROM shards", "shards")

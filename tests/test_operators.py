@@ -456,3 +456,11 @@ def test_public_names_are_there():
 
     for name in scoregrid.__all__:
         assert callable(getattr(scoregrid, name)), name
+
+
+def test_normalized_labels_name_a_challenge(spark):
+    from scoregrid.queries import QUERIES, V
+
+    got = {r["seq"]: r["challenge"] for r in QUERIES["normalized_labels"](spark, "/root/testdata/sf0.001").collect()}
+    want = {r["seq"]: r["challenge_id"] if (r["score"] or 0) > 0 else r["miner_hotkey"] for r in V.shards(spark, "/root/testdata/sf0.001").collect()}
+    assert got == want and set(want.values()) - {r["challenge_id"] for r in V.shards(spark, "/root/testdata/sf0.001").collect()}
