@@ -214,22 +214,26 @@ def plan_mixture(docs: DataFrame, text_column: str = "text", budget: float = 0.8
         none = spark.createDataFrame([], "margin string, category string, present double, target double, expected double")
         return Mixture(flat, none, 1.0, 0.0, model)
     local = cells.count() <= local_cells
-    started = cells.withColumn("x", F.pow(F.col("tokens") / total, F.lit(power)) * F.lit(total * 1e-12)).withColumn("x", F.least("x", "tokens"))
+    most = (1 + budget) / 2  # part of itself that a category gives by default: below one, so that its cells can still differ
     aim = spark.createDataFrame([(0, budget * total)], "all int, goal double")
-    # cells flattened to a power of their size, within what they hold, give margins that can all be met at once
+    # each margin is flattened by itself to a power of its categories' sizes; the cells start as they are and are raked to that
     if local:
-        got = started.toPandas().sort_values(list(MARGINS), ignore_index=True)
+        got = cells.toPandas().sort_values(list(MARGINS), ignore_index=True)
         tokens, names, codes = got["tokens"].to_numpy(float), [], []
         for m in MARGINS:
             name, code = np.unique(got[m].to_numpy(), return_inverse=True)
             names.append(name)
             codes.append(code)
-        flat, _ = rake([np.zeros(len(got), np.int64)], tokens, got["x"].to_numpy(float), [np.array([budget * total])], rounds)
-        tables = [pd.DataFrame({m: n, "tokens": np.bincount(c, tokens, len(n)), "flat": np.bincount(c, flat, len(n))}) for m, n, c in zip(MARGINS, names, codes, strict=True)]
+        held = [np.bincount(c, tokens, len(n)) for n, c in zip(names, codes, strict=True)]
+        flat = [rake([np.zeros(len(t), np.int64)], t * most, np.minimum((t / total) ** power * (total * 1e-12), t * most), [np.array([budget * total])], rounds)[0] for t in held]
+        tables = [pd.DataFrame({m: n, "tokens": t, "flat": f}) for m, n, t, f in zip(MARGINS, names, held, flat, strict=True)]
         sums = {m: spark.createDataFrame(t, f"{m} {'int' if m == 'topic' else 'string'}, tokens double, flat double") for m, t in zip(MARGINS, tables, strict=True)}
     else:
-        raked, _ = rake_joined(started.withColumn("all", F.lit(0)), {"all": aim}, rounds)
-        sums = {m: stash(raked.groupBy(m).agg(F.sum("tokens").alias("tokens"), F.sum("x").alias("flat"))) for m in MARGINS}
+        sums = {}
+        for m in MARGINS:
+            whole = cells.groupBy(m).agg(F.sum("tokens").alias("tokens")).withColumn("tokens", F.col("tokens") * most)
+            started = whole.withColumns({"x": F.least(F.pow(F.col("tokens") / (total * most), F.lit(power)) * F.lit(total * 1e-12), "tokens"), "all": F.lit(0)})
+            sums[m] = rake_joined(started, {"all": aim}, rounds)[0].select(m, (F.col("tokens") / most).alias("tokens"), F.col("x").alias("flat"))
     targets, part = {}, budget
     for m in MARGINS:
         value = F.col("flat")
@@ -240,8 +244,8 @@ def plan_mixture(docs: DataFrame, text_column: str = "text", budget: float = 0.8
         weighed = sums[m].withColumn("v", value)
         whole = weighed.agg(F.sum("v")).first()[0] or 0.0
         targets[m] = weighed.select(m, "tokens", (F.col("v") / (whole or 1.0)).alias("target"))
-        most = targets[m].where("target > 0").agg(F.min(F.col("tokens") / F.col("target"))).first()[0]
-        part = min(part, (most or 0.0) / total)  # a category cannot give more than it holds
+        least = targets[m].where("target > 0").agg(F.min(F.col("tokens") / F.col("target"))).first()[0]
+        part = min(part, (least or 0.0) / total)  # a category cannot give more than it holds
     first = None
     if local:
         shares = []
@@ -249,16 +253,18 @@ def plan_mixture(docs: DataFrame, text_column: str = "text", budget: float = 0.8
             want = {r[m]: r["target"] for r in targets[m].collect()}
             shares.append(np.array([want[n] for n in name.tolist()]))
     for k in range(tries):
-        now = part * 0.9**k
+        # given targets stay and the budget goes down; default ones move towards the shares that are there, which can always be met
+        now, pull = (part * 0.9**k, 1.0) if given else (part, 0.9**k)
         if local:
-            x, gap = rake(codes, tokens, np.minimum(tokens, flat * (now / budget)), [now * total * t for t in shares], rounds)
+            x, gap = rake(codes, tokens, tokens * now, [now * (total * pull * t + (1 - pull) * h) for t, h in zip(shares, held, strict=True)], rounds)
         else:
-            x, gap = rake_joined(raked.withColumn("x", F.least("tokens", F.col("x") * F.lit(now / budget))), {m: targets[m].select(m, (F.col("target") * now * total).alias("goal")) for m in MARGINS}, rounds)
-        first = first or (x, gap, now)
+            x, gap = rake_joined(cells.withColumn("x", F.col("tokens") * now), {m: targets[m].select(m, ((F.col("target") * total * pull + F.col("tokens") * (1 - pull)) * now).alias("goal")) for m in MARGINS}, rounds)
+        first = first or (x, gap, now, pull)
         if gap < CLOSE:
             break
     else:
-        x, gap, now = first
+        x, gap, now, pull = first
+    targets = {m: t.withColumn("target", F.col("target") * pull + F.col("tokens") / total * (1 - pull)) for m, t in targets.items()}
     if local:
         got["x"] = x
         x = spark.createDataFrame(got[[*MARGINS, "tokens", "x"]], "source string, lang string, topic int, tokens double, x double")
@@ -272,10 +278,11 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", text_column: str = "text",
     """docs with topic, n_tokens, weight, probability and kept.
 
     budget: the part of all tokens that the sample holds in expectation. given: target shares by margin and category
-    (None: null). Margins that it leaves out take the shares of cells flattened to `power` of their size, as far as
-    cells can give them. Where targets need more than a category holds, the budget is lowered until they can be met;
-    targets that contradict each other are met as nearly as raking gets, and plan_mixture() reports every target and
-    expected share, and the largest gap.
+    (None: null). Margins that it leaves out take the shares of their categories flattened to `power` of their size, up to
+    half of what the budget leaves of a category; cells start as they are, and raking alone brings them there. Where
+    given targets need more than a category holds, the budget is lowered until they can be met; where default ones
+    cannot be met together, they move by tenths towards the shares that are there. Targets that contradict each other are
+    met as nearly as raking gets, and plan_mixture() reports every target and expected share, and the largest gap.
 
     weight is the probability over the budget. A null source or language is a category of its own. Texts without words
     weigh nothing: topic -1, and their cell's probability. Without any word in the table everything stays. Rows with

@@ -732,6 +732,17 @@ def test_default_targets_take_the_whole_budget(spark, size):
     assert m.budget == 0.8 and m.gap < 1e-6
 
 
+def test_raking_decides_the_default_mixture(spark, monkeypatch):
+    """Without the raking stage the probabilities are others, and the targets are missed."""
+    table, rake = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), mixing.rake
+    cells = lambda m: m.cells.toPandas().sort_values(list(mixing.MARGINS), ignore_index=True)["probability"].to_numpy()
+    raked = cells(mixing.plan_mixture(table))
+    monkeypatch.setattr(mixing, "rake", lambda codes, tokens, x, goals, *more: rake(codes, tokens, x, goals, *more) if len(codes) == 1 else (x, 0.0))
+    plain = mixing.plan_mixture(table)
+    margins = plain.margins.toPandas()
+    assert np.abs(cells(plain) - raked).max() > 0.02 and (margins["target"] - margins["expected"]).abs().max() > 1e-3
+
+
 def test_word_counts_are_not_cut_off():
     text = b"again " * 70_000 + b"other"
     n, counts = mixing.word_counts(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
