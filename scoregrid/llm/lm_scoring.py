@@ -7,16 +7,16 @@ the probability of each of CLASSES classes of ids: a frequent id alone, the rare
 on, the end. It does so in two steps, the class's group of up to GROUP classes and the class in it, so that a
 prediction costs two short rows of logits. Inside a class ids have their shares in all training texts. That is mixed
 with the shares of classes after the class before, counted in all training texts; the mixing weight is fitted on
-runs that the net never saw.
+what the net said of every training id before its last lesson with it.
 
 A word whose first id i has been predicted is then either one that training texts hold, or spelled: with c of the C
 occurrences of V words that begin with i, it has max(c - D, 0) / C + D * V / C * spelling, where spelling is the product of
 the predictions of its later ids and of a word's end after them. So probabilities of all texts sum to one, and counts
 of ids, pairs and words cover every training text.
 
-The net learns from runs of words spread over every training text, one run in STRIDE and START_IDS ids' worth more, so
-that its data grow with the corpus. Each task takes gradient steps on its own runs from common weights, and
-the weights of all tasks are averaged, ROUNDS times.
+The net learns from every id of every training text, in runs of words. A run's hash names the round, one of ROUNDS, of its
+lesson; where a corpus holds fewer than LEAST_IDS ids, runs come again in other rounds. Each task takes
+gradient steps on its own runs from common weights, and the weights of all tasks are averaged after each round.
 """
 
 from __future__ import annotations
@@ -31,12 +31,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, crc_mod, discard, id_bounds, id_range, mix, span_hashes, stash, text_chunks, word_spans
+from .common import CHUNK, LOWER, crc_mod, discard, id_bounds, id_range, mix, span_hashes, stash, text_chunks, word_spans
 from .quality import Adam
 from .tokens import encoder, vocabulary_path
 
 BACK, DIM, CLASSES, GROUP = 8, 32, 1024, 32
-RUN, STRIDE, START_IDS, ROUNDS, BATCH, TASK_IDS, TUNE = 48, 256, 1_000_000, 5, 512, 400_000, 20
+RUN, ROUNDS, LEAST_IDS, TASK_IDS, MOST_TASK = 48, 5, 4_000_000, 400_000, 4_000_000
+BATCH, MOST_BATCH, STEPS = 512, 4096, 800  # targets of a gradient step; larger ones where a task has enough for STEPS of them
 CHUNK_BYTES, SLICE, WINDOW = 12 << 20, 1 << 13, 16
 
 
@@ -119,29 +120,80 @@ class Attention:
         at = np.arange(len(y))
         return z[at, own] - np.log(np.exp(z).sum(1)) + inside[at, self.classes.slot[y]] - np.log(np.exp(inside).sum(1))
 
-    def gradients(self, items: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the mean negative log probability of the targets."""
-        p, root, n = self.p, np.float32(np.sqrt(DIM)), len(y)
-        c, q, a, m, h = self.look(items, mask)
+    def _top(self, h: np.ndarray, y: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+        """Gradients of what follows the hidden layer, the gradient before that layer, and the probability of each target."""
+        p, n, at, chance = self.p, len(y), np.arange(len(y)), np.ones(len(y), h.dtype)
 
-        def turn(z: np.ndarray, at: np.ndarray) -> np.ndarray:  # softmax less the targets
+        def turn(z: np.ndarray, rows: np.ndarray, target: np.ndarray) -> np.ndarray:  # softmax less the targets
             z -= z.max(1, keepdims=True)
             np.exp(z, out=z)
             z /= z.sum(1, keepdims=True)
-            z[np.arange(len(at)), at] -= 1
+            chance[rows] *= z[at[: len(rows)], target]
+            z[at[: len(rows)], target] -= 1
             z /= n
             return z
 
-        dz = turn(h @ p["g"] + p["gc"], self.classes.group[y])
+        dz = turn(h @ p["g"] + p["gc"], at, self.classes.group[y])
         g = {"g": h.T @ dz, "gc": dz.sum(0), "u": np.zeros_like(p["u"]), "c": np.zeros_like(p["c"])}
         dt = dz @ p["g"].T
         order, groups = self._groups(y)
+        slots, sorted_h, back = self.classes.slot[y][order], h[order], np.empty_like(h)
         for k, i, j in groups:
-            own = order[i:j]
-            dz = turn(h[own] @ p["u"][k] + p["c"][k], self.classes.slot[y[own]])
-            g["u"][k], g["c"][k] = h[own].T @ dz, dz.sum(0)
-            dt[own] += dz @ p["u"][k].T
+            dz = turn(sorted_h[i:j] @ p["u"][k] + p["c"][k], order[i:j], slots[i:j])
+            g["u"][k], g["c"][k] = sorted_h[i:j].T @ dz, dz.sum(0)
+            back[i:j] = dz @ p["u"][k].T
+        dt[order] += back
         dt *= h > 0
+        return g, dt, chance
+
+    def lesson(self, item: np.ndarray, text: np.ndarray, y: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """gradients() of targets in a row, by windows that overlap, and the probability that each target had. item and text as in scores()."""
+        p, root, n, f = self.p, np.sqrt(DIM), len(y), self.p["e"].dtype
+        blocks = -(-n // WINDOW)
+        behind = np.arange(WINDOW)[:, None] - np.arange(WINDOW + BACK) + BACK
+        seen = (behind >= 0) & (behind < BACK)
+        x, t = np.zeros((BACK + WINDOW * blocks, DIM), f), np.full(BACK + WINDOW * blocks, -1, np.int64)
+        x[BACK : BACK + n], t[BACK : BACK + n] = p["e"][item], text
+        keys = np.lib.stride_tricks.as_strided(x, (blocks, WINDOW + BACK, DIM), (WINDOW * x.strides[0], *x.strides))
+        kt = np.lib.stride_tricks.as_strided(t, (blocks, WINDOW + BACK), (WINDOW * t.strides[0], t.strides[0]))
+        whole = lambda z: z.reshape(blocks, WINDOW, -1)
+        flat = lambda z: z.reshape(blocks * WINDOW, -1)
+        q = x[BACK:]
+        asks = q @ (p["q"] @ p["k"].T / root).astype(f)
+        a = np.matmul(whole(asks), keys.transpose(0, 2, 1))
+        a += p["rel"][np.clip(behind, 0, BACK - 1)]
+        np.minimum(a, 30, out=a)
+        np.exp(a, out=a)
+        a *= seen & (kt[:, None, :] == t[BACK:].reshape(blocks, WINDOW, 1))
+        a /= a.sum(2, keepdims=True)  # a row sees at least itself
+        m = flat(np.matmul(a, keys))
+        g, dt, chance = self._top(self._hidden(q[:n], m[:n]), y)
+        dt = np.concatenate([dt, np.zeros((len(q) - n, 2 * DIM), f)])
+        g["r"], g["v"], g["b"] = q.T @ dt, m.T @ dt, dt.sum(0)
+        dm = whole(dt @ p["v"].T)
+        ds = np.matmul(dm, keys.transpose(0, 2, 1))
+        ds -= (a * ds).sum(2, keepdims=True)
+        ds *= a
+        g["rel"] = np.bincount(behind[seen], ds.sum(0)[seen], BACK).astype(f)
+        qq, sc = q @ p["q"], flat(np.matmul(ds, keys)) / f.type(root)
+        dqq = sc @ p["k"]
+        g["k"], g["q"] = sc.T @ qq, q.T @ dqq
+        dk = np.matmul(a.transpose(0, 2, 1), dm) + np.matmul(ds.transpose(0, 2, 1), whole(asks))
+        dx = np.zeros((blocks + 1, WINDOW, DIM), f)
+        dx[:-1] += dk[:, :WINDOW]
+        dx[1:, :BACK] += dk[:, WINDOW:]
+        de = dx.reshape(-1, DIM)[BACK : BACK + n] + (dt @ p["r"].T + dqq @ p["q"].T)[:n]
+        order = np.argsort(item.astype(np.int16), kind="stable")
+        edge = np.flatnonzero(np.diff(item[order], prepend=-1))
+        g["e"] = np.zeros_like(p["e"])
+        g["e"][item[order][edge]] = np.add.reduceat(de[order], edge)
+        return g, chance
+
+    def gradients(self, items: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean negative log probability of the targets."""
+        p, root = self.p, np.float32(np.sqrt(DIM))
+        c, q, a, m, h = self.look(items, mask)
+        g, dt, _ = self._top(h, y)
         g["r"], g["v"], g["b"] = q.T @ dt, m.T @ dt, dt.sum(0)
         dq, dm = dt @ p["r"].T, dt @ p["v"].T
         da = np.matmul(c, dm[:, :, None])[:, :, 0]
@@ -222,38 +274,42 @@ class Attention:
 class Model:
     classes: Classes
     net: Attention
-    tune: list[np.ndarray]  # runs of ids that the net never saw; the end of a text is the id after the last
+    odds: np.ndarray | list  # of the training ids: how many lie in each bin of log(net's probability / that of the class before), see ODDS
 
     @property
     def end(self) -> int:
         return len(self.classes.of) - 1
 
 
-def windows_of(runs: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(items, mask, target class) of every id of each run but the first, which only stands before the others."""
-    flat = np.concatenate(runs).astype(np.int64)
-    n = np.array([len(r) for r in runs])
-    start = np.repeat(np.cumsum(n) - n, n)
-    spots = np.flatnonzero(np.arange(len(flat)) > start)
-    back = spots[:, None] - 1 - np.arange(BACK)
-    mask = back >= start[spots][:, None]
-    of = model.classes.of[flat]
-    return of[np.where(mask, back, 0)], mask.astype(np.float32), of[spots]
-
-
-def steps(model: Model, runs: list[np.ndarray], seed: int, rate: float) -> int:
-    """One pass of gradient steps over runs of ids, in a fixed order; returns how many targets there were."""
-    done, adam, rng = 0, Adam(model.net.p, rate), np.random.default_rng(seed)
-    order, group, held = rng.permutation(len(runs)), [], 0
-    for i in [*order.tolist(), None]:
-        if i is not None and len(runs[i]) > 1:
-            group.append(runs[i])
-            held += len(runs[i])
-        if group and (held >= BATCH or i is None):
-            items, mask, y = windows_of(group, model)
-            adam.step(model.net.p, model.net.gradients(items, mask, y))
-            done, group, held = done + len(y), [], 0
-    return done
+ODDS = np.linspace(-20, 20, 801)  # middles of the bins
+
+
+def odds_of(net: np.ndarray, row: np.ndarray, y: np.ndarray, pairs: np.ndarray, every: np.ndarray) -> np.ndarray:
+    """How many targets lie in each bin of ODDS; a target is taken out of the counts of pairs that foretell it. pairs has two more columns, each row's sum and its number of followers; every: pair_shares()."""
+    own = pairs[row, y]
+    types = np.maximum(pairs[row, -1] - (own <= 1), 1)
+    pair = (np.maximum(own - 1, 0) + types * every[y]) / (np.maximum(pairs[row, -2] - 1, 0) + types)
+    at = np.rint((np.log(np.maximum(net, 1e-30)) - np.log(pair)) / (ODDS[1] - ODDS[0])) + len(ODDS) // 2
+    return np.bincount(np.clip(at, 0, len(ODDS) - 1).astype(np.int64), minlength=len(ODDS))
+
+
+def steps(model: Model, runs: list[np.ndarray], last: np.ndarray, seed: int, rate: float, pairs: np.ndarray, every: np.ndarray) -> tuple[int, np.ndarray]:
+    """One pass of gradient steps over runs of ids, in a fixed order; returns how many targets there were, and the odds of those whose run is at its last lesson, before its step."""
+    of, done, adam, rng = model.classes.of, 0, Adam(model.net.p, rate), np.random.default_rng(seed)
+    size = np.array([len(r) - 1 for r in runs])
+    batch, odds = min(MOST_BATCH, max(BATCH, int(size.sum()) // STEPS)), np.zeros(len(ODDS), np.int64)
+    order = rng.permutation(len(runs))
+    order = order[size[order] > 0]
+    for part in np.split(order, np.flatnonzero(np.diff(np.cumsum(size[order]) // batch)) + 1):
+        if not len(part):
+            continue
+        row, y = of[np.concatenate([runs[i][:-1] for i in part])], of[np.concatenate([runs[i][1:] for i in part])]
+        g, chance = model.net.lesson(row, np.repeat(np.arange(len(part)), size[part]), y)
+        new = np.repeat(last[part], size[part])
+        odds += odds_of(chance[new], row[new], y[new], pairs, every)
+        adam.step(model.net.p, g)
+        done += len(y)
+    return done, odds
 
 
 def word_ids(encode, keys: np.ndarray, code: np.ndarray, low: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -264,13 +320,16 @@ def word_ids(encode, keys: np.ndarray, code: np.ndarray, low: np.ndarray, s: np.
     return encode.flat[np.repeat(encode.at[entry].astype(np.int64) - at[:-1], length) + np.arange(at[-1])].astype(np.int64), at
 
 
-def _runs(vocabulary: str, end: int, every: float, seed: int):
-    """Runs of RUN words of every text, each taken with probability `every` by a hash of the words in it; a run begins with the end of a text before the text's first word, and with the last id of the word before it elsewhere."""
+def _runs(vocabulary: str, end: int):
+    """All runs of RUN words of every text, with a hash of the words in each and of the text's id, so that copies part; a run begins with the end of a text before the text's first word, and with the last id of the word before it elsewhere."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary)
+        kind = id_kind(end)
+        edge = np.array([end], kind)
         for b in batches:
-            for _, buf, offs in text_chunks(b.column(0)):
+            salt = b.column(1).to_numpy().view(np.uint64)
+            for row, buf, offs in text_chunks(b.column(0), CHUNK // 2):
                 low = LOWER[buf]
                 s, e, first = word_spans(low, offs)
                 h = span_hashes(low, s, e)
@@ -280,49 +339,49 @@ def _runs(vocabulary: str, end: int, every: float, seed: int):
                 a = first[:-1][doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * RUN
                 z = np.minimum(a + RUN, first[1:][doc])
                 total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h)])
-                chance = mix(total[z] - total[a] + np.uint64(seed))
+                chance = mix(total[z] - total[a] + salt[row + doc])
+                before = a > first[doc]  # a word before the run lends its last id
+                code, keys = pd.factorize(h)
+                ids, at = word_ids(encode, keys, code, low, s, e)
+                ids = ids.astype(kind)
                 got = []
-                picked = np.flatnonzero((chance >> np.uint64(11)).astype(np.float64) / (1 << 53) < every)
-                before = a[picked] > first[doc[picked]]  # a word before the run lends its last id
-                size = z[picked] - a[picked] + before
-                spot = np.cumsum(size) - size
-                some = np.repeat(a[picked] - before - spot, size) + np.arange(size.sum())
-                code, keys = pd.factorize(h[some])
-                ids, at = word_ids(encode, keys, code, low, s[some], e[some])
-                for k, lead, x, n_words in zip(picked.tolist(), before.tolist(), spot.tolist(), size.tolist(), strict=True):
-                    own = ids[at[x + 1] - 1 : at[x + n_words]] if lead else np.append(end, ids[at[x] : at[x + n_words]])
-                    got.append((np.append(own, end) if z[k] == first[doc[k] + 1] else own).astype(np.int32))
-                if got:
-                    tune = [int(chance[k] % np.uint64(TUNE)) == 0 for k in picked.tolist()]
-                    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in got], pa.binary()), pa.array([len(x) for x in got], pa.int64()), pa.array(tune)], ["ids", "n", "tune"])
+                for lead, x, z_, stop in zip(before.tolist(), a.tolist(), z.tolist(), (z == first[doc + 1]).tolist(), strict=True):
+                    own = ids[at[x] - 1 if lead else at[x] : at[z_]]
+                    got.append(own if lead and not stop else np.concatenate([own[:0] if lead else edge, own, edge if stop else own[:0]]))
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in got], pa.binary()), pa.array([len(x) for x in got], pa.int64()), pa.array((chance >> np.uint64(1)).astype(np.int64))], ["ids", "n", "h"])
 
     return run
 
 
-def _ids(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_buffer(), np.int32) for x in column]
+def id_kind(end: int) -> type:
+    return np.uint16 if end < 1 << 16 else np.uint32
+
+
+def _ids(column: pa.Array, end: int) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), id_kind(end)) for x in column]
 
 
 def _average(t: pa.Table) -> pa.Table:
     n = t["n"].to_numpy().astype(np.float64)
     w = sum(k * np.frombuffer(x.as_buffer(), np.float64) for k, x in zip(n, t["w"].combine_chunks(), strict=True)) / n.sum()
-    return pa.table({"part": pa.array([0], pa.int64()), "n": pa.array([int(n.sum())], pa.int64()), "w": pa.array([w.tobytes()], pa.binary())})
+    odds = sum(np.frombuffer(x.as_buffer(), np.int64) for x in t["odds"].combine_chunks())
+    return pa.table({"part": pa.array([0], pa.int64()), "n": pa.array([int(n.sum())], pa.int64()), "w": pa.array([w.tobytes()], pa.binary()), "odds": pa.array([odds.tobytes()], pa.binary())})
 
 
-def fit(texts: DataFrame, vocabulary: str, n_bytes: int, rounds: int = ROUNDS, seed: int = 9) -> Model:
-    """The net, from all training texts (column text, n_bytes bytes in all): see the module's docstring. Without a run it keeps its initial weights."""
+def classes_of(texts: DataFrame, vocabulary: str) -> tuple[Model, DataFrame, np.ndarray]:
+    """(a net with its initial weights, the runs of all training texts (columns id, text) as a written table, the occurrences of ids in them)."""
     tokenizer = encoder(vocabulary).tokenizer
     names_of = [tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size())]
     begins = np.array([x.startswith("\u0120") for x in names_of])
     end = len(begins)
-    every = min(1.0, 1 / STRIDE + START_IDS / max(1.0, n_bytes / 2.5))
-    runs = stash(texts.select("text").mapInArrow(_runs(vocabulary, end, every, seed), "ids binary, n bigint, tune boolean"))
+    runs = stash(texts.select("text", F.xxhash64("id").alias("salt")).mapInArrow(_runs(vocabulary, end), "ids binary, n bigint, h bigint"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(end + 1, np.int64)
         for b in batches:
-            for x in _ids(b.column(0)):
-                total += np.bincount(x[1:], minlength=end + 1)
+            got = _ids(b.column(0), end)
+            if got:
+                total += np.bincount(np.concatenate(got), minlength=end + 1) - np.bincount([x[0] for x in got], minlength=end + 1)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
 
@@ -330,36 +389,45 @@ def fit(texts: DataFrame, vocabulary: str, n_bytes: int, rounds: int = ROUNDS, s
     for r in runs.select("ids").mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect():  # a row for each id of the vocabulary
         counts[r["id"]] = r["n"]
     classes = Classes.frequent(counts, begins, names_of)
-    model = Model(classes, Attention(classes, np.bincount(classes.of, counts, classes.count)), [])
-    learned = runs.where("not tune").select("ids", F.expr("pmod(xxhash64(ids), 1000003) as at"), "n")
-    tasks = max(1, -(-int(counts.sum()) // TASK_IDS))
-    dealt = stash(learned.repartition(tasks, "at").sortWithinPartitions("at", "ids").select("ids")) if tasks > 1 else stash(learned.orderBy("at", "ids").select("ids").coalesce(1))
-    names = sorted(model.net.p)
+    return Model(classes, Attention(classes, np.bincount(classes.of, counts, classes.count)), []), runs, counts
+
+
+def fit(model: Model, runs: DataFrame, n_ids: int, pairs: np.ndarray, rounds: int = ROUNDS) -> None:
+    """Teaches the net every run of all training texts: see the module's docstring. pairs: counts of class pairs. Without a run it keeps its initial weights."""
+    again = max(1, min(rounds, -(-LEAST_IDS // max(1, n_ids))))
+    share = max(TASK_IDS, min(MOST_TASK, n_ids // 64))  # ids of a task
+    names, end = sorted(model.net.p), model.end
+    table, every = np.column_stack([pairs, pairs.sum(1), (pairs > 0).sum(1)]).astype(np.float32), pair_every(pairs).astype(np.float32)
+    odds = np.zeros(len(ODDS), np.int64)
+    schema = "part bigint, n bigint, w binary, odds binary"
     for turn in range(rounds):
 
         def run(batches: Iterator[pa.RecordBatch], turn: int = turn) -> Iterator[pa.RecordBatch]:
-            mine = [x for b in batches for x in _ids(b.column(0))]  # about TASK_IDS ids
+            mine, last = [], []
+            for b in batches:  # about `share` ids in all
+                mine += _ids(b.column(0), end)
+                last.append(np.minimum(b.column(1).to_numpy() % rounds + again, rounds) - 1 == turn)
             if mine:
                 own = Model(model.classes, Attention(None), [])
                 own.net.classes = model.classes
                 own.net.p = {k: v.copy() for k, v in model.net.p.items()}
-                done = steps(own, mine, turn, 8e-3 * 0.6**turn)
+                done, met = steps(own, mine, np.concatenate(last), turn, 8e-3 * 0.6**turn, table, every)
                 w = np.concatenate([own.net.p[k].ravel() for k in names]).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([max(1, done)], pa.int64()), pa.array([w.tobytes()], pa.binary())], ["part", "n", "w"])
+                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([max(1, done)], pa.int64()), pa.array([w.tobytes()], pa.binary()), pa.array([met.tobytes()], pa.binary())], ["part", "n", "w", "odds"])
 
-        schema = "part bigint, n bigint, w binary"
-        told = dealt.mapInArrow(run, schema).withColumn("part", F.expr(f"pmod(part, {int(np.sqrt(tasks)) + 1})"))
+        now = runs.where(f"pmod({turn} - h, {rounds}) < {again}").select("ids", "h")
+        some = max(1, -(-n_ids * again // (rounds * share)))
+        now = now.repartition(some, "h").sortWithinPartitions("h", "ids") if some > 1 else now.coalesce(1).sortWithinPartitions("h", "ids")
+        told = now.mapInArrow(run, schema).withColumn("part", F.expr(f"pmod(part, {int(np.sqrt(some)) + 1})"))
         got = told.groupBy("part").applyInArrow(_average, schema).withColumn("part", F.lit(0).cast("bigint")).groupBy("part").applyInArrow(_average, schema).first()
         if got is not None:
             w, at = np.frombuffer(got["w"], np.float64), 0
+            odds += np.frombuffer(got["odds"], np.int64)
             for k in names:
                 size = model.net.p[k].size
                 model.net.p[k] = w[at : at + size].reshape(model.net.p[k].shape).astype(np.float32)
                 at += size
-    some = runs.where("tune").select("ids").orderBy(F.xxhash64("ids"), "ids").limit(500).collect()  # the mixing weight is one number: 500 runs fit it
-    model.tune = [np.frombuffer(r["ids"], np.int32).astype(np.int64) for r in some]
-    discard(runs, dealt)
-    return model
+    model.odds = odds
 
 
 class Mixed:
@@ -373,17 +441,10 @@ class Mixed:
         self.share_edge = self.share[:, model.classes.group < model.classes.begin].sum(1)
         self.inside = model.classes.log_share(counts)
         self.part = 0.5
-        if model.tune:
-            own = np.zeros_like(pairs)
-            for x in model.tune:
-                np.add.at(own, (of[x[:-1]], of[x[1:]]), 1)
-            rest = pair_shares(np.maximum(pairs - own, 0))
-            flat = of[np.concatenate(model.tune)]
-            text = np.repeat(np.arange(len(model.tune)), [len(x) for x in model.tune])
-            spots = np.flatnonzero(np.diff(text, prepend=-1) == 0)
-            net, pair = np.exp(model.net.scores(flat[spots - 1], text[spots], flat[spots])[0]), rest[flat[spots - 1], flat[spots]]
+        if len(model.odds) and model.odds.sum():
+            ratio = np.exp(ODDS)
             for _ in range(50):
-                self.part = float((self.part * net / (self.part * net + (1 - self.part) * pair)).mean())
+                self.part = float((model.odds * (self.part * ratio / (self.part * ratio + 1 - self.part))).sum() / model.odds.sum())
 
     def logs(self, before: np.ndarray, text: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(log probability of each id, log probability that a word or the end begins there), natural logs."""
@@ -396,9 +457,12 @@ class Mixed:
 
 def pair_shares(pairs: np.ndarray) -> np.ndarray:
     """Probability of each class (column) after each class (row), from counts of pairs; the weight of a row's smoothing is the number of its followers (Witten-Bell)."""
-    every = (pairs.sum(0) + 1) / (pairs.sum() + pairs.shape[1])
     types = np.maximum((pairs > 0).sum(1, keepdims=True), 1)
-    return (pairs + types * every) / (pairs.sum(1, keepdims=True) + types)
+    return (pairs + types * pair_every(pairs)) / (pairs.sum(1, keepdims=True) + types)
+
+
+def pair_every(pairs: np.ndarray) -> np.ndarray:
+    return (pairs.sum(0) + 1) / (pairs.sum() + pairs.shape[1])
 
 
 WORD, PAIR, ID = 0, 1, 2
@@ -536,9 +600,9 @@ def score_texts(docs: DataFrame, held_out, id_column: str = "doc_id", text_colum
     """
     vocabulary = vocabulary or vocabulary_path("byte_bpe_50k.json")
     docs = docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text"), held_out.alias("held"))
-    size = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.coalesce(F.sum(F.expr("if(held, 0, octet_length(text))")), F.lit(0)).alias("learned"), F.count_if(~F.col("held")).alias("ends")).first()
+    size = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count_if(~F.col("held")).alias("ends")).first()
     parts = max(1, min(size["n"], -(-size["bytes"] // CHUNK_BYTES)))
-    model = fit(docs.where("not held"), vocabulary, size["learned"])
+    model, runs, id_counts = classes_of(docs.where("not held"), vocabulary)
     place = F.when(F.col("id").isNull(), F.expr(f"{parts} + pmod(xxhash64(text), {parts})")).otherwise(id_range(F.col("id"), id_bounds(docs, "id", parts)))
     chunked = docs.withColumn("chunk", place.cast("int"))
     met = chunked.select("chunk", "held", "text").mapInArrow(_count(model, vocabulary), "kind int, chunk int, h bigint, first int, n bigint")
@@ -553,8 +617,11 @@ def score_texts(docs: DataFrame, held_out, id_column: str = "doc_id", text_colum
         table[got["h"].to_numpy(np.int64)] = got["c"].to_numpy(float)
         tables.append(table)
     k = model.classes.count
-    mixed = Mixed(model, tables[0].reshape(CLASSES, CLASSES)[:k, :k], tables[1])
-    model.tune = []
+    pairs = tables[0].reshape(CLASSES, CLASSES)[:k, :k]
+    fit(model, runs, int(id_counts.sum()), pairs)
+    discard(runs)
+    mixed = Mixed(model, pairs, tables[1])
+    model.odds = []
     few = met.where(f"lead and kind = {WORD}").agg(F.count_if(F.col("c") == 1).alias("one"), F.count_if(F.col("c") == 2).alias("two")).first()
     less = max(0.1, min(0.95, few["one"] / max(1, few["one"] + 2 * few["two"])))  # D, from the words met once and twice
     n_all, n_types = int(first_n.sum()) + size["ends"], int(first_v.sum()) + (size["ends"] > 0)

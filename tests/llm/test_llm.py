@@ -545,6 +545,33 @@ def test_every_training_text_teaches(spark):
     assert got[0]["score"] > got[1]["score"] and got[0]["base_score"] == got[1]["base_score"]
 
 
+def test_every_training_id_has_a_lesson(spark, docs, monkeypatch):
+    """Whatever the corpus's size, each id and end of each text is learned from, and its last lesson counts for the mixing weight once."""
+    name = tokens.vocabulary_path(VOCABULARY)
+    tokenizer = tokens.SegmentEncoder(name).tokenizer
+    texts = docs.selectExpr("doc_id id", "text")
+    want = sum(1 + sum(len(tokenizer.encode(" " + w, add_special_tokens=False).ids) for w in split(r["text"])) for r in texts.collect())
+    for least, size in ((1, 3000), (10**9, 10**9)):
+        monkeypatch.setattr(lm_scoring, "LEAST_IDS", least)
+        monkeypatch.setattr(lm_scoring, "TASK_IDS", size)
+        model, runs, counts = lm_scoring.classes_of(texts, name)
+        k = model.classes.count
+        before = model.net.p["u"].copy()
+        lm_scoring.fit(model, runs, int(counts.sum()), np.ones((k, k)))
+        assert counts.sum() == model.odds.sum() == want and (model.net.p["u"] != before).any()
+
+
+def test_lessons_by_windows_are_the_plain_gradients():
+    model, _, _ = small_model()
+    rng = np.random.default_rng(8)
+    row, y = (rng.integers(0, model.classes.count, 300) for _ in range(2))
+    text = np.sort(rng.integers(0, 9, 300))
+    items, mask = contexts(row, text)
+    want, (got, chance) = model.net.gradients(items, mask, y), model.net.lesson(row, text, y)
+    assert want.keys() == got.keys() and all(np.allclose(got[k], want[k], atol=1e-6) for k in want)
+    assert np.allclose(np.log(chance), model.net.log_probs(items, mask, y), atol=1e-4)
+
+
 def test_held_out_texts_score_above_the_base(spark):
     got = lm_scoring.lm_of_all(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
     assert got["s"] / got["n"] > got["b"] / got["n"]
