@@ -73,8 +73,14 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return b[o[0] : o[-1]], o - o[0]
 
 
+GIVE_BACK = 4 << 20  # bytes of text between two returns of freed memory, in one batch or in several
+_HANDLED = {"bytes": 0}
+
+
 def give_back() -> None:
-    """Ask the C library to return freed memory to the system; workers live longer than their tasks."""
+    """Ask Arrow and the C library to return freed memory to the system; workers live longer than their tasks."""
+    _HANDLED["bytes"] = 0
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # another C library
@@ -84,12 +90,12 @@ def give_back() -> None:
 def text_chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of runs of rows that hold about `limit` bytes; a longer text is a run of its own."""
     buf, offs = text_bytes(column)
-    i, n, turn = 0, len(offs) - 1, 0
+    i, n = 0, len(offs) - 1
     while i < n:
-        turn += 1
-        if turn % 8 == 0:
+        if _HANDLED["bytes"] >= GIVE_BACK:
             give_back()
         j = max(i + 1, int(np.searchsorted(offs, offs[i] + limit, "right")) - 1)
+        _HANDLED["bytes"] += int(offs[j] - offs[i])
         yield i, buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
         i = j
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import LOWER, crc_mod, mix, text_chunks
+from .common import LOWER, crc_mod, give_back, mix, text_chunks
 
 GRAM = 5
 SLOTS_A_GRAM, LEAST_BITS, MOST_BITS = 16, 16, 24  # the table's size by the largest filter
@@ -146,6 +146,7 @@ def predict(docs: DataFrame, model: LanguageFilters, text_column: str = "text")
             score = np.where(letter, known / np.maximum(shares.sum(1), 1e-12), 0.0)
             win = np.where(letter & bool(model.languages), win, len(model.languages))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names[win], pa.string()), pa.array(np.where(win < len(model.languages), score, 0.0)), pa.array(np.where(letter, known, 0.0))], [*keep, "lang_pred", "score", "known"])
+        give_back()
 
     schema = StructType(list(docs.schema)).add("lang_pred", "string").add("score", "double").add("known", "double")
     return docs.mapInArrow(run, schema)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import CHUNK, give_back, stash
 from .tokens import encoder, vocabulary_path
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -224,10 +224,12 @@ def slots(patterns: list[tuple[list[int], int]]) -> np.ndarray:
 
 def _pieces(vocabulary: str, end_id: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()  # what stages before have left, and what reading the vocabulary leaves
         encode = encoder(vocabulary)
+        give_back()
         for b in batches:
             names = b.column(0).to_pylist()
-            for row, ids, at in encode(b.column(1)):
+            for row, ids, at in encode(b.column(1), CHUNK // 4):
                 doc, piece, start, length, crc = [], [], [], [], []
                 for i in range(len(at) - 1):
                     own = np.append(ids[at[i] : at[i + 1]].astype("<u4"), np.uint32(end_id)).astype("<u4", copy=False)
@@ -239,6 +241,7 @@ def _pieces(vocabulary: str, end_id: int, size: int):
                         length.append(len(part))
                         crc.append(zlib.crc32(part.tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        give_back()
 
     return run
 

@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 
-from .common import mix, span_hashes, text_chunks
+from .common import CHUNK, mix, span_hashes, text_chunks
 
 KEEP = 1_000_000
 LEARN = 8192  # segments that the library encodes at once
@@ -99,9 +99,9 @@ class SegmentEncoder:
             spot = np.searchsorted(self.keys, keys)
         return self.rows[spot]
 
-    def __call__(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def __call__(self, column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, ids of a run of rows (uint16, or uint32 for a vocabulary over 65,536), offsets of the rows in them)."""
-        for row, buf, offs in text_chunks(column):
+        for row, buf, offs in text_chunks(column, limit):
             n = len(buf)
             if not n:
                 yield row, np.zeros(0, self.kind), np.zeros(len(offs), np.int64)

@@ -391,6 +391,18 @@ def test_repeated_and_tied_labels(spark, docs):
     assert got[0, docs.where("doc_id = 0").first()["text"]] == pytest.approx(got[1, docs.where("doc_id = 1").first()["text"]])
 
 
+def test_memory_is_given_back_across_small_batches(monkeypatch):
+    """Batches of a few megabytes, as the queries set them, are counted together."""
+    from scoregrid.llm import common
+
+    given, real = [], common.give_back
+    monkeypatch.setattr(common, "give_back", lambda: (given.append(1), real()))
+    batch = pa.array(["a" * 1000] * 2000)
+    for _ in range(10):
+        assert sum(len(buf) for _, buf, _ in common.text_chunks(batch)) == 2_000_000
+    assert len(given) >= 3
+
+
 def test_chunks_cover_every_byte():
     text = np.random.default_rng(5).integers(1, 255, 1000, dtype=np.uint8)
     for n in (0, 1, 127, 128, 129, 224, 225, 1000):
