@@ -4,7 +4,8 @@ The texts are dealt to shards, and shards are scanned in a cycle. Words are coun
 becomes active in the scan after both its subphrases (without its last and without its first word) have reached the
 threshold, whatever their length, so lengths interleave; it is counted for exactly one full cycle of shards and then
 complete. The threshold of one scan is a shard's share of the least count, least / shards: a phrase with the least count
-has that many in one shard or more, so no such phrase and none of its subphrases is missed, and one scan's counts decide.
+has that many in one shard or more, so no such phrase and none of its subphrases is missed, and one scan's counts decide. Counts of at most a third of the threshold are not kept: a phrase loses at most that in each of the
+other shards, and one that may have the least count with its losses stays, to be counted whole at the end.
 
 What a scan needs to know is the scan in which each phrase reached the threshold. That is one byte in a table of up
 to 2^MOST_BITS slots, addressed by the phrase's hash and kept for the whole run. Phrases that share a slot take the
@@ -172,11 +173,12 @@ def count_phrases(docs: DataFrame, least: int = 30, shards: int = 4, text_column
     bits = min(MOST_BITS, max(16, int(np.log2(seen.get["bytes"] / 60 + 1)) + 1))
     reached = np.full(1 << bits, NEVER, np.uint8)
     step, end, share = 0, shards, -(-least // shards)
+    low = share // 3  # a scan's counts up to this are not written
     tables: list[DataFrame] = []
     while step < end:
         sent = spark.sparkContext.broadcast(reached.tobytes())
         found = texts.where(F.col("shard") == step % shards).select("seed", "lang", "text").mapInArrow(_scan(step, shards, bits, sent), COUNTED)
-        tables.append(stash(found.groupBy("h").agg(F.sum("c").alias("c"))))
+        tables.append(stash(found.groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") > low)))
         sent.destroy()
         slots = _slots(tables[-1].where(F.col("h").bitwiseAND(3) < LONGEST - 1).where(F.col("c") >= share), bits)
         new = slots[reached[slots] == NEVER]
@@ -186,7 +188,7 @@ def count_phrases(docs: DataFrame, least: int = 30, shards: int = 4, text_column
         step += 1
     every = reduce(DataFrame.unionByName, tables)
     likely = every.where(F.col("c") >= share).select("h").distinct()
-    complete = every.join(likely, "h", "left_semi").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least).select("h")
+    complete = every.join(likely, "h", "left_semi").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least - low * (shards - 1)).select("h")
     complete = stash(complete)
     wanted = np.full(1 << bits, NEVER, np.uint8)
     wanted[_slots(complete, bits)] = 0

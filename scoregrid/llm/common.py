@@ -41,6 +41,12 @@ def small_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def drop_shuffles(spark: SparkSession) -> SparkSession:
+    """Shuffle files go when the execution that wrote them ends, not when the JVM next collects garbage; called by queries of many written tables."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    return spark
+
+
 def stash(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark, path = df.sparkSession, scratch(df.sparkSession)

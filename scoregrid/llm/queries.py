@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .alignment import alignment_of_all
 from .collocations import collocations
-from .common import small_batches
+from .common import drop_shuffles, small_batches
 from .credentials import KINDS, REACH, secrets_of_all
 from .fingerprint import fingerprints
 from .language import language_of_all
@@ -71,7 +71,7 @@ def op11_text_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return collocations(_documents(spark, sf_dir))
+    return collocations(_documents(drop_shuffles(spark), sf_dir))
 
 
 def op13_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:

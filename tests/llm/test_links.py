@@ -144,6 +144,14 @@ def test_collocations_against_a_plain_count(spark, docs, none, shards):
     assert collocations.collocations(none).count() == 0
 
 
+def test_low_counts_stay_out_of_written_tables(spark, monkeypatch):
+    low = []
+    monkeypatch.setattr(collocations, "discard", lambda *tables: low.extend(t.agg({"c": "min"}).first()[0] for t in tables if t.columns == ["h", "c"]))
+    table = spark.createDataFrame([(i, f"same words w{i}", "en") for i in range(200)], "doc_id long, text string, lang string")
+    frequent, _ = collocations.count_phrases(table, least=30, shards=4)
+    assert min(x for x in low if x is not None) > 2 and {r["phrase"]: r["f"] for r in frequent.collect()} == {"same": 200, "words": 200, "same words": 200}
+
+
 def test_collocations_with_shared_slots(spark, monkeypatch):
     """Phrases that share a slot start earlier, and are still counted once."""
     monkeypatch.setattr(collocations, "MOST_BITS", 4)
