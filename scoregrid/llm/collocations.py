@@ -11,8 +11,10 @@ What a scan needs to know is the scan in which each phrase reached the threshold
 to 2^MOST_BITS slots, addressed by the phrase's hash and kept for the whole run. Phrases that share a slot take the
 earlier scan: then a phrase may become active although a subphrase is rare, and is still counted for exactly one cycle.
 
-Scans count hashes. Those whose cycle gives the least count are spelled in a last pass over the texts, which counts them by
-their words, so that two phrases of one hash are told apart and every number in the result is exact.
+Scans count hashes. Those whose cycle may give the least count are spelled in a last pass over the texts, which counts them
+whole and by their words. It knows them by two bits in a byte a slot; a rare phrase that has the same bits is counted too, and
+left out by its count. A task spells a phrase where it meets it first and hands it on once, so that what is shuffled is a
+task's distinct phrases. (Inside one task phrases are told apart by 62 bits of hash and their length, across tasks by words.)
 """
 
 from __future__ import annotations
@@ -57,27 +59,62 @@ def _words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 class _Held:
-    """Counts by phrase hash, with further columns of the row that came first."""
+    """Counts by phrase hash."""
 
     def __init__(self) -> None:
-        self.h, self.c, self.columns, self.size = [], [], [], 0
+        self.h, self.c, self.size = [], [], 0
 
-    def add(self, h: np.ndarray, c: np.ndarray, columns: list[pa.Array]) -> None:
+    def add(self, h: np.ndarray, c: np.ndarray) -> None:
         self.h.append(h)
         self.c.append(c)
-        self.columns.append(columns)
         self.size += len(h)
 
-    def drain(self, names: list[str]) -> pa.RecordBatch:
+    def pack(self) -> None:
+        """One row a hash."""
         code, h = pd.factorize(np.concatenate(self.h))
-        c = np.bincount(code, np.concatenate(self.c), len(h)).astype(np.int64)
-        columns = []
-        if self.columns[0]:
-            first = np.zeros(len(h), np.int64)
-            first[code[::-1]] = np.arange(len(code))[::-1]
-            columns = [pa.concat_arrays(x).take(pa.array(first)) for x in zip(*self.columns, strict=True)]
+        self.h, self.c, self.size = [h], [np.bincount(code, np.concatenate(self.c), len(h)).astype(np.int64)], len(h)
+
+    def full(self, most: int) -> bool:
+        """Whether, with one row a hash, it holds over half of `most`; looked at where it holds more rows than `most`."""
+        if self.size <= most:
+            return False
+        self.pack()
+        return self.size > most // 2
+
+    def drain(self, names: list[str]) -> pa.RecordBatch:
+        self.pack()
+        out = pa.RecordBatch.from_arrays([pa.array(self.h[0].view(np.int64)), pa.array(self.c[0])], names)
+        self.__init__()
+        return out
+
+
+class _Spellings:
+    """Counts by phrase hash of whole tasks: a phrase is spelled where it is met first, and only counted from then on."""
+
+    def __init__(self) -> None:
+        self.h, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # the hashes in order, and the row of each
+        self.rows, self.c, self.size = [], np.zeros(0, np.int64), 0
+
+    def new(self, h: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Counts distinct ascending hashes, and says which of them are to be spelled, by append()."""
+        place = np.searchsorted(self.h, h)
+        new = self.h[np.minimum(place, self.size - 1)] != h if self.size else np.ones(len(h), bool)
+        self.c[self.at[place[~new]]] += c[~new]
+        self.c = np.concatenate([self.c, c[new]])
+        self.h, self.at = np.insert(self.h, place[new], h[new]), np.insert(self.at, place[new], self.size + np.arange(new.sum()))
+        self.size = len(self.h)
+        return new
+
+    def append(self, columns: list[pa.Array], names: list[str]) -> None:
+        """Further columns of the hashes that new() named."""
+        self.rows.append(pa.RecordBatch.from_arrays(columns, names))
+
+    def drain(self) -> Iterator[pa.RecordBatch]:
+        i = 0
+        for b in self.rows:
+            yield b.append_column("c", pa.array(self.c[i : i + b.num_rows]))
+            i += b.num_rows
         self.__init__()
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *columns, pa.array(c)], names)
 
 
 def _strings(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -120,8 +157,8 @@ def _scan(step: int, shards: int, bits: int, table: Broadcast):
                 when = np.where(whole, reached[h >> np.uint64(64 - bits)], np.uint8(NEVER))
                 if len(active):
                     code, distinct = pd.factorize(active)
-                    held.add(distinct, np.bincount(code), [])
-                if held.size > HELD:
+                    held.add(distinct, np.bincount(code))
+                if held.full(HELD):
                     yield held.drain(["h", "c"])
         if held.size:
             yield held.drain(["h", "c"])
@@ -129,11 +166,27 @@ def _scan(step: int, shards: int, bits: int, table: Broadcast):
     return run
 
 
+def _marks(h: np.ndarray, bits: int) -> np.ndarray:
+    """Two bits of a byte that stand for a hash in its slot (as one number; they may fall together)."""
+    first, second = (h >> np.uint64(64 - bits - 3 * i) & np.uint64(7) for i in (1, 2))
+    return (np.uint64(1) << first | np.uint64(1) << second).astype(np.uint8)
+
+
+def _marked(found: DataFrame, bits: int) -> np.ndarray:
+    """A byte a slot with the marks of the hashes in it: as _marks() makes them."""
+    mark = [F.expr(f"shiftleft(1, cast(shiftrightunsigned(h, {64 - bits - 3 * i}) & 7 as int))") for i in (1, 2)]
+    slot = F.shiftrightunsigned("h", 64 - bits).cast("int").alias("slot")
+    got = found.groupBy(slot).agg(F.bit_or(mark[0].bitwiseOR(mark[1])).cast("short").alias("marks")).toArrow()  # at most 2^MOST_BITS rows
+    wanted = np.zeros(1 << bits, np.uint8)
+    wanted[got["slot"].to_numpy()] = got["marks"].to_numpy()
+    return wanted
+
+
 def _spell(bits: int, table: Broadcast):
-    """The phrases whose slot is wanted, counted, and for each language a row without a phrase that counts its words."""
+    """The phrases whose marks are all in their slot, counted, and for each language a row without a phrase that counts its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, held, names = np.frombuffer(table.value, np.uint8), _Held(), ["h", "k", "lang", "phrase", "c"]
+        wanted, held, names = np.frombuffer(table.value, np.uint8), _Spellings(), ["h", "k", "lang", "phrase", "c"]
         for b in batches:
             lang = b.column(1)
             for k, h, whole, buf, starts, ends, row in _phrases(b, 1 << 20):
@@ -141,16 +194,21 @@ def _spell(bits: int, table: Broadcast):
                     code, seen = pd.factorize(lang.take(pa.array(row)).to_numpy(zero_copy_only=False))
                     n = len(seen)
                     yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(seen, pa.string()), pa.nulls(n, pa.string()), pa.array(np.bincount(code, minlength=n))], names)
-                found = np.flatnonzero(whole & (wanted[h >> np.uint64(64 - bits)] != NEVER))
+                there = wanted[h >> np.uint64(64 - bits)]
+                found = np.flatnonzero(whole & (there != 0))
+                marks = _marks(h[found], bits)
+                found = found[there[found] & marks == marks]
                 if len(found):
                     code, distinct = pd.factorize(h[found])
                     first = np.zeros(len(distinct), np.int64)
                     first[code[::-1]] = found[::-1]
-                    held.add(distinct, np.bincount(code), [pa.array(np.full(len(distinct), k, np.int32)), lang.take(pa.array(row[first])), _strings(buf, starts[first], ends[first + k - 1])])
-                if held.size > HELD // 4:
-                    yield held.drain(names)
-        if held.size:
-            yield held.drain(names)
+                    order = np.argsort(distinct)
+                    new = order[held.new(distinct[order], np.bincount(code)[order])]
+                    at = first[new]
+                    held.append([pa.array(distinct[new].view(np.int64)), pa.array(np.full(len(new), k, np.int32)), lang.take(pa.array(row[at])), _strings(buf, starts[at], ends[at + k - 1])], names[:-1])
+                if held.size > HELD:
+                    yield from held.drain()
+        yield from held.drain()
 
     return run
 
@@ -186,18 +244,15 @@ def count_phrases(docs: DataFrame, least: int = 30, shards: int = 4, text_column
             reached[new] = step
             end = max(end, step + 1 + shards)
         step += 1
-    every = reduce(DataFrame.unionByName, tables)
-    likely = every.where(F.col("c") >= share).select("h").distinct()
-    complete = every.join(likely, "h", "left_semi").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least - low * (shards - 1)).select("h")
-    complete = stash(complete)
-    wanted = np.full(1 << bits, NEVER, np.uint8)
-    wanted[_slots(complete, bits)] = 0
+    every = reduce(DataFrame.unionByName, tables).repartition("h")
+    likely = every.groupBy("h").agg(F.max("c").alias("most"), F.sum("c").alias("c")).where((F.col("most") >= share) & (F.col("c") >= least - low * (shards - 1)))
+    wanted = _marked(likely, bits)
+    discard(*tables)
     sent = spark.sparkContext.broadcast(wanted.tobytes())
     spelled = texts.select("seed", "lang", "text").coalesce(max(spark.sparkContext.defaultParallelism, texts.rdd.getNumPartitions() // 4)).mapInArrow(_spell(bits, sent), SPELLED)
-    spelled = spelled.join(complete.withColumnRenamed("h", "done"), F.col("h") == F.col("done"), "left").where("phrase is null or done is not null")
-    spelled = stash(spelled.groupBy("lang", "phrase", "k").agg(F.sum("c").alias("f")))
-    discard(*tables, complete)
-    return spelled.where(F.col("phrase").isNotNull() & (F.col("f") >= least)), spelled.where("phrase is null").select("lang", F.col("f").alias("n"))
+    # summed by task before they are dealt: a phrase is sent once a task; others with its marks have less than the least count
+    spelled = stash(spelled.groupBy("lang", "phrase", "k").agg(F.sum("c").alias("f")).where(F.col("phrase").isNull() | (F.col("f") >= least)))
+    return spelled.where(F.col("phrase").isNotNull()), spelled.where("phrase is null").select("lang", F.col("f").alias("n"))
 
 
 def _exact(c: Column) -> Column:

@@ -4,8 +4,10 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 from itertools import product
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,6 +154,21 @@ def test_low_counts_stay_out_of_written_tables(spark, monkeypatch):
     assert min(x for x in low if x is not None) > 2 and {r["phrase"]: r["f"] for r in frequent.collect()} == {"same": 200, "words": 200, "same words": 200}
 
 
+def test_the_last_pass_hands_on_a_phrase_once_and_others_hardly(spark, monkeypatch):
+    """A task's counts are summed before they are dealt, and of phrases that only share a slot with a wanted one few have its marks."""
+    monkeypatch.setattr(collocations, "HELD", 400)
+    same = pa.RecordBatch.from_arrays([pa.array([7]), pa.array(["en"]), pa.array(["a b c d e f"])], ["seed", "lang", "text"])
+    every = SimpleNamespace(value=np.full(1 << 4, 255, np.uint8).tobytes())
+    rows = [r for b in collocations._spell(4, every)(iter([same] * 50)) for r in b.to_pylist() if r["phrase"] is not None]
+    assert len(rows) == 6 + 5 + 4 + 3 and all(r["c"] == 50 for r in rows)
+    words = pa.RecordBatch.from_arrays([pa.array([7]), pa.array(["en"]), pa.array([" ".join(f"w{i}" for i in range(2000))])], ["seed", "lang", "text"])
+    h = np.concatenate([h[whole] for _, h, whole, *_ in collocations._phrases(words, 1 << 20)])
+    wanted = collocations._marked(spark.createDataFrame([(int(x),) for x in h[:20].view(np.int64)], "h long"), 8)
+    rows = [r for b in collocations._spell(8, SimpleNamespace(value=wanted.tobytes()))(iter([words])) for r in b.to_pylist() if r["phrase"] is not None]
+    shared = int(np.isin(h >> np.uint64(56), h[:20] >> np.uint64(56)).sum())
+    assert {f"w{i}" for i in range(20)} <= {r["phrase"] for r in rows} and len(rows) < shared / 4
+
+
 def test_collocations_with_shared_slots(spark, monkeypatch):
     """Phrases that share a slot start earlier, and are still counted once."""
     monkeypatch.setattr(collocations, "MOST_BITS", 4)
