@@ -104,13 +104,13 @@ class Attention:
         m = np.matmul(a[:, None], c)[:, 0]
         return c, q, a, m, self._hidden(q, m)
 
-    def _groups(self, y: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-        """(order of targets by group, (group, from, to) in that order)."""
+    def _groups(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+        """(order of targets by group, the group of each in that order, (group, from, to) in that order)."""
         own = self.classes.group[y].astype(np.int16)
         order = np.argsort(own, kind="stable")
         own = own[order]
         cut = np.flatnonzero(np.diff(own, prepend=-1))
-        return order, list(zip(own[cut].tolist(), cut.tolist(), [*cut[1:].tolist(), len(own)], strict=True))
+        return order, own, list(zip(own[cut].tolist(), cut.tolist(), [*cut[1:].tolist(), len(own)], strict=True))
 
     def log_probs(self, items: np.ndarray, mask: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural log of the probability of each target class, a plain form for tests."""
@@ -120,75 +120,110 @@ class Attention:
         at = np.arange(len(y))
         return z[at, own] - np.log(np.exp(z).sum(1)) + inside[at, self.classes.slot[y]] - np.log(np.exp(inside).sum(1))
 
+    def _inside(self, h: np.ndarray, group: np.ndarray, groups: list[tuple[int, int, int]]) -> np.ndarray:
+        """Logits of the classes in each target's group; h is in the order of _groups()."""
+        w = np.empty((len(h), GROUP), h.dtype)
+        for k, i, j in groups:
+            np.matmul(h[i:j], self.p["u"][k], out=w[i:j])
+        w += self.p["c"].take(group, 0)
+        return w
+
     def _top(self, h: np.ndarray, y: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
         """Gradients of what follows the hidden layer, the gradient before that layer, and the probability of each target."""
-        p, n, at, chance = self.p, len(y), np.arange(len(y)), np.ones(len(y), h.dtype)
-
-        def turn(z: np.ndarray, rows: np.ndarray, target: np.ndarray) -> np.ndarray:  # softmax less the targets
-            z -= z.max(1, keepdims=True)
+        p, n, at = self.p, len(y), np.arange(len(y))
+        order, group, groups = self._groups(y)
+        h, back_to = h.take(order, 0), np.empty_like(order)
+        back_to[order] = at
+
+        def turn(z: np.ndarray, target: np.ndarray) -> np.ndarray:  # softmax less the targets, over n; gives the targets' probabilities
+            if z.max() > 60:
+                np.minimum(z, 60, out=z)
             np.exp(z, out=z)
-            z /= z.sum(1, keepdims=True)
-            chance[rows] *= z[at[: len(rows)], target]
-            z[at[: len(rows)], target] -= 1
-            z /= n
-            return z
-
-        dz = turn(h @ p["g"] + p["gc"], at, self.classes.group[y])
-        g = {"g": h.T @ dz, "gc": dz.sum(0), "u": np.zeros_like(p["u"]), "c": np.zeros_like(p["c"])}
-        dt = dz @ p["g"].T
-        order, groups = self._groups(y)
-        slots, sorted_h, back = self.classes.slot[y][order], h[order], np.empty_like(h)
+            z *= (1 / (n * (z @ np.ones(z.shape[1], z.dtype))))[:, None]
+            own = z[at, target]
+            z[at, target] = own - z.dtype.type(1 / n)
+            return own * n
+
+        dz = h @ p["g"]
+        dz += p["gc"]
+        chance = turn(dz, group)
+        dw = self._inside(h, group, groups)
+        chance *= turn(dw, self.classes.slot[y[order]])
+        g = {"g": h.T @ dz, "gc": np.ones(n, h.dtype) @ dz, "u": np.zeros_like(p["u"]), "c": np.zeros_like(p["c"])}
+        dt, back = dz @ p["g"].T, np.empty_like(h)
         for k, i, j in groups:
-            dz = turn(sorted_h[i:j] @ p["u"][k] + p["c"][k], order[i:j], slots[i:j])
-            g["u"][k], g["c"][k] = sorted_h[i:j].T @ dz, dz.sum(0)
-            back[i:j] = dz @ p["u"][k].T
-        dt[order] += back
+            np.matmul(h[i:j].T, dw[i:j], out=g["u"][k])
+            np.matmul(dw[i:j], p["u"][k].T, out=back[i:j])
+        g["c"][[k for k, _, _ in groups]] = np.add.reduceat(dw, [i for _, i, _ in groups])
+        dt += back
         dt *= h > 0
-        return g, dt, chance
+        return g, dt.take(back_to, 0), chance.take(back_to)
 
     def lesson(self, item: np.ndarray, text: np.ndarray, y: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
         """gradients() of targets in a row, by windows that overlap, and the probability that each target had. item and text as in scores()."""
         p, root, n, f = self.p, np.sqrt(DIM), len(y), self.p["e"].dtype
         blocks = -(-n // WINDOW)
-        behind = np.arange(WINDOW)[:, None] - np.arange(WINDOW + BACK) + BACK
-        seen = (behind >= 0) & (behind < BACK)
-        x, t = np.zeros((BACK + WINDOW * blocks, DIM), f), np.full(BACK + WINDOW * blocks, -1, np.int64)
-        x[BACK : BACK + n], t[BACK : BACK + n] = p["e"][item], text
-        keys = np.lib.stride_tricks.as_strided(x, (blocks, WINDOW + BACK, DIM), (WINDOW * x.strides[0], *x.strides))
+        behind, seen, far = self._far()
+        scale = (p["q"] @ p["k"].T / root).astype(f)
+        x, t = np.zeros((BACK + WINDOW * blocks, DIM + 1), f), np.full(BACK + WINDOW * blocks, -1, np.int32)
+        x[:, DIM] = 1  # the last column adds up what a query sees
+        x[BACK : BACK + n, :DIM], t[BACK : BACK + n] = p["e"].take(item, 0), text
+        keys = np.lib.stride_tricks.as_strided(x, (blocks, WINDOW + BACK, DIM + 1), (WINDOW * x.strides[0], *x.strides))
         kt = np.lib.stride_tricks.as_strided(t, (blocks, WINDOW + BACK), (WINDOW * t.strides[0], t.strides[0]))
-        whole = lambda z: z.reshape(blocks, WINDOW, -1)
-        flat = lambda z: z.reshape(blocks * WINDOW, -1)
-        q = x[BACK:]
-        asks = q @ (p["q"] @ p["k"].T / root).astype(f)
-        a = np.matmul(whole(asks), keys.transpose(0, 2, 1))
-        a += p["rel"][np.clip(behind, 0, BACK - 1)]
-        np.minimum(a, 30, out=a)
+        # of each block, one above the other: attention and its gradient; what meets them on the way back to the keys
+        both, ask = np.empty((blocks, 2 * WINDOW, WINDOW + BACK), f), np.zeros((blocks, 2 * WINDOW, DIM + 1), f)
+        a, ds, dm1, asks = both[:, :WINDOW], both[:, WINDOW:], ask[:, :WINDOW], ask[:, WINDOW:, :DIM]
+        whole = np.zeros((WINDOW * blocks, DIM + 1), f)
+        whole[:n, :DIM] = (p["e"] @ scale).take(item, 0)
+        asks[:] = whole[:, :DIM].reshape(blocks, WINDOW, DIM)
+        np.matmul(asks, keys[:, :, :DIM].transpose(0, 2, 1), out=a)
+        if a.max() > 30:
+            np.minimum(a, 30, out=a)
         np.exp(a, out=a)
-        a *= seen & (kt[:, None, :] == t[BACK:].reshape(blocks, WINDOW, 1))
-        a /= a.sum(2, keepdims=True)  # a row sees at least itself
-        m = flat(np.matmul(a, keys))
-        g, dt, chance = self._top(self._hidden(q[:n], m[:n]), y)
-        dt = np.concatenate([dt, np.zeros((len(q) - n, 2 * DIM), f)])
-        g["r"], g["v"], g["b"] = q.T @ dt, m.T @ dt, dt.sum(0)
-        dm = whole(dt @ p["v"].T)
-        ds = np.matmul(dm, keys.transpose(0, 2, 1))
-        ds -= (a * ds).sum(2, keepdims=True)
+        a *= far
+        mixed = np.flatnonzero(kt[:, 0] != kt[:, -1])
+        a[mixed] *= kt[mixed][:, None, :] == kt[mixed, BACK:][:, :, None]
+        m = np.matmul(a, keys)
+        whole_row = 1 / m[:, :, DIM:]  # a row sees at least itself
+        m *= whole_row
+        a *= whole_row
+        m = m.reshape(-1, DIM + 1)[:n, :DIM]
+        h = m @ p["v"]
+        h += (p["e"] @ p["r"] + p["b"]).take(item, 0)
+        np.maximum(h, 0, out=h)
+        g, dt, chance = self._top(h, y)
+        q = x[BACK : BACK + n]
+        both_r = q.T @ dt
+        g["r"], g["v"], g["b"] = both_r[:DIM], m.T @ dt, both_r[DIM]
+        dm = dt @ p["v"].T
+        whole[:n, :DIM] = dm
+        whole[:n, DIM] = -np.einsum("nd,nd->n", dm, m)
+        dm1[:] = whole.reshape(blocks, WINDOW, DIM + 1)
+        np.matmul(dm1, keys.transpose(0, 2, 1), out=ds)
         ds *= a
         g["rel"] = np.bincount(behind[seen], ds.sum(0)[seen], BACK).astype(f)
-        qq, sc = q @ p["q"], flat(np.matmul(ds, keys)) / f.type(root)
-        dqq = sc @ p["k"]
-        g["k"], g["q"] = sc.T @ qq, q.T @ dqq
-        dk = np.matmul(a.transpose(0, 2, 1), dm) + np.matmul(ds.transpose(0, 2, 1), whole(asks))
+        sc = np.matmul(ds, keys[:, :, :DIM]).reshape(-1, DIM)[:n]
+        d_scale = q[:, :DIM].T @ sc / f.type(root)
+        g["q"], g["k"] = d_scale @ p["k"], d_scale.T @ p["q"]
+        dk = np.matmul(both.transpose(0, 2, 1), ask[:, :, :DIM])
         dx = np.zeros((blocks + 1, WINDOW, DIM), f)
-        dx[:-1] += dk[:, :WINDOW]
+        dx[:-1] = dk[:, :WINDOW]
         dx[1:, :BACK] += dk[:, WINDOW:]
-        de = dx.reshape(-1, DIM)[BACK : BACK + n] + (dt @ p["r"].T + dqq @ p["q"].T)[:n]
+        de = dx.reshape(-1, DIM)[BACK : BACK + n]
+        de += dt @ p["r"].T
+        de += sc @ scale.T
         order = np.argsort(item.astype(np.int16), kind="stable")
         edge = np.flatnonzero(np.diff(item[order], prepend=-1))
         g["e"] = np.zeros_like(p["e"])
-        g["e"][item[order][edge]] = np.add.reduceat(de[order], edge)
+        g["e"][item[order[edge]]] = np.add.reduceat(de.take(order, 0), edge)
         return g, chance
 
+    def _far(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of query i and key j of a window: how many items the key stands before the query, whether it is seen, and the factor of its place."""
+        behind = np.arange(WINDOW)[:, None] - np.arange(WINDOW + BACK) + BACK
+        seen = (behind >= 0) & (behind < BACK)
+        return behind, seen, np.where(seen, np.exp(self.p["rel"][np.clip(behind, 0, BACK - 1)]), 0).astype(self.p["rel"].dtype)
+
     def gradients(self, items: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean negative log probability of the targets."""
         p, root = self.p, np.float32(np.sqrt(DIM))
@@ -213,60 +248,61 @@ class Attention:
         g["e"][at[order][edge]] = np.add.reduceat(dc.reshape(-1, DIM)[order], edge)
         return g
 
-    def scores(self, item: np.ndarray, text: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What only depends on items: how much each item (row) looks at each other, what its value gives the hidden layer (the last column is 1), and what it gives as a query."""
+        p = self.p
+        look = (p["e"] @ (p["q"] @ p["k"].T / np.float32(np.sqrt(DIM)))) @ p["e"].T
+        np.exp(np.minimum(look, 30, out=look), out=look)
+        return look, np.column_stack([p["e"], np.ones(len(p["e"]), np.float32)]).astype(np.float32), (p["e"] @ p["r"] + p["b"]).astype(np.float32)
+
+    def scores(self, item: np.ndarray, text: np.ndarray, y: np.ndarray, tables: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(log probability of each target's class, log probability of all that begins a word), by windows that overlap.
 
-        item[i]: the class of what stands before target i; text[i]: the text that target i belongs to.
+        item[i]: the class of what stands before target i; text[i]: the text that target i belongs to; tables: tables(), if they are made already.
         """
         p, n = self.p, len(y)
+        look, value, own = tables or self.tables()
         out, edge = np.zeros(n, np.float32), np.zeros(n, np.float32)
-        behind = np.arange(WINDOW)[:, None] - np.arange(WINDOW + BACK) + BACK  # how many items key j stands before query i
-        seen = (behind >= 0) & (behind < BACK)
-        far = np.where(seen, np.exp(p["rel"][np.clip(behind, 0, BACK - 1)]), 0).astype(np.float32)
-        # what only depends on the item is a row of a table
-        asks = p["e"] @ (p["q"] @ p["k"].T / np.float32(np.sqrt(DIM)))
-        own = p["e"] @ p["r"] + p["b"]
+        place = np.exp(p["rel"]).astype(np.float32)
         ones = np.ones(GROUP, np.float32)
         halves = np.ones((len(p["gc"]), 2), np.float32)  # all groups, and those that begin a word
         halves[self.classes.begin :, 1] = 0
+        blocks = -(-min(n, SLICE) // WINDOW)
+        s, x = np.zeros((blocks, WINDOW, WINDOW + BACK), np.float32), np.zeros((BACK + WINDOW * blocks, DIM + 1), np.float32)
+        # query w of a block sees the item k before it at w + BACK - k of the block's items; what it does not see stays 0
+        bands = [np.lib.stride_tricks.as_strided(s[:, :, BACK - k :], (blocks, WINDOW), (s.strides[0], s.strides[1] + s.strides[2])) for k in range(BACK)]
+        keys = np.lib.stride_tricks.as_strided(x, (blocks, WINDOW + BACK, DIM + 1), (WINDOW * x.strides[0], *x.strides))
         for i in range(0, n, SLICE):
             j = min(n, i + SLICE)
-            lo, blocks = max(0, i - BACK), -(-(j - i) // WINDOW)
-            x = np.zeros((BACK + WINDOW * blocks, DIM + 1), np.float32)  # the last column adds up what a query sees
-            x[:, DIM] = 1
-            t = np.full(BACK + WINDOW * blocks, -1, np.int64)
-            x[BACK - (i - lo) : BACK + j - i, :DIM] = p["e"][item[lo:j]]
-            t[BACK - (i - lo) : BACK + j - i] = text[lo:j]
-            keys = np.lib.stride_tricks.as_strided(x, (blocks, WINDOW + BACK, DIM + 1), (WINDOW * x.strides[0], *x.strides))
-            kt = np.lib.stride_tricks.as_strided(t, (blocks, WINDOW + BACK), (WINDOW * t.strides[0], t.strides[0]))
-            q, qt = np.zeros((WINDOW * blocks, DIM), np.float32), t[BACK:].reshape(blocks, WINDOW)
-            q[: j - i] = asks[item[i:j]]
-            s = np.matmul(q.reshape(blocks, WINDOW, DIM), keys[:, :, :DIM].transpose(0, 2, 1))
-            np.minimum(s, 30, out=s)
-            np.exp(s, out=s)
-            s *= far
-            mixed = np.flatnonzero(kt[:, 0] != kt[:, -1])
-            s[mixed] *= kt[mixed][:, None, :] == qt[mixed][:, :, None]
-            m = np.matmul(s, keys).reshape(-1, DIM + 1)[: j - i]
-            h = (m[:, :DIM] / np.maximum(m[:, DIM:], np.float32(1e-20))) @ p["v"]
-            h += own[item[i:j]]
+            lo, m = max(0, i - BACK), j - i
+            near = np.concatenate([np.zeros(BACK - (i - lo), item.dtype), item[lo:j]])
+            x[: BACK + m] = value.take(near, 0)
+            starts = np.flatnonzero(np.diff(text[lo:j], prepend=-1)) + lo  # of texts
+            if lo and text[lo - 1] == text[lo]:
+                starts = starts[1:]
+            row, seen = item[i:j].astype(np.int64) * look.shape[1], np.zeros(blocks * WINDOW, np.float32)
+            for k in range(BACK):
+                seen[:m] = look.take(row + near[BACK - k : BACK - k + m])
+                seen[:m] *= place[k]
+                hidden = (starts[:, None] + np.arange(k) - i).ravel()
+                seen[hidden[(hidden >= 0) & (hidden < m)]] = 0
+                bands[k][:] = seen.reshape(blocks, WINDOW)
+            got = np.matmul(s, keys).reshape(-1, DIM + 1)[:m]
+            h = (got[:, :DIM] * (1 / np.maximum(got[:, DIM:], np.float32(1e-20)))) @ p["v"]
+            h += own.take(item[i:j], 0)
             np.maximum(h, 0, out=h)
+            order, group, groups = self._groups(y[i:j])
+            h, slot, at = h.take(order, 0), self.classes.slot[y[i:j][order]], np.arange(m)
             z = h @ p["g"]
             z += p["gc"]
+            mine = z[at, group]
             np.exp(z, out=z)
             sums = z @ halves
-            total, first = sums[:, 0], sums[:, 1]
-            order, groups = self._groups(y[i:j])
-            slots, h, part = self.classes.slot[y[i:j]][order], h[order], np.zeros(j - i, np.float32)
-            for k, a, b in groups:
-                w = h[a:b] @ p["u"][k]
-                w += p["c"][k]
-                at = w[np.arange(b - a), slots[a:b]]
-                np.exp(w, out=w)
-                part[a:b] = at - np.log(w @ ones)
-            out[i + order] = part
-            out[i:j] += np.log(z[np.arange(j - i), self.classes.group[y[i:j]]] / total)
-            edge[i:j] = np.log(first / total)
+            w = self._inside(h, group, groups)
+            mine += w[at, slot]
+            np.exp(w, out=w)
+            out[i + order] = mine - np.log(sums[:, 0] * (w @ ones))
+            edge[i + order] = np.log(sums[:, 1] / sums[:, 0])
         return out, edge
 
 
@@ -446,11 +482,11 @@ class Mixed:
             for _ in range(50):
                 self.part = float((model.odds * (self.part * ratio / (self.part * ratio + 1 - self.part))).sum() / model.odds.sum())
 
-    def logs(self, before: np.ndarray, text: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(log probability of each id, log probability that a word or the end begins there), natural logs."""
+    def logs(self, before: np.ndarray, text: np.ndarray, ids: np.ndarray, tables: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(log probability of each id, log probability that a word or the end begins there), natural logs; tables: the net's, if they are made already."""
         of = self.model.classes.of
         row, y = of[before], of[ids]
-        net, edge = self.model.net.scores(row, text, y)
+        net, edge = self.model.net.scores(row, text, y, tables)
         both = self.part * np.exp(net) + (1 - self.part) * self.share[row, y]
         return np.log(both) + self.inside[ids], np.log(self.part * np.exp(edge) + (1 - self.part) * self.share_edge[row])
 
@@ -552,7 +588,7 @@ RESULT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, know
 
 def _score(mixed: Mixed, vocabulary: str, n_ends: int, first_n: np.ndarray, first_v: np.ndarray, less: float):
     def run(texts: pa.Table, counts: pa.Table) -> pa.Table:
-        encode, end = encoder(vocabulary), mixed.model.end
+        encode, end, tables = encoder(vocabulary), mixed.model.end, mixed.model.net.tables()
         h_all, c_all = counts["h"].to_numpy().view(np.uint64), counts["c"].to_numpy()
         order = np.argsort(h_all)
         h_all, c_all = h_all[order], c_all[order]
@@ -566,7 +602,7 @@ def _score(mixed: Mixed, vocabulary: str, n_ends: int, first_n: np.ndarray, firs
             c = c_all[np.minimum(np.searchsorted(h_all, keys), max(0, len(h_all) - 1))][code] if len(keys) else np.zeros(0, np.int64)
             ids, at = word_ids(encode, keys, code, low, s, e)
             stream, before, text, start = stream_of(ids, at, first, end)
-            logs, edge = mixed.logs(before, text, stream)
+            logs, edge = mixed.logs(before, text, stream, tables)
             # a word, its first id given: counted, or spelled by its later ids and the edge after them
             later = logs.copy()
             later[start] = 0

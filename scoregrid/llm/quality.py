@@ -29,9 +29,22 @@ class Adam:
     def step(self, params: dict[str, np.ndarray], grads: dict[str, np.ndarray]) -> None:
         self.t += 1
         for k, g in grads.items():
-            self.m[k] = 0.9 * self.m[k] + 0.1 * g
-            self.v[k] = 0.999 * self.v[k] + 0.001 * g * g
-            params[k] -= (self.rate * self.m[k] / (1 - 0.9**self.t) / (np.sqrt(self.v[k] / (1 - 0.999**self.t)) + 1e-8)).astype(np.float32)
+            if g.dtype != self.m[k].dtype:
+                self.m[k], self.v[k] = (np.asarray(z, np.result_type(z, g)) for z in (self.m[k], self.v[k]))
+            m, v, x = self.m[k], self.v[k], 0.1 * g  # in place: the same operations, without an array for each
+            m *= 0.9
+            m += x
+            np.multiply(g, 0.001, out=x)
+            x *= g
+            v *= 0.999
+            v += x
+            np.divide(v, 1 - 0.999**self.t, out=x)
+            np.sqrt(x, out=x)
+            x += 1e-8
+            y = self.rate * m
+            y /= 1 - 0.9**self.t
+            y /= x
+            params[k] -= y.astype(np.float32, copy=False)
 
 
 def _windows(chunks: np.ndarray) -> np.ndarray:

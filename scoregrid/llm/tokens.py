@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,11 @@ KEEP = 1_000_000
 LEARN = 8192  # segments that the library encodes at once
 _LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)  # a cut between an ASCII letter and a mark
 _LETTER[65:91] = _LETTER[97:123] = True
-_MARK[[ord(c) for c in ",.!?;:|$%&*#"]] = True
+MARKS = ",.!?;:|$%&*#"
+_MARK[[ord(c) for c in MARKS]] = True
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # a byte-level vocabulary writes these bytes as themselves, others from U+0100 on
+_WRITTEN = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+LATIN = "\u0250"  # letters before it are letters to every version of Unicode
 _OPEN = np.zeros(256, bool)  # bytes that begin a character which is no white space, ASCII or U+00C0 to U+07FF
 _OPEN[0x21:0x7F] = True
 _OPEN[0xC3:0xE0] = True
@@ -39,11 +44,16 @@ class SegmentEncoder:
         self.lower, self.space = self.tokenizer.normalizer is not None, "" if self.tokenizer.normalizer is not None else "\u0120"
         probe = [" Probe", "probe", " a", "Z", " hEaTh", "s", " t"]
         self.plain = [self._plain(x) for x in probe] == [e.ids for e in self.tokenizer.encode_batch(probe, add_special_tokens=False)]
+        # and marks behind it are a second one; so is a run of Latin letters, where bytes are written one by one
+        self.tailed = self.plain and all(self._plain(a) + self._plain(b) == self.tokenizer.encode(a + b, add_special_tokens=False).ids for a in (" Probe", "s", " t") for b in (*MARKS, ".,", "?!;", "...", "&&#:"))
+        latin = [f" a{chr(c)}b" for c in range(0x80, ord(LATIN)) if chr(c).isalpha()]
+        self.latin = self.tailed and not self.lower and all(self._plain(x) == e.ids for x, e in zip(latin, self.tokenizer.encode_batch(latin, add_special_tokens=False), strict=True))
+        self.tails: dict[str, list[int]] = {}
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.forget()
 
     def _plain(self, text: str) -> list[int]:
-        text = text.replace(" ", self.space)
+        text = text.replace(" ", self.space) if text.isascii() else text.encode().decode("latin-1").translate(_WRITTEN)
         return [t.id for t in self.tokenizer.model.tokenize(text.lower() if self.lower else text)]
 
     turn = 0  # counts how often it has forgotten
@@ -62,12 +72,29 @@ class SegmentEncoder:
             text = texts[i].replace(" ", space)
             got[i] = [t.id for t in model.tokenize(text.lower() if lower else text)]
         rest = np.flatnonzero(~simple).tolist()
+        if self.tailed:
+            stems: dict[str, list[int]] = {}
+            other = []
+            for i in rest:
+                stem = texts[i].rstrip(MARKS)
+                if not (stem.removeprefix(" ").isalpha() and (stem.isascii() or self.latin and max(stem) < LATIN)):
+                    other.append(i)
+                    continue
+                tail = texts[i][len(stem) :]
+                if stem not in stems:
+                    stems[stem] = self._plain(stem)
+                if tail not in self.tails:
+                    if len(self.tails) >= LEARN:
+                        self.tails.clear()
+                    self.tails[tail] = self._plain(tail)
+                got[i] = stems[stem] + self.tails[tail]
+            rest = other
         for k in range(0, len(rest), LEARN):
             part = rest[k : k + LEARN]
             for i, e in zip(part, self.tokenizer.encode_batch([texts[i] for i in part], add_special_tokens=False), strict=True):
                 got[i] = e.ids
         count = np.array([len(x) for x in got], np.int64)
-        new = np.fromiter((i for x in got for i in x), self.kind, int(count.sum()))
+        new = np.fromiter(chain.from_iterable(got), self.kind, int(count.sum()))
         while self.size + len(new) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.size : self.size + len(new)] = new
@@ -75,9 +102,9 @@ class SegmentEncoder:
         self.at = np.concatenate([self.at, (self.size + np.cumsum(count) - count).astype(np.int32)])
         self.len = np.concatenate([self.len, count.astype(np.int32)])
         self.size += len(new)
-        keys, rows = np.concatenate([self.keys, keys]), np.concatenate([self.rows, np.arange(first, len(self.at), dtype=np.int32)])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.rows = keys[order], rows[order]
+        order = np.argsort(keys)
+        place = np.searchsorted(self.keys, keys[order])
+        self.keys, self.rows = np.insert(self.keys, place, keys[order]), np.insert(self.rows, place, (first + order).astype(np.int32))
 
     def entries(self, keys: np.ndarray, code: np.ndarray, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, before: str = "") -> np.ndarray:
         """The entry of each distinct hash; keys[code] are the hashes of the spans. `before` is put before a span that is new and is part of its key, so that a bare span never finds the ids of one with a prefix."""

@@ -130,6 +130,23 @@ def test_words_with_a_prefix_leave_bare_words_alone(spark):
     assert got == [w[:-1].tolist() for w in encoded(texts, name, 0)]
 
 
+def test_runs_of_latin_letters_and_marks_need_the_model_alone():
+    """Words of LM scoring: a run of Latin letters, with or without marks behind it, has the library's ids without its slower whole encoding."""
+    encode = tokens.SegmentEncoder(tokens.vocabulary_path("byte_bpe_50k.json"))
+    library = encode.tokenizer
+
+    class ModelOnly:
+        model = library.model
+
+    encode.tokenizer = ModelOnly()
+    words = ["zebra", "zebra,", "zebra...", "the?!", "éoiouauxaian", "einungää.", "ereinstß;;", "a", "ü", "\u01c5x#"]
+    buf = np.frombuffer(" ".join(words).encode(), np.uint8)
+    s, e, _ = lm_scoring.word_spans(buf, np.array([0, len(buf)]))
+    ids, at = lm_scoring.word_ids(encode, lm_scoring.span_hashes(buf, s, e), np.arange(len(s)), buf, s, e)
+    want = [library.encode(" " + w, add_special_tokens=False).ids for w in words]
+    assert [ids[i:j].tolist() for i, j in zip(at, at[1:], strict=False)] == want
+
+
 def test_token_queries_in_one_session(spark):
     """Token files before and after LM scoring, in the same workers, against the tokenizers library."""
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
@@ -465,6 +482,19 @@ def test_windows_give_the_same_as_whole_contexts(monkeypatch):
         assert np.allclose(model.net.scores(row, text, y)[0], want, atol=2e-4)
 
 
+def test_scores_by_ready_tables(monkeypatch):
+    """Tables of what depends on items alone, made once, give the plain result where texts end at, before and after the borders of slices."""
+    model, _, _ = small_model()
+    rng = np.random.default_rng(17)
+    row, y = (rng.integers(0, model.classes.count, 300) for _ in range(2))
+    monkeypatch.setattr(lm_scoring, "SLICE", 64)
+    tables = model.net.tables()
+    for cuts in ([], [64, 128], [63, 65, 127], [1, 60, 61, 62, 63, 64, 65, 299]):
+        text = np.searchsorted(cuts, np.arange(300), "right")
+        got = model.net.scores(row, text, y, tables)
+        assert np.allclose(got[0], model.net.log_probs(*contexts(row, text), y), atol=2e-4)
+
+
 def test_gradients_are_those_of_the_loss():
     model, _, _ = small_model()
     rng = np.random.default_rng(8)
