@@ -920,7 +920,7 @@ def inactive_union(spark, d):
 
 @query("SELECT element_id, max(block) AS block, max_by(uid, block * 1000000 + seq) AS uid FROM shards GROUP BY element_id HAVING max(block) = (SELECT max(block) FROM shards)", "shards")
 def newest_snapshot(spark, d):
-    s = V.shards(spark, d).groupBy("element_id").agg(F.max("block").alias("block"), F.max_by("uid", F.struct("block", "seq")).alias("uid"))
+    s = V.shards(spark, d).groupBy("element_id").agg(F.max("block").alias("block"), F.max_by("uid", F.col("block") * 1_000_000 + F.col("seq")).alias("uid"))
     return S.latest_snapshot(s.select("block", "element_id", "uid")).select("element_id", "block", "uid")
 
 
