@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column
@@ -162,7 +163,8 @@ def match_percentage(a: Column, b: Column) -> Column:
 
 
 def scores_match_absolute(a: Column, b: Column, threshold: float) -> Column:
-    return F.abs(a - b) <= 1 - threshold
+    """Differences up to 1 - threshold match; that bound is taken in decimals, so that 0.8 allows 0.2 itself."""
+    return F.abs(a - b) <= float(1 - Decimal(str(threshold)))
 
 
 # labels

@@ -36,3 +36,10 @@ def test_newest_snapshot_has_all_elements_of_the_block(spark, tmp_path):
     got, want = both(spark, tmp_path, "newest_snapshot", events=events((1, 0, 3, "view", 10), (2, 1200, 4, "view", 10), (3, 1201, 5, "click", 10), (4, 600, 6, "error", 10), (2_500_000, 1190, 7, "click", 10)))
     assert got == want
     assert len(got) == 2
+
+
+def test_scores_at_the_bound_agree(spark, tmp_path):
+    """Event 11 scores 0 and has a latency of 40 / 200: a difference of exactly 1 - 0.8."""
+    got, want = both(spark, tmp_path, "score_agreement", events=events((11, 0, 3, "view", 20), (22, 0, 3, "view", 20.01), (1, 5, 3, "view", 20), (2, 5, 4, "click", 0)))
+    assert got == want
+    assert (True, 0.0, 11) in got and (False, 0.0, 22) in got
