@@ -1,4 +1,4 @@
-"""One-to-one matching: greedy folds in Catalyst, optimal assignment in Arrow batches of frames, set areas by scanlines."""
+"""One-to-one matching: greedy folds of boxes in Catalyst, of shapes and optimal assignment in Arrow batches of frames, set areas by scanlines."""
 
 from __future__ import annotations
 
@@ -8,32 +8,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import adaptive_iou_bar, box_iou, ratio
-from ..functions.raster import MASK, raster, shape_iou
+from ..functions.raster import raster, shape_iou
+from .shapes import compared_shapes, greedy_shapes, united
 
 FRAME = ("run_id", "frame")
 BOX = ("x1", "y1", "x2", "y2")
 
 
-def _drawn(df: DataFrame) -> DataFrame:
-    """df with the mask of its column polygon (array of structs x, y; null or left out: the row is a box)."""
-    return df.withColumn("mask", raster("polygon") if "polygon" in df.columns else F.lit(None).cast(MASK))
-
-
 def _sides(gt: DataFrame, pred: DataFrame, keys: tuple[str, ...], how: str, order: list[Column]) -> DataFrame:
-    """One row a key: truth shapes g in det_ord order and predictions p in the given order; a missing side is empty."""
-    g = _drawn(gt).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("det_ord", *BOX, "mask"))).alias("g"))
-    p = _drawn(pred).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, F.col("score") if "score" in pred.columns else F.lit(0.0).alias("score"), *BOX, "mask"))).alias("p"))
+    """One row a key: truth boxes g in det_ord order and predictions p in the given order; a missing side is empty."""
+    g = gt.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("det_ord", *BOX))).alias("g"))
+    p = pred.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, F.col("score") if "score" in pred.columns else F.lit(0.0).alias("score"), *BOX))).alias("p"))
     both = g.join(p, list(keys), how)
     return both.withColumns({c: F.coalesce(c, F.array().cast(both.schema[c].dataType)) for c in ("g", "p")})
 
 
-def _overlap(gt: DataFrame, pred: DataFrame, empty: float):
-    """The value of a pair: IoU of boxes, or of pixels where either side is a polygon."""
-    if "polygon" in gt.columns or "polygon" in pred.columns:
-        return lambda x, y: shape_iou(x, y, empty)
-    return box_iou
-
-
 def _fold(items: Column, others: Column, value, accept) -> Column:
     """Each item takes the free other of the largest value (ties: the first); accept(best) decides.
 
@@ -57,17 +46,24 @@ def _fold(items: Column, others: Column, value, accept) -> Column:
     return F.aggregate(items, start, merge)["out"]
 
 
+def shape_bar(iou: float | None = None) -> Column:
+    return adaptive_iou_bar(F.struct(*BOX)) if iou is None else F.lit(float(iou))
+
+
 def greedy_match(gt: DataFrame, pred: DataFrame, iou: float | None = None) -> DataFrame:
     """(run_id, cls, frame, det_ord, score, tp): predictions by confidence take the best free truth shape of their class and frame.
 
     iou: a constant bar; None: the bar depends on the box area of the best free truth shape, and no other one is tried.
-    A column polygon on either side makes shapes of both: two boxes meet by area, all other pairs by pixels (see raster).
+    A column polygon on either side makes shapes of both: two boxes meet by area, all other pairs by pixels (see raster, shapes).
     Frames are independent, so the key is (run, class, frame) and groups stay small.
     """
+    if "polygon" in gt.columns or "polygon" in pred.columns:
+        found = greedy_shapes(united(gt, pred), shape_bar(iou))
+        return found.select(*[F.col(c).cast(pred.schema[c].dataType).alias(c) for c in ("run_id", "cls", "frame", "det_ord", "score")], "tp")
     keys = ("run_id", "cls", "frame")
     both = _sides(gt, pred, keys, "right", [(-F.col("score")).alias("by"), F.col("det_ord")])
     bar = (lambda b: adaptive_iou_bar(b["o"])) if iou is None else (lambda b: F.lit(float(iou)))
-    got = _fold(F.col("p"), F.col("g"), _overlap(gt, pred, 1.0), lambda b: (b["v"] > 0) & (b["v"] >= bar(b)))
+    got = _fold(F.col("p"), F.col("g"), box_iou, lambda b: (b["v"] > 0) & (b["v"] >= bar(b)))
     return both.select(*keys, F.explode(got).alias("m")).select(*keys, F.col("m.item.det_ord").alias("det_ord"), F.col("m.item.score").alias("score"), F.col("m.hit").alias("tp"))
 
 
@@ -78,14 +74,25 @@ def compare_outputs(expected: DataFrame, actual: DataFrame, bar: float = 0.95, e
     A column polygon makes shapes polygons, as in greedy_match. expected_frames, actual_frames: (run_id, frame) of all frames; left out, the frames with shapes.
     """
     common = (expected if expected_frames is None else expected_frames).select(*FRAME).distinct().join((actual if actual_frames is None else actual_frames).select(*FRAME).distinct(), list(FRAME))
-    both = _sides(expected, actual, ("run_id", "frame", "cls"), "full", [F.col("det_ord")])
-    m = both.withColumn("m", _fold(F.col("g"), F.col("p"), _overlap(expected, actual, 0.0), lambda b: b["v"] > 0))
-    hit = F.filter("m", lambda x: x["hit"])
-    rows = m.select("run_id", "frame", F.size("g").alias("ne"), F.size("p").alias("na"), F.size(hit).alias("nm"), F.aggregate(hit, F.lit(0.0), lambda a, x: a + x["value"]).alias("s"))
-    out = rows.groupBy(*FRAME).agg(F.sum("ne").alias("n_expected"), F.sum("na").alias("n_actual"), F.sum("nm").alias("matched"), F.sum("s").alias("matched_iou"))
-    out = common.join(out, list(FRAME), "left").na.fill(0, ["n_expected", "n_actual", "matched"]).na.fill(0.0, ["matched_iou"])
+    if "polygon" in expected.columns or "polygon" in actual.columns:
+        out = compared_shapes(united(expected, actual))
+    else:
+        both = _sides(expected, actual, ("run_id", "frame", "cls"), "full", [F.col("det_ord")])
+        m = both.withColumn("m", _fold(F.col("g"), F.col("p"), box_iou, lambda b: b["v"] > 0))
+        hit = F.filter("m", lambda x: x["hit"])
+        rows = m.select("run_id", "frame", F.size("g").alias("ne"), F.size("p").alias("na"), F.size(hit).alias("nm"), F.aggregate(hit, F.lit(0.0), lambda a, x: a + x["value"]).alias("s"))
+        out = rows.groupBy(*FRAME).agg(F.sum("ne").alias("n_expected"), F.sum("na").alias("n_actual"), F.sum("nm").alias("matched"), F.sum("s").alias("matched_iou"))
+    return _verdict(common.join(out, list(FRAME), "left").na.fill(0, ["n_expected", "n_actual", "matched"]).na.fill(0.0, ["matched_iou"]), bar)
+
+
+def compare_shapes(both: DataFrame, bar: float = 0.95, outline: Column | None = None) -> DataFrame:
+    """compare_outputs() of the two tables in united(), on the frames that both have shapes in."""
+    return _verdict(compared_shapes(both, outline).where("n_expected > 0 and n_actual > 0 and run_id is not null and frame is not null"), bar)
+
+
+def _verdict(counted: DataFrame, bar: float) -> DataFrame:
     mean = F.when((F.col("n_expected") == 0) & (F.col("n_actual") == 0), 1.0).otherwise(ratio(F.col("matched_iou"), F.col("n_expected")))
-    return out.select(*FRAME, "n_expected", "n_actual", "matched", "matched_iou", mean.alias("mean_iou"), (mean >= bar).alias("passed"))
+    return counted.select(*FRAME, "n_expected", "n_actual", "matched", "matched_iou", mean.alias("mean_iou"), (mean >= bar).alias("passed"))
 
 
 def comparison_verdicts(compared: DataFrame, runs: DataFrame, bar: float = 0.95) -> DataFrame:

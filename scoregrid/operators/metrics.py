@@ -126,6 +126,22 @@ def per_class_report(matches: DataFrame, gt: DataFrame) -> DataFrame:
     return both.select("run_id", "cls", "n_gt", "n_pred", "tp", (p - tp).alias("fp"), (g - tp).alias("fn"), ratio(tp, p).alias("precision"), ratio(tp, g).alias("recall"), ratio(2.0 * tp, g + p).alias("f1"), "ap")
 
 
+def class_report_of(matches: DataFrame) -> DataFrame:
+    """(run_id, cls, n_gt, tp, ap) of each class with truth, from one pass over the rows of greedy_shapes(count_truth=True).
+
+    The curve is swept from its last row back: what stands before a row is the class's total less what came already, and
+    the envelope is the maximum so far, so that rows are dealt and sorted once.
+    """
+    w = Window.partitionBy("run_id", "cls").orderBy("score", F.desc("frame"), F.desc("det_ord"))
+    back, all_ = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    hit = F.col("tp").cast("int")
+    run = matches.select("run_id", "cls", "score", "frame", "det_ord", "tp", "n_gt")
+    run = run.withColumns({"c": F.sum(hit).over(all_) - F.sum(hit).over(back) + hit, "k": F.count("tp").over(all_) - F.count("tp").over(back) + 1})
+    run = run.withColumn("e", F.max(F.when(F.col("tp").isNotNull(), F.col("c") / F.col("k"))).over(back))
+    out = run.groupBy("run_id", "cls").agg(F.sum("n_gt").alias("n_gt"), F.count_if("tp").alias("tp"), F.sum(F.when(F.col("tp"), F.col("e"))).alias("s"))
+    return out.where("n_gt > 0").select("run_id", "cls", "n_gt", "tp", F.coalesce(F.col("s") / F.col("n_gt"), F.lit(0.0)).alias("ap"))
+
+
 def mean_average_precision(ap: DataFrame) -> DataFrame:
     return ap.groupBy("run_id").agg(F.avg("ap").alias("map"))
 

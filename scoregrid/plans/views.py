@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+DEALT = 500_000  # rows of lineitem in a task where frames are dealt, so that their sorts stay in memory
 
 SHARDS = """SELECT event_id AS seq,
   8000000 + CAST(floor((EPOCH(ts) - 1704067200) / 12) AS BIGINT) AS block,
@@ -36,13 +39,17 @@ PRED = f"""SELECT l_orderkey % 50 AS run_id, l_orderkey AS frame, l_linenumber A
 FROM ({_U}) u WHERE pk % 7 <> 0"""
 
 # small shapes: a box (x1, y1, x2, y2), and has_polygon where its outline below counts
-SHAPES = f"""SELECT l_orderkey % 50 AS run_id, l_orderkey AS frame, l_linenumber AS det_ord, cls, pk * 7 % 40 AS x1, sk * 13 % 30 AS y1,
-  pk * 7 % 40 + 4 + CAST(q AS BIGINT) % 6 AS x2, sk * 13 % 30 + 4 + l_linenumber AS y2, pk % 3 <> 0 AS has_polygon
+_SHAPE = """l_orderkey % 50 AS run_id, l_orderkey AS frame, l_linenumber AS det_ord, cls, pk * 7 % 40 AS x1, sk * 13 % 30 AS y1,
+  pk * 7 % 40 + 4 + CAST(q AS BIGINT) % 6 AS x2, sk * 13 % 30 + 4 + l_linenumber AS y2, pk % 3 <> 0 AS has_polygon"""
+
+SHAPES = f"""SELECT {_SHAPE}
 FROM ({_U}) u WHERE pk % 9 <> 0"""
 
-SHAPE_PREDICTIONS = f"""SELECT l_orderkey % 50 AS run_id, l_orderkey AS frame, l_linenumber AS det_ord, CASE WHEN pk % 13 = 0 THEN 'A' ELSE cls END AS cls,
+_PREDICTED_SHAPE = """l_orderkey % 50 AS run_id, l_orderkey AS frame, l_linenumber AS det_ord, CASE WHEN pk % 13 = 0 THEN 'A' ELSE cls END AS cls,
   pk * 7 % 40 + pk % 2 AS x1, sk * 13 % 30 + sk % 2 AS y1, pk * 7 % 40 + pk % 2 + 4 + CAST(q AS BIGINT) % 6 AS x2, sk * 13 % 30 + sk % 2 + 4 + l_linenumber AS y2,
-  (pk + sk) % 2 = 0 AS has_polygon, round(1 - dc*5 - tx, 6) AS score
+  (pk + sk) % 2 = 0 AS has_polygon, round(1 - dc*5 - tx, 6) AS score"""
+
+SHAPE_PREDICTIONS = f"""SELECT {_PREDICTED_SHAPE}
 FROM ({_U}) u WHERE pk % 7 <> 0"""
 
 OUTLINE = [("x1", "y1"), ("x2", "y1 + 1"), ("x2 - 1", "y2"), ("x1 + 2", "y2 - 2"), ("x1 + 1", "y2")]
@@ -98,9 +105,14 @@ def pred(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, PRED, "lineitem")
 
 
-def _outlined(df: DataFrame) -> DataFrame:
+def outline() -> Column:
+    """The polygon of a row of SHAPES or SHAPE_PREDICTIONS, null for a box."""
     points = ", ".join(f"struct(CAST({x} AS BIGINT) AS x, CAST({y} AS BIGINT) AS y)" for x, y in OUTLINE)
-    return df.selectExpr("* EXCEPT (has_polygon)", f"CASE WHEN has_polygon THEN array({points}) END AS polygon")
+    return F.expr(f"CASE WHEN has_polygon THEN array({points}) END")
+
+
+def _outlined(df: DataFrame) -> DataFrame:
+    return df.withColumn("polygon", outline()).drop("has_polygon")
 
 
 def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,6 +123,15 @@ def shape_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _outlined(view(spark, sf_dir, SHAPE_PREDICTIONS, "lineitem"))
 
 
+def both_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of shapes() and, with the flag second, of shape_predictions(), without outlines: from one reading of lineitem, dealt once, by frame."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    tasks = max(lines.count() // DEALT + 1, spark.sparkContext.defaultParallelism)
+    u = spark.sql(_U.replace("FROM lineitem", "FROM {lineitem}"), lineitem=lines.repartition(tasks, "l_orderkey"))
+    sides = f"inline(array(if(pk % 9 <> 0, struct({_SHAPE}, CAST(0 AS DOUBLE) AS score, false AS second), null), if(pk % 7 <> 0, struct({_PREDICTED_SHAPE}, true AS second), null)))"
+    return u.selectExpr("l_orderkey", sides).where("second is not null").selectExpr("run_id", "l_orderkey AS frame", "cls", "det_ord", "score", "x1", "y1", "x2", "y2", "has_polygon", "second")
+
+
 def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, ACTIONS, "events")
 

@@ -15,6 +15,7 @@ from .operators import match as M
 from .operators import metrics as E
 from .operators import rank as H
 from .operators import select as C
+from .operators import shapes as P
 from .plans import views as V
 from .plans.winner import eligible_rows, kept, window_weights, winners
 from .sources import shards as S
@@ -487,9 +488,7 @@ def shape_matches(spark, d):
 
 @query(_shapes_sql(_MODES, V.SHAPE_PREDICTIONS, _BAR) + f", {_AP}, h AS (SELECT run_id, cls, count(*) FILTER (tp) AS tp FROM m GROUP BY ALL) SELECT run_id, cls, n_gt, coalesce(tp, 0) AS tp, round(ap, 6) AS ap FROM n LEFT JOIN h USING (run_id, cls) JOIN ap USING (run_id, cls)")
 def shape_average_precision(spark, d):
-    p = V.shape_predictions(spark, d)
-    g = M.project_shapes(V.shapes(spark, d), p)
-    return E.per_class_report(M.greedy_match(g, p), g).where("n_gt > 0").select("run_id", "cls", "n_gt", "tp", *six("ap"))
+    return E.class_report_of(P.greedy_shapes(V.both_shapes(spark, d), M.shape_bar(), projected=True, count_truth=True, outline=V.outline())).select("run_id", "cls", "n_gt", "tp", *six("ap"))
 
 
 _SHAPES_COMPARED = _shapes_sql(V.SHAPE_PREDICTIONS, V.SHAPES.replace("pk % 3 <> 0 AS has_polygon", "pk % 3 <> 0 AS has_polygon, 0.0 AS score"), "0") + """,
