@@ -498,7 +498,7 @@ SELECT run_id, frame, ne AS n_expected, na AS n_actual, nm AS matched, round(s /
 
 @query(_SHAPES_COMPARED)
 def shape_output_comparison(spark, d):
-    return M.compare_outputs(V.shapes(spark, d), V.shape_predictions(spark, d)).select("run_id", "frame", "n_expected", "n_actual", "matched", *six("mean_iou"), "passed")
+    return M.compare_shapes(V.both_shapes(spark, d), outline=V.outline()).select("run_id", "frame", "n_expected", "n_actual", "matched", *six("mean_iou"), "passed")
 
 
 _LINES = "cut AS (SELECT run_id, frame, greatest(x1, 0) AS x1, greatest(y1, 0) AS y1, least(x2, 960) AS x2, least(y2, 540) AS y2 FROM gt), li AS (SELECT run_id, frame, unnest(range(y1, y2)) AS y, x1, x2 FROM cut WHERE x1 < x2 AND y1 < y2), fr AS (SELECT *, coalesce(max(x2) OVER (PARTITION BY run_id, frame, y ORDER BY x1, x2 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS far FROM li)"
