@@ -482,8 +482,7 @@ _MODES = f"SELECT g.* EXCLUDE (has_polygon), has_polygon AND coalesce(md, CASE W
 
 @query(_shapes_sql(_MODES, V.SHAPE_PREDICTIONS, _BAR) + " SELECT run_id, cls, frame, det_ord, score, tp FROM m")
 def shape_matches(spark, d):
-    p = V.shape_predictions(spark, d)
-    return M.greedy_match(M.project_shapes(V.shapes(spark, d), p), p)
+    return P.greedy_shapes(V.both_shapes(spark, d), M.shape_bar(), projected=True, outline=V.outline())
 
 
 @query(_shapes_sql(_MODES, V.SHAPE_PREDICTIONS, _BAR) + f", {_AP}, h AS (SELECT run_id, cls, count(*) FILTER (tp) AS tp FROM m GROUP BY ALL) SELECT run_id, cls, n_gt, coalesce(tp, 0) AS tp, round(ap, 6) AS ap FROM n LEFT JOIN h USING (run_id, cls) JOIN ap USING (run_id, cls)")

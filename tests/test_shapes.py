@@ -124,7 +124,7 @@ def test_report_of_one_pass(two):
     assert rows(one) == rows(old) and rows(one)
 
 
-@pytest.mark.parametrize(("name", "shuffles"), [("shape_output_comparison", 1), ("shape_average_precision", 2)])
+@pytest.mark.parametrize(("name", "shuffles"), [("shape_matches", 1), ("shape_output_comparison", 1), ("shape_average_precision", 2)])
 def test_tables_are_read_and_dealt_once(spark, name, shuffles):
     """Masks and outlines are made after the shuffle; before, each side was read and dealt by itself, and dealt again with its masks."""
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
