@@ -285,26 +285,29 @@ class _Masks:
         e = np.repeat(np.arange(len(own)), n)
         y = low_seen[e] + _places(n)
         line = base[own][e] + y - y0[own][e]
-        px, qx, py, qy, steep, high = px[e], qx[e], py[e], qy[e], steep[e], high[e]
-        dx, dy, up = qx - px, qy - py, y - py
-        level = dy == 0
-        part = up * dx / np.where(level, 1, dy)
+        dx, dy = qx - px, qy - py
+        level = (dy == 0)[e]
+        up = y - py[e]
+        part = up * dx[e] / np.where(dy == 0, 1, dy)[e]
         # crossings by line, two by two
-        c = np.flatnonzero(~level & (y < high))
-        cl, cx = line[c], np.floor(px[c] + part[c] + 0.5).astype(np.int64)
+        c = np.flatnonzero(~level & (y < high[e]))
+        cl, cx = line[c], np.floor(px[e[c]] + part[c] + 0.5).astype(np.int64)
         order = _sorted(cl, cx)
         cl, cx = cl[order], cx[order]
         fresh = np.concatenate([[True], cl[1:] != cl[:-1]]) if len(cl) else np.zeros(0, bool)
         place = np.arange(len(cl)) - np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
         left = np.flatnonzero((place[:-1] % 2 == 0) & ~fresh[1:]) if len(cl) else np.zeros(0, np.int64)
         # edges: a pixel a line of steep ones, a stretch of flat ones
-        at = px + np.where(level, 0, np.floor(part + 0.5)).astype(np.int64)
-        wide = np.where(level, 1, 2 * dy)
-        before, after = (2 * up - 1) * dx / wide, (2 * up + 1) * dx / wide
-        rising = dy > 0
-        flat_a = np.where(level, px, np.maximum(px, px + np.where(rising, np.ceil(before), np.floor(after) + 1).astype(np.int64)))
-        flat_b = np.where(level, qx, np.minimum(qx, px + np.where(rising, np.ceil(after) - 1, np.floor(before)).astype(np.int64)))
-        a, b = np.concatenate([cx[left], np.where(steep, at, flat_a)]), np.concatenate([cx[left + 1], np.where(steep, at, flat_b)])
+        one = px[e] + np.where(level, 0, np.floor(part + 0.5)).astype(np.int64)
+        far = one.copy()
+        f = np.flatnonzero(~steep[e])
+        fp, fq, fx, fy, level, up = px[e[f]], qx[e[f]], dx[e[f]], dy[e[f]], level[f], up[f]
+        wide = np.where(level, 1, 2 * fy)
+        before, after = (2 * up - 1) * fx / wide, (2 * up + 1) * fx / wide
+        rising = fy > 0
+        one[f] = np.where(level, fp, np.maximum(fp, fp + np.where(rising, np.ceil(before), np.floor(after) + 1).astype(np.int64)))
+        far[f] = np.where(level, fq, np.minimum(fq, fp + np.where(rising, np.ceil(after) - 1, np.floor(before)).astype(np.int64)))
+        a, b = np.concatenate([cx[left], one]), np.concatenate([cx[left + 1], far])
         line = np.concatenate([cl[left], line])
         a = np.maximum(a, 0)
         seen = b >= a
